@@ -303,12 +303,12 @@ _RULE_CONTEXT = """SELECT x.user_id, x.warranty_id, coalesce(p.behaviour_h, 50)
 
 @register(
     "rule_recommendations",
-    f"""SELECT user_id, warranty_id, CAST(place AS BIGINT) AS place, rule_id, segment, title, message, priority FROM (
-      SELECT c.user_id, c.warranty_id, r.*, row_number() OVER (PARTITION BY c.user_id, c.warranty_id ORDER BY priority, rule_id) AS place FROM ({_RULE_CONTEXT}) c JOIN (
-        SELECT n_nationkey AS rule_id, 'SEG_' || (n_nationkey % 4) AS segment, n_name AS title, 'Message of ' || n_name AS message, CAST(n_nationkey * 7 % 10 AS INT) AS priority,
-          n_nationkey % 6 AS m, n_nationkey % 4 AS aqi FROM nation WHERE n_nationkey % 5 <> 4) r
-      ON CASE m WHEN 0 THEN c.aqi_band >= aqi WHEN 1 THEN rr >= 2 WHEN 2 THEN rr >= 1 AND behaviour_h <= 60 AND care_h <= 50 WHEN 3 THEN pt IN ('', 'fridge', 'ac')
-        WHEN 4 THEN care_h <= 30 AND contains('my ev car park', pt) ELSE true END) WHERE place <= 3""",
+    f"""SELECT user_id, warranty_id, place, r.rule_id AS rule_id, r.segment AS segment, r.title AS title, r.message AS message, r.priority AS priority FROM (
+      SELECT user_id, warranty_id, unnest(picks) AS r, unnest(range(1, len(picks) + 1)) AS place FROM (SELECT c.user_id, c.warranty_id, list_filter(rules, lambda r: CASE r.m WHEN 0 THEN c.aqi_band >= r.aqi
+          WHEN 1 THEN c.rr >= 2 WHEN 2 THEN c.rr >= 1 AND c.behaviour_h <= 60 AND c.care_h <= 50 WHEN 3 THEN c.pt IN ('', 'fridge', 'ac')
+          WHEN 4 THEN c.care_h <= 30 AND contains('my ev car park', c.pt) ELSE true END)[1:3] AS picks
+        FROM ({_RULE_CONTEXT}) c, (SELECT list(struct_pack(rule_id := n_nationkey, segment := 'SEG_' || (n_nationkey % 4), title := n_name, message := 'Message of ' || n_name,
+          priority := CAST(n_nationkey * 7 % 10 AS INT), m := n_nationkey % 6, aqi := n_nationkey % 4) ORDER BY n_nationkey * 7 % 10, n_nationkey) AS rules FROM nation WHERE n_nationkey % 5 <> 4)))""",
 )
 def rule_recommendations(d):
     return P.rule_recommendations(rule_input(d), d.rule()).withColumn("place", big("place"))
