@@ -90,8 +90,8 @@ def feature_vector(
     label = F.coalesce(S.truthy(F.lit(product_type_override)), S.truthy(F.col("product_name")))
     half = F.lit(50)
     return (
-        counts.join(w, "warranty_id", "left")
-        .join(newest, PAIR, "left")
+        counts.join(newest, PAIR, "left")
+        .join(w, "warranty_id", "left")
         .select(
             *PAIR,
             S.product_type_code(label).alias("product_type"),
