@@ -51,8 +51,8 @@ def _compose_groups(df: DataFrame, keys: list[str], bits: int | None) -> DataFra
     return listed.select(*group, whole.alias("f"))
 
 
-def clamped_walk(steps: DataFrame, keys: list[str], order: list[str], start: int = 50) -> DataFrame:
-    """Final value per key of ordered steps, each clamped to 0..100.
+def composed_shifts(steps: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The one clamped shift per key that equals its ordered steps, each clamped to 0..100.
 
     Clamped steps compose associatively, so a key's steps need not meet in one task: rows are range
     partitioned on key and order (a hot key spans many partitions), numbered within them, and folded
@@ -65,8 +65,16 @@ def clamped_walk(steps: DataFrame, keys: list[str], order: list[str], start: int
     numbered = ranged.select(*keys, F.monotonically_increasing_id().alias("seq"), both.alias("f"))
     for bits in (_CHUNK_BITS, _CHUNK_BITS, None):
         numbered = _compose_groups(numbered, keys, bits)
-    f = F.col("f")
-    return numbered.select(*keys, F.least(f["hi"], F.greatest(f["lo"], F.lit(start) + f["d"])).alias("value"))
+    return numbered
+
+
+def apply_shift(f: Column, start: int = 50) -> Column:
+    return F.least(f["hi"], F.greatest(f["lo"], F.lit(start) + f["d"]))
+
+
+def key_match(left: str, right: str, keys: list[str]) -> Column:
+    """Null-safe equality of the keys of two aliased frames."""
+    return reduce(lambda x, y: x & y, [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys])
 
 
 def with_product_type(rows: DataFrame, warranties: DataFrame) -> DataFrame:
@@ -76,19 +84,20 @@ def with_product_type(rows: DataFrame, warranties: DataFrame) -> DataFrame:
     return rows.join(w, "warranty_id", "left").withColumn("product_type", inferred).drop("w_name", "w_model")
 
 
-def behaviour_profiles(answers: DataFrame, warranties: DataFrame) -> DataFrame:
-    """Profile scores (hundredths, from 50) per user, product type and warranty.
+def answer_effects(answers: DataFrame, warranties: DataFrame) -> DataFrame:
+    """What a batch of answers adds per profile: three sums, and the composed behaviour shift.
 
     Care and responsiveness only ever rise, so clamping at the end equals clamping at each step and
-    plain sums suffice. Behaviour moves both ways and needs the ordered fold.
+    plain sums suffice. Behaviour moves both ways and needs the ordered fold. Effects of consecutive
+    batches combine with ``combine_effects``.
     """
     answer = F.lower(F.coalesce("answer_value", F.lit("")))
     rows = with_product_type(answers, warranties).withColumn("a", answer)
     a = F.col("a")
     sums = rows.groupBy(*PROFILE_KEY).agg(
         F.count(F.lit(1)).alias("answers"),
-        F.least(F.lit(100), F.lit(50) + 3 * S.flag_count(a.isin(GOOD))).alias("care_h"),
-        F.least(F.lit(100), F.lit(50) + 2 * F.count(F.lit(1)) + 2 * S.flag_count(a.isin(PROMPT))).alias("resp_h"),
+        (3 * S.flag_count(a.isin(GOOD))).alias("care_add"),
+        (2 * F.count(F.lit(1)) + 2 * S.flag_count(a.isin(PROMPT))).alias("resp_add"),
         F.max("created_at").alias("last_question_at"),
     )
     one = F.when(a.isin(GOOD), 1).when(a.isin(BAD), -2)
@@ -96,13 +105,40 @@ def behaviour_profiles(answers: DataFrame, warranties: DataFrame) -> DataFrame:
     steps = rows.select(
         *PROFILE_KEY, "created_at", "id", F.coalesce(one, two).alias("step_a"), F.when(one.isNotNull(), two).alias("step_b")
     ).where(F.col("step_a").isNotNull())
-    walk = clamped_walk(steps, PROFILE_KEY, ["created_at", "id"])
-    same = reduce(lambda x, y: x & y, [F.col(f"s.{k}").eqNullSafe(F.col(f"w.{k}")) for k in PROFILE_KEY])
-    return sums.alias("s").join(walk.alias("w"), same, "left").select(
-        "s.*", F.coalesce("w.value", F.lit(50)).alias("behaviour_h")
+    shifts = composed_shifts(steps, PROFILE_KEY, ["created_at", "id"])
+    return (
+        sums.alias("s")
+        .join(shifts.alias("w"), key_match("s", "w", PROFILE_KEY), "left")
+        .select("s.*", F.coalesce("w.f", _identity()).alias("f"))
+    )
+
+
+def combine_effects(effects: DataFrame, order: str) -> DataFrame:
+    """One effect per profile from those of consecutive batches, one row per batch and profile."""
+    shifts = _compose_groups(effects.select(*PROFILE_KEY, F.col(order).alias("seq"), "f"), PROFILE_KEY, None)
+    sums = effects.groupBy(*PROFILE_KEY).agg(
+        *[F.sum(c).alias(c) for c in ("answers", "care_add", "resp_add")], F.max("last_question_at").alias("last_question_at")
+    )
+    return sums.alias("s").join(shifts.alias("w"), key_match("s", "w", PROFILE_KEY)).select("s.*", "w.f")
+
+
+def profiles_from_effects(effects: DataFrame) -> DataFrame:
+    """Profile scores in hundredths; every profile starts at 50."""
+    return effects.select(
+        *PROFILE_KEY,
+        "answers",
+        apply_shift(F.col("f")).alias("behaviour_h"),
+        F.least(F.lit(100), F.lit(50) + F.col("care_add")).alias("care_h"),
+        F.least(F.lit(100), F.lit(50) + F.col("resp_add")).alias("resp_h"),
+        "last_question_at",
     )
 
 
+def behaviour_profiles(answers: DataFrame, warranties: DataFrame) -> DataFrame:
+    """Profile scores per user, product type and warranty from all answers."""
+    return profiles_from_effects(answer_effects(answers, warranties))
+
+
 # --- next question -------------------------------------------------------------------------------
 
 

@@ -26,12 +26,17 @@ def register(name: str, sql: str | None = None):
         run.__doc__ = job.__doc__
         _QUERIES[name] = run
         if sql:
-            _SQL[name] = with_views(sql)
+            _SQL[name] = sql if sql in _SQL.values() else with_views(sql)
         return job
 
     return wrap
 
 
+def oracle_of(name: str) -> str:
+    """The check SQL of a query registered before, for another way to the same result."""
+    return _SQL[name]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

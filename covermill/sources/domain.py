@@ -461,3 +461,23 @@ class DomainTables:
 
     def audit(self) -> DataFrame:
         return self.table("documents").selectExpr("doc_id", "concat('upload_', source) AS action", "text AS content")
+
+
+class StreamedTables(DomainTables):
+    """The same views with one table read as a stream of files."""
+
+    def __init__(self, spark: SparkSession, folder: str, streamed: str, path: str | None = None, files_per_trigger: int | None = None):
+        super().__init__(spark, folder)
+        self.streamed = streamed
+        self.path = path
+        self.files_per_trigger = files_per_trigger
+
+    def table(self, name: str) -> DataFrame:
+        if name != self.streamed:
+            return super().table(name)
+        reader = self.spark.readStream.schema(super().table(name).schema)
+        if self.files_per_trigger:
+            reader = reader.option("maxFilesPerTrigger", self.files_per_trigger)
+        if self.path:
+            return reader.parquet(self.path)
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(self.folder)

@@ -1,0 +1,72 @@
+"""Keyed state machine of the notification stream."""
+
+from __future__ import annotations
+
+import sys
+
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+# Workers get this module's code with the task, so they need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+# Fixed value: one day in microseconds.
+DAY_US = 86_400_000_000
+
+
+class KeptNotifications(StatefulProcessor):
+    """Emits the notifications that are kept.
+
+    The state of a key is its last kept unread notification, by id and time. It suppresses the key's
+    notifications for ``days`` days, unless a read receipt for it arrives in between. Rows carry
+    ``at`` in microseconds, the notification's ``id``, and ``kind``: 0 notify, 1 notify already
+    read, 2 receipt. An event-time timer drops a key once it can no longer suppress anything.
+    """
+
+    def __init__(self, days: int, keys: list[str]):
+        self.gap = days * DAY_US
+        self.keys = keys
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.anchor = handle.getValueState("anchor", "id STRING, at BIGINT")
+
+    def _expiry_ms(self, at: int) -> int:
+        return (at + self.gap) // 1000 + 1
+
+    def handleInputRows(self, key, rows, timerValues):
+        pdf = pd.concat([p[["at", "id", "kind"]] for p in rows], ignore_index=True)
+        pdf = pdf.sort_values(["at", "id", "kind"], kind="stable")
+        state = self.anchor.get() if self.anchor.exists() else None
+        anchor_id, anchor_at = state if state else (None, None)
+        before = (anchor_id, anchor_at)
+        kept: list[tuple[str, int]] = []
+        for at, nid, kind in zip(pdf["at"].tolist(), pdf["id"].tolist(), pdf["kind"].tolist()):
+            if kind == 2:
+                if nid == anchor_id:
+                    anchor_id = anchor_at = None
+            elif anchor_at is None or at - anchor_at > self.gap:
+                kept.append((nid, at))
+                if kind == 0:
+                    anchor_id, anchor_at = nid, at
+        if (anchor_id, anchor_at) != before:
+            if anchor_id is None:
+                self.anchor.clear()
+            else:
+                self.anchor.update((anchor_id, anchor_at))
+                self.handle.registerTimer(self._expiry_ms(anchor_at))
+        if kept:
+            out = pd.DataFrame(kept, columns=["id", "at"])
+            for name, value in zip(self.keys, key):
+                out.insert(0, name, value)
+            yield out[[*self.keys, "id", "at"]]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        state = self.anchor.get() if self.anchor.exists() else None
+        if state and self._expiry_ms(state[1]) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.anchor.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
