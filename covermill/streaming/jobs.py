@@ -138,7 +138,7 @@ def current_counts(spark, out: str) -> DataFrame:
 
 
 SCORED_SCHEMA = (
-    "id BIGINT, brand STRING, region_code STRING, risk_label STRING, warranty_known BOOLEAN"
+    "user_id BIGINT, warranty_id STRING, id BIGINT, brand STRING, region_code STRING, risk_label STRING, warranty_known BOOLEAN"
 )
 ALERT_SCHEMA = (
     "brand STRING, region_code STRING, total BIGINT, high BIGINT, message STRING, user_id STRING, warranty_id STRING, "
@@ -160,7 +160,8 @@ def alert_clusters(scored: DataFrame, out: str, checkpoint: str, as_of) -> None:
         sinks.write_batch(batch.select(*names), f"{out}/scores", n)
         seen = sinks.read_batches(spark, f"{out}/scores", SCORED_SCHEMA, before=n + 1)
         touched = seen.where(F.col("batch_id") == n).select(*group).distinct()
-        latest = seen.groupBy("id").agg(*[F.max_by(c, "batch_id").alias(c) for c in names if c != "id"])
+        key = [*PAIR, "id"]
+        latest = seen.groupBy(*key).agg(*[F.max_by(c, "batch_id").alias(c) for c in names if c not in key])
         mine = latest.alias("s").join(touched.alias("t"), B.key_match("s", "t", group), "left_semi")
         found = (
             O.high_risk_clusters(mine)
