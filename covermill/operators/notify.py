@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -55,7 +56,10 @@ def dedupe_chain(events: DataFrame, keys: list[str], days: int = C.DEDUPE_DAYS)
     previous: DataFrame | None = None
     last_week = None
     for week in weeks:
-        rows = unread.where(F.col("week") == week)
+        # The plain time range lets the scan skip other periods' files.
+        begin = datetime(1970, 1, 5) + timedelta(days=days * week)
+        inside = (F.col("created_at") >= S.ts_lit(begin)) & (F.col("created_at") < S.ts_lit(begin + timedelta(days=days)))
+        rows = unread.where(inside & (F.col("week") == week))
         if previous is not None and last_week == week - 1:
             rows = (
                 rows.alias("r")

@@ -59,6 +59,18 @@ def active_recommendations(recs: DataFrame, **filters) -> DataFrame:
 # --- statistics ----------------------------------------------------------------------------------
 
 
+def compact_profiles(profiles: DataFrame) -> DataFrame:
+    """Profiles merged per pair, product type and care level: counts and sums.
+
+    The statistics need no more, so a pair with very many profiles reaches the joins as a few rows.
+    ``poor`` is the care level the EV score looks at.
+    """
+    poor = (F.col("behaviour_h") < 40) | (F.col("care_h") < 40)
+    return profiles.groupBy(*PAIR, "product_type", poor.alias("poor")).agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in PROFILE_SCORES]
+    )
+
+
 def score_profiles(profiles: DataFrame, warranties: DataFrame, scores: DataFrame) -> DataFrame:
     """Profiles with their warranty, if any, and their pair's predictive score.
 
@@ -81,7 +93,7 @@ def score_profiles(profiles: DataFrame, warranties: DataFrame, scores: DataFrame
 def behaviour_stats(scored: DataFrame) -> DataFrame:
     """Mean profile scores and risk per brand and model of the profiles whose warranty is known."""
     name = lambda c: F.coalesce(S.truthy(F.col(c)), F.lit("unknown")).alias(c)
-    n = F.count(F.lit(1))
+    n = F.sum("n")
     mean = lambda c: F.sum(c) / (n * 100)
     return (
         scored.where("warranty_known")
@@ -90,7 +102,7 @@ def behaviour_stats(scored: DataFrame) -> DataFrame:
             mean("behaviour_h").alias("avg_behaviour"),
             mean("care_h").alias("avg_care"),
             mean("resp_h").alias("avg_responsiveness"),
-            mean("score_h").alias("avg_predictive_risk"),
+            mean(F.col("score_h") * F.col("n")).alias("avg_predictive_risk"),
             n.alias("sample_size"),
         )
     )
@@ -105,10 +117,10 @@ def for_brand(scored: DataFrame, brand: str | None = None, model: str | None = N
 
 
 def _label_counts(df: DataFrame, label: str) -> DataFrame:
-    """The four label counts, zeros included, as rows."""
+    """Profiles per label, zeros included, as rows."""
     names = [*C.RISK_LABELS, "UNKNOWN"]
     shown = F.coalesce(F.when(F.col(label).isin(*C.RISK_LABELS), F.col(label)), F.lit("UNKNOWN"))
-    counts = df.agg(*[S.flag_count(shown == n).alias(n) for n in names])
+    counts = df.agg(*[F.coalesce(F.sum(F.when(shown == n, F.col("n"))), F.lit(0)).alias(n) for n in names])
     rows = F.array(*[F.struct(F.lit(n).alias("risk_label"), F.col(n).alias("n")) for n in names])
     return counts.select(F.explode(rows).alias("r")).select("r.*")
 
@@ -117,10 +129,10 @@ def risk_distribution(scored: DataFrame) -> DataFrame:
     return _label_counts(scored, "risk_label")
 
 
-def behaviour_snapshot(scored: DataFrame) -> DataFrame:
-    """Overall profile means; no row without profiles."""
-    n = F.count(F.lit(1))
-    return scored.agg(
+def behaviour_snapshot(profiles: DataFrame) -> DataFrame:
+    """Overall profile means from merged profiles; no row without profiles."""
+    n = F.sum("n")
+    return profiles.agg(
         (F.sum("behaviour_h") / (n * 100)).alias("behaviour_score"),
         (F.sum("care_h") / (n * 100)).alias("care_score"),
         (F.sum("resp_h") / (n * 100)).alias("responsiveness_score"),
@@ -135,7 +147,8 @@ def is_ev_profile() -> Column:
 
 def ev_distribution(scored: DataFrame, ev_telemetry: DataFrame) -> DataFrame:
     """EV battery labels of the profiles whose product is an EV, with their newest readings."""
-    features = scored.where(is_ev_profile()).select(*PAIR, *PROFILE_SCORES)
+    care = F.when(F.col("poor"), 0).otherwise(50)
+    features = scored.where(is_ev_profile()).select(*PAIR, "n", care.alias("behaviour_h"), care.alias("care_h"))
     for name in EV.READINGS:
         features = features.withColumn(name, F.lit(float(C.EV_DEFAULTS[name])))
     rated = EV.battery_score(EV.override_by_latest(features, ev_telemetry))
@@ -146,7 +159,8 @@ def high_risk_clusters(scored: DataFrame) -> DataFrame:
     """Brand and region groups with 10 or more HIGH profiles, or with 30 % of them HIGH."""
     total, high = F.col("total"), F.col("high")
     groups = scored.where("warranty_known").groupBy("brand", "region_code").agg(
-        F.count(F.lit(1)).alias("total"), S.flag_count(F.col("risk_label") == "HIGH").alias("high")
+        F.sum("n").alias("total"),
+        F.coalesce(F.sum(F.when(F.col("risk_label") == "HIGH", F.col("n"))), F.lit(0)).alias("high"),
     )
     message = F.concat(
         F.lit("We’ve detected an elevated number of HIGH-risk warranties for "),
@@ -184,7 +198,7 @@ def dashboard(
         return df.select(F.lit(name).alias("section"), F.col(item).alias("item"), number(value))
 
     def unpivoted(name: str, df: DataFrame, columns: list[str]) -> DataFrame:
-        return df.unpivot([], columns, "item", "value") .select(F.lit(name).alias("section"), "item", number("value"))
+        return df.unpivot([], columns, "item", "value").select(F.lit(name).alias("section"), "item", number("value"))
 
     snapshot = behaviour_snapshot(mine).drop("n")
     issues = G.peer_issue_stats(peers.withColumn("all", F.lit(1)), ["all"]).select(

@@ -83,6 +83,21 @@ def canonical_warranty(d):
     )
 
 
+@register(
+    "warranty_upsert",
+    "SELECT id, brand, CAST(coverage_months AS BIGINT) AS coverage_months, strftime(expiry_date, '%Y-%m-%d') AS expiry_date FROM v_canonical",
+)
+def warranty_upsert(d):
+    """Warranties written twice, as extracted and then as corrected; the later write stays."""
+    nothing = d.override().withColumn("product_name", F.lit(None).cast("string")).withColumn("coverage_months", F.lit(None).cast("int"))
+    cols = ["id", "brand", "coverage_months", "expiry_date"]
+    first = W.canonical_warranty(d.artifact(), nothing).select(*cols, S.ts_lit("2024-01-01").alias("created_at"))
+    second = canonical(d).select(*cols, S.ts_lit("2024-01-02").alias("created_at"))
+    return W.latest_by_id(first.unionByName(second)).select(
+        "id", "brand", big("coverage_months").alias("coverage_months"), day("expiry_date").alias("expiry_date")
+    )
+
+
 @register("warranty_summary", "SELECT id, summary FROM v_summary")
 def warranty_summary(d):
     return W.warranty_summary(canonical(d)).select("id", "summary")
@@ -540,8 +555,7 @@ def oem_recs_active(d):
 
 
 def scored_profiles(d):
-    profiles = d.profile().select("id", *PAIR, "product_type", *O.PROFILE_SCORES)
-    return O.score_profiles(profiles, d.warranty(), scores(d))
+    return O.score_profiles(O.compact_profiles(d.profile()), d.warranty(), scores(d))
 
 
 @register(
@@ -569,7 +583,7 @@ def oem_risk_distribution(d):
       CAST(sum(resp_h) AS DOUBLE) / (count(*) * 100) AS responsiveness_score, count(*) AS n FROM v_profile""",
 )
 def oem_behaviour_snapshot(d):
-    return O.behaviour_snapshot(d.profile())
+    return O.behaviour_snapshot(O.compact_profiles(d.profile()))
 
 
 def _ev_of(rows: str) -> str:
@@ -681,6 +695,16 @@ def ticket_parts(d):
     return K.ticket_parts(d.ticket()).select("id", "warranty_id", "symptom", joined("parts").alias("parts"), "status")
 
 
+@register("ticket_backlog", "SELECT 'wty_' || (o_custkey % 150) || '_' || (o_orderkey % 12) AS warranty_id, count(*) AS n FROM orders GROUP BY 1")
+def ticket_backlog(d):
+    return K.backlog(d.ticket(), "warranty_id")
+
+
+@register("unread_counts", "SELECT user_id, audience, count(*) AS n FROM v_notification WHERE NOT is_read GROUP BY user_id, audience")
+def unread_counts(d):
+    return K.backlog(d.notification().where(~F.col("is_read")), "user_id", "audience")
+
+
 @register("answer_routing", "SELECT id, question_id, CASE WHEN starts_with(question_id, 'oemq_') THEN 'oem' ELSE 'bank' END AS sink FROM v_raw_answer")
 def answer_routing(d):
     return K.route_answers(d.raw_answer()).select("id", "question_id", "sink")
