@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from covermill import constants as C
 from covermill.functions import html_blocks
 from covermill.functions.scalars import truthy
 
-WORD_SPLIT = f"[{C.UNICODE_SPACE}]+"
+# Unicode white space and the four ASCII separators. One property test per character: a class that
+# lists the ranges takes four times as long.
+WORD_SPLIT = r"(?U)[\s\x1c-\x1f]+"
+
+
+def split_words(text: Column) -> Column:
+    return F.array_remove(F.split(text, WORD_SPLIT), "")
 
 
 def words(text: Column) -> Column:
     """Lower-cased words, split at any Unicode white space."""
-    return F.filter(F.split(F.lower(text), WORD_SPLIT), lambda w: w != "")
+    return split_words(F.lower(text))
 
 
 def title_case(text: Column) -> Column:
@@ -41,44 +47,102 @@ def first_date(text: Column) -> Column:
     return F.try_element_at(F.filter(F.transform(candidates, parse_day), lambda d: d.isNotNull()), F.lit(1))
 
 
-def artifact_fields(content: Column) -> dict[str, Column]:
-    """Brand, model, serial, purchase date and coverage read from free text; null where absent."""
-    low = F.lower(content)
-    pick = lambda name, group=1: truthy(F.regexp_extract(low, C.ARTIFACT_PATTERNS[name], group))
-    return {
-        "brand": title_case(F.trim(pick("brand"))),
-        "model_code": F.upper(pick("model")),
-        "serial_no": F.upper(pick("serial", 2)),
-        "purchase_date": first_date(content),
-        "coverage_months": F.when(low.contains("warranty"), pick("months").try_cast("int")),
-    }
+def _mentions(low: Column, *needles: str) -> Column:
+    """Whether a lower-cased text holds one of some words: a byte search that spares most texts a pattern."""
+    found = low.contains(needles[0])
+    for n in needles[1:]:
+        found = found | low.contains(n)
+    return found
+
+
+def extract_artifact(df: DataFrame) -> DataFrame:
+    """Adds brand, model, serial, purchase date and coverage read from ``content``; null where absent.
+
+    A pattern runs only on texts that hold a word it needs.
+    """
+    p = C.ARTIFACT_PATTERNS
+    low = F.col("_low")
+    raw = lambda name, group, *needles: F.when(
+        _mentions(low, *needles), F.regexp_extract(low, p[name], group)
+    )
+    return (
+        df.withColumn("_low", F.lower("content"))
+        .withColumns(
+            {
+                "_brand": raw("brand", 1, "brand"),
+                "_model": raw("model", 1, "model"),
+                "_serial": raw("serial", 2, "serial", "s/n", "sn"),
+                "_months": F.when(low.contains("warranty"), F.regexp_extract(low, p["months"], 1)),
+                "purchase_date": F.when(_mentions(low, "-", "/"), first_date(F.col("content"))),
+            }
+        )
+        .withColumns(
+            {
+                "brand": title_case(F.trim(truthy(F.col("_brand")))),
+                "model_code": F.upper(truthy(F.col("_model"))),
+                "serial_no": F.upper(truthy(F.col("_serial"))),
+                "coverage_months": F.col("_months").try_cast("int"),
+            }
+        )
+        .drop("_low", "_brand", "_model", "_serial", "_months")
+    )
+
 
+def extract_oem_text(df: DataFrame) -> DataFrame:
+    """Adds brand, model, coverage, exclusions and extended part warranties read from ``page_text``.
 
-def oem_text_fields(text: Column, brand_hint: Column) -> dict[str, Column]:
-    """Brand, model, coverage, exclusions and extended part warranties of a manufacturer page."""
-    pick = lambda name: truthy(F.regexp_extract(text, "(?i)" + C.OEM_TEXT_PATTERNS[name], 1))
-    hint = F.coalesce(F.lower(brand_hint), F.lit(""))
+    A pattern runs only on pages that hold a word it needs; a part pattern's groups are read from
+    its match, not from the page again.
+    """
+    text, low = F.col("page_text"), F.col("_low")
+    i = lambda pattern: "(?i)" + pattern
+    p = C.OEM_TEXT_PATTERNS
+    raw = lambda name, needle: F.when(low.contains(needle), F.regexp_extract(text, i(p[name]), 1))
+    hint = F.coalesce(F.lower("brand_hint"), F.lit(""))
     known = hint.isin(*sorted({b for b, _ in C.OEM_PART_PATTERNS}))
-    found = []
-    for brand, pattern in C.OEM_PART_PATTERNS:
-        part = F.regexp_extract(text, "(?i)" + pattern, 1)
-        years = F.regexp_extract(text, "(?i)" + pattern, 2)
-        found.append(
-            F.when((~known | (hint == brand)) & (part != ""), F.struct(part.alias("part"), F.concat(years, F.lit(" years")).alias("cover")))
+    hits = {
+        f"_hit{n}": F.when((~known | (hint == brand)) & low.contains("year"), F.regexp_extract(text, i(pattern), 0))
+        for n, (brand, pattern) in enumerate(C.OEM_PART_PATTERNS)
+    }
+    found = [
+        F.when(
+            F.col(f"_hit{n}") != "",
+            F.struct(
+                F.regexp_extract(f"_hit{n}", i(pattern), 1).alias("part"),
+                F.concat(F.regexp_extract(f"_hit{n}", i(pattern), 2), F.lit(" years")).alias("cover"),
+            ),
         )
-    parts = F.array_compact(F.array(*found))
+        for n, (_, pattern) in enumerate(C.OEM_PART_PATTERNS)
+    ]
     # A part named by two patterns keeps the later one.
     last = F.filter(
-        parts,
-        lambda p, i: ~F.exists(F.slice(parts, i + 2, F.greatest(F.size(parts), F.lit(1))), lambda q: q["part"] == p["part"]),
+        "_parts",
+        lambda q, k: ~F.exists(F.slice("_parts", k + 2, F.greatest(F.size("_parts"), F.lit(1))), lambda r: r["part"] == q["part"]),
+    )
+    return (
+        df.withColumn("_low", F.lower("page_text"))
+        .withColumns(
+            {
+                "_brand": raw("brand", "brand"),
+                "_model": raw("model", "model"),
+                "_months": raw("months", "mo"),
+                "_years": raw("years", "year"),
+                "exclusions": F.when(low.contains("exclusion"), F.regexp_extract_all(text, F.lit(i(p["exclusion"])), 1)),
+                **hits,
+            }
+        )
+        .withColumns(
+            {
+                "brand": F.trim(truthy(F.col("_brand"))),
+                "model_code": F.trim(truthy(F.col("_model"))),
+                "coverage_months": F.coalesce(F.col("_months").try_cast("int"), F.col("_years").try_cast("int") * 12),
+                "exclusions": F.coalesce("exclusions", F.expr("cast(array() AS array<string>)")),
+                "_parts": F.array_compact(F.array(*found)),
+            }
+        )
+        .withColumn("extended_parts", F.map_from_entries(last))
+        .drop("_low", "_brand", "_model", "_months", "_years", "_parts", *hits)
     )
-    return {
-        "brand": F.trim(pick("brand")),
-        "model_code": F.trim(pick("model")),
-        "coverage_months": F.coalesce(pick("months").try_cast("int"), pick("years").try_cast("int") * 12),
-        "exclusions": F.regexp_extract_all(text, F.lit("(?i)" + C.OEM_TEXT_PATTERNS["exclusion"]), 1),
-        "extended_parts": F.map_from_entries(last),
-    }
 
 
 def squeeze_space(text: Column) -> Column:

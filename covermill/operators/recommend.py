@@ -109,34 +109,55 @@ def rule_context(pairs: DataFrame, latest_profiles: DataFrame, scores: DataFrame
     )
 
 
+# Rules up to this many travel as one array per risk rank; more are joined.
+MAX_RULE_ARRAY = 5_000
+
+_FACTS = ["risk_rank", "aqi_band", "behaviour_h", "care_h", "profile_type"]
+
+
+def _holds(rule) -> Column:
+    """Whether a rule's conditions hold for the row's facts; ``rule`` looks a rule field up by name."""
+    c = F.col
+    types, words = rule("types"), rule("type_text")
+    any_type = (c("profile_type") == "") | (types.isNull() & words.isNull()) | (F.size(types) == 0)
+    type_ok = any_type | F.array_contains(types, c("profile_type")) | words.contains(c("profile_type"))
+    return (
+        (rule("min_aqi").isNull() | (c("aqi_band") >= rule("min_aqi")))
+        & (rule("max_behaviour_h").isNull() | (c("behaviour_h") <= rule("max_behaviour_h")))
+        & (rule("max_care_h").isNull() | (c("care_h") <= rule("max_care_h")))
+        & F.coalesce(type_ok, F.lit(False))
+    )
+
+
 def rule_recommendations(context: DataFrame, rules: DataFrame, k: int = 3) -> DataFrame:
     """The first ``k`` matching rules by priority of each pair.
 
-    Rules look at a handful of bounded values (band, rank, two scores in hundredths, type), so they
-    are matched once per distinct combination; pairs then pick up their combination's rules by
-    equality. Each rule is listed under every risk rank it accepts, which makes that match an
-    equality join too: nothing is joined without a key.
+    Each rule is listed under every risk rank it accepts. A counted, small rule table becomes one
+    sorted array per rank: pairs join three rows and filter an array, without a shuffle. A larger
+    one is matched once per distinct combination of the bounded facts rules look at, and pairs pick
+    up their combination's rules. Both join by equality only.
     """
-    facts = ["risk_rank", "aqi_band", "behaviour_h", "care_h", "profile_type"]
     ranks = F.filter(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda r: r >= F.col("min_rank"))
-    listed = parse_rules(rules).withColumn("risk_rank", F.explode(ranks))
-    c = F.col
-    no_type = (c("profile_type") == "") | (c("types").isNull() & c("type_text").isNull()) | (F.size("types") == 0)
-    type_ok = no_type | F.array_contains("types", c("profile_type")) | c("type_text").contains(c("profile_type"))
-    hit = (
-        (c("min_aqi").isNull() | (c("aqi_band") >= c("min_aqi")))
-        & (c("max_behaviour_h").isNull() | (c("behaviour_h") <= c("max_behaviour_h")))
-        & (c("max_care_h").isNull() | (c("care_h") <= c("max_care_h")))
-        & F.coalesce(type_ok, F.lit(False))
-    )
-    w = Window.partitionBy(*facts).orderBy("priority", "rule_id")
+    parsed = parse_rules(rules)
+    listed = parsed.withColumn("risk_rank", F.explode(ranks))
+    shown = ["rule_id", "segment", "title", "message", "priority"]
+    if parsed.limit(MAX_RULE_ARRAY + 1).count() <= MAX_RULE_ARRAY:
+        rule = F.struct("priority", "rule_id", *[c for c in listed.columns if c not in ("priority", "rule_id", "risk_rank")])
+        per_rank = listed.groupBy("risk_rank").agg(F.sort_array(F.collect_list(rule)).alias("rules"))
+        hits = F.slice(F.filter("rules", lambda r: _holds(lambda f: r[f])), 1, k)
+        return (
+            context.join(F.broadcast(per_rank), "risk_rank")
+            .select(*PAIR, F.posexplode(hits).alias("place", "r"))
+            .select(*PAIR, (F.col("place") + 1).alias("place"), *[F.col(f"r.{c}") for c in shown])
+        )
+    w = Window.partitionBy(*_FACTS).orderBy("priority", "rule_id")
     matched = (
-        context.select(*facts)
+        context.select(*_FACTS)
         .distinct()
         .join(listed, "risk_rank")
-        .where(hit)
+        .where(_holds(F.col))
         .withColumn("place", F.row_number().over(w))
         .where(F.col("place") <= k)
-        .select(*facts, "place", "rule_id", "segment", "title", "message", "priority")
+        .select(*_FACTS, "place", *shown)
     )
-    return context.join(matched, facts).select(*PAIR, "place", "rule_id", "segment", "title", "message", "priority")
+    return context.join(matched, _FACTS).select(*PAIR, "place", *shown)

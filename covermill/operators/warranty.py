@@ -23,8 +23,7 @@ def with_artifact_id(artifacts: DataFrame) -> DataFrame:
 
 def extract_fields(artifacts: DataFrame) -> DataFrame:
     """Warranty fields read from each artifact's whole text, with a confidence per field found."""
-    fields = X.artifact_fields(F.col("content"))
-    df = artifacts.select("*", *[c.alias(n) for n, c in fields.items()])
+    df = X.extract_artifact(artifacts)
     entries = [
         F.when(F.col(n).isNotNull(), F.struct(F.lit(n).alias("key"), F.lit(v).alias("value"))) for n, v in CONFIDENCE.items()
     ]
@@ -142,9 +141,7 @@ def expiry_alerts(warranties: DataFrame, as_of) -> DataFrame:
 def oem_page_fields(pages: DataFrame) -> DataFrame:
     """Fields read from manufacturer pages' whole text."""
     text = X.squeeze_space(F.col("html"))
-    df = pages.withColumn("page_text", text)
-    fields = X.oem_text_fields(F.col("page_text"), F.col("brand_hint"))
-    return df.select("*", *[c.alias(n) for n, c in fields.items()])
+    return X.extract_oem_text(pages.withColumn("page_text", text))
 
 
 def oem_page_blocks(pages: DataFrame) -> DataFrame:

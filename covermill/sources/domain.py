@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from covermill import constants as C
-from covermill.functions.scalars import text_array
+from covermill.functions.text import split_words
 
 AS_OF = "2024-01-31 00:00:00"
 
@@ -315,14 +315,10 @@ class DomainTables:
         )
 
     def peer_signal(self) -> DataFrame:
-        space = text_array([C.UNICODE_SPACE])[0]
         return (
             self.table("labels")
             .join(self.table("documents"), "doc_id")
-            .withColumn(
-                "failure_keywords",
-                F.filter(F.split("text", F.concat(F.lit("["), space, F.lit("]+"))), lambda t: t != ""),
-            )
+            .withColumn("failure_keywords", split_words(F.col("text")))
             .selectExpr(
                 "doc_id AS id",
                 "CASE WHEN doc_id % 3 <> 0 THEN concat('wty_', doc_id % 15, '_', doc_id % 12) END AS warranty_id",
