@@ -11,7 +11,7 @@ from covermill.functions.scalars import PAIR
 from covermill.operators import ev as EV
 from covermill.operators import signals as G
 
-PROFILE_SCORES = ["behaviour_h", "care_h", "resp_h"]
+PROFILE_SCORES = ["behaviour", "care", "resp"]
 
 
 # --- published questions and recommendations -----------------------------------------------------
@@ -67,7 +67,7 @@ def compact_profiles(profiles: DataFrame) -> DataFrame:
     """
     poor = (F.col("behaviour_h") < 40) | (F.col("care_h") < 40)
     return profiles.groupBy(*PAIR, "product_type", poor.alias("poor")).agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in PROFILE_SCORES]
+        F.count(F.lit(1)).alias("n"), *[F.sum(f"{c}_h").alias(f"{c}_sum") for c in PROFILE_SCORES]
     )
 
 
@@ -99,9 +99,9 @@ def behaviour_stats(scored: DataFrame) -> DataFrame:
         scored.where("warranty_known")
         .groupBy(name("brand"), name("model_code"))
         .agg(
-            mean("behaviour_h").alias("avg_behaviour"),
-            mean("care_h").alias("avg_care"),
-            mean("resp_h").alias("avg_responsiveness"),
+            mean("behaviour_sum").alias("avg_behaviour"),
+            mean("care_sum").alias("avg_care"),
+            mean("resp_sum").alias("avg_responsiveness"),
             mean(F.col("score_h") * F.col("n")).alias("avg_predictive_risk"),
             n.alias("sample_size"),
         )
@@ -116,28 +116,39 @@ def for_brand(scored: DataFrame, brand: str | None = None, model: str | None = N
     return scored
 
 
-def _label_counts(df: DataFrame, label: str) -> DataFrame:
-    """Profiles per label, zeros included, as rows."""
-    names = [*C.RISK_LABELS, "UNKNOWN"]
+_LABELS = [*C.RISK_LABELS, "UNKNOWN"]
+
+
+def _label_sums(label: str, cond: Column | None = None) -> dict[str, Column]:
+    """Profiles per label (of those meeting a condition), zeros included, anything else as UNKNOWN."""
     shown = F.coalesce(F.when(F.col(label).isin(*C.RISK_LABELS), F.col(label)), F.lit("UNKNOWN"))
-    counts = df.agg(*[F.coalesce(F.sum(F.when(shown == n, F.col("n"))), F.lit(0)).alias(n) for n in names])
-    rows = F.array(*[F.struct(F.lit(n).alias("risk_label"), F.col(n).alias("n")) for n in names])
+    hit = lambda n: shown == n if cond is None else (shown == n) & cond
+    return {n: F.coalesce(F.sum(F.when(hit(n), F.col("n"))), F.lit(0)) for n in _LABELS}
+
+
+def _label_rows(df: DataFrame, label: str) -> DataFrame:
+    counts = df.agg(*[v.alias(k) for k, v in _label_sums(label).items()])
+    rows = F.array(*[F.struct(F.lit(n).alias(label), F.col(n).alias("n")) for n in _LABELS])
     return counts.select(F.explode(rows).alias("r")).select("r.*")
 
 
+def _means() -> dict[str, Column]:
+    n = F.sum("n") * 100
+    return {
+        "behaviour_score": F.sum("behaviour_sum") / n,
+        "care_score": F.sum("care_sum") / n,
+        "responsiveness_score": F.sum("resp_sum") / n,
+    }
+
+
 def risk_distribution(scored: DataFrame) -> DataFrame:
-    return _label_counts(scored, "risk_label")
+    return _label_rows(scored, "risk_label")
 
 
 def behaviour_snapshot(profiles: DataFrame) -> DataFrame:
     """Overall profile means from merged profiles; no row without profiles."""
-    n = F.sum("n")
-    return profiles.agg(
-        (F.sum("behaviour_h") / (n * 100)).alias("behaviour_score"),
-        (F.sum("care_h") / (n * 100)).alias("care_score"),
-        (F.sum("resp_h") / (n * 100)).alias("responsiveness_score"),
-        n.alias("n"),
-    ).where(F.col("n") > 0)
+    means = [v.alias(k) for k, v in _means().items()]
+    return profiles.agg(*means, F.sum("n").alias("n")).where(F.col("n") > 0)
 
 
 def is_ev_profile() -> Column:
@@ -145,14 +156,34 @@ def is_ev_profile() -> Column:
     return named | F.coalesce(F.lower("product_type"), F.lit("")).contains("ev")
 
 
-def ev_distribution(scored: DataFrame, ev_telemetry: DataFrame) -> DataFrame:
-    """EV battery labels of the profiles whose product is an EV, with their newest readings."""
+def with_ev_label(scored: DataFrame, ev_telemetry: DataFrame) -> DataFrame:
+    """Adds the EV battery label merged profiles would have with their pair's newest readings."""
     care = F.when(F.col("poor"), 0).otherwise(50)
-    features = scored.where(is_ev_profile()).select(*PAIR, "n", care.alias("behaviour_h"), care.alias("care_h"))
+    features = scored.withColumns({"behaviour_h": care, "care_h": care})
     for name in EV.READINGS:
         features = features.withColumn(name, F.lit(float(C.EV_DEFAULTS[name])))
-    rated = EV.battery_score(EV.override_by_latest(features, ev_telemetry))
-    return _label_counts(rated, "ev_label").withColumnRenamed("risk_label", "ev_label")
+    return EV.battery_score(EV.override_by_latest(features, ev_telemetry))
+
+
+def ev_distribution(scored: DataFrame, ev_telemetry: DataFrame) -> DataFrame:
+    """EV battery labels of the profiles whose product is an EV."""
+    return _label_rows(with_ev_label(scored.where(is_ev_profile()), ev_telemetry), "ev_label")
+
+
+def profile_sections(scored: DataFrame, ev_telemetry: DataFrame) -> DataFrame:
+    """The dashboard's three profile sections from one pass over the scored profiles."""
+    rated = with_ev_label(scored, ev_telemetry)
+    groups = {
+        "risk_distribution": _label_sums("risk_label"),
+        "behaviour_snapshot": _means(),
+        "ev_battery": _label_sums("ev_label", is_ev_profile()),
+    }
+    flat = [(g, k, f"{g}_{k}", v) for g, cols in groups.items() for k, v in cols.items()]
+    one = rated.agg(*[v.cast("double").alias(name) for _, _, name, v in flat])
+    rows = F.array(
+        *[F.struct(F.lit(g).alias("section"), F.lit(k).alias("item"), F.col(name).alias("value")) for g, k, name, _ in flat]
+    )
+    return one.select(F.explode(rows).alias("r")).select("r.*").where("value IS NOT NULL")
 
 
 def high_risk_clusters(scored: DataFrame) -> DataFrame:
@@ -184,35 +215,24 @@ def dashboard(
     product_type: str | None = None,
     region: str | None = None,
 ) -> DataFrame:
-    """Every dashboard section for one brand, as rows (section, item, value).
-
-    ``scored`` feeds three sections; Spark reuses its exchanges, and a caller that asks for many
-    brands should write it as a table once.
-    """
+    """Every dashboard section for one brand, as rows (section, item, value)."""
     mine = for_brand(scored, brand, model)
     peers = G.filtered(signals, product_type=product_type, brand=brand, model=model)
     asked = G.filtered(searches, product_type=product_type, brand=brand, model=model, region=region)
-    number = lambda c: F.col(c).cast("double").alias("value")
-
-    def section(name: str, df: DataFrame, item: str, value: str) -> DataFrame:
-        return df.select(F.lit(name).alias("section"), F.col(item).alias("item"), number(value))
 
-    def unpivoted(name: str, df: DataFrame, columns: list[str]) -> DataFrame:
-        return df.unpivot([], columns, "item", "value").select(F.lit(name).alias("section"), "item", number("value"))
+    def section(name: str, df: DataFrame, item: str) -> DataFrame:
+        return df.select(F.lit(name).alias("section"), F.col(item).alias("item"), F.col("n").cast("double").alias("value"))
 
-    snapshot = behaviour_snapshot(mine).drop("n")
     issues = G.peer_issue_stats(peers.withColumn("all", F.lit(1)), ["all"]).select(
         F.col("signals").cast("double").alias("signals"), "avg_rating", "avg_sentiment"
     )
     parts = [
-        section("risk_distribution", risk_distribution(mine), "risk_label", "n"),
-        unpivoted("behaviour_snapshot", snapshot, snapshot.columns),
-        section("ev_battery", ev_distribution(mine, ev_telemetry), "ev_label", "n"),
-        unpivoted("peer_review", issues, issues.columns),
-        section("peer_severity", G.peer_severity(peers, []), "severity_hint", "n"),
-        section("symptom_components", G.symptom_top_components(asked), "component", "n"),
-        section("symptom_words", G.symptom_top_tokens(asked), "token", "n"),
-        section("product_interest", G.interest_top(interest, region=region), "product_id", "n"),
+        profile_sections(mine, ev_telemetry),
+        issues.unpivot([], issues.columns, "item", "value").select(F.lit("peer_review").alias("section"), "item", "value"),
+        section("peer_severity", G.peer_severity(peers, []), "severity_hint"),
+        section("symptom_components", G.symptom_top_components(asked), "component"),
+        section("symptom_words", G.symptom_top_tokens(asked), "token"),
+        section("product_interest", G.interest_top(interest, region=region), "product_id"),
     ]
     out = parts[0]
     for part in parts[1:]:

@@ -82,6 +82,6 @@ def stream_symptom_counts(d):
 @register("stream_cluster_alerts", oracle_of("high_risk_clusters"))
 def stream_cluster_alerts(d):
     out, ckpt = fresh(d, "clusters")
-    profiles = streamed(d, "lineitem").profile().select("id", *PAIR, "product_type", *O.PROFILE_SCORES)
+    profiles = streamed(d, "lineitem").profile().select("id", *PAIR, "product_type")
     J.alert_clusters(O.score_profiles(profiles, d.warranty(), scores(d)), out, ckpt, AS_OF)
     return J.alerts(d.spark, out).select("brand", "region_code", "total", "high", "message")

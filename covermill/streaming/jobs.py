@@ -52,9 +52,12 @@ def follow_signal(stream: DataFrame, out: str, checkpoint: str, as_of=None, wind
     def job(batch: DataFrame, n: int) -> None:
         sinks.write_batch(batch.select(*[c.split()[0] for c in LOG_SCHEMA.split(", ")]), f"{out}/log", n)
         log = sinks.read_batches(spark, f"{out}/log", LOG_SCHEMA, before=n + 1)
-        # One value: the newest event so far.
-        now = as_of or log.agg(F.max("ts")).first()[0]
-        touched = log.where(F.col("batch_id") == n).select(*PAIR).distinct()
+        new = log.where(F.col("batch_id") == n)
+        # One value: the batch's newest event.
+        now = as_of or new.agg(F.max("ts")).first()[0]
+        if now is None:
+            return
+        touched = new.select(*PAIR).distinct()
         cutoff = S.ts_lit(now) - F.expr(f"INTERVAL {window_days} DAYS")
         history = log.where(F.col("ts") >= cutoff).join(touched, PAIR, "left_semi").drop("batch_id")
         signal = T.recent_signal(history, now, window_days)
