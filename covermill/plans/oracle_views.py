@@ -57,14 +57,14 @@ VIEWS: dict[str, str] = {
         CASE n_nationkey % 6 WHEN 0 THEN 'hot' WHEN 1 THEN 'humid' WHEN 2 THEN 'dry' WHEN 3 THEN 'cold' WHEN 4 THEN 'coastal' END AS climate_zone,
         CAST(p_size AS DOUBLE) / 100 AS oem_risk_factor, CAST(p_partkey % 10 AS DOUBLE) / 10 AS brand_reliability_score
       FROM part JOIN customer ON c_custkey = {_owner('p_partkey')} JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)""",
-    "v_profile": f"""SELECT (l_orderkey * 8 + l_linenumber) * 10000000 + l_suppkey AS id, {_owner('l_partkey')} AS user_id, {_wid('l_partkey')} AS warranty_id,
+    "v_profile": f"""SELECT (l_orderkey * 8 + l_linenumber) * 4096 + l_suppkey % 64 * 64 + CAST(l_quantity AS BIGINT) AS id, {_owner('l_partkey')} AS user_id, {_wid('l_partkey')} AS warranty_id,
       CASE l_linenumber WHEN 7 THEN 'EV car' WHEN 1 THEN 'fridge' END AS product_type,
       CAST(trunc(l_quantity * 2) AS INTEGER) AS behaviour_h, CAST(round(l_discount * 1000) AS INTEGER) AS care_h,
       CAST(round(l_tax * 1250) AS INTEGER) AS resp_h, CAST(l_suppkey % 4 AS INTEGER) AS aqi_band,
       CASE WHEN l_suppkey % 3 <> 0 THEN TIMESTAMP '2024-01-20 00:00:00' + to_days(CAST(l_suppkey % 20 AS INTEGER)) END AS last_question_at
       FROM lineitem""",
     "v_latest_profile": """SELECT * FROM v_profile QUALIFY row_number() OVER (PARTITION BY user_id, warranty_id ORDER BY id DESC) = 1""",
-    "v_ev_telemetry": f"""SELECT (l_orderkey * 8 + l_linenumber) * 10000000 + l_suppkey AS id, {_owner('l_partkey')} AS user_id, {_wid('l_partkey')} AS warranty_id,
+    "v_ev_telemetry": f"""SELECT (l_orderkey * 8 + l_linenumber) * 4096 + l_suppkey % 64 * 64 + CAST(l_quantity AS BIGINT) AS id, {_owner('l_partkey')} AS user_id, {_wid('l_partkey')} AS warranty_id,
       l_quantity * 2 AS daily_km, l_linenumber * 2 AS fast_charge_sessions, CAST(round(l_discount * 50) AS INTEGER) AS deep_discharge_events,
       CASE WHEN l_suppkey % 7 <> 6 THEN 20.0 + round(l_tax * 400) END AS max_temp_seen,
       CASE WHEN l_suppkey % 5 <> 4 THEN CAST(l_suppkey % 3 AS INTEGER) END AS region_climate_band FROM lineitem""",
@@ -140,7 +140,7 @@ VIEWS: dict[str, str] = {
     "v_nudge_event": """SELECT event_id AS id, user_id, warranty_id, ['snapshot', 'care', 'expiry'][k % 3 + 1] AS nudge_type,
       CASE WHEN k % 2 = 0 THEN 'A' ELSE 'B' END AS variant, ts AS shown_at, CASE WHEN event_type = 'purchase' THEN ts END AS acted_at,
       CASE WHEN event_type IN ('error', 'purchase') AND k % 4 <> 1 THEN ts END AS ignored_at FROM v_event""",
-    "v_policy": f"""SELECT (l_orderkey * 8 + l_linenumber) * 10000000 + l_suppkey AS id, {_owner('l_partkey')} AS user_id, {_wid('l_partkey')} AS warranty_id,
+    "v_policy": f"""SELECT (l_orderkey * 8 + l_linenumber) * 4096 + l_suppkey % 64 * 64 + CAST(l_quantity AS BIGINT) AS id, {_owner('l_partkey')} AS user_id, {_wid('l_partkey')} AS warranty_id,
       CASE WHEN l_tax > 0.075 AND l_returnflag = 'A' THEN 'A' WHEN l_tax > 0.075 AND l_returnflag = 'R' THEN 'B' END AS variant FROM lineitem""",
     "v_sticky": """SELECT user_id, warranty_id, arg_min(variant, id) AS variant FROM v_policy WHERE variant IS NOT NULL GROUP BY ALL""",
     "v_interest": f"""SELECT event_id AS id, user_id, warranty_id, {text_list(p[0] for p in C.PRODUCT_CATALOG)}[event_id % 13 + 1] AS product_id,

@@ -126,7 +126,7 @@ class DomainTables:
 
     def profile(self) -> DataFrame:
         return self.table("lineitem").selectExpr(
-            "(l_orderkey * 8 + l_linenumber) * 10000000 + l_suppkey AS id",
+            "(l_orderkey * 8 + l_linenumber) * 4096 + l_suppkey % 64 * 64 + CAST(l_quantity AS BIGINT) AS id",
             _OWNER.format(p="l_partkey"),
             _WARRANTY_ID.format(p="l_partkey"),
             "CASE l_linenumber WHEN 7 THEN 'EV car' WHEN 1 THEN 'fridge' END AS product_type",
@@ -139,7 +139,7 @@ class DomainTables:
 
     def ev_telemetry(self) -> DataFrame:
         return self.table("lineitem").selectExpr(
-            "(l_orderkey * 8 + l_linenumber) * 10000000 + l_suppkey AS id",
+            "(l_orderkey * 8 + l_linenumber) * 4096 + l_suppkey % 64 * 64 + CAST(l_quantity AS BIGINT) AS id",
             _OWNER.format(p="l_partkey"),
             _WARRANTY_ID.format(p="l_partkey"),
             "l_quantity * 2 AS daily_km",
@@ -270,7 +270,7 @@ class DomainTables:
     def policy_assignment(self) -> DataFrame:
         """Logged experiment assignments, with repeats; rows without a variant carry none."""
         return self.table("lineitem").selectExpr(
-            "(l_orderkey * 8 + l_linenumber) * 10000000 + l_suppkey AS id",
+            "(l_orderkey * 8 + l_linenumber) * 4096 + l_suppkey % 64 * 64 + CAST(l_quantity AS BIGINT) AS id",
             "'fogg_nudge' AS experiment",
             _OWNER.format(p="l_partkey"),
             _WARRANTY_ID.format(p="l_partkey"),
