@@ -59,6 +59,11 @@ def route_answers(answers: DataFrame) -> DataFrame:
     return answers.withColumn("sink", F.when(F.col("question_id").startswith("oemq_"), "oem").otherwise("bank"))
 
 
+def write_answers(answers: DataFrame, path: str) -> None:
+    """Appends answers to one log per destination."""
+    route_answers(answers).write.mode("append").partitionBy("sink").parquet(path)
+
+
 def audit_rows(contents: DataFrame) -> DataFrame:
     """Audit details of logged contents: full with a length limit, and redacted."""
     return contents.withColumn("detail", S.trim_detail(F.col("content"))).withColumn(

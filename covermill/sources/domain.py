@@ -460,9 +460,9 @@ class DomainTables:
 
 
 class StreamedTables(DomainTables):
-    """The same views with one table read as a stream of files."""
+    """The same views with one table read as a stream of files, a bounded number per batch."""
 
-    def __init__(self, spark: SparkSession, folder: str, streamed: str, path: str | None = None, files_per_trigger: int | None = None):
+    def __init__(self, spark: SparkSession, folder: str, streamed: str, path: str | None = None, files_per_trigger: int = 64):
         super().__init__(spark, folder)
         self.streamed = streamed
         self.path = path
@@ -471,9 +471,7 @@ class StreamedTables(DomainTables):
     def table(self, name: str) -> DataFrame:
         if name != self.streamed:
             return super().table(name)
-        reader = self.spark.readStream.schema(super().table(name).schema)
-        if self.files_per_trigger:
-            reader = reader.option("maxFilesPerTrigger", self.files_per_trigger)
+        reader = self.spark.readStream.schema(super().table(name).schema).option("maxFilesPerTrigger", self.files_per_trigger)
         if self.path:
             return reader.parquet(self.path)
         return reader.option("pathGlobFilter", f"{name}.parquet").parquet(self.folder)

@@ -108,6 +108,14 @@ def test_review_transitions(spark):
     assert got == {1: ("approved", "ok", 3), 2: ("pending", None, None), 3: ("approved", "x", 1)}
 
 
+def test_answers_go_to_their_log(spark, tmp_path):
+    path = str(tmp_path / "answers")
+    df = spark.createDataFrame([(1, "oemq_1"), (2, "q1_usage_location"), (3, "x_oemq_")], "id INT, question_id STRING")
+    K.write_answers(df, path)
+    got = {r["id"]: r["sink"] for r in spark.read.parquet(path).collect()}
+    assert got == {1: "oem", 2: "bank", 3: "bank"}
+
+
 def test_json_lines(spark, tmp_path):
     path = tmp_path / "log.jsonl"
     path.write_text('{"a": 1, "b": "x"}\n\n{"a": 2\n{"b": "y", "c": 3}\n   \n[1]\n')
