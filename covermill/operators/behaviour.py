@@ -72,11 +72,6 @@ def apply_shift(f: Column, start: int = 50) -> Column:
     return F.least(f["hi"], F.greatest(f["lo"], F.lit(start) + f["d"]))
 
 
-def key_match(left: str, right: str, keys: list[str]) -> Column:
-    """Null-safe equality of the keys of two aliased frames."""
-    return reduce(lambda x, y: x & y, [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys])
-
-
 def with_product_type(rows: DataFrame, warranties: DataFrame) -> DataFrame:
     """Product type given with the row, else inferred from the warranty's name or model."""
     w = warranties.select("warranty_id", F.col("product_name").alias("w_name"), F.col("model_code").alias("w_model"))
@@ -108,7 +103,7 @@ def answer_effects(answers: DataFrame, warranties: DataFrame) -> DataFrame:
     shifts = composed_shifts(steps, PROFILE_KEY, ["created_at", "id"])
     return (
         sums.alias("s")
-        .join(shifts.alias("w"), key_match("s", "w", PROFILE_KEY), "left")
+        .join(shifts.alias("w"), S.same_key("s", "w", PROFILE_KEY), "left")
         .select("s.*", F.coalesce("w.f", _identity()).alias("f"))
     )
 
@@ -119,7 +114,7 @@ def combine_effects(effects: DataFrame, order: str) -> DataFrame:
     sums = effects.groupBy(*PROFILE_KEY).agg(
         *[F.sum(c).alias(c) for c in ("answers", "care_add", "resp_add")], F.max("last_question_at").alias("last_question_at")
     )
-    return sums.alias("s").join(shifts.alias("w"), key_match("s", "w", PROFILE_KEY)).select("s.*", "w.f")
+    return sums.alias("s").join(shifts.alias("w"), S.same_key("s", "w", PROFILE_KEY)).select("s.*", "w.f")
 
 
 def profiles_from_effects(effects: DataFrame) -> DataFrame:
@@ -261,5 +256,4 @@ def scoped_question(
         .agg(F.min(F.struct((-F.col("weight")).alias("neg"), "id")).alias("best"))
     )
     a, b = asked.alias("a"), best.alias("b")
-    match = reduce(lambda x, y: x & y, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in unit])
-    return a.join(b, match).select("a.*", F.col("b.best.id").alias("question_id"))
+    return a.join(b, S.same_key("a", "b", unit)).select("a.*", F.col("b.best.id").alias("question_id"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,10 +17,6 @@ KEY = ["user_id", "warranty_id", "type", "audience"]
 _EPOCH = "TIMESTAMP_NTZ'1970-01-05 00:00:00'"
 
 
-def same_key(left: str, right: str, keys: list[str]) -> Column:
-    return reduce(lambda x, y: x & y, [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys])
-
-
 def new_against_existing(candidates: DataFrame, existing: DataFrame, as_of, days: int = C.DEDUPE_DAYS) -> DataFrame:
     """Candidates without an unread stored notification of the same key in the last days.
 
@@ -29,7 +24,7 @@ def new_against_existing(candidates: DataFrame, existing: DataFrame, as_of, days
     """
     recent = existing.where(~F.col("is_read") & (F.col("created_at") >= S.ts_lit(as_of) - F.expr(f"INTERVAL {days} DAYS")))
     open_keys = recent.select(*KEY).distinct()
-    return candidates.alias("c").join(open_keys.alias("e"), same_key("c", "e", KEY), "left_anti")
+    return candidates.alias("c").join(open_keys.alias("e"), S.same_key("c", "e", KEY), "left_anti")
 
 
 def _week(ts: Column, days: int) -> Column:
@@ -63,7 +58,7 @@ def dedupe_chain(events: DataFrame, keys: list[str], days: int = C.DEDUPE_DAYS)
         if previous is not None and last_week == week - 1:
             rows = (
                 rows.alias("r")
-                .join(previous.alias("p"), same_key("r", "p", keys), "left")
+                .join(previous.alias("p"), S.same_key("r", "p", keys), "left")
                 .where(F.col("p.at").isNull() | (F.col("r.created_at") > F.col("p.at") + gap))
                 .select("r.*")
             )
@@ -92,7 +87,7 @@ def dedupe_chain(events: DataFrame, keys: list[str], days: int = C.DEDUPE_DAYS)
     )
     return (
         dated.alias("e")
-        .join(bounds.alias("b"), same_key("e", "b", [*keys, "week"]), "left")
+        .join(bounds.alias("b"), S.same_key("e", "b", [*keys, "week"]), "left")
         .select("e.*", (~suppressed).alias("kept"))
         .drop("week")
     )

@@ -166,7 +166,7 @@ def alert_clusters(scored: DataFrame, out: str, checkpoint: str, as_of) -> None:
         key = [*PAIR, "id"]
         latest = seen.groupBy(*key).agg(*[F.max_by(c, "batch_id").alias(c) for c in names if c not in key])
         latest = latest.withColumn("n", F.lit(1))
-        mine = latest.alias("s").join(touched.alias("t"), B.key_match("s", "t", group), "left_semi")
+        mine = latest.alias("s").join(touched.alias("t"), S.same_key("s", "t", group), "left_semi")
         found = (
             O.high_risk_clusters(mine)
             .withColumn("user_id", F.concat_ws("/", F.coalesce("brand", F.lit("")), F.coalesce("region_code", F.lit(""))))
