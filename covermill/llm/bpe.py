@@ -74,7 +74,7 @@ class BacktrackingBpe:
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) or r"(?!)")
         self.pretokens = regex.compile(_PRETOKEN)
         self.compatible: dict[tuple[int, int], bool] = {}
-        self.cache_first, self.cache_later, self.cache_words = RecentCache(50_000), RecentCache(), RecentCache()
+        self.cache_first, self.cache_later, self.cache_words = RecentCache(30_000), RecentCache(150_000), RecentCache(100_000)
         self._make_decoder(vocab, {x: b for b, x in enumerate(letters)})
 
     def _make_decoder(self, vocab: dict[str, int], byte_of: dict[str, int]) -> None:
@@ -108,7 +108,7 @@ class BacktrackingBpe:
                 limit, b = b + 1, self.halves[b][0]
             else:
                 break
-        if len(self.compatible) > 1_000_000:
+        if len(self.compatible) > 250_000:
             self.compatible.clear()
         self.compatible[left, right] = good
         return good
@@ -191,7 +191,7 @@ def backtracking_bpe(path: str) -> BacktrackingBpe:
     return BacktrackingBpe(path)
 
 
-def bpe_encoder(vocabulary: str = VOCABULARY, batch_bytes: int = 4 << 20):
+def bpe_encoder(vocabulary: str = VOCABULARY, batch_bytes: int = 1 << 20):
     """An Arrow function from a text to its ids."""
 
     @F.arrow_udf("array<int>")
@@ -209,7 +209,7 @@ def bpe_encoder(vocabulary: str = VOCABULARY, batch_bytes: int = 4 << 20):
     return encode
 
 
-def bpe_decoder(vocabulary: str = VOCABULARY, batch_ids: int = 1 << 20):
+def bpe_decoder(vocabulary: str = VOCABULARY, batch_ids: int = 1 << 18):
     """An Arrow function from ids to their text; bytes that aren't UTF-8 become U+FFFD. Null ids give null."""
 
     @F.arrow_udf("string")
