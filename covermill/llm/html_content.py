@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from covermill.llm.pieces import slices_by_bytes
+from covermill.llm.sampling import bounded_sample
 
 #: Pages that the weights are learned from: the first of an order by hash of those with marked content.
 SAMPLE_PAGES = 1_000
@@ -201,8 +202,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(pages: DataFrame, column: str = "html", sample_pages: int = SAMPLE_PAGES) -> dict[tuple[int, str], float]:
     """Weights from a bounded sample of the pages that mark their main content with ``article`` or ``main``."""
     marked = pages.select(F.col(column).alias("html")).where(F.col("html").rlike(r"(?i)<(article|main)\b"))
-    sample = marked.withColumn("h", F.xxhash64("html")).orderBy("h", "html").limit(sample_pages).select("html")
-    rows = sample.mapInArrow(_count, _COUNTS).groupBy("kind", "feature", "inside").agg(F.sum("n").alias("n")).collect()
+    rows = bounded_sample(marked, ["html"], sample_pages).mapInArrow(_count, _COUNTS).groupBy("kind", "feature", "inside").agg(F.sum("n").alias("n")).collect()
     return learn_weights({(r.kind, r.feature, r.inside): r.n for r in rows})
 
 

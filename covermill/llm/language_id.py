@@ -148,7 +148,9 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_do
     # ranked by hash alone, so that no text is moved before it is chosen
     chosen = first_rows_per_key(rows.select("lang", F.xxhash64("text").alias("h")).distinct(), ["lang"], [F.col("h")], sample_documents)
     share = 4 * max(200, sample_chars // sample_documents)
-    picked = rows.select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, share).alias("text")).join(chosen.where(F.col("lang").isin(common)), ["lang", "h"], "left_semi").distinct()
+    # MAX_LANGUAGES times sample_documents pairs of a name and a number at most
+    chosen = F.broadcast(chosen.where(F.col("lang").isin(common)))
+    picked = rows.select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, share).alias("text")).join(chosen, ["lang", "h"], "left_semi").distinct()
     by_lang: dict[str, list] = {}
     for r in picked.orderBy("lang", "h").collect():
         by_lang.setdefault(r.lang, []).append(r.text)

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from covermill.llm.library_tokens import library_encoder, tokenizer_path
 from covermill.llm.pieces import slices_by_bytes
+from covermill.llm.sampling import bounded_sample
 from covermill.session import shared_dir
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -62,7 +63,7 @@ def _dictionary(docs: DataFrame, vocabulary: str) -> DataFrame:
         data = train_dictionary(samples)
         yield pa.RecordBatch.from_pydict({"dictionary": [data], "dictionary_hash": [hashlib.sha256(data).hexdigest()]}, pa.schema([("dictionary", pa.binary()), ("dictionary_hash", pa.string())]))
 
-    sample = docs.select("text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(SAMPLE_DOCUMENTS)
+    sample = bounded_sample(docs.select("doc_id", "text"), ["doc_id", "text"], SAMPLE_DOCUMENTS)
     return sample.select("text").coalesce(1).mapInArrow(train, "dictionary binary, dictionary_hash string")
 
 
