@@ -14,8 +14,8 @@ from __future__ import annotations
 
 import json
 import sys
+from array import array
 from collections.abc import Iterator
-from functools import cache
 
 import ahocorasick
 import numpy as np
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from covermill.llm.library_tokens import tokenizer_path
-from covermill.llm.pieces import RecentCache, by_slices, safe_chunks, safe_pieces
+from covermill.llm.pieces import RecentCache, by_slices, one_per_worker, safe_chunks, safe_pieces
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -50,21 +50,25 @@ class BacktrackingBpe:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         letters = _byte_letters()
-        self.letters = {b: x for b, x in enumerate(letters)}
-        #: Tokens are handled by rank: bytes first, then merges in the order they are applied.
+        #: Tokens are handled by rank: bytes first, then merges in the order they are applied. Inside, a
+        #: byte is the character of its number, so that a word is one decode away.
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
-        names = [*letters, *(a + b for a, b in pairs)]
+        spelled = [*letters, *(a + b for a, b in pairs)]
+        plain = str.maketrans({x: chr(b) for b, x in enumerate(letters)})
+        names = [x.translate(plain) for x in spelled]
+        pairs = [(a.translate(plain), b.translate(plain)) for a, b in pairs]
         rank = {}
         for i, name in enumerate(names):
             rank.setdefault(name, i)
+        self.rank = rank
         self.halves = [(i, i) for i in range(256)]
-        self.pair_rank: dict[tuple[int, int], int] = {}
+        self.pair_rank: dict[int, int] = {}
         for i, (a, b) in enumerate(pairs, 256):
             halves = rank[a], rank[b]
             self.halves.append(halves)
-            self.pair_rank.setdefault(halves, i)
+            self.pair_rank.setdefault(halves[0] << 32 | halves[1], i)
         self.lengths = [len(x) for x in names]
-        self.ids = np.array([vocab.get(x, 0) for x in names], dtype=np.int32)
+        self.ids = [vocab.get(x, 0) for x in spelled]
         self.shorter = [next((rank[x[:k]] for k in range(len(x) - 1, 0, -1) if x[:k] in rank), -1) for x in names]
         self.automaton = ahocorasick.Automaton()
         for name, i in rank.items():
@@ -73,8 +77,8 @@ class BacktrackingBpe:
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) or r"(?!)")
         self.pretokens = regex.compile(_PRETOKEN)
-        self.compatible: dict[tuple[int, int], bool] = {}
-        self.cache_first, self.cache_later, self.cache_words = RecentCache(30_000), RecentCache(150_000), RecentCache(100_000)
+        self.compatible: dict[int, bool] = {}
+        self.cache_first, self.cache_later, self.cache_words = RecentCache(30_000), RecentCache(200_000), RecentCache(150_000)
         self._make_decoder(vocab, {x: b for b, x in enumerate(letters)})
 
     def _make_decoder(self, vocab: dict[str, int], byte_of: dict[str, int]) -> None:
@@ -92,12 +96,9 @@ class BacktrackingBpe:
         Undoes the later of the merges inside the two tokens step by step. If a pair that faces the
         boundary could have been merged before the merge undone last, the boundary wouldn't be there.
         """
-        known = self.compatible.get((left, right))
-        if known is not None:
-            return known
         a, b, limit, good = left, right, sys.maxsize, True
         while True:
-            merged = self.pair_rank.get((a, b))
+            merged = self.pair_rank.get(a << 32 | b)
             if merged is not None and merged < limit:
                 good = False
                 break
@@ -110,29 +111,37 @@ class BacktrackingBpe:
                 break
         if len(self.compatible) > 250_000:
             self.compatible.clear()
-        self.compatible[left, right] = good
+        self.compatible[left << 32 | right] = good
         return good
 
-    def ranks_of(self, letters: str) -> list[int]:
-        """The tokens, as ranks, of one pre-token given in byte letters."""
-        longest = [0] * len(letters)
-        lengths, shorter, fits = self.lengths, self.shorter, self._fits
-        for end, token in self.automaton.iter(letters):
+    def ranks_of(self, word: str) -> list[int]:
+        """The tokens, as ranks, of one pre-token whose bytes are given as characters."""
+        whole = self.rank.get(word)
+        if whole is not None:
+            return [whole]
+        longest = [0] * len(word)
+        lengths, shorter, compatible = self.lengths, self.shorter, self.compatible
+        for end, token in self.automaton.iter(word):
             longest[end - lengths[token] + 1] = token  # later ends are longer
-        if lengths[longest[0]] == len(letters):
-            return [longest[0]]
         out: list[int] = []
-        closed = bytearray(len(letters) + 1)
-        at, token = 0, longest[0]
+        closed = bytearray(len(word) + 1)
+        at, token, size = 0, longest[0], len(word)
         while True:
             end = at + lengths[token]
-            if not closed[end] and (not out or fits(out[-1], token)):
-                out.append(token)
-                at = end
-                if at == len(letters):
-                    return out
-                token = longest[at]
-                continue
+            if not closed[end]:
+                if out:
+                    fits = compatible.get(out[-1] << 32 | token)
+                    if fits is None:
+                        fits = self._fits(out[-1], token)
+                else:
+                    fits = True
+                if fits:
+                    out.append(token)
+                    at = end
+                    if at == size:
+                        return out
+                    token = longest[at]
+                    continue
             token = shorter[token]
             while token < 0:
                 closed[at] = 1
@@ -141,22 +150,33 @@ class BacktrackingBpe:
                 token = shorter[last]
 
     def _words(self, words: list[str]) -> list[bytes]:
-        out, letters, ids = [], self.letters, self.ids
-        for word in words:
-            out.append(ids[self.ranks_of("".join(map(letters.__getitem__, word.encode())))].tobytes())
-        return out
+        of, ranks_of = self.ids.__getitem__, self.ranks_of
+        return [array("i", map(of, ranks_of(word.encode().decode("latin-1")))).tobytes() for word in words]
 
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
+    def _pieces(self, pieces: list[str], lead: str = "") -> list[bytes]:
+        together = "\n".join(pieces)
+        special = [x for x in self.added if x in together]
         cut: list[list] = []
         for piece in pieces:
-            parts, at = [], 0
-            for m in self.special.finditer(piece):
-                parts += [*self.pretokens.findall(piece[at : m.start()]), self.added[m[0]]]
-                at = m.end()
-            cut.append(parts + self.pretokens.findall(piece[at:] if at else piece))
+            if piece.isalpha():
+                cut.append([lead + piece])
+            elif piece[-1:] in (".", ",") and piece[:-1].isalpha():
+                cut.append([lead + piece[:-1], piece[-1]])
+            else:
+                cut.append(self._split(lead + piece, bool(special)))
         self.cache_words.fill({x for parts in cut for x in parts if isinstance(x, str)}, self._words)
         words = self.cache_words
-        return [b"".join([words[x] if isinstance(x, str) else np.int32(x).tobytes() for x in parts]) for parts in cut]
+        return [b"".join([words[x] if isinstance(x, str) else array("i", [x]).tobytes() for x in parts]) for parts in cut]
+
+    def _split(self, piece: str, special: bool) -> list:
+        """Pre-tokens, and the ids of special tokens between them."""
+        if not special:
+            return self.pretokens.findall(piece)
+        parts, at = [], 0
+        for m in self.special.finditer(piece):
+            parts += [*self.pretokens.findall(piece[at : m.start()]), self.added[m[0]]]
+            at = m.end()
+        return parts + self.pretokens.findall(piece[at:])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as native 32-bit integers; a special token's string becomes its id."""
@@ -168,7 +188,7 @@ class BacktrackingBpe:
                 laters.update(pieces[1:])
         first, later = self.cache_first, self.cache_later
         first.fill(firsts, self._pieces)
-        later.fill(laters, lambda new: self._pieces([" " + p for p in new]))
+        later.fill(laters, lambda new: self._pieces(new, " "))
         out = []
         for parts in cut:
             out.append(b"".join([(later if follows else first)[pieces[0]] + b"".join(map(later.__getitem__, pieces[1:])) for pieces, follows in parts]))
@@ -185,10 +205,9 @@ class BacktrackingBpe:
         return self.bytes[index], to[ends]
 
 
-@cache
 def backtracking_bpe(path: str) -> BacktrackingBpe:
     """One encoder, with its caches, for all tasks of a Python worker."""
-    return BacktrackingBpe(path)
+    return one_per_worker(("bpe", path), lambda: BacktrackingBpe(path))
 
 
 def bpe_encoder(vocabulary: str = VOCABULARY, batch_bytes: int = 1 << 20):

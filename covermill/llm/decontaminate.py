@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covermill.llm.pieces import RecentCache, slices_by_bytes
+from covermill.llm.pieces import RecentCache, one_per_worker, slices_by_bytes
 
 MIN_TILE = 5
 MIN_COVERAGE = 0.5
@@ -150,17 +150,10 @@ class SeedIndex:
         return (self.ids[k], len(theirs), covered, tiles) if covered >= min_coverage * len(theirs) else None
 
 
-_INDEXES: dict[tuple, SeedIndex] = {}
-
-
 def _finder(block, block_id: str, min_tile: int, min_coverage: float, batch_bytes: int = 4 << 20):
     @F.arrow_udf(_FOUND)
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        key = (block_id, min_tile)
-        if key not in _INDEXES:
-            _INDEXES.clear()  # one block at a time
-            _INDEXES[key] = SeedIndex(block.value, min_tile)
-        index, hashes = _INDEXES[key], WordHashes()
+        index, hashes = one_per_worker(("seeds", block_id, min_tile), lambda: (SeedIndex(block.value, min_tile), WordHashes()))
         for batch in batches:
             out = []
             for part in slices_by_bytes(batch, batch_bytes):

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from covermill.functions.topk import first_rows_per_key
-from covermill.llm.pieces import RecentCache, slices_by_bytes
+from covermill.llm.pieces import RecentCache, one_per_worker, slices_by_bytes
 
 #: The bounded sample that the automata are built of: documents per language, and characters of words.
 SAMPLE_DOCUMENTS, SAMPLE_CHARS = 200, 60_000
@@ -83,7 +83,6 @@ class Model:
         self.automata = [suffix_automaton(text) for _, text in samples]
         self.costs = np.array([np.log2(max(2, len(text))) for _, text in samples])
         self.words = RecentCache(200_000)
-        self.counts = np.zeros((0, len(samples)))
 
     def _parse(self, words: list[str]) -> list[tuple[int, ...]]:
         return [tuple([phrases(a, w) for a in self.automata]) for w in words]
@@ -103,7 +102,6 @@ class Model:
         return out
 
 
-_MODELS: dict[str, Model] = {}
 _SCHEMA = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
 
 
@@ -112,10 +110,7 @@ def predictor(samples, model_id: str, batch_bytes: int = 4 << 20):
 
     @F.arrow_udf("lang_pred string, score double")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        if model_id not in _MODELS:
-            _MODELS.clear()
-            _MODELS[model_id] = Model(samples.value)
-        model = _MODELS[model_id]
+        model = one_per_worker(("languages", model_id), lambda: Model(samples.value))
         for batch in batches:
             rows = [x for part in slices_by_bytes(batch, batch_bytes) for x in model.predict(part.to_pylist())]
             langs, scores = zip(*rows) if rows else ((), ())

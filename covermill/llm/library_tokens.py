@@ -7,11 +7,10 @@ text's ids are those of its pieces in order (see ``pieces``).
 from __future__ import annotations
 
 import os
-from functools import cache
 
 import numpy as np
 
-from covermill.llm.pieces import RecentCache, safe_chunks, safe_pieces
+from covermill.llm.pieces import RecentCache, one_per_worker, safe_chunks, safe_pieces
 
 #: Pieces given to the library as one text.
 _TOGETHER = 48
@@ -80,10 +79,9 @@ class LibraryEncoder:
         return [len(x) // width for x in self.encode(texts)]
 
 
-@cache
 def library_encoder(path: str) -> LibraryEncoder:
     """One encoder, with its caches, for all tasks of a Python worker."""
-    return LibraryEncoder(path)
+    return one_per_worker(("library", path), lambda: LibraryEncoder(path))
 
 
 def tokenizer_path(name: str) -> str:

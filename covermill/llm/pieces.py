@@ -8,11 +8,14 @@ be encoded piece by piece, and most pieces have been seen before.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
+T = TypeVar("T")
+
 #: White space other than the line feed; rare, and then the plain split below may not be safe.
 _RARE_ASCII = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
 _RARE_UNICODE = regex.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -68,6 +71,20 @@ class RecentCache(dict):
             self.update(zip(new, make(new), strict=True))
 
 
+_HELD: dict = {}
+
+
+def one_per_worker(key: tuple, make: Callable[[], T]) -> T:
+    """What ``make`` builds, kept for all tasks of a Python worker until another one is asked for.
+
+    Stages that follow each other on the same workers so don't add up their models and caches.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def slices_by_bytes(array: pa.Array, limit: int = 4 << 20) -> Iterator[pa.Array]:
     """The array in slices of about ``limit`` bytes of text, one row at least, in order."""
     if not len(array):

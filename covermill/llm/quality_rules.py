@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from functools import cache
 from itertools import islice
 
 import numpy as np
@@ -20,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from covermill.llm.library_tokens import tokenizer_path
-from covermill.llm.pieces import RecentCache, slices_by_bytes
+from covermill.llm.pieces import RecentCache, one_per_worker, slices_by_bytes
 
 VOCABULARY = "piece_bpe_32k.model"
 SYMBOLS = "#*$%&|<>"
@@ -71,10 +70,9 @@ class Fertility:
         return out
 
 
-@cache
 def fertility(path: str) -> Fertility:
     """One model, with its cache, for all tasks of a Python worker."""
-    return Fertility(path)
+    return one_per_worker(("fertility", path), lambda: Fertility(path))
 
 
 def repeated_words(words: list, window: int = 3) -> int:
