@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from covermill.llm.pieces import RecentCache, one_per_worker, slices_by_bytes
+from covermill.llm.token_files import new_folder
 
 MIN_TILE = 5
 MIN_COVERAGE = 0.5
@@ -176,13 +177,19 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", min_ti
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes))
-    found = []
+    folder = new_folder(spark, "leaks") if blocks > 1 else ""
+    docs = docs.withColumn("leaks", F.lit(None).cast(_FOUND))
     for k in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         rows = sorted(((r.item_id, r.text) for r in part.collect()), key=lambda x: (x[0] is not None, x[0], x[1]))
         block = spark.sparkContext.broadcast(rows)
-        found.append(_finder(block, f"{spark.sparkContext.applicationId}-{block._jbroadcast.id()}", min_tile, min_coverage)(F.coalesce(F.col(text), F.lit(""))))
-    return docs.withColumn("leaks", found[0] if blocks == 1 else F.concat(*found))
+        find = _finder(block, f"{spark.sparkContext.applicationId}-{block._jbroadcast.id()}", min_tile, min_coverage)
+        docs = docs.withColumn("leaks", F.concat(F.coalesce("leaks", F.array().cast(_FOUND)), find(F.coalesce(F.col(text), F.lit("")))))
+        if k < blocks - 1:
+            # a pass per block: a worker never holds two
+            docs.write.parquet(f"{folder}/{k}")
+            docs = spark.read.schema(docs.schema).parquet(f"{folder}/{k}")
+    return docs
 
 
 def leaked_pairs(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:

@@ -167,7 +167,7 @@ def main_text(page: str, weights: dict[tuple[int, str], float]) -> str:
             score = weight * n
         else:
             n, weight = 0, -1.0
-            score = -1.0 if kind == SKIPPED else weights.get((TAG, feature), weights.get((TAG, _plain(feature)), -0.2))
+            score = -0.5 if kind == SKIPPED else weights.get((TAG, feature), weights.get((TAG, _plain(feature)), -0.2))
         # blanks between elements separate, but neither begin nor end a run
         if run <= 0:
             run, start = 0.0, len(parts)
