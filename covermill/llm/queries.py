@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from covermill.llm import bpe, chat_format, decontaminate, html_content, language_id, line_dedup, quality_rules, simhash, token_counts, token_files
+from covermill.llm.shipping import ship
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -128,8 +130,17 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_language_id, op3_decontaminate, op4_bpe, op5_html_content, op6_line_dedup, op7_chat_format, op8_token_counts, op9_quality_rules, op10_simhash, pipeline)}
+    return {f.__name__: _shipped(f) for f in (op1_token_files, op2_language_id, op3_decontaminate, op4_bpe, op5_html_content, op6_line_dedup, op7_chat_format, op8_token_counts, op9_quality_rules, op10_simhash, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
