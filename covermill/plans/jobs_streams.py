@@ -37,8 +37,8 @@ def stream_telemetry_ingest(d):
 @register("stream_behaviour_signal", oracle_of("behaviour_signal"))
 def stream_behaviour_signal(d):
     out, ckpt = fresh(d, "signal")
-    J.follow_signal(streamed(d, "events").telemetry(), out, ckpt, AS_OF)
-    df = T.with_signal(J.current_signal(d.spark, out).select(*PAIR), J.current_signal(d.spark, out))
+    J.follow_signal(streamed(d, "events").telemetry(), out, ckpt)
+    df = T.with_signal(J.current_pairs(d.spark, out), J.current_signal(d.spark, out, AS_OF))
     return df.select(
         *PAIR, "usage_intensity", big("error_burden").alias("error_burden"), (F.col("delta_h") / 100).alias("behaviour_delta"),
         "hours_window", joined("signal_reasons").alias("reasons"),

@@ -22,55 +22,54 @@ from covermill.streaming.stateful import KeptNotifications
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def ingest_telemetry(stream: DataFrame, out: str, checkpoint: str, delay: str = "1 day") -> None:
-    """Appends telemetry to a log by day, each id once within the delay."""
-    unique = (
-        stream.withColumn("event_time", F.col("ts").cast("timestamp"))
-        .withWatermark("event_time", delay)
-        .dropDuplicatesWithinWatermark(["id"])
-        .drop("event_time")
-        .withColumn("event_date", F.to_date("ts"))
-    )
-    writer = unique.writeStream.outputMode("append").format("parquet").option("path", out).partitionBy("event_date")
-    sinks.run_available(writer, checkpoint)
-
-
 LOG_SCHEMA = "id STRING, user_id BIGINT, warranty_id STRING, event_type STRING, payload STRING, ts TIMESTAMP_NTZ"
-SIGNAL_SCHEMA = (
-    "user_id BIGINT, warranty_id STRING, last_hours DOUBLE, hours_window DOUBLE, error_burden BIGINT, avg_hours DOUBLE"
-)
+_LOG_COLUMNS = [c.split()[0] for c in LOG_SCHEMA.split(", ")]
 
 
-def follow_signal(stream: DataFrame, out: str, checkpoint: str, as_of=None, window_days: int = 30) -> None:
-    """Keeps the recent behaviour signal of every pair current.
+def ingest_telemetry(stream: DataFrame, out: str, checkpoint: str) -> None:
+    """Appends telemetry to a log by day, each id once, however late it arrives.
 
-    A batch's events join the log; the pairs they touch are recomputed from the log's window with
-    the batch job, which bounds each pair's rows before any shuffle.
+    A batch is compared by id with the earlier batches' rows of the days it touches, so nothing is
+    dropped for its age and no state is kept. An event that repeats carries the same time.
     """
     spark = stream.sparkSession
 
     def job(batch: DataFrame, n: int) -> None:
-        sinks.write_batch(batch.select(*[c.split()[0] for c in LOG_SCHEMA.split(", ")]), f"{out}/log", n)
-        log = sinks.read_batches(spark, f"{out}/log", LOG_SCHEMA, before=n + 1)
-        new = log.where(F.col("batch_id") == n)
-        # One value: the batch's newest event.
-        now = as_of or new.agg(F.max("ts")).first()[0]
-        if now is None:
-            return
-        touched = new.select(*PAIR).distinct()
-        cutoff = S.ts_lit(now) - F.expr(f"INTERVAL {window_days} DAYS")
-        history = log.where(F.col("ts") >= cutoff).join(touched, PAIR, "left_semi").drop("batch_id")
-        signal = T.recent_signal(history, now, window_days)
-        sinks.write_batch(signal.select(*[c.split()[0] for c in SIGNAL_SCHEMA.split(", ")]), f"{out}/signal", n)
+        new = batch.select(*_LOG_COLUMNS).dropDuplicates(["id"]).withColumn("event_date", F.to_date("ts"))
+        # one value per day that the batch touches
+        days = [r[0] for r in new.select("event_date").distinct().collect()]
+        seen = sinks.read_batches(spark, out, LOG_SCHEMA + ", event_date DATE", before=n)
+        seen = seen.where(F.col("event_date").isin(days) | F.col("event_date").isNull()).select("id", "event_date")
+        fresh = new.alias("n").join(seen.alias("s"), S.same_key("n", "s", ["id", "event_date"]), "left_anti")
+        sinks.write_batch(fresh, out, n, "event_date")
 
     sinks.per_batch(stream, checkpoint, job)
 
 
-def current_signal(spark, out: str) -> DataFrame:
-    """The newest signal per pair."""
-    df = sinks.read_batches(spark, f"{out}/signal", SIGNAL_SCHEMA)
-    cols = [c for c in df.columns if c not in (*PAIR, "batch_id")]
-    return df.groupBy(*PAIR).agg(*[F.max_by(c, "batch_id").alias(c) for c in cols])
+def follow_signal(stream: DataFrame, out: str, checkpoint: str) -> None:
+    """Logs events by day, and the pairs of each batch; ``current_signal`` reads the window it needs.
+
+    A batch writes its own rows only, so its cost doesn't grow with the log.
+    """
+
+    def job(batch: DataFrame, n: int) -> None:
+        sinks.write_batch(batch.select(*_LOG_COLUMNS).withColumn("event_date", F.to_date("ts")), f"{out}/log", n, "event_date")
+        sinks.write_batch(batch.select(*PAIR).distinct(), f"{out}/pairs", n)
+
+    sinks.per_batch(stream, checkpoint, job)
+
+
+def current_pairs(spark, out: str) -> DataFrame:
+    """Every pair that ever sent an event."""
+    return sinks.read_batches(spark, f"{out}/pairs", "user_id BIGINT, warranty_id STRING").select(*PAIR).distinct()
+
+
+def current_signal(spark, out: str, as_of, window_days: int = 30) -> DataFrame:
+    """The signal of every pair with an event in the window before ``as_of``; only the window's days are read."""
+    log = sinks.read_batches(spark, f"{out}/log", LOG_SCHEMA + ", event_date DATE")
+    begin = S.ts_lit(as_of) - F.expr(f"INTERVAL {window_days} DAYS")
+    recent = log.where(F.col("event_date") >= F.to_date(begin)).drop("batch_id", "event_date")
+    return T.recent_signal(recent, as_of, window_days)
 
 
 def keep_notifications(
@@ -123,21 +122,22 @@ def current_profiles(spark, out: str) -> DataFrame:
     return B.profiles_from_effects(B.combine_effects(effects, "batch_id"))
 
 
-def count_by_day(stream: DataFrame, item: str, time: str, out: str, checkpoint: str, delay: str = "1 day") -> None:
-    """Counts events per item and day, updated as they arrive; later events than the delay are dropped."""
-    counts = (
-        stream.withColumn("event_time", F.col(time).cast("timestamp"))
-        .withWatermark("event_time", delay)
-        .groupBy(F.window("event_time", "1 day").alias("w"), F.col(item).alias("item"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(F.to_date("w.start").alias("day"), "item", "n")
-    )
-    sinks.per_batch(counts, checkpoint, lambda batch, n: sinks.write_batch(batch, out, n), mode="update")
+def count_by_day(stream: DataFrame, item: str, time: str, out: str, checkpoint: str) -> None:
+    """Counts events per item and day; a late event adds to its day like any other.
+
+    Each batch writes the counts of its own rows, and a repeated batch replaces them.
+    """
+
+    def job(batch: DataFrame, n: int) -> None:
+        counts = batch.groupBy(F.to_date(time).alias("day"), F.col(item).alias("item")).agg(F.count(F.lit(1)).alias("n"))
+        sinks.write_batch(counts, out, n)
+
+    sinks.per_batch(stream, checkpoint, job)
 
 
 def current_counts(spark, out: str) -> DataFrame:
     df = sinks.read_batches(spark, out, "day DATE, item STRING, n BIGINT")
-    return df.groupBy("day", "item").agg(F.max_by("n", "batch_id").alias("n"))
+    return df.groupBy("day", "item").agg(F.sum("n").alias("n"))
 
 
 SCORED_SCHEMA = (

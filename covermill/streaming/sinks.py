@@ -20,15 +20,17 @@ def per_batch(stream: DataFrame, checkpoint: str, job: Callable[[DataFrame, int]
     run_available(stream.writeStream.outputMode(mode).foreachBatch(job), checkpoint)
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    """Writes one batch's rows to its own folder; a repeated batch replaces it."""
-    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+def write_batch(df: DataFrame, path: str, batch_id: int, *by: str) -> None:
+    """Writes one batch's rows to its own folder, split by the given columns; a repeated batch replaces it."""
+    df.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/batch_id={batch_id}")
 
 
 def read_batches(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame:
     """All batches' rows, or those before a batch; none if nothing was written yet."""
     try:
         df = spark.read.schema(f"{schema}, batch_id BIGINT").option("basePath", path).parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         df = spark.createDataFrame([], f"{schema}, batch_id BIGINT")
     return df if before is None else df.where(f"batch_id < {before}")

@@ -11,6 +11,7 @@ from covermill.operators import notify as Y
 from covermill.operators import telemetry as T
 from covermill.sources.domain import AS_OF, DomainTables, StreamedTables
 from covermill.streaming import jobs as J
+from covermill.streaming import sinks
 
 PAIR = ["user_id", "warranty_id"]
 
@@ -44,10 +45,47 @@ def test_ingest_counts_a_repeated_event_once(spark, split_events, tmp_path):
 
 
 def test_signal_equals_batch(spark, split_events, tmp_path):
-    J.follow_signal(tables(spark, split_events).telemetry(), str(tmp_path / "o"), str(tmp_path / "c"), AS_OF)
+    J.follow_signal(tables(spark, split_events).telemetry(), str(tmp_path / "o"), str(tmp_path / "c"))
     cols = [*PAIR, "last_hours", "hours_window", "error_burden", "avg_hours"]
     batch = T.recent_signal(DomainTables(spark, SMALL).telemetry(), AS_OF)
-    assert rows(J.current_signal(spark, str(tmp_path / "o")).select(*cols)) == rows(batch.select(*cols))
+    assert rows(J.current_signal(spark, str(tmp_path / "o"), AS_OF).select(*cols)) == rows(batch.select(*cols))
+
+
+@pytest.fixture(scope="module")
+def late_events(spark, tmp_path_factory):
+    """The events as five files, the newest days first, the oldest last but one."""
+    path = tmp_path_factory.mktemp("late")
+    df = spark.read.parquet(f"{SMALL}/events.parquet")
+    for i in (3, 4, 1, 0, 2):
+        part = df.where(F.expr(f"event_id >= {200 * i} AND event_id < {200 * (i + 1) if i < 4 else 10**9}"))
+        part.coalesce(1).write.mode("append").parquet(str(path))
+    return str(path)
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_late_rows_are_kept(spark, late_events, tmp_path, files):
+    d, out = DomainTables(spark, SMALL), str(tmp_path)
+    s = StreamedTables(spark, SMALL, "events", late_events, files_per_trigger=files)
+    J.ingest_telemetry(s.telemetry(), f"{out}/t", f"{out}/tc")
+    assert rows(spark.read.parquet(f"{out}/t").select("id", "ts")) == rows(d.telemetry().select("id", "ts"))
+    J.count_by_day(s.interest(), "product_id", "ts", f"{out}/i", f"{out}/ic")
+    batch = d.interest().groupBy(F.to_date("ts").alias("day"), F.col("product_id").alias("item")).agg(F.count(F.lit(1)).alias("n"))
+    assert rows(J.current_counts(spark, f"{out}/i")) == rows(batch)
+    J.follow_signal(s.telemetry(), f"{out}/s", f"{out}/sc")
+    for as_of in (AS_OF, "2024-02-12 00:00:00"):
+        # pairs without an event in the window stay, and lose their signal
+        got = T.with_signal(J.current_pairs(spark, f"{out}/s"), J.current_signal(spark, f"{out}/s", as_of))
+        want = T.with_signal(d.telemetry().select(*PAIR).distinct(), T.recent_signal(d.telemetry(), as_of))
+        cols = [*PAIR, "usage_intensity", "error_burden", "delta_h", "hours_window"]
+        assert rows(got.select(*cols)) == rows(want.select(*cols))
+
+
+def test_only_a_missing_folder_is_empty(spark, tmp_path):
+    assert sinks.read_batches(spark, str(tmp_path / "none"), "a INT").count() == 0
+    (tmp_path / "bad" / "batch_id=0").mkdir(parents=True)
+    (tmp_path / "bad" / "batch_id=0" / "part-0.parquet").write_text("no parquet")
+    with pytest.raises(Exception):
+        sinks.read_batches(spark, str(tmp_path / "bad"), "a INT").count()
 
 
 def test_profiles_equal_batch(spark, split_events, tmp_path):
