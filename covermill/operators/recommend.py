@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from covermill import constants as C
 from covermill.functions import scalars as S
 from covermill.functions.scalars import PAIR
+from covermill.functions.topk import first_rows_per_key
 
 
 def _catalog_item(row: tuple) -> Column:
@@ -109,9 +110,10 @@ def rule_context(pairs: DataFrame, latest_profiles: DataFrame, scores: DataFrame
     )
 
 
-# Rules up to this many travel as one array per risk rank; more are joined.
-MAX_RULE_ARRAY = 5_000
+# Slots that a risk rank's fact combinations are spread over; each holds all rules of the rank.
+RULE_SLOTS = 32
 
+_CONDITIONS = ["min_rank", "min_aqi", "max_behaviour_h", "max_care_h", "types", "type_text"]
 _FACTS = ["risk_rank", "aqi_band", "behaviour_h", "care_h", "profile_type"]
 
 
@@ -130,31 +132,26 @@ def _holds(rule) -> Column:
 
 
 def rule_recommendations(context: DataFrame, rules: DataFrame, k: int = 3) -> DataFrame:
-    """The first ``k`` matching rules by priority of each pair.
+    """The first ``k`` matching rules by priority of each pair; the default rules if none is active.
 
-    Each rule is listed under every risk rank it accepts. A counted, small rule table becomes one
-    sorted array per rank: pairs join three rows and filter an array, without a shuffle. A larger
-    one is matched once per distinct combination of the bounded facts rules look at, and pairs pick
-    up their combination's rules. Both join by equality only.
+    Of rules with the same conditions only the first ``k`` can ever show, so the others go first. Rules
+    are matched once per distinct combination of the facts they look at, by an equality join on risk
+    rank and slot, and pairs pick up their combination's rules.
     """
+    own = parse_rules(rules)
+    some = own.limit(1).select(F.lit(1).alias("one"))
+    defaults = parse_rules(default_rules(rules.sparkSession)).withColumn("one", F.lit(1)).join(some, "one", "left_anti").drop("one")
+    useful = first_rows_per_key(own.unionByName(defaults), _CONDITIONS, [F.col("priority"), F.col("rule_id")], k)
     ranks = F.filter(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda r: r >= F.col("min_rank"))
-    parsed = parse_rules(rules)
-    listed = parsed.withColumn("risk_rank", F.explode(ranks))
+    slots = F.sequence(F.lit(0), F.lit(RULE_SLOTS - 1))
+    listed = useful.withColumn("risk_rank", F.explode(ranks)).withColumn("slot", F.explode(slots))
     shown = ["rule_id", "segment", "title", "message", "priority"]
-    if parsed.limit(MAX_RULE_ARRAY + 1).count() <= MAX_RULE_ARRAY:
-        rule = F.struct("priority", "rule_id", *[c for c in listed.columns if c not in ("priority", "rule_id", "risk_rank")])
-        per_rank = listed.groupBy("risk_rank").agg(F.sort_array(F.collect_list(rule)).alias("rules"))
-        hits = F.slice(F.filter("rules", lambda r: _holds(lambda f: r[f])), 1, k)
-        return (
-            context.join(F.broadcast(per_rank), "risk_rank")
-            .select(*PAIR, F.posexplode(hits).alias("place", "r"))
-            .select(*PAIR, (F.col("place") + 1).alias("place"), *[F.col(f"r.{c}") for c in shown])
-        )
     w = Window.partitionBy(*_FACTS).orderBy("priority", "rule_id")
     matched = (
         context.select(*_FACTS)
         .distinct()
-        .join(listed, "risk_rank")
+        .withColumn("slot", F.pmod(F.hash(*_FACTS), F.lit(RULE_SLOTS)))
+        .join(listed, ["risk_rank", "slot"])
         .where(_holds(F.col))
         .withColumn("place", F.row_number().over(w))
         .where(F.col("place") <= k)

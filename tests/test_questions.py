@@ -90,7 +90,7 @@ def test_strict_and_wildcard_filters(spark):
     assert sorted(r["id"] for r in O.active_recommendations(recs, brand="x").collect()) == ["a", "b"]
 
 
-def test_rule_paths_agree(spark, monkeypatch):
+def test_rules_equal_brute_force(spark):
     rows = [(u, "w", u % 101, (u * 7) % 101, u % 4, ["", "fridge", "ev car"][u % 3], u % 3) for u in range(400)]
     context = spark.createDataFrame(rows, "user_id BIGINT, warranty_id STRING, behaviour_h INT, care_h INT, aqi_band INT, profile_type STRING, risk_rank INT")
     stored = [
@@ -98,8 +98,23 @@ def test_rule_paths_agree(spark, monkeypatch):
         (3, "C", '{"product_type_filter": ["fridge"], "max_care_score": 0.5}', "t", "m", 2, 1),
         (4, "D", '{"product_type_filter": "my ev car"}', "t", "m", 1, 1), (5, "E", "{}", "t", "m", 9, 0), (6, "F", None, "t", "m", 4, 1),
     ]
-    rules = spark.createDataFrame(stored, "id BIGINT, segment STRING, condition_json STRING, title STRING, message STRING, priority INT, active INT")
-    small = sorted(tuple(r) for r in P.rule_recommendations(context, rules).collect())
-    monkeypatch.setattr(P, "MAX_RULE_ARRAY", 0)
-    assert small == sorted(tuple(r) for r in P.rule_recommendations(context, rules).collect())
-    assert {r[3] for r in small} == {1, 2, 3, 4, 6}
+    # many more rules, most of them with conditions that repeat
+    more = [(i, "G", '{"max_behaviour_score": %s}' % (i % 5 / 10), "t", "m", 2 + i % 7, 1) for i in range(100, 20100)]
+    schema = "id BIGINT, segment STRING, condition_json STRING, title STRING, message STRING, priority INT, active INT"
+
+    def holds(i, b, care, aqi, kind, rank):
+        if i >= 100:
+            return b <= i % 5 * 10
+        return {1: aqi >= 2, 2: rank == 2, 3: kind in ("", "fridge") and care <= 50, 4: kind in "my ev car", 5: False, 6: True}[i]
+
+    for rules in (stored, stored + more):
+        got = sorted((r.user_id, r.place, r.rule_id) for r in P.rule_recommendations(context, spark.createDataFrame(rules, schema)).collect())
+        order = sorted((r[5], r[0]) for r in rules if r[6])
+        want = []
+        for u, _, b, care, aqi, kind, rank in rows:
+            first = [i for _, i in order if holds(i, b, care, aqi, kind, rank)][:3]
+            want += [(u, n + 1, i) for n, i in enumerate(first)]
+        assert got == sorted(want)
+    none = spark.createDataFrame([r for r in stored if r[6] == 0], schema)
+    fallback = sorted(map(tuple, P.rule_recommendations(context, none).collect()))
+    assert fallback == sorted(map(tuple, P.rule_recommendations(context, P.default_rules(spark)).collect())) and fallback
