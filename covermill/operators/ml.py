@@ -59,9 +59,11 @@ def fit_binary(train: DataFrame, names: list[str], rounds: int, depth: int):
 def score(model, features: DataFrame) -> DataFrame:
     """Class probabilities, label and the base score 0.5 P(MEDIUM) + P(HIGH) of each row.
 
-    The per-class margins are squashed as the boosted model does and scaled to sum to 1.
+    The per-class margins are squashed as the boosted model does and scaled to sum to 1. A class that
+    training never saw has probability 0.
     """
-    margins = vector_to_array("rawPrediction")
+    unseen = F.array_repeat(F.lit(-1e6), len(C.RISK_LABELS))
+    margins = F.slice(F.concat(vector_to_array("rawPrediction"), unseen), 1, len(C.RISK_LABELS))
     squashed = F.transform(margins, lambda m: 1 / (1 + F.exp(-2 * m)))
     total = F.aggregate("_p", F.lit(0.0), lambda a, x: a + x)
     labels = S.text_array(C.RISK_LABELS)

@@ -15,11 +15,16 @@ from covermill.functions.scalars import PAIR, clamp, compact_texts, flag_count,
 from covermill.functions.topk import first_rows_per_key
 
 PAYLOAD_SCHEMA = (
-    "hours double, errors int, code string, message string, reason string, "
+    "hours string, errors string, code string, message string, reason string, "
     "daily_km double, deep_discharge_events int, max_temp_seen double"
 )
 
 
+def _numbers(p: Column) -> Column:
+    """Hours and errors as numbers, whether they came as numbers or as text; whole numbers may have a fraction of zero."""
+    return p.withField("hours", p["hours"].try_cast("double")).withField("errors", p["errors"].try_cast("double").try_cast("int"))
+
+
 def unique_events(*copies: DataFrame) -> DataFrame:
     """Events from several copies of the log, each counted once by id."""
     df = copies[0]
@@ -34,12 +39,12 @@ def parse_payload(telemetry: DataFrame) -> DataFrame:
     Only the fields a job uses are parsed: Catalyst prunes the parse schema.
     """
     p = F.from_json("payload", PAYLOAD_SCHEMA, {"mode": "PERMISSIVE"})
-    return telemetry.withColumn("p", p)
+    return telemetry.withColumn("p", _numbers(p))
 
 
 def usage_payload(telemetry: DataFrame) -> DataFrame:
     """Parses the payload of usage events only."""
-    return telemetry.withColumn("p", F.when(_kind("usage"), F.from_json("payload", "hours double, errors int")))
+    return telemetry.withColumn("p", F.when(_kind("usage"), _numbers(F.from_json("payload", "hours string, errors string"))))
 
 
 def payload_fields(telemetry: DataFrame) -> DataFrame:

@@ -34,3 +34,9 @@ def test_split_is_stable_and_proportional(spark, table):
     assert a.count() + b.count() == table.count()
     assert a.exceptAll(c).count() == 0
     assert 0.1 < b.count() / table.count() < 0.3
+
+
+def test_a_class_that_training_never_saw_has_no_probability(spark, table):
+    model, _ = M.train_three_class(table.where("label < 2"), C.RISK_FEATURES, rounds=2, depth=2)
+    row = M.score(model, table).first()
+    assert row["proba"]["HIGH"] == 0 and abs(sum(row["proba"].values()) - 1) < 1e-9

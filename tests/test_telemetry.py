@@ -84,3 +84,10 @@ def test_failure_reasons(spark):
     rows = [(1, "error", '{"code": "E1"}', 1)] * 3 + [(1, "failure", '{"reason": ""}', 1), (1, "error", '{"code": "", "message": "m"}', 1)]
     got = [(r["reason"], r["weight"]) for r in T.top_failure_reasons(events(spark, rows)).collect()]
     assert got == [("E1", 3), ("unspecified_failure", 2), ("m", 1)]
+
+
+def test_payload_numbers_as_text_or_with_a_fraction(spark):
+    rows = [("usage", '{"hours": "12", "errors": 2.0}'), ("usage", '{"hours": 1.5, "errors": "3"}'), ("usage", '{"hours": "x", "errors": null}'), ("usage", "no json")]
+    df = spark.createDataFrame(rows, "event_type STRING, payload STRING")
+    for parse in (T.parse_payload, T.usage_payload):
+        assert [(r.p.hours, r.p.errors) if r.p else (None, None) for r in parse(df).collect()] == [(12.0, 2), (1.5, 3), (None, None), (None, None)]
