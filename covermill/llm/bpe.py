@@ -263,6 +263,27 @@ def with_decoded(df: DataFrame, ids: str = "ids", text: str = "decoded", vocabul
     return df.withColumn(text, bpe_decoder(vocabulary)(F.col(ids)))
 
 
-def round_trip(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """Adds ``ids`` and ``decoded``, the ids' text."""
-    return with_decoded(with_ids(df, text, "ids", vocabulary), "ids", "decoded", vocabulary)
+def round_trip(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, batch_bytes: int = 1 << 20) -> DataFrame:
+    """Adds ``ids`` and ``decoded``, the ids' text, by one function, so that a task needs one Python worker.
+
+    Null and empty texts have no ids and an empty text; columns of these names are replaced.
+    """
+
+    @F.arrow_udf("ids array<int>, decoded string")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bpe = backtracking_bpe(tokenizer_path(vocabulary))
+
+        def convert(texts: list) -> pa.Array:
+            data = bpe.encode(texts)
+            before = np.zeros(len(data) + 1, dtype=np.int32)
+            np.cumsum([len(x) // 4 for x in data], out=before[1:])
+            ids = np.frombuffer(b"".join(data), dtype=np.int32)
+            out, ends = bpe.decode(ids, before)
+            out = out.tobytes()
+            decoded = [out[a:b].decode("utf-8", "replace") for a, b in zip(ends.tolist(), ends[1:].tolist())]
+            return pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(before), pa.array(ids)), pa.array(decoded, pa.string())], ["ids", "decoded"])
+
+        yield from by_slices(convert, batches, batch_bytes)
+
+    found = both(F.coalesce(F.col(text), F.lit("")))
+    return df.withColumn("__both", found).withColumns({"ids": F.col("__both.ids"), "decoded": F.col("__both.decoded")}).drop("__both")
