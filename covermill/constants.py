@@ -238,6 +238,14 @@ EV_SUGGESTIONS = [
     "Try not to let the battery drop below 10%.",
     "Parking in shade helps battery health.",
 ]
+EV_MODEL_REASONS = [
+    "High daily kilometres.",
+    "Frequent fast charging.",
+    "Battery often drops below 10%.",
+    "Hot conditions may stress the battery.",
+    "Care habits could be improved.",
+]
+EV_MODEL_HEALTHY = "Driving pattern looks healthy."
 EV_MODEL_SUGGESTIONS = [
     "Avoid fast charging unless needed.",
     "Keep charge between 20% and 80% for daily use.",

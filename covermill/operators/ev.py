@@ -75,3 +75,22 @@ def battery_score(features: DataFrame) -> DataFrame:
         .withColumn("ev_reasons", F.when(F.size("ev_reasons") > 0, F.col("ev_reasons")).otherwise(F.array(F.lit("Light usage so far."))))
         .withColumn("ev_suggestions", S.text_array(C.EV_SUGGESTIONS))
     )
+
+
+def model_texts(scored: DataFrame) -> DataFrame:
+    """Reasons and suggestions that go with a model's score."""
+    f = F.col
+    checks = [
+        f("daily_km") > 60,
+        f("fast_charge_sessions") > 8,
+        f("deep_discharge_events") > 2,
+        (f("max_temp_seen") > 40) | (f("region_climate_band") >= 2),
+        f("behaviour_h") < 40,
+    ]
+    reasons = F.slice(S.compact_texts(*[F.when(c, text) for c, text in zip(checks, C.EV_MODEL_REASONS, strict=True)]), 1, 4)
+    return scored.withColumn("ev_reasons", reasons).withColumns(
+        {
+            "ev_reasons": F.when(F.size("ev_reasons") > 0, F.col("ev_reasons")).otherwise(F.array(F.lit(C.EV_MODEL_HEALTHY))),
+            "ev_suggestions": S.text_array(C.EV_MODEL_SUGGESTIONS),
+        }
+    )

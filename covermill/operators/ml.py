@@ -32,16 +32,33 @@ def labelled(features: DataFrame, label: Column) -> DataFrame:
     return features.withColumn("label", S.risk_rank(label).cast("double"))
 
 
-def split(df: DataFrame, keys: list[str], share: float = 0.2, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """Training and validation rows. A hash of the key decides, so a class is split in proportion and
+def with_outcome(features: DataFrame, telemetry: DataFrame, cutoff) -> DataFrame:
+    """Features known at a cutoff, with the class of what followed: no failure from then on, one, or more."""
+    failed = (F.col("ts") >= S.ts_lit(cutoff)) & (F.col("event_type") == "failure")
+    later = telemetry.where(failed).groupBy(*PAIR).agg(F.count(F.lit(1)).alias("later"))
+    label = F.least(F.coalesce("later", F.lit(0)), F.lit(2)).cast("double")
+    return features.join(later, PAIR, "left").withColumn("label", label).drop("later")
+
+
+def held_out(keys: list[str], share: float = 0.2, seed: int = SEED) -> Column:
+    """Whether a row is for validation. A hash of the key decides, so a class is split in proportion and
     a retried task sees the same rows."""
-    bucket = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1000))
-    held = bucket < int(share * 1000)
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % 1000 < int(share * 1000)
+
+
+def split(df: DataFrame, keys: list[str], share: float = 0.2, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """Training and validation rows."""
+    held = held_out(keys, share, seed)
     return df.where(~held), df.where(held)
 
 
-def class_balance(df: DataFrame) -> DataFrame:
-    return df.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+def class_balance(df: DataFrame, keys: list[str] = PAIR) -> DataFrame:
+    """Rows of each class, and how many of them train and validate."""
+    held = held_out(keys)
+    return df.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), S.flag_count(~held).alias("n_train"), S.flag_count(held).alias("n_held")
+    )
 
 
 def fit_three_class(train: DataFrame, names: list[str], rounds: int, depth: int):
@@ -116,16 +133,17 @@ def train_binary(table: DataFrame, names: list[str], rounds: int, depth: int):
     data = table.select(*PAIR, *names, "label").checkpoint()
     train, held = split(data, PAIR)
     model = fit_binary(train, names, rounds, depth)
-    auc = BinaryClassificationEvaluator(numBins=0).evaluate(model.transform(held))
+    scored = model.transform(held).cache()
+    both = scored.select("label").distinct().count() == 2
+    auc = BinaryClassificationEvaluator(numBins=0).evaluate(scored) if both else None
+    scored.unpersist()
     return model, {"auc": auc}
 
 
 def report(table: DataFrame, metrics: dict[str, float | None]) -> DataFrame:
-    """Class balance with the validation metrics on every row."""
-    out = class_balance(table)
-    for name, value in metrics.items():
-        out = out.withColumn(name, F.lit(value).cast("double"))
-    return out
+    """Class balance, and whether validation gave every metric: it can't where one class is left."""
+    evaluated = all(value is not None and 0 <= value <= 1 for value in metrics.values())
+    return class_balance(table).withColumn("evaluated", F.lit(evaluated))
 
 
 def v2_features(

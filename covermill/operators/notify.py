@@ -176,3 +176,33 @@ def onboarding_candidates(warranties: DataFrame, scores: DataFrame, ev: DataFram
         .withColumn("n", F.explode(items))
         .select(*PAIR, F.lit("user").alias("audience"), "n.*")
     )
+
+
+def scoring_candidates(scores: DataFrame, warranties: DataFrame, as_of) -> DataFrame:
+    """What a scoring of each pair notifies about: raised risk, and cover that ends within 30 days or has ended."""
+    ends = warranties.select("warranty_id", S.days_left(F.col("expiry_date"), as_of).alias("left"))
+    left, label = F.col("left"), F.col("risk_label")
+
+    def note(kind, title, message, severity):
+        return F.struct(kind.alias("type"), title.alias("title"), message.alias("message"), severity.alias("severity"))
+
+    # The texts of the two notifications.
+    risk = note(
+        F.concat(F.lit("risk_"), F.lower(label)),
+        F.concat(F.lit("Risk "), F.initcap(label), F.lit(" detected")),
+        F.concat(F.lit("Predictive model flagged "), F.lower(label), F.lit(" risk for warranty "), "warranty_id", F.lit(".")),
+        F.when(label == "MEDIUM", "warning").otherwise("critical"),
+    )
+    expiry = note(
+        F.lit("expiry_soon"),
+        F.lit("Warranty expiring soon"),
+        F.concat(F.lit("Warranty "), "warranty_id", F.lit(" ends in "), F.greatest(left, F.lit(0)).cast("string"), F.lit(" days.")),
+        F.when(left > 0, "warning").otherwise("critical"),
+    )
+    items = S.compact_texts(F.when(label.isin("MEDIUM", "HIGH"), risk), F.when(left < 30, expiry))
+    return (
+        scores.select(*PAIR, "risk_label")
+        .join(ends, "warranty_id", "left")
+        .withColumn("n", F.explode(items))
+        .select(*PAIR, F.lit("user").alias("audience"), "n.*")
+    )

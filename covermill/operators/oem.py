@@ -186,6 +186,17 @@ def profile_sections(scored: DataFrame, ev_telemetry: DataFrame) -> DataFrame:
     return one.select(F.explode(rows).alias("r")).select("r.*").where("value IS NOT NULL")
 
 
+def _cluster_message(brand: Column, region: Column) -> Column:
+    # The alert's text.
+    return F.concat(
+        F.lit("We’ve detected an elevated number of HIGH-risk warranties for "),
+        F.coalesce(S.truthy(brand), F.lit("your brand")),
+        F.lit(" in region "),
+        F.coalesce(S.truthy(region), F.lit("all regions")),
+        F.lit(". Check OEM Analytics to review affected devices."),
+    )
+
+
 def high_risk_clusters(scored: DataFrame) -> DataFrame:
     """Brand and region groups with 10 or more HIGH profiles, or with 30 % of them HIGH."""
     total, high = F.col("total"), F.col("high")
@@ -193,17 +204,19 @@ def high_risk_clusters(scored: DataFrame) -> DataFrame:
         F.sum("n").alias("total"),
         F.coalesce(F.sum(F.when(F.col("risk_label") == "HIGH", F.col("n"))), F.lit(0)).alias("high"),
     )
-    message = F.concat(
-        F.lit("We’ve detected an elevated number of HIGH-risk warranties for "),
-        F.coalesce(S.truthy(F.col("brand")), F.lit("your brand")),
-        F.lit(" in region "),
-        F.coalesce(S.truthy(F.col("region_code")), F.lit("all regions")),
-        F.lit(". Check OEM Analytics to review affected devices."),
-    )
+    message = _cluster_message(F.col("brand"), F.col("region_code"))
     # 10 * high >= 3 * total is high / total >= 0.3 without rounding.
     return groups.where((high >= C.CLUSTER_MIN_HIGH) | (high * 10 >= total * 3)).withColumn("message", message)
 
 
+def cluster_alert(scored: DataFrame, brand: str | None = None, region: str | None = None) -> DataFrame:
+    """The alert over all shown profiles: one row with its message and the HIGH profiles, or none."""
+    high = F.coalesce(F.sum(F.when(F.col("risk_label") == "HIGH", F.col("n"))), F.lit(0))
+    one = scored.agg(F.sum("n").alias("total"), high.alias("n"))
+    alarming = (F.col("total") > 0) & ((F.col("n") >= C.CLUSTER_MIN_HIGH) | (F.col("n") * 10 >= F.col("total") * 3))
+    return one.where(alarming).withColumn("message", _cluster_message(F.lit(brand), F.lit(region)))
+
+
 def dashboard(
     scored: DataFrame,
     ev_telemetry: DataFrame,
@@ -230,9 +243,12 @@ def dashboard(
         profile_sections(mine, ev_telemetry),
         issues.unpivot([], issues.columns, "item", "value").select(F.lit("peer_review").alias("section"), "item", "value"),
         section("peer_severity", G.peer_severity(peers, []), "severity_hint"),
+        section("peer_keywords", G.peer_top_keywords(peers, []), "keyword"),
+        section("symptom_searches", asked.agg(F.count(F.lit(1)).alias("n")).withColumn("count", F.lit("count")), "count"),
         section("symptom_components", G.symptom_top_components(asked), "component"),
         section("symptom_words", G.symptom_top_tokens(asked), "token"),
         section("product_interest", G.interest_top(interest, region=region), "product_id"),
+        section("cluster_alert", cluster_alert(mine, brand, region), "message"),
     ]
     out = parts[0]
     for part in parts[1:]:

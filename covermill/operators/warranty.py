@@ -12,12 +12,14 @@ from covermill.functions import text as X
 # Confidence per extracted field, and the floor for a user's correction.
 CONFIDENCE = {"brand": 0.7, "coverage_months": 0.6, "model_code": 0.65, "purchase_date": 0.6, "serial_no": 0.6}
 OVERRIDE_CONFIDENCE = 0.9
+CORRECTABLE = ["product_name", "brand", "model_code", "serial_no", "purchase_date", "coverage_months"]
 NO_SIGNAL_NOTE = "No strong signals found; manual confirmation required."
 
 
 def with_artifact_id(artifacts: DataFrame) -> DataFrame:
     """Adds an id that depends on the artifact alone, wide enough not to collide at scale."""
-    key = F.concat_ws(",", F.col("type"), F.col("ref").cast("string"), F.col("source"), F.col("content"))
+    parts = [F.col(c).cast("string") for c in ("type", "ref", "source", "content") if c in artifacts.columns]
+    key = F.concat_ws(",", *parts)
     return artifacts.withColumn("artifact_id", F.concat(F.lit("art_"), F.substring(F.sha2(key, 256), 1, 32)))
 
 
@@ -33,41 +35,32 @@ def extract_fields(artifacts: DataFrame) -> DataFrame:
 
 
 def canonical_warranty(artifacts: DataFrame, overrides: DataFrame) -> DataFrame:
-    """One warranty per artifact: corrections win over extracted values and raise their confidence."""
-    o = overrides.select(
-        "ref", "type", F.col("product_name").alias("o_name"), F.col("coverage_months").cast("int").alias("o_months")
-    )
-    named = F.when(F.col("o_name").isNotNull(), F.create_map(F.lit("product_name"), F.lit(0.0)))
-    empty = F.expr("cast(map() as map<string, double>)")
-    base = F.map_concat("confidence", F.coalesce(named, empty), F.coalesce(
-        F.when(F.col("o_months").isNotNull() & ~F.map_contains_key("confidence", "coverage_months"),
-               F.create_map(F.lit("coverage_months"), F.lit(0.0))), empty))
-    corrected = (
-        (F.col("o_name").isNotNull(), "product_name"),
-        (F.col("o_months").isNotNull(), "coverage_months"),
-    )
-
-    def raised(key, value):
-        hit = F.lit(False)
-        for cond, name in corrected:
-            hit = hit | (cond & (key == name))
-        return F.when(hit, F.greatest(value, F.lit(OVERRIDE_CONFIDENCE))).otherwise(value)
-
+    """One warranty per artifact: corrections of any field win over extracted values and raise their confidence.
+
+    Corrections come as text or values; a column that ``overrides`` lacks corrects nothing. A date that isn't an ISO date and months that aren't a number leave the
+    field empty, since the user has refuted what was extracted.
+    """
+    has = lambda n: F.col(n) if n in overrides.columns else F.lit(None)
+    o = overrides.select("ref", "type", *[has(n).cast("string").alias(f"o_{n}") for n in CORRECTABLE])
+    given = {n: F.col(f"o_{n}") for n in CORRECTABLE}
+    sure = [F.when(v.isNotNull(), F.struct(F.lit(n).alias("key"), F.lit(OVERRIDE_CONFIDENCE).alias("value"))) for n, v in given.items()]
+    corrected = F.map_from_entries(F.array_compact(F.array(*sure)))
+    iso_date = F.when(given["purchase_date"].rlike(r"^\d{4}-\d{2}-\d{2}$"), given["purchase_date"].try_cast("date"))
+    months = F.trim(given["coverage_months"]).try_cast("int")
     return (
-        extract_fields(artifacts)
+        extract_fields(with_artifact_id(artifacts))
         .join(o, ["ref", "type"], "left")
         .select(
             "ref",
             "type",
             F.concat(F.lit("wty_"), "type", F.lit("_"), F.col("ref").cast("string")).alias("id"),
-            F.col("o_name").alias("product_name"),
-            "brand",
-            "model_code",
-            "serial_no",
-            "purchase_date",
-            F.coalesce("o_months", "coverage_months").alias("coverage_months"),
-            F.transform_values(base, raised).alias("confidence"),
+            given["product_name"].alias("product_name"),
+            *[F.coalesce(given[n], F.col(n)).alias(n) for n in ("brand", "model_code", "serial_no")],
+            F.when(given["purchase_date"].isNotNull(), iso_date).otherwise(F.col("purchase_date")).alias("purchase_date"),
+            F.when(given["coverage_months"].isNotNull(), months).otherwise(F.col("coverage_months")).alias("coverage_months"),
+            F.map_zip_with("confidence", corrected, lambda _, a, b: F.greatest(a, b)).alias("confidence"),
             "notes",
+            F.array("artifact_id").alias("source_artifact_ids"),
         )
         .withColumn("expiry_date", S.expiry_date(F.col("purchase_date"), F.col("coverage_months")))
         .withColumn("terms", S.text_array(C.WARRANTY_TERMS))

@@ -16,7 +16,7 @@ from covermill.plans.oracle_views import AS_OF as NOW
 from covermill.plans.oracle_views import AS_OF_DAY as TODAY
 from covermill.plans.oracle_views import quoted, text_list
 from covermill.plans.registry import big, instant, joined, register
-from covermill.sources.domain import AS_OF
+from covermill.sources.domain import AS_OF, LATE
 
 QUESTIONS = (
     "When was the last maintenance or cleaning performed?",
@@ -83,11 +83,11 @@ def telemetry_counts(d):
     return T.telemetry_counts(d.telemetry())
 
 
-@register(
-    "behaviour_signal",
-    """SELECT user_id, warranty_id, intensity AS usage_intensity, CAST(burden AS BIGINT) AS error_burden, CAST(delta_h AS DOUBLE) / 100 AS behaviour_delta,
-      CAST(total_hours AS DOUBLE) AS hours_window, array_to_string(signal_reasons, '|') AS reasons FROM v_signal""",
-)
+_SIGNAL_SQL = """SELECT user_id, warranty_id, intensity AS usage_intensity, CAST(burden AS BIGINT) AS error_burden, CAST(delta_h AS DOUBLE) / 100 AS behaviour_delta,
+      CAST(total_hours AS DOUBLE) AS hours_window, array_to_string(signal_reasons, '|') AS reasons FROM {view}"""
+
+
+@register("behaviour_signal", _SIGNAL_SQL.format(view="v_signal"))
 def behaviour_signal(d):
     return T.behaviour_signal(d.telemetry(), AS_OF).select(
         *PAIR, "usage_intensity", big("error_burden").alias("error_burden"), (F.col("delta_h") / 100).alias("behaviour_delta"),
@@ -95,6 +95,15 @@ def behaviour_signal(d):
     )
 
 
+@register("behaviour_signal_late", _SIGNAL_SQL.format(view="v_signal_late"))
+def behaviour_signal_late(d):
+    """The signal at a day when the window leaves events out and some pairs have gone silent."""
+    return T.behaviour_signal(d.telemetry(), LATE).select(
+        *PAIR, "usage_intensity", big("error_burden").alias("error_burden"), (F.col("delta_h") / 100).alias("behaviour_delta"),
+        "hours_window", joined("signal_reasons").alias("reasons"),
+    )
+
+
 @register(
     "suggested_questions",
     f"""SELECT user_id, warranty_id, array_to_string(list_filter([CASE WHEN NOT bool_or(event_type = 'maintenance') THEN {quoted(QUESTIONS[0])} END,
@@ -152,16 +161,16 @@ def risk_feature_vector(d):
     return features(d).withColumn("days_left", big("days_left"))
 
 
-@register(
-    "risk_reasons",
-    f"""SELECT user_id, warranty_id, array_to_string(e, '|') AS explained, array_to_string(list_concat(e, list_filter([CASE WHEN has_expiry AND days_left <= 60 THEN 'Warranty is close to expiry.'
-        WHEN has_expiry THEN 'Warranty still has time left.' END, CASE WHEN maintenance_count = 0 THEN 'No maintenance recorded.' END], lambda x: x IS NOT NULL)), '|') AS base_reasons FROM (
+MODEL_REASONS_SQL = f"""SELECT user_id, warranty_id, e, list_concat(e, list_filter([CASE WHEN has_expiry AND days_left <= 60 THEN 'Warranty is close to expiry.'
+        WHEN has_expiry THEN 'Warranty still has time left.' END, CASE WHEN maintenance_count = 0 THEN 'No maintenance recorded.' END], lambda x: x IS NOT NULL)) AS base FROM (
       SELECT *, list_filter([CASE WHEN age_months > 30 THEN 'Device is older and may see more wear.' WHEN age_months < 12 THEN 'Device is relatively new.' END,
         CASE WHEN usage_hours_per_day > 4 THEN 'High daily use.' ELSE 'Light to moderate daily use.' END, CASE WHEN error_count >= 3 THEN 'Multiple errors recorded.' END,
         CASE WHEN failure_count >= 1 THEN 'Past breakdowns detected.' END, CASE WHEN maintenance_count = 0 THEN 'No maintenance recorded.' END,
         CASE WHEN behaviour_score < 0.4 OR care_score < 0.4 OR responsiveness_score < 0.4 THEN 'Habits suggest limited care or responsiveness.' END,
-        CASE WHEN behaviour_score > 0.7 AND care_score > 0.7 AND responsiveness_score > 0.7 THEN 'Good care habits help keep risk low.' END], lambda x: x IS NOT NULL)[1:4] AS e FROM ({_FEATURES_SQL}))""",
-)
+        CASE WHEN behaviour_score > 0.7 AND care_score > 0.7 AND responsiveness_score > 0.7 THEN 'Good care habits help keep risk low.' END], lambda x: x IS NOT NULL)[1:4] AS e FROM ({_FEATURES_SQL}))"""
+
+
+@register("risk_reasons", f"SELECT user_id, warranty_id, array_to_string(e, '|') AS explained, array_to_string(base, '|') AS base_reasons FROM ({MODEL_REASONS_SQL})")
 def risk_reasons(d):
     return R.model_reasons(features(d)).select(*PAIR, joined("explained").alias("explained"), joined("base_reasons").alias("base_reasons"))
 
@@ -277,10 +286,15 @@ def ev_features_of(d):
     return EV.features_from_telemetry(d.ev_payload_telemetry())
 
 
-def ev_scores(d):
-    df = EV.override_by_latest(ev_features_of(d), d.ev_telemetry())
+def ev_rated(d, telemetry):
+    """EV features of every pair with telemetry: its readings and its habits."""
+    df = EV.override_by_latest(EV.features_from_telemetry(telemetry), d.ev_telemetry())
     habits = R.latest_profile(d.profile().select("id", *PAIR, "behaviour_h", "care_h", "resp_h"))
-    return EV.battery_score(EV.with_habits(df, habits))
+    return EV.with_habits(df, habits)
+
+
+def ev_scores(d):
+    return EV.battery_score(ev_rated(d, d.ev_payload_telemetry()))
 
 
 EV_SCORE_SQL = ev_scored(

@@ -74,12 +74,13 @@ def canonical(d):
 @register(
     "canonical_warranty",
     """SELECT id, product_name, brand, model_code, serial_no, strftime(purchase_date, '%Y-%m-%d') AS purchase_date, CAST(coverage_months AS BIGINT) AS coverage_months,
-      strftime(expiry_date, '%Y-%m-%d') AS expiry_date, confidence, notes FROM v_canonical""",
+      strftime(expiry_date, '%Y-%m-%d') AS expiry_date, confidence, notes, source_artifact_ids FROM v_canonical""",
 )
 def canonical_warranty(d):
     return canonical(d).select(
         "id", "product_name", "brand", "model_code", "serial_no", day("purchase_date").alias("purchase_date"),
         big("coverage_months").alias("coverage_months"), day("expiry_date").alias("expiry_date"), _map_text("confidence").alias("confidence"), "notes",
+        joined("source_artifact_ids").alias("source_artifact_ids"),
     )
 
 
@@ -89,7 +90,7 @@ def canonical_warranty(d):
 )
 def warranty_upsert(d):
     """Warranties written twice, as extracted and then as corrected; the later write stays."""
-    nothing = d.override().withColumn("product_name", F.lit(None).cast("string")).withColumn("coverage_months", F.lit(None).cast("int"))
+    nothing = d.override().where(F.lit(False))
     cols = ["id", "brand", "coverage_months", "expiry_date"]
     first = W.canonical_warranty(d.artifact(), nothing).select(*cols, S.ts_lit("2024-01-01").alias("created_at"))
     second = canonical(d).select(*cols, S.ts_lit("2024-01-02").alias("created_at"))
@@ -420,6 +421,21 @@ def notification_candidates(d):
     return found.join(open_keys, Y.KEY, "left").select(*PAIR, "type", "message", "severity", F.col("stored").isNull().alias("is_new"))
 
 
+@register(
+    "scoring_notifications",
+    f"""SELECT user_id, warranty_id, n.t AS type, n.h AS title, n.m AS message, n.s AS severity FROM (
+      SELECT s.user_id, s.warranty_id, unnest(list_filter([
+        CASE s.risk_label WHEN 'MEDIUM' THEN struct_pack(t := 'risk_medium', h := 'Risk Medium detected', m := 'Predictive model flagged medium risk for warranty ' || s.warranty_id || '.', s := 'warning')
+          WHEN 'HIGH' THEN struct_pack(t := 'risk_high', h := 'Risk High detected', m := 'Predictive model flagged high risk for warranty ' || s.warranty_id || '.', s := 'critical') END,
+        CASE WHEN w.expiry_date - {TODAY} < 30 THEN struct_pack(t := 'expiry_soon', h := 'Warranty expiring soon', m := 'Warranty ' || s.warranty_id || ' ends in ' || greatest(w.expiry_date - {TODAY}, 0) || ' days.',
+          s := CASE WHEN w.expiry_date - {TODAY} > 0 THEN 'warning' ELSE 'critical' END) END], lambda x: x IS NOT NULL)) AS n
+      FROM v_score s LEFT JOIN v_warranty w ON w.warranty_id = s.warranty_id)""",
+)
+def scoring_notifications(d):
+    """What scoring every pair would notify about; expired warranties included."""
+    return Y.scoring_candidates(scores(d), d.warranty(), AS_OF).select(*PAIR, "type", "title", "message", "severity")
+
+
 # --- peer signals, searches, interest -------------------------------------------------------------
 
 
@@ -610,6 +626,17 @@ def high_risk_clusters(d):
     return O.high_risk_clusters(scored_profiles(d))
 
 
+def _found_sql(peer: str, search: str, brand: str, region: str, profiles: str) -> str:
+    """SQL of the dashboard's sections on reviews' words, searches, and the alert; the filters are SQL conditions."""
+    return f"""UNION ALL (SELECT 'peer_keywords', keyword, CAST(count(*) AS DOUBLE) FROM (SELECT unnest(list_concat(CASE WHEN symptom_keyword <> '' THEN [symptom_keyword] ELSE [] END, failure_keywords)) AS keyword
+        FROM v_peer_signal WHERE {peer}) GROUP BY keyword ORDER BY count(*) DESC, keyword LIMIT 5)
+      UNION ALL SELECT 'symptom_searches', 'count', CAST(count(*) AS DOUBLE) FROM v_symptom_search WHERE {search}
+      UNION ALL (SELECT 'symptom_components', matched_component, CAST(count(*) AS DOUBLE) FROM v_symptom_search WHERE matched_component <> '' AND {search} GROUP BY 2 ORDER BY count(*) DESC, 2 LIMIT 5)
+      UNION ALL (SELECT 'symptom_words', token, CAST(count(*) AS DOUBLE) FROM ({_TOKENS} WHERE {search}) WHERE token <> '' GROUP BY token ORDER BY count(*) DESC, token LIMIT 5)
+      UNION ALL SELECT 'cluster_alert', 'We’ve detected an elevated number of HIGH-risk warranties for {brand} in region {region}. Check OEM Analytics to review affected devices.', CAST(high AS DOUBLE) FROM (
+        SELECT count(*) AS total, count(*) FILTER (risk_label = 'HIGH') AS high FROM {profiles}) WHERE total > 0 AND (high >= 10 OR high * 10 >= total * 3)"""
+
+
 @register(
     "oem_dashboard",
     f"""SELECT 'risk_distribution' AS section, label AS item, CAST((SELECT count(*) FROM {_MINE} WHERE risk_label = label) AS DOUBLE) AS value FROM {_LABELS}
@@ -619,6 +646,7 @@ def high_risk_clusters(d):
       UNION ALL SELECT 'peer_review', k, v FROM (SELECT unnest(['signals', 'avg_rating', 'avg_sentiment']) AS k,
         unnest([CAST(count(*) AS DOUBLE), CAST(sum(coalesce(avg_rating, 0)) AS DOUBLE) / count(*), CAST(sum(coalesce(review_sentiment, 0)) AS DOUBLE) / count(*)]) AS v FROM v_peer_signal WHERE brand = 'Brand#13' HAVING count(*) > 0)
       UNION ALL SELECT 'peer_severity', severity_hint, CAST(count(*) AS DOUBLE) FROM v_peer_signal WHERE brand = 'Brand#13' AND severity_hint <> '' GROUP BY severity_hint
+      {_found_sql("brand = 'Brand#13'", "brand = 'Brand#13' AND region = 'EU'", "Brand#13", "EU", _MINE)}
       UNION ALL (SELECT 'product_interest', product_id, CAST(count(*) AS DOUBLE) FROM v_interest WHERE region IS NULL OR region = 'EU' GROUP BY product_id ORDER BY count(*) DESC, product_id LIMIT 5)""",
 )
 def oem_dashboard(d):
@@ -635,8 +663,7 @@ def oem_dashboard(d):
       UNION ALL SELECT 'peer_review', k, v FROM (SELECT unnest(['signals', 'avg_rating', 'avg_sentiment']) AS k,
         unnest([CAST(count(*) AS DOUBLE), CAST(sum(coalesce(avg_rating, 0)) AS DOUBLE) / count(*), CAST(sum(coalesce(review_sentiment, 0)) AS DOUBLE) / count(*)]) AS v FROM v_peer_signal)
       UNION ALL SELECT 'peer_severity', severity_hint, CAST(count(*) AS DOUBLE) FROM v_peer_signal WHERE severity_hint <> '' GROUP BY severity_hint
-      UNION ALL (SELECT 'symptom_components', matched_component, CAST(count(*) AS DOUBLE) FROM v_symptom_search WHERE matched_component <> '' GROUP BY 2 ORDER BY count(*) DESC, 2 LIMIT 5)
-      UNION ALL (SELECT 'symptom_words', token, CAST(count(*) AS DOUBLE) FROM ({_TOKENS}) WHERE token <> '' GROUP BY token ORDER BY count(*) DESC, token LIMIT 5)
+      {_found_sql("TRUE", "TRUE", "your brand", "all regions", "v_profile_score")}
       UNION ALL (SELECT 'product_interest', product_id, CAST(count(*) AS DOUBLE) FROM v_interest GROUP BY product_id ORDER BY count(*) DESC, product_id LIMIT 5)""",
 )
 def oem_dashboard_all(d):

@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 from covermill import constants as C
 from covermill.functions import scalars as S
 from covermill.functions.scalars import PAIR
+from covermill.operators import ev as EV
 from covermill.operators import ml as M
 from covermill.operators import nudges as N
 from covermill.operators import risk as R
 from covermill.operators import signals as G
 from covermill.operators import telemetry as T
-from covermill.plans.jobs_core import ev_scores, features, scores
+from covermill.plans.jobs_core import EV_SCORE_SQL, MODEL_REASONS_SQL, ev_rated, ev_scores, features
 from covermill.plans.jobs_domain import PEER_SQL, peer_input
 from covermill.plans.oracle_views import AS_OF_DAY as TODAY
-from covermill.plans.registry import register
+from covermill.plans.oracle_views import quoted
+from covermill.plans.registry import joined, register
 from covermill.sources.domain import AS_OF
 
 
@@ -28,12 +30,20 @@ def one_hot_features(d):
     return d.warranty().select("warranty_id", *S.one_hot(F.lower("region_code"), C.REGIONS, "region"), *S.one_hot(F.col("climate_zone"), C.CLIMATES, "climate"))
 
 
-def v2_table(d):
+#: Models learn from what was known before this day, their labels are the failures from then on.
+CUTOFF = "2024-01-16 00:00:00"
+
+
+def before(df, column, cutoff):
+    return df if cutoff is None else df.where(F.col(column) < S.ts_lit(cutoff))
+
+
+def v2_table(d, cutoff=None):
     profile = R.latest_profile(d.profile().select("id", *PAIR, "behaviour_h", "care_h", "resp_h"))
-    searches = d.symptom_search()
+    searches = before(d.symptom_search(), "created_at", cutoff)
     return M.v2_features(
-        T.telemetry_counts(d.telemetry()), d.warranty(), profile, N.nudge_stats(d.nudge_event()),
-        G.peer_features(peer_input(d), d.peer_signal()), G.search_features(searches), G.search_components(searches), AS_OF,
+        T.telemetry_counts(before(d.telemetry(), "ts", cutoff)), d.warranty(), profile, N.nudge_stats(before(d.nudge_event(), "shown_at", cutoff)),
+        G.peer_features(peer_input(d), d.peer_signal()), G.search_features(searches), G.search_components(searches), cutoff or AS_OF,
     )
 
 
@@ -66,25 +76,75 @@ def risk_training(d):
     return M.labelled(features(d).join(label, PAIR), F.col("rule_label"))
 
 
-@register("ml_risk_train")
+def ev_inputs(rated):
+    """The EV model's features from rated pairs."""
+    return rated.withColumns({n: F.col(h) / 100 for n, h in (("behaviour_score", "behaviour_h"), ("care_score", "care_h"), ("responsiveness_score", "resp_h"))})
+
+
+def _balance_sql(label: str) -> str:
+    return f"""WITH pairs AS (SELECT CAST({label} AS DOUBLE) AS label, CAST('0x' || md5('{M.SEED}:' || user_id || ':' || warranty_id)[1:8] AS BIGINT) % 1000 < 200 AS held FROM (
+        SELECT user_id, warranty_id, count(*) FILTER (ts >= TIMESTAMP '{CUTOFF}' AND event_type = 'failure') AS later FROM v_telemetry
+        GROUP BY user_id, warranty_id HAVING count(*) FILTER (ts < TIMESTAMP '{CUTOFF}') > 0))
+      SELECT label, count(*) AS n, count(*) FILTER (NOT held) AS n_train, count(*) FILTER (held) AS n_held,
+        (SELECT count(DISTINCT label) FILTER (held) >= 2 FROM pairs) AS evaluated FROM pairs GROUP BY label"""
+
+
+@register("ml_risk_train", _balance_sql("least(later, 2)"))
 def ml_risk_train(d):
-    table = risk_training(d)
+    known = R.feature_vector(T.telemetry_counts(before(d.telemetry(), "ts", CUTOFF)), d.warranty(), d.profile(), CUTOFF)
+    table = M.with_outcome(known, d.telemetry(), CUTOFF)
     _, metrics = M.train_three_class(table, C.RISK_FEATURES, M.RISK_ROUNDS, M.RISK_DEPTH)
     return M.report(table, metrics)
 
 
-@register("ml_ev_train")
+@register("ml_ev_train", _balance_sql("least(2, later)"))
 def ml_ev_train(d):
-    rated = ev_scores(d)
-    for name in ("behaviour", "care"):
-        rated = rated.withColumn(f"{name}_score", F.col(f"{name}_h") / 100)
-    table = M.labelled(rated.withColumn("responsiveness_score", F.col("resp_h") / 100), F.col("ev_label"))
+    known = ev_inputs(ev_rated(d, before(d.ev_payload_telemetry(), "ts", CUTOFF)))
+    table = M.with_outcome(known, d.telemetry(), CUTOFF)
     _, metrics = M.train_three_class(table, C.EV_FEATURES, M.OTHER_ROUNDS, M.OTHER_DEPTH)
     return M.report(table, metrics)
 
 
-@register("ml_v2_train")
+@register("ml_v2_train", _balance_sql("least(later, 1)"))
 def ml_v2_train(d):
-    table = v2_table(d).join(scores(d).select(*PAIR, (F.col("risk_label") == "HIGH").cast("double").alias("label")), PAIR)
+    table = M.with_outcome(v2_table(d, CUTOFF), d.telemetry(), CUTOFF).withColumn("label", F.least("label", F.lit(1.0)))
     _, metrics = M.train_binary(table, M.v2_names(), M.OTHER_ROUNDS, M.OTHER_DEPTH)
     return M.report(table, metrics)
+
+
+def _sums_to_one():
+    return F.abs(F.aggregate("p", F.lit(0.0), lambda a, x: a + x) - 1) < 1e-9
+
+
+@register(
+    "risk_score_model",
+    f"""SELECT m.user_id, m.warranty_id, CAST(delta_h AS DOUBLE) / 100 AS behaviour_delta, array_to_string(signal_reasons, '|') AS behaviour_reasons,
+      array_to_string((CASE WHEN delta_h <> 0 THEN list_concat(signal_reasons, base) ELSE base END)[1:4], '|') AS reasons, TRUE AS proba_ok, TRUE AS base_ok, TRUE AS label_ok
+      FROM ({MODEL_REASONS_SQL}) m JOIN v_signal s ON s.user_id = m.user_id AND s.warranty_id = m.warranty_id""",
+)
+def risk_score_model(d):
+    """Every pair scored by a model, with the model's reasons and the behaviour delta; flags check the numbers, which SQL can't train."""
+    model, _ = M.train_three_class(risk_training(d), C.RISK_FEATURES, M.RISK_ROUNDS, M.RISK_DEPTH)
+    based = R.model_reasons(M.model_or_rule(model, features(d), F.lit(20)))
+    done = R.finish_score(T.with_signal(based, T.recent_signal(d.telemetry(), AS_OF)))
+    label = F.when(F.col("risk_score") > 0.66, "HIGH").when(F.col("risk_score") >= 0.33, "MEDIUM").otherwise("LOW")
+    return done.select(
+        *PAIR, "behaviour_delta", joined("behaviour_reasons").alias("behaviour_reasons"), joined("reasons").alias("reasons"),
+        _sums_to_one().alias("proba_ok"), (F.abs(F.col("base_risk_score") - F.col("model_score")) < 0.00501).alias("base_ok"), (F.col("risk_label") == label).alias("label_ok"),
+    )
+
+
+@register(
+    "ev_battery_score_model",
+    f"""SELECT user_id, warranty_id, CASE WHEN len(r) > 0 THEN array_to_string(r[1:4], '|') ELSE {quoted(C.EV_MODEL_HEALTHY)} END AS reasons, {quoted('|'.join(C.EV_MODEL_SUGGESTIONS))} AS suggestions,
+      TRUE AS proba_ok, TRUE AS label_ok FROM (SELECT *, list_filter([CASE WHEN c1 THEN {quoted(C.EV_MODEL_REASONS[0])} END, CASE WHEN c2 THEN {quoted(C.EV_MODEL_REASONS[1])} END,
+        CASE WHEN c3 THEN {quoted(C.EV_MODEL_REASONS[2])} END, CASE WHEN c4 THEN {quoted(C.EV_MODEL_REASONS[3])} END, CASE WHEN behaviour_h < 40 THEN {quoted(C.EV_MODEL_REASONS[4])} END],
+        lambda x: x IS NOT NULL) AS r FROM ({EV_SCORE_SQL}))""",
+)
+def ev_battery_score_model(d):
+    """Every EV pair scored by a model, with the texts that go with a model."""
+    rated = ev_inputs(ev_scores(d))
+    model, _ = M.train_three_class(M.labelled(rated, F.col("ev_label")), C.EV_FEATURES, M.OTHER_ROUNDS, M.OTHER_DEPTH)
+    done = EV.model_texts(M.score(model, rated))
+    best = F.element_at("proba", F.col("model_label")) == F.array_max("p")
+    return done.select(*PAIR, joined("ev_reasons").alias("reasons"), joined("ev_suggestions").alias("suggestions"), _sums_to_one().alias("proba_ok"), best.alias("label_ok"))

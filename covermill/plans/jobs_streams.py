@@ -13,7 +13,7 @@ from covermill.operators import telemetry as T
 from covermill.plans.jobs_core import scores
 from covermill.plans.registry import big, instant, joined, oracle_of, register
 from covermill.session import shared_dir
-from covermill.sources.domain import AS_OF, DomainTables, StreamedTables
+from covermill.sources.domain import AS_OF, LATE, DomainTables, StreamedTables
 from covermill.streaming import jobs as J
 
 
@@ -45,6 +45,18 @@ def stream_behaviour_signal(d):
     )
 
 
+@register("stream_behaviour_signal_late", oracle_of("behaviour_signal_late"))
+def stream_behaviour_signal_late(d):
+    """The streamed signal read at a later day: silent pairs lose theirs."""
+    out, ckpt = fresh(d, "signal")
+    J.follow_signal(streamed(d, "events").telemetry(), out, ckpt)
+    df = T.with_signal(J.current_pairs(d.spark, out), J.current_signal(d.spark, out, LATE))
+    return df.select(
+        *PAIR, "usage_intensity", big("error_burden").alias("error_burden"), (F.col("delta_h") / 100).alias("behaviour_delta"),
+        "hours_window", joined("signal_reasons").alias("reasons"),
+    )
+
+
 @register("stream_notification_dedupe", f"SELECT id, user_id, type, audience FROM ({oracle_of('notification_dedupe')}) WHERE kept")
 def stream_notification_dedupe(d):
     out, ckpt = fresh(d, "notifications")

@@ -8,6 +8,8 @@ from covermill import constants as C
 
 AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
 AS_OF_DAY = "DATE '2024-01-31'"
+#: A day when the recent window starts within the log.
+LATE = "TIMESTAMP '2024-02-12 00:00:00'"
 
 
 def quoted(text: str) -> str:
@@ -96,17 +98,23 @@ VIEWS: dict[str, str] = {
           regexp_extract_all(content, '{C.ARTIFACT_PATTERNS["date"]}', 1) AS cand
         FROM (SELECT *, lower(content) AS lo FROM v_artifact))""",
     "v_override": """SELECT p_partkey AS ref, 'invoice' AS type, CASE WHEN p_partkey % 9 = 0 THEN p_name END AS product_name,
-      CASE WHEN p_partkey % 9 = 0 THEN 24 END AS coverage_months FROM part""",
-    "v_canonical": f"""SELECT f.ref, f.type, 'wty_' || f.type || '_' || f.ref AS id, o.product_name, f.brand, f.model_code, f.serial_no, f.purchase_date,
-        coalesce(o.coverage_months, f.coverage_months) AS coverage_months,
-        CASE WHEN coalesce(o.coverage_months, f.coverage_months) <> 0 THEN CAST(f.purchase_date + to_months(coalesce(o.coverage_months, f.coverage_months)) AS DATE) END AS expiry_date,
-        concat_ws(',', CASE WHEN f.brand IS NOT NULL THEN 'brand=0.7' END,
+      CASE WHEN p_partkey % 9 = 1 THEN p_brand END AS brand, CASE WHEN p_partkey % 9 = 2 THEN p_type END AS model_code,
+      CASE WHEN p_partkey % 9 = 3 THEN 'C' || p_partkey END AS serial_no,
+      CASE p_partkey % 9 WHEN 4 THEN '2023-' || lpad(CAST(1 + p_partkey % 12 AS VARCHAR), 2, '0') || '-15' WHEN 5 THEN 'last spring' END AS purchase_date,
+      CASE p_partkey % 9 WHEN 0 THEN '24' WHEN 6 THEN 'two years' END AS coverage_months FROM part""",
+    "v_canonical": f"""SELECT *, CASE WHEN coverage_months <> 0 THEN CAST(purchase_date + to_months(coverage_months) AS DATE) END AS expiry_date FROM (
+      SELECT f.ref, f.type, 'wty_' || f.type || '_' || f.ref AS id, o.product_name, coalesce(o.brand, f.brand) AS brand, coalesce(o.model_code, f.model_code) AS model_code,
+        coalesce(o.serial_no, f.serial_no) AS serial_no, CASE WHEN o.purchase_date IS NOT NULL THEN TRY_CAST(o.purchase_date AS DATE) ELSE f.purchase_date END AS purchase_date,
+        CASE WHEN o.coverage_months IS NOT NULL THEN TRY_CAST(o.coverage_months AS INTEGER) ELSE f.coverage_months END AS coverage_months,
+        'art_' || sha256(concat_ws(',', f.type, CAST(f.ref AS VARCHAR), f.source, f.content))[1:32] AS source_artifact_ids,
+        concat_ws(',', CASE WHEN o.brand IS NOT NULL THEN 'brand=0.9' WHEN f.brand IS NOT NULL THEN 'brand=0.7' END,
           CASE WHEN o.coverage_months IS NOT NULL THEN 'coverage_months=0.9' WHEN f.coverage_months IS NOT NULL THEN 'coverage_months=0.6' END,
-          CASE WHEN f.model_code IS NOT NULL THEN 'model_code=0.65' END, CASE WHEN o.product_name IS NOT NULL THEN 'product_name=0.9' END,
-          CASE WHEN f.purchase_date IS NOT NULL THEN 'purchase_date=0.6' END, CASE WHEN f.serial_no IS NOT NULL THEN 'serial_no=0.6' END) AS confidence,
+          CASE WHEN o.model_code IS NOT NULL THEN 'model_code=0.9' WHEN f.model_code IS NOT NULL THEN 'model_code=0.65' END, CASE WHEN o.product_name IS NOT NULL THEN 'product_name=0.9' END,
+          CASE WHEN o.purchase_date IS NOT NULL THEN 'purchase_date=0.9' WHEN f.purchase_date IS NOT NULL THEN 'purchase_date=0.6' END,
+          CASE WHEN o.serial_no IS NOT NULL THEN 'serial_no=0.9' WHEN f.serial_no IS NOT NULL THEN 'serial_no=0.6' END) AS confidence,
         CASE WHEN f.brand IS NULL AND f.model_code IS NULL AND f.serial_no IS NULL AND f.purchase_date IS NULL AND f.coverage_months IS NULL
           THEN 'No strong signals found; manual confirmation required.' END AS notes
-      FROM v_artifact_fields f LEFT JOIN v_override o ON o.ref = f.ref AND o.type = f.type""",
+      FROM v_artifact_fields f LEFT JOIN v_override o ON o.ref = f.ref AND o.type = f.type)""",
     "v_summary": f"""SELECT id, 'Brand: ' || coalesce(nullif(brand, ''), 'N/A') || ' Model: ' || coalesce(nullif(model_code, ''), 'N/A') || chr(10)
         || 'Expiry: ' || coalesce(CAST(expiry_date AS VARCHAR), 'N/A') || ' Coverage months: ' || coalesce(CAST(nullif(coverage_months, 0) AS VARCHAR), 'N/A') || chr(10)
         || {quoted('Terms: ' + '; '.join(C.WARRANTY_TERMS))} || chr(10) || {quoted('Exclusions: ' + '; '.join(C.WARRANTY_EXCLUSIONS))} || chr(10)
@@ -148,10 +156,10 @@ VIEWS: dict[str, str] = {
       CASE WHEN k % 3 <> 0 THEN 'Offer ' || (k % 5) END AS title, ts
       FROM v_event LEFT JOIN (customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) ON c_custkey = user_id""",
     "v_symptom_search": """SELECT doc_id AS id, doc_id % 15 AS user_id, 'wty_' || (doc_id % 15) || '_' || (doc_id % 12) AS warranty_id, lang AS product_type,
-      source AS brand, text AS query_text, CASE doc_id % 7 WHEN 0 THEN 'motor' WHEN 1 THEN 'drum' WHEN 2 THEN 'bearing' WHEN 3 THEN 'pump' WHEN 4 THEN 'seal' WHEN 5 THEN '' END AS matched_component,
+      CASE WHEN doc_id % 3 = 0 THEN 'Brand#13' ELSE source END AS brand, CASE doc_id % 4 WHEN 0 THEN 'EU' WHEN 1 THEN 'NA' WHEN 2 THEN 'APAC' END AS region, text AS query_text, CASE doc_id % 7 WHEN 0 THEN 'motor' WHEN 1 THEN 'drum' WHEN 2 THEN 'bearing' WHEN 3 THEN 'pump' WHEN 4 THEN 'seal' WHEN 5 THEN '' END AS matched_component,
       TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id) AS created_at FROM documents""",
     "v_peer_signal": f"""SELECT doc_id AS id, CASE WHEN doc_id % 3 <> 0 THEN 'wty_' || (doc_id % 15) || '_' || (doc_id % 12) END AS warranty_id, lang AS product_type,
-      source AS brand, 'M' || (doc_id % 4) AS model, CASE WHEN doc_id % 5 <> 0 THEN 1 + 4 * quality END AS avg_rating,
+      CASE WHEN doc_id % 3 = 0 THEN 'Brand#13' ELSE source END AS brand, 'M' || (doc_id % 4) AS model, CASE WHEN doc_id % 5 <> 0 THEN 1 + 4 * quality END AS avg_rating,
       CASE WHEN doc_id % 7 <> 0 THEN quality - toxic END AS review_sentiment,
       CASE doc_id % 6 WHEN 0 THEN 'motor' WHEN 1 THEN 'drum' WHEN 2 THEN 'bearing' WHEN 3 THEN 'pump' WHEN 4 THEN '' END AS symptom_keyword,
       CASE WHEN toxic = 1 THEN 'high' WHEN quality = 0 THEN 'medium' END AS severity_hint,
@@ -221,6 +229,9 @@ VIEWS: dict[str, str] = {
       FROM v_behaviour_risk r JOIN v_variant v USING (user_id, warranty_id)))""",
 }
 
+VIEWS["v_recent_late"] = VIEWS["v_recent"].replace(AS_OF, LATE)
+VIEWS["v_signal_late"] = VIEWS["v_signal"].replace("v_recent", "v_recent_late")
+
 
 def with_views(body: str) -> str:
     """The query with the views it needs, in dependency order, as a WITH clause."""

@@ -14,6 +14,8 @@ from covermill import constants as C
 from covermill.functions.text import split_words
 
 AS_OF = "2024-01-31 00:00:00"
+#: A day when the recent window starts within the log.
+LATE = "2024-02-12 00:00:00"
 
 # Text of an artifact, by the part's key: brand, model, serial, purchase date and coverage.
 _ARTIFACT_TEXT = """
@@ -163,7 +165,11 @@ class DomainTables:
             "p_partkey AS ref",
             "'invoice' AS type",
             "CASE WHEN p_partkey % 9 = 0 THEN p_name END AS product_name",
-            "CASE WHEN p_partkey % 9 = 0 THEN 24 END AS coverage_months",
+            "CASE WHEN p_partkey % 9 = 1 THEN p_brand END AS brand",
+            "CASE WHEN p_partkey % 9 = 2 THEN p_type END AS model_code",
+            "CASE WHEN p_partkey % 9 = 3 THEN concat('C', p_partkey) END AS serial_no",
+            "CASE p_partkey % 9 WHEN 4 THEN concat('2023-', lpad(cast(1 + p_partkey % 12 AS string), 2, '0'), '-15') WHEN 5 THEN 'last spring' END AS purchase_date",
+            "CASE p_partkey % 9 WHEN 0 THEN '24' WHEN 6 THEN 'two years' END AS coverage_months",
         )
 
     def behaviour_event(self) -> DataFrame:
@@ -306,9 +312,9 @@ class DomainTables:
             "doc_id % 15 AS user_id",
             "concat('wty_', doc_id % 15, '_', doc_id % 12) AS warranty_id",
             "lang AS product_type",
-            "source AS brand",
+            "CASE WHEN doc_id % 3 = 0 THEN 'Brand#13' ELSE source END AS brand",
             "CAST(NULL AS string) AS model",
-            "CAST(NULL AS string) AS region",
+            "CASE doc_id % 4 WHEN 0 THEN 'EU' WHEN 1 THEN 'NA' WHEN 2 THEN 'APAC' END AS region",
             "text AS query_text",
             "CASE doc_id % 7 WHEN 0 THEN 'motor' WHEN 1 THEN 'drum' WHEN 2 THEN 'bearing' WHEN 3 THEN 'pump' WHEN 4 THEN 'seal' WHEN 5 THEN '' END AS matched_component",
             "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(doc_id AS int)) AS created_at",
@@ -323,7 +329,7 @@ class DomainTables:
                 "doc_id AS id",
                 "CASE WHEN doc_id % 3 <> 0 THEN concat('wty_', doc_id % 15, '_', doc_id % 12) END AS warranty_id",
                 "lang AS product_type",
-                "source AS brand",
+                "CASE WHEN doc_id % 3 = 0 THEN 'Brand#13' ELSE source END AS brand",
                 "concat('M', doc_id % 4) AS model",
                 "CASE WHEN doc_id % 5 <> 0 THEN 1 + 4 * quality END AS avg_rating",
                 "CASE WHEN doc_id % 7 <> 0 THEN quality - toxic END AS review_sentiment",

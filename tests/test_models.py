@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import SMALL
 from covermill import constants as C
+from covermill.operators import ev as EV
 from covermill.operators import ml as M
 from covermill.plans.jobs_ml import risk_training
 from covermill.sources.domain import DomainTables
@@ -40,3 +41,25 @@ def test_a_class_that_training_never_saw_has_no_probability(spark, table):
     model, _ = M.train_three_class(table.where("label < 2"), C.RISK_FEATURES, rounds=2, depth=2)
     row = M.score(model, table).first()
     assert row["proba"]["HIGH"] == 0 and abs(sum(row["proba"].values()) - 1) < 1e-9
+
+
+def test_outcome_counts_only_failures_from_the_cutoff_on(spark):
+    rows = [(1, "w", "failure", "2024-01-01 00:00:00"), (1, "w", "failure", "2024-01-16 00:00:00"), (1, "w", "error", "2024-01-20 00:00:00"),
+            (2, "w", "failure", "2024-01-17 00:00:00"), (2, "w", "failure", "2024-01-18 00:00:00"), (2, "w", "failure", "2024-01-19 00:00:00")]
+    log = spark.createDataFrame(rows, "user_id long, warranty_id string, event_type string, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    pairs = spark.createDataFrame([(1, "w"), (2, "w"), (3, "w")], "user_id long, warranty_id string")
+    found = {r.user_id: r.label for r in M.with_outcome(pairs, log, "2024-01-16 00:00:00").collect()}
+    assert found == {1: 1.0, 2: 2.0, 3: 0.0}
+
+
+def test_report_says_when_a_measure_is_missing(spark, table):
+    one = M.report(table, {"accuracy": 0.5, "auc": None}).collect()
+    assert not any(r.evaluated for r in one)
+    assert sum(r.n for r in one) == sum(r.n_train + r.n_held for r in one) == table.count()
+
+
+def test_texts_of_a_model_score(spark):
+    rows = [(10.0, 1.0, 0.0, 20.0, 1.0, 50), (61.0, 9.0, 3.0, 41.0, 1.0, 39)]
+    df = spark.createDataFrame(rows, "daily_km double, fast_charge_sessions double, deep_discharge_events double, max_temp_seen double, region_climate_band double, behaviour_h int")
+    calm, hard = [r.ev_reasons for r in EV.model_texts(df).collect()]
+    assert calm == [C.EV_MODEL_HEALTHY] and hard == C.EV_MODEL_REASONS[:4]

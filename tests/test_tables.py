@@ -165,3 +165,20 @@ def test_documents_are_read_whole(spark, tmp_path):
     (tmp_path / "a.txt").write_text("one\ntwo")
     r = readers.read_documents(spark, str(tmp_path / "a.txt")).first()
     assert r["content"] == "one\ntwo" and r["source"].endswith("a.txt")
+
+
+def test_any_field_may_be_corrected(spark):
+    text = "Brand: Acme\nModel: X1\nSerial: SN000123\nPurchase: 2023-01-02\n12 months warranty"
+    artifacts = spark.createDataFrame([(1, "invoice", "upload", text), (2, "invoice", "upload", text), (3, "invoice", "upload", None)], "ref long, type string, source string, content string")
+    names = ["product_name", "brand", "model_code", "serial_no", "purchase_date", "coverage_months"]
+    fixes = [(1, "invoice", "Fan", "Other", "Y", "S9", "2024-02-29", " 24 "), (2, "invoice", None, None, None, None, "soon", "two")]
+    o = spark.createDataFrame(fixes, "ref long, type string, " + ", ".join(f"{n} string" for n in names))
+    one, two, three = [r for r in W.canonical_warranty(artifacts, o).orderBy("ref").collect()]
+    assert (one.product_name, one.brand, one.model_code, one.serial_no, one.coverage_months) == ("Fan", "Other", "Y", "S9", 24)
+    assert str(one.purchase_date) == "2024-02-29" and str(one.expiry_date) == "2026-02-28"
+    assert one.confidence == dict.fromkeys(names, 0.9)
+    # a correction that can't be read refutes what was extracted
+    assert two.purchase_date is None and two.coverage_months is None and two.expiry_date is None
+    assert two.confidence["purchase_date"] == two.confidence["coverage_months"] == 0.9 and two.confidence["serial_no"] == 0.6
+    assert three.confidence == {} and three.brand is None and three.notes
+    assert [len(r.source_artifact_ids) for r in (one, two, three)] == [1, 1, 1] and one.source_artifact_ids != two.source_artifact_ids
