@@ -19,58 +19,77 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
-class FirstBlock(HTMLParser):
-    """Collects the text of the first element matching '.class' or '#id', nested elements included."""
+class _Block:
+    """The text of the first element that matches '.class' or '#id', nested elements included."""
 
     def __init__(self, selector: str):
-        super().__init__(convert_charrefs=True)
         self.attr = "class" if selector[0] == "." else "id"
         self.want = selector[1:]
         self.open: list[str] = []
-        self.found = False
-        self.done = False
+        self.found = self.done = False
         self.texts: list[str] = []
 
     def _matches(self, attrs) -> bool:
         value = next((v for k, v in attrs if k == self.attr), None) or ""
         return self.want in value.split() if self.attr == "class" else self.want == value
 
-    def handle_starttag(self, tag, attrs):
+    def start(self, tag: str, attrs, closed: bool) -> None:
         if self.done or not (self.open or self._matches(attrs)):
             return
         self.found = True
-        if tag not in _VOID:
+        if not closed and tag not in _VOID:
             self.open.append(tag)
         self.done = not self.open
 
-    def handle_startendtag(self, tag, attrs):
-        before = len(self.open)
-        self.handle_starttag(tag, attrs)
-        if len(self.open) > before:
-            self.open.pop()
-            self.done = not self.open
-
-    def handle_endtag(self, tag):
+    def end(self, tag: str) -> None:
         if tag in self.open:
             while self.open.pop() != tag:
                 pass
             self.done = not self.open
 
+    def data(self, text: str) -> None:
+        if self.open and not self.done and self.open[-1] not in ("script", "style"):
+            self.texts.append(text)
+
+
+class _Blocks(HTMLParser):
+    """One pass over a page for the first elements of several selectors."""
+
+    def __init__(self, selectors: set[str]):
+        super().__init__(convert_charrefs=True)
+        self.blocks = {s: _Block(s) for s in selectors}
+
+    def handle_starttag(self, tag, attrs):
+        for b in self.blocks.values():
+            b.start(tag, attrs, False)
+
+    def handle_startendtag(self, tag, attrs):
+        for b in self.blocks.values():
+            b.start(tag, attrs, True)
+
+    def handle_endtag(self, tag):
+        for b in self.blocks.values():
+            b.end(tag)
+
     def handle_data(self, data):
-        if self.open and not self.done and self.open[-1] not in ("script", "style") and data.strip():
-            self.texts.append(data.strip())
+        text = data.strip()
+        if text:
+            for b in self.blocks.values():
+                b.data(text)
+
+
+def block_texts(page: str, kinds: list[list[str]]) -> list[str | None]:
+    """For each list of selectors, the text of the first element that the first matching selector finds."""
+    parser = _Blocks({s for selectors in kinds for s in selectors})
+    if parser.blocks:
+        parser.feed(page)
+        parser.close()
+    found = [next((parser.blocks[s] for s in selectors if parser.blocks[s].found), None) for selectors in kinds]
+    return [(" ".join(b.texts) or None) if b else None for b in found]
 
 
 def block_text(page: str, selectors: list[str]) -> str | None:
-    """Text of the first element the first matching selector finds."""
-    for selector in selectors:
-        if selector[1:] in page:
-            parser = FirstBlock(selector)
-            parser.feed(page)
-            parser.close()
-            if parser.found:
-                return " ".join(parser.texts) or None
-    return None
+    return block_texts(page, [selectors])[0]
 
 
 def block_udf(selectors: dict[str, dict[str, list[str]]], kinds: list[str]):
@@ -80,7 +99,7 @@ def block_udf(selectors: dict[str, dict[str, list[str]]], kinds: list[str]):
 
     def blocks(page: pd.Series, brand: pd.Series) -> pd.DataFrame:
         rows = [
-            [block_text(p, selectors.get(b or "", {}).get(k, [])) if p else None for k in kinds] for p, b in zip(page, brand)
+            block_texts(p, [selectors.get(b or "", {}).get(k, []) for k in kinds]) if p else [None] * len(kinds) for p, b in zip(page, brand)
         ]
         return pd.DataFrame(rows, columns=names, dtype=object)
 

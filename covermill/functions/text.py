@@ -153,11 +153,8 @@ def page_blocks(html: Column, brand_hint: Column) -> Column:
     """Coverage and terms block of a page.
 
     Elements nest, so a pattern cannot find where a block ends; a tag parser in batches does. Pages
-    of other brands, and pages that mention no selector, reach it as nulls.
+    of other brands reach it as nulls.
     """
     hint = F.lower(brand_hint)
-    wanted = F.lit(False)
-    for brand, kinds in C.OEM_BLOCK_SELECTORS.items():
-        names = "|".join(sorted({s[1:] for sels in kinds.values() for s in sels}))
-        wanted = wanted | ((hint == brand) & html.rlike(names))
-    return html_blocks.block_udf(C.OEM_BLOCK_SELECTORS, ["coverage", "terms"])(F.when(wanted, html), hint)
+    wanted = F.when(hint.isin(*C.OEM_BLOCK_SELECTORS), html)
+    return html_blocks.block_udf(C.OEM_BLOCK_SELECTORS, ["coverage", "terms"])(wanted, hint)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from covermill import constants as C
 from covermill.functions import scalars as S
 from covermill.functions.scalars import PAIR
+from covermill.functions.topk import first_rows_per_key
 
 PROFILE_KEY = ["user_id", "product_type", "warranty_id"]
 
@@ -83,8 +84,7 @@ def answer_effects(answers: DataFrame, warranties: DataFrame) -> DataFrame:
     """What a batch of answers adds per profile: three sums, and the composed behaviour shift.
 
     Care and responsiveness only ever rise, so clamping at the end equals clamping at each step and
-    plain sums suffice. Behaviour moves both ways and needs the ordered fold. Effects of consecutive
-    batches combine with ``combine_effects``.
+    plain sums suffice. Behaviour moves both ways and needs the ordered fold.
     """
     answer = F.lower(F.coalesce("answer_value", F.lit("")))
     rows = with_product_type(answers, warranties).withColumn("a", answer)
@@ -108,15 +108,6 @@ def answer_effects(answers: DataFrame, warranties: DataFrame) -> DataFrame:
     )
 
 
-def combine_effects(effects: DataFrame, order: str) -> DataFrame:
-    """One effect per profile from those of consecutive batches, one row per batch and profile."""
-    shifts = _compose_groups(effects.select(*PROFILE_KEY, F.col(order).alias("seq"), "f"), PROFILE_KEY, None)
-    sums = effects.groupBy(*PROFILE_KEY).agg(
-        *[F.sum(c).alias(c) for c in ("answers", "care_add", "resp_add")], F.max("last_question_at").alias("last_question_at")
-    )
-    return sums.alias("s").join(shifts.alias("w"), S.same_key("s", "w", PROFILE_KEY)).select("s.*", "w.f")
-
-
 def profiles_from_effects(effects: DataFrame) -> DataFrame:
     """Profile scores in hundredths; every profile starts at 50."""
     return effects.select(
@@ -149,11 +140,12 @@ def next_bank_question(pairs: DataFrame, answers: DataFrame) -> DataFrame:
     return joined.withColumn("bank_question_id", first).drop(*ids)
 
 
-def _ranked_by_scope(questions: DataFrame, scopes: list[str], order: list[Column]) -> DataFrame:
-    """Every question under each scope a caller may ask with, ranked within the scope.
+def _ranked_by_scope(questions: DataFrame, scopes: list[str], order: list[Column], places: int) -> DataFrame:
+    """The first ``places`` questions under each scope a caller may ask with, ranked within the scope.
 
     A caller leaves out any subset of the scope columns; a left-out column matches every question.
-    That makes 2**n entries per question, keyed for an equality join.
+    That makes 2**n entries per question, keyed for an equality join. A scope that many questions
+    share sends ``places`` of them per input partition.
     """
     masks = F.array(*[F.lit(m) for m in range(2 ** len(scopes))])
     df = questions.withColumn("mask", F.explode(masks))
@@ -161,8 +153,7 @@ def _ranked_by_scope(questions: DataFrame, scopes: list[str], order: list[Column
         used = F.col("mask").bitwiseAND(1 << i) != 0
         df = df.withColumn(f"k_{c}", F.when(used, F.col(c)).otherwise(F.lit("")))
     keyed = df.where(reduce(lambda x, y: x & y, [F.col(f"k_{c}").isNotNull() for c in scopes]))
-    w = Window.partitionBy("mask", *[f"k_{c}" for c in scopes]).orderBy(*order)
-    return keyed.withColumn("place", F.row_number().over(w))
+    return first_rows_per_key(keyed, ["mask", *[f"k_{c}" for c in scopes]], order, places, rank="place")
 
 
 def next_oem_question(pairs: DataFrame, questions: DataFrame, answers: DataFrame, scopes: list[str]) -> DataFrame:
@@ -170,10 +161,13 @@ def next_oem_question(pairs: DataFrame, questions: DataFrame, answers: DataFrame
 
     ``pairs`` carries the scope columns it asks with: a non-null one must equal the question's. The
     work follows the answers given: answered places are counted per pair, and the first gap in them
-    is the place to ask, looked up by equality. Pairs are never multiplied by questions.
+    is the place to ask, looked up by equality. Pairs are never multiplied by questions. A pair of n
+    answers asks for place n + 1 at most, so no place beyond the largest such number is ranked.
     """
     keys = ["mask", *[f"k_{c}" for c in scopes]]
-    ranked = _ranked_by_scope(questions, scopes, [F.col("priority"), F.col("seq")])
+    answered = answers.select(*PAIR, F.col("question_id").alias("id")).distinct()
+    most = answered.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    ranked = _ranked_by_scope(questions, scopes, [F.col("priority"), F.col("seq")], most + 1)
     asked = pairs
     mask = F.lit(0)
     for i, c in enumerate(scopes):
@@ -181,7 +175,6 @@ def next_oem_question(pairs: DataFrame, questions: DataFrame, answers: DataFrame
         mask = mask + F.when(given.isNotNull(), 1 << i).otherwise(0)
         asked = asked.withColumn(f"k_{c}", F.coalesce(given, F.lit("")))
     asked = asked.withColumn("mask", mask)
-    answered = answers.select(*PAIR, F.col("question_id").alias("id")).distinct()
     places = (
         answered.join(asked.select(*PAIR, *keys), PAIR)
         .join(ranked.select("id", *keys, "place"), ["id", *keys])
@@ -211,6 +204,8 @@ def scoped_question(
 ) -> DataFrame:
     """Next stored question per asking pair, by weight then id, outside the 7-day cooldown.
 
+    The cooldown goes by the profile of the pair and the product type it asks for; of several, the newest.
+
     A question applies if each of its scope columns is null or equals the asker's. Its null columns
     form its mask; an asker probes every mask in use with one equality join, and in each the first
     gap in the answered places names its candidate.
@@ -229,8 +224,9 @@ def scoped_question(
     due = F.col("last_question_at").isNull() | (
         F.col("last_question_at") <= S.ts_lit(as_of) - F.expr(f"INTERVAL {C.QUESTION_COOLDOWN_DAYS} DAYS")
     )
-    last = profiles.groupBy(*PAIR).agg(F.max_by("last_question_at", "id").alias("last_question_at"))
-    asked = with_product_type(asks.join(last, PAIR, "left").where(due), warranties)
+    last = profiles.groupBy(*PROFILE_KEY).agg(F.max_by("last_question_at", "id").alias("last_question_at"))
+    asked = with_product_type(asks, warranties).alias("a").join(last.alias("p"), S.same_key("a", "p", PROFILE_KEY), "left")
+    asked = asked.select("a.*", "p.last_question_at").where(due)
     # Answers count per user and product type, so that is the unit a gap is looked for in.
     unit = ["user_id", "product_type", "brand", "model_code"]
     units = asked.select(*unit).distinct().withColumn("mask", F.explode(F.array(*[F.lit(m) for m in range(8)])))

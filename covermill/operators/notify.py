@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from covermill import constants as C
 from covermill.functions import scalars as S
 from covermill.functions.scalars import PAIR
 from covermill.functions.topk import first_rows_per_key
-from covermill.session import ensure_checkpoint_dir
+from covermill.session import ensure_checkpoint_dir, shared_dir
 
 KEY = ["user_id", "warranty_id", "type", "audience"]
 _EPOCH = "TIMESTAMP_NTZ'1970-01-05 00:00:00'"
@@ -31,64 +32,86 @@ def _week(ts: Column, days: int) -> Column:
     return F.floor(F.timestamp_diff("SECOND", F.expr(_EPOCH), ts) / (days * 86400)).cast("int")
 
 
-def dedupe_chain(events: DataFrame, keys: list[str], days: int = C.DEDUPE_DAYS) -> DataFrame:
+def dedupe_chain(events: DataFrame, keys: list[str], days: int = C.DEDUPE_DAYS, receipts: DataFrame | None = None) -> DataFrame:
     """Marks the events that are kept when a kept unread one suppresses its key for some days.
 
-    Only kept unread events ("anchors") suppress, and two anchors of a key lie more than ``days``
-    apart, so a period of that length holds at most one. The job walks the periods in time order:
-    in each, a key's anchor is its first unread event after the previous period's anchor plus
-    ``days``. That is one join on the key and one minimum per period, merged before the shuffle, so
-    no key's events are ever gathered. The number of steps is the number of periods in the data, not
-    its size. Finally every event is compared with the anchors of its own and the previous period.
+    Only kept unread events ("anchors") suppress. ``receipts`` (the keys, ``notification_id``, ``read_at``)
+    end an anchor's suppression early: the first one at or after the anchor does. The order of rows
+    that arrive doesn't matter, only their times; ties in time go by id, and a row without a time is kept.
+
+    The job walks the periods of ``days`` days in time order, each from its own files. In each, a
+    key's anchor is its first unread event that the anchor before doesn't suppress. That is one join
+    on the key and one minimum per period, merged before the shuffle, so no key's events are ever
+    gathered. Without receipts a period holds at most one anchor of a key, and the number of steps is
+    the number of periods in the data; with them, a period takes one more step for each anchor of a
+    key that was read in it. Finally every event is compared with the anchors of its own and the
+    previous period.
     """
-    ensure_checkpoint_dir(events.sparkSession)
+    spark = events.sparkSession
+    ensure_checkpoint_dir(spark)
     gap = F.expr(f"INTERVAL {days} DAYS")
     dated = events.withColumn("week", _week(F.col("created_at"), days))
-    unread = dated.where(~F.col("is_read")).select(*keys, "week", "created_at", "id")
+    unread = dated.where(~F.col("is_read") & F.col("created_at").isNotNull()).select(*keys, "week", "created_at", "id")
+    if receipts is None:
+        unread = unread.withColumn("read_at", F.lit(None).cast("timestamp_ntz"))
+    else:
+        read = receipts.select(*keys, F.col("notification_id").alias("id"), "read_at")
+        same = S.same_key("u", "r", keys) & (F.col("u.id") == F.col("r.id")) & (F.col("r.read_at") >= F.col("u.created_at"))
+        group = [F.col(f"u.{c}").alias(c) for c in unread.columns]
+        unread = unread.alias("u").join(read.alias("r"), same, "left").groupBy(*group).agg(F.min("r.read_at").alias("read_at"))
+    # one folder per period: a step reads its own period's rows and none of the input
+    folder = f"{shared_dir(spark).rstrip('/')}/unread-{uuid.uuid4().hex}"
+    unread.write.partitionBy("week").parquet(folder)
+    stored = spark.read.schema(unread.schema).parquet(folder)
+
+    def not_suppressed() -> Column:
+        late = F.col("r.created_at") > F.col("p.until")
+        return late | ((F.col("r.created_at") == F.col("p.until")) & F.col("p.early") & (F.col("r.id") > F.col("p.anchor_id")))
+
+    def first_of(rows: DataFrame, week: int) -> DataFrame:
+        """The first event of each key, and until when it suppresses: to the end of its days, or to its receipt."""
+        first = rows.groupBy(*keys).agg(F.min(F.struct("created_at", "id", "read_at")).alias("a"))
+        early = F.coalesce(F.col("a.read_at") <= F.col("a.created_at") + gap, F.lit(False))
+        until = F.when(early, F.col("a.read_at")).otherwise(F.col("a.created_at") + gap)
+        at = [F.col("a.created_at").alias("at"), F.col("a.id").alias("anchor_id")]
+        return first.select(*keys, F.lit(week).alias("week"), *at, until.alias("until"), early.alias("early")).checkpoint()
+
     # One row per period, so this list is bounded by the time span.
-    weeks = sorted(r["week"] for r in unread.select("week").distinct().collect())
-    anchors: DataFrame | None = None
+    weeks = sorted(r["week"] for r in stored.select("week").distinct().collect())
+    found: list[DataFrame] = []
     previous: DataFrame | None = None
     last_week = None
     for week in weeks:
-        # The plain time range lets the scan skip other periods' files.
-        begin = datetime(1970, 1, 5) + timedelta(days=days * week)
-        inside = (F.col("created_at") >= S.ts_lit(begin)) & (F.col("created_at") < S.ts_lit(begin + timedelta(days=days)))
-        rows = unread.where(inside & (F.col("week") == week))
+        rows = stored.where(F.col("week") == week)
         if previous is not None and last_week == week - 1:
-            rows = (
-                rows.alias("r")
-                .join(previous.alias("p"), S.same_key("r", "p", keys), "left")
-                .where(F.col("p.at").isNull() | (F.col("r.created_at") > F.col("p.at") + gap))
-                .select("r.*")
-            )
-        first = rows.groupBy(*keys).agg(F.min(F.struct("created_at", "id")).alias("a"))
-        previous = first.select(
-            *keys, F.lit(week).alias("week"), F.col("a.created_at").alias("at"), F.col("a.id").alias("anchor_id")
-        ).checkpoint()
+            open_ = rows.alias("r").join(previous.alias("p"), S.same_key("r", "p", keys), "left")
+            rows = open_.where(F.col("p.until").isNull() | not_suppressed()).select("r.*")
+        previous = newest = first_of(rows, week)
+        found.append(newest)
+        while receipts is not None and not newest.where("early").isEmpty():
+            # keys whose anchor was read: what comes after the receipt in this period
+            rows = rows.alias("r").join(newest.where("early").alias("p"), S.same_key("r", "p", keys)).where(not_suppressed()).select("r.*")
+            newest = first_of(rows, week)
+            found.append(newest)
+            older = previous.alias("a").join(newest.alias("b"), S.same_key("a", "b", keys), "left_anti")
+            previous = older.unionByName(newest).checkpoint()
         last_week = week
-        anchors = previous if anchors is None else anchors.unionByName(previous)
-    if anchors is None:
+    if not found:
         return dated.withColumn("kept", F.lit(True)).drop("week")
-    own = anchors.select(*keys, "week", "at", "anchor_id", F.lit(None).cast("timestamp_ntz").alias("before"))
-    carried = anchors.select(
-        *keys, (F.col("week") + 1).alias("week"), F.lit(None).cast("timestamp_ntz").alias("at"),
-        F.lit(None).cast("string").alias("anchor_id"), F.col("at").alias("before"),
-    )
-    # At most two rows per key and period: its own anchor and the one before.
-    bounds = own.unionByName(carried).groupBy(*keys, "week").agg(
-        F.max("at").alias("at"), F.max("anchor_id").alias("anchor_id"), F.max("before").alias("before")
-    )
-    in_order = (F.col("b.at") < F.col("e.created_at")) | (
-        (F.col("b.at") == F.col("e.created_at")) & (F.col("b.anchor_id") < F.col("e.id"))
-    )
-    suppressed = F.coalesce(in_order, F.lit(False)) | F.coalesce(
-        F.col("b.before") >= F.col("e.created_at") - gap, F.lit(False)
-    )
+    anchors = reduce(DataFrame.unionByName, found)
+    both = anchors.unionByName(anchors.withColumn("week", F.col("week") + 1))
+    # the anchors of a key in two periods: two at most, and one more for each that was read
+    bounds = both.groupBy(*keys, "week").agg(F.collect_list(F.struct("at", "anchor_id", "until", "early")).alias("marks"))
+
+    def suppresses(m: Column) -> Column:
+        at, nid = F.col("e.created_at"), F.col("e.id")
+        after = (m["at"] < at) | ((m["at"] == at) & (m["anchor_id"] < nid))
+        return after & ((at < m["until"]) | ((at == m["until"]) & (~m["early"] | (nid <= m["anchor_id"]))))
+
     return (
         dated.alias("e")
         .join(bounds.alias("b"), S.same_key("e", "b", [*keys, "week"]), "left")
-        .select("e.*", (~suppressed).alias("kept"))
+        .select("e.*", (~F.coalesce(F.exists("b.marks", suppresses), F.lit(False))).alias("kept"))
         .drop("week")
     )
 

@@ -72,6 +72,12 @@ def advisories(risk: DataFrame, as_of) -> DataFrame:
     return nudges(risk.where("warranty_known"), as_of).withColumn("severity", S.severity_of(F.col("band")))
 
 
+def nudge_events(outcomes: DataFrame) -> DataFrame:
+    """Reported outcomes as nudge events: the time of an ``acted`` or ``ignored`` one, null for any other."""
+    at = lambda outcome: F.when(F.col("outcome") == outcome, F.col("shown_at"))
+    return outcomes.withColumns({"acted_at": at("acted"), "ignored_at": at("ignored")})
+
+
 def nudge_stats(events: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Nudges shown, acted on and ignored, and the acted rate, per pair or other keys."""
     acted = F.col("acted_at").isNotNull()

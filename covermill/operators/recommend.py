@@ -131,6 +131,12 @@ def _holds(rule) -> Column:
     )
 
 
+def recommendation_events(shown: DataFrame, rules: DataFrame, as_of) -> DataFrame:
+    """The log rows of shown recommendations: those of active stored rules. Default rules aren't logged."""
+    stored = parse_rules(rules).select("rule_id").distinct()
+    return shown.join(stored, "rule_id", "left_semi").select(*PAIR, "rule_id", S.ts_lit(as_of).alias("shown_at"))
+
+
 def rule_recommendations(context: DataFrame, rules: DataFrame, k: int = 3) -> DataFrame:
     """The first ``k`` matching rules by priority of each pair; the default rules if none is active.
 

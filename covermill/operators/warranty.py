@@ -108,13 +108,17 @@ def summary_html(summaries: DataFrame) -> DataFrame:
     )
 
 
-def export_summaries(summaries: DataFrame, path: str, fmt: str = "html") -> None:
-    """Writes one text line-block per warranty below ``path``; ``fmt`` is 'txt' or 'html'."""
+def export_summaries(summaries: DataFrame, path: str, fmt: str = "html", run: str | None = None) -> None:
+    """Writes one text line-block per warranty below ``path``; ``fmt`` is 'txt' or 'html'. A repeated ``run`` replaces its own."""
     if fmt not in ("txt", "html"):
         raise ValueError(f"unsupported format: {fmt}")
     col = "summary" if fmt == "txt" else "html"
     out = summaries if fmt == "txt" else summary_html(summaries)
-    out.select(F.col(col).alias("value"), F.lit(fmt).alias("format")).write.mode("append").partitionBy("format").text(path)
+    lines = out.select(F.col(col).alias("value"))
+    if run is None:
+        lines.withColumn("format", F.lit(fmt)).write.mode("append").partitionBy("format").text(path)
+    else:
+        lines.write.mode("overwrite").text(f"{path}/run={run}/format={fmt}")
 
 
 def expiry_alerts(warranties: DataFrame, as_of) -> DataFrame:
@@ -151,6 +155,7 @@ def portal_artifacts(pages: DataFrame) -> DataFrame:
         F.concat(
             F.lit("Brand: "), F.coalesce("brand_hint", F.lit("")),
             F.lit("\nModel: "), F.coalesce("model", F.lit("")),
+            F.lit("\nRegion: "), F.coalesce("region", F.lit("")),
             F.lit("\nParsed: "), parsed,
             F.lit("\nParsedHTML: "), blocks,
             F.lit("\n\n"), F.col("page_text"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from covermill import constants as C
 from covermill.functions import scalars as S
+from covermill.sources.readers import write_log
 
 
 def review_state(log: DataFrame) -> DataFrame:
@@ -26,7 +27,7 @@ def backlog(rows: DataFrame, *keys: str) -> DataFrame:
 
 def fetch_queue(requests: DataFrame) -> DataFrame:
     """One row per url: its latest request."""
-    row = F.struct("brand", "model", "status")
+    row = F.struct("brand", "model", "region", "status")
     return requests.groupBy("url").agg(F.max_by(row, "seq").alias("r")).select("url", "r.*")
 
 
@@ -59,9 +60,9 @@ def route_answers(answers: DataFrame) -> DataFrame:
     return answers.withColumn("sink", F.when(F.col("question_id").startswith("oemq_"), "oem").otherwise("bank"))
 
 
-def write_answers(answers: DataFrame, path: str) -> None:
-    """Appends answers to one log per destination."""
-    route_answers(answers).write.mode("append").partitionBy("sink").parquet(path)
+def write_answers(answers: DataFrame, path: str, run: str | None = None) -> None:
+    """Adds answers to one log per destination; a repeated ``run`` replaces its own."""
+    write_log(route_answers(answers), path, run, "sink")
 
 
 def audit_rows(contents: DataFrame) -> DataFrame:

@@ -250,7 +250,9 @@ def next_question(d):
 @register(
     "scoped_questions",
     f"""SELECT a.user_id, a.warranty_id, arg_min(q.id, -q.weight * 1000000 + q.id) AS question_id
-      FROM ({_TYPED.format(src='(SELECT x.*, NULL::VARCHAR AS product_type, l.last_question_at FROM (' + _PAIRS + ') x LEFT JOIN v_latest_profile l USING (user_id, warranty_id))')}) a
+      FROM (SELECT t.*, l.last_question_at FROM ({_TYPED.format(src='(SELECT x.*, NULL::VARCHAR AS product_type FROM (' + _PAIRS + ') x)')}) t
+        LEFT JOIN (SELECT * FROM v_profile QUALIFY row_number() OVER (PARTITION BY user_id, warranty_id, product_type ORDER BY id DESC) = 1) l
+        ON l.user_id = t.user_id AND l.warranty_id IS NOT DISTINCT FROM t.warranty_id AND l.product_type IS NOT DISTINCT FROM t.pt) a
       LEFT JOIN v_warranty w USING (warranty_id) JOIN v_scoped_question q ON q.is_active = 1 AND (q.brand IS NULL OR q.brand = w.brand)
         AND (q.model_code IS NULL OR q.model_code = w.model_code) AND (q.product_type IS NULL OR q.product_type = a.pt)
       WHERE (a.last_question_at IS NULL OR a.last_question_at <= {NOW} - INTERVAL 7 DAY)
@@ -259,7 +261,7 @@ def next_question(d):
 )
 def scoped_questions(d):
     asks = asking_pairs(d).withColumn("product_type", F.lit(None).cast("string"))
-    profiles = d.profile().select("id", *PAIR, "last_question_at")
+    profiles = d.profile().select("id", *B.PROFILE_KEY, "last_question_at")
     return B.scoped_question(asks, d.scoped_question(), d.scoped_answer(), profiles, d.warranty(), AS_OF).select(*PAIR, "question_id")
 
 

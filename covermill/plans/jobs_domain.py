@@ -19,7 +19,7 @@ from covermill.plans.jobs_core import EV_SCORE_SQL, ev_scored, ev_scores, oem_qu
 from covermill.plans.oracle_views import AS_OF as NOW
 from covermill.plans.oracle_views import AS_OF_DAY as TODAY
 from covermill.plans.oracle_views import SPACE, quoted, text_list
-from covermill.plans.registry import big, day, instant, joined, register
+from covermill.plans.registry import big, day, instant, joined, oracle_of, register
 from covermill.sources import readers
 from covermill.sources.domain import AS_OF
 
@@ -187,6 +187,17 @@ def oem_page_blocks(d):
     return W.oem_page_blocks(d.oem_page()).select("url", "coverage_block", "terms_block")
 
 
+@register(
+    "portal_artifacts",
+    """SELECT url, 'Brand: ' || coalesce(brand_hint, '') || chr(10) || 'Model: ' || coalesce(model, '') || chr(10) || 'Region: ' || coalesce(region, '') AS head,
+      regexp_replace(html, '\\s+', ' ', 'g') AS page_text FROM v_oem_page""",
+)
+def portal_artifacts(d):
+    """Head and page text of the artifacts; what stands between is checked by the queries of fields and blocks."""
+    df = W.portal_artifacts(d.oem_page())
+    return df.select("url", F.substring_index("content", "\n", 3).alias("head"), F.substring_index("content", "\n\n", -1).alias("page_text"))
+
+
 # --- files with drift and dirt --------------------------------------------------------------------
 
 _ANSWER_SCHEMA = "user_id BIGINT, warranty_id STRING, question_id STRING, answer STRING"
@@ -275,6 +286,17 @@ def advisories(d):
 _NUDGE_COUNTS = "count(*) AS shown, count(acted_at) AS acted, count(*) FILTER (ignored_at IS NOT NULL AND acted_at IS NULL) AS ignored, CAST(count(acted_at) AS DOUBLE) / count(*) AS acted_rate"
 
 
+@register(
+    "nudge_events",
+    """SELECT id, user_id, warranty_id, nudge_type, CASE event_type WHEN 'purchase' THEN 'acted' WHEN 'error' THEN 'ignored' ELSE 'dismissed' END AS outcome,
+      CASE WHEN event_type = 'purchase' THEN strftime(ts, '%Y-%m-%d %H:%M:%S.%f') END AS acted_at, CASE WHEN event_type = 'error' THEN strftime(ts, '%Y-%m-%d %H:%M:%S.%f') END AS ignored_at
+      FROM (SELECT e.event_id, e.event_type, e.ts, n.* FROM v_event e JOIN v_nudge_event n ON n.id = e.event_id)""",
+)
+def nudge_events(d):
+    df = N.nudge_events(d.nudge_event().drop("acted_at", "ignored_at"))
+    return df.select("id", *PAIR, "nudge_type", "outcome", instant("acted_at").alias("acted_at"), instant("ignored_at").alias("ignored_at"))
+
+
 @register("nudge_stats", f"SELECT user_id, warranty_id, {_NUDGE_COUNTS} FROM v_nudge_event GROUP BY user_id, warranty_id")
 def nudge_stats(d):
     return N.nudge_stats(d.nudge_event())
@@ -330,6 +352,12 @@ def rule_recommendations(d):
     return P.rule_recommendations(rule_input(d), d.rule()).withColumn("place", big("place"))
 
 
+@register("recommendation_events", f"SELECT user_id, warranty_id, rule_id, '{AS_OF}.000000' AS shown_at FROM ({oracle_of('rule_recommendations')})")
+def recommendation_events(d):
+    shown = P.rule_recommendations(rule_input(d), d.rule())
+    return P.recommendation_events(shown, d.rule(), AS_OF).withColumn("shown_at", instant("shown_at"))
+
+
 _DEFAULT_RULES = ", ".join(f"({r[0]}, {quoted(r[1])}, {quoted(r[3])}, {quoted(r[4])}, {r[5]})" for r in C.DEFAULT_RULES)
 
 
@@ -691,7 +719,7 @@ def review_state(d):
     return K.review_state(d.review_event()).select("review_id", "action", "status", "reason", day("resolved_at").alias("resolved_on"))
 
 
-@register("fetch_queue_state", "SELECT url, brand, model, status FROM v_fetch_queue")
+@register("fetch_queue_state", "SELECT url, brand, model, region, status FROM v_fetch_queue")
 def fetch_queue_state(d):
     return K.fetch_queue(d.fetch_request())
 

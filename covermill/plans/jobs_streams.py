@@ -61,14 +61,14 @@ def stream_behaviour_signal_late(d):
 def stream_notification_dedupe(d):
     out, ckpt = fresh(d, "notifications")
     J.keep_notifications(streamed(d, "events").notification(), out, ckpt)
-    return d.spark.read.parquet(out).select("id", big("user_id").alias("user_id"), "type", "audience")
+    return J.kept_notifications(d.spark, out).select("id", big("user_id").alias("user_id"), "type", "audience")
 
 
 @register("stream_behaviour_profile", oracle_of("behaviour_profile"))
 def stream_behaviour_profile(d):
     out, ckpt = fresh(d, "profiles")
-    J.follow_profiles(streamed(d, "events").answer(), d.warranty(), out, ckpt)
-    return J.current_profiles(d.spark, out).select(
+    J.follow_profiles(streamed(d, "events").answer(), out, ckpt)
+    return J.current_profiles(d.spark, out, d.warranty()).select(
         *B.PROFILE_KEY, "answers", *[big(c).alias(c) for c in ("behaviour_h", "care_h", "resp_h")], instant("last_question_at").alias("last_question_at")
     )
 

@@ -170,16 +170,16 @@ VIEWS: dict[str, str] = {
     "v_read_mark": """SELECT 'ntf_' || event_id AS notification_id, CASE WHEN k % 8 = 5 THEN user_id + 1 ELSE user_id END AS user_id, k % 4 = 1 AS marked FROM v_event""",
     "v_pair_notification": """SELECT 'ntp_' || event_id AS id, user_id, warranty_id, CASE event_type WHEN 'error' THEN 'risk_medium' WHEN 'purchase' THEN 'risk_high'
       WHEN 'signup' THEN 'warranty_onboarded' WHEN 'view' THEN 'expiry_soon' ELSE 'ev_battery_risk' END AS type, k % 5 = 0 AS is_read, ts AS created_at FROM v_event""",
-    "v_fetch_queue": """SELECT url, arg_max(brand, page_id) AS brand, arg_max(model, page_id) AS model, arg_max(status, page_id) AS status FROM (
-      SELECT *, 'B' || (page_id % 5) AS brand, 'M' || (page_id % 4) AS model, ['pending', 'fetched', 'failed'][page_id % 3 + 1] AS status FROM pages) GROUP BY url""",
+    "v_fetch_queue": """SELECT url, arg_max(brand, page_id) AS brand, arg_max(model, page_id) AS model, arg_max_null(region, page_id) AS region, arg_max(status, page_id) AS status FROM (
+      SELECT *, ['EU', 'NA', NULL][page_id % 3 + 1] AS region, 'B' || (page_id % 5) AS brand, 'M' || (page_id % 4) AS model, ['pending', 'fetched', 'failed'][page_id % 3 + 1] AS status FROM pages) GROUP BY url""",
     "v_oem_page": """SELECT 'part/' || p_partkey AS url, ['samsung', 'lg', 'bosch', 'whirlpool', 'Other'][p_partkey % 5 + 1] AS brand_hint, p_type || '-' || p_size AS model,
       p_partkey AS p, p_size, p_name, CASE WHEN p_partkey % 7 = 0 THEN '<html><body><p>' || p_name || ' has no block</p></body></html>' ELSE
         '<html><body><h1>Brand: ' || replace(p_brand, '#', '-') || ' | Model: ' || p_type || '-' || p_size || ' |</h1><div class="'
         || CASE p_partkey % 5 WHEN 0 THEN 'box warranty-coverage' WHEN 1 THEN 'warranty-details' WHEN 2 THEN 'service-info wide' WHEN 3 THEN 'warranty' ELSE 'other' END
         || '"><b>' || (1 + p_size % 36) || ' months</b> cover for ' || p_name || '</div><p>exclusion: ' || p_name || ' misuse</p><p>Exclusion - rust, wear</p><section id="terms" class="'
         || CASE WHEN p_partkey % 2 = 0 THEN 'terms' ELSE 'conditions small' END || '"><i>Keep</i> the invoice.</section><p>motor:5 years compressor warranty:10 years  digital inverter:'
-        || (1 + p_size % 9) || ' years drum:2 year</p></body></html>' END AS html FROM part
-      UNION ALL SELECT 'page/' || page_id, ['Samsung', 'LG', 'bosch', 'whirlpool', NULL][page_id % 5 + 1], 'M' || (page_id % 4), NULL, NULL, NULL, html FROM pages""",
+        || (1 + p_size % 9) || ' years drum:2 year</p></body></html>' END AS html, ['EU', 'NA', NULL][p_partkey % 3 + 1] AS region FROM part
+      UNION ALL SELECT 'page/' || page_id, ['Samsung', 'LG', 'bosch', 'whirlpool', NULL][page_id % 5 + 1], 'M' || (page_id % 4), NULL, NULL, NULL, html, ['EU', 'NA', NULL][page_id % 3 + 1] FROM pages""",
     # telemetry risk, one row per pair
     "v_base_risk": """SELECT *, greatest(0, least(100, 20 + CASE WHEN usage_hours > 100 THEN 15 ELSE 0 END + least(5 * errors, 30) + least(20 * failures, 40) - least(3 * maintenance, 15))) AS base_h FROM (
       SELECT user_id, warranty_id, coalesce(sum(hours), 0) AS usage_hours, count(*) FILTER (event_type = 'usage') AS usage_events, count(*) FILTER (event_type = 'error') AS errors,

@@ -401,6 +401,7 @@ class DomainTables:
             "url",
             "concat('B', page_id % 5) AS brand",
             "concat('M', page_id % 4) AS model",
+            "element_at(array('EU', 'NA', NULL), cast(page_id % 3 AS int) + 1) AS region",
             "element_at(array('pending', 'fetched', 'failed'), cast(page_id % 3 AS int) + 1) AS status",
             "page_id AS seq",
         )
@@ -426,12 +427,14 @@ class DomainTables:
             "concat('part/', p_partkey) AS url",
             "element_at(array('samsung', 'lg', 'bosch', 'whirlpool', 'Other'), cast(p_partkey % 5 AS int) + 1) AS brand_hint",
             "concat(p_type, '-', p_size) AS model",
+            "element_at(array('EU', 'NA', NULL), cast(p_partkey % 3 AS int) + 1) AS region",
             f"{_OEM_HTML} AS html",
         )
         raw = self.table("pages").selectExpr(
             "concat('page/', page_id) AS url",
             "element_at(array('Samsung', 'LG', 'bosch', 'whirlpool', NULL), cast(page_id % 5 AS int) + 1) AS brand_hint",
             "concat('M', page_id % 4) AS model",
+            "element_at(array('EU', 'NA', NULL), cast(page_id % 3 AS int) + 1) AS region",
             "html",
         )
         return made.unionByName(raw)

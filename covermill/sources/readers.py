@@ -82,11 +82,22 @@ def read_rdbms(spark: SparkSession, url: str, table: str, partition: tuple[str,
     return reader.load()
 
 
-def append_log(df: DataFrame, path: str, time_column: str) -> None:
-    """Appends events to a log partitioned by their day.
+def write_log(df: DataFrame, path: str, run: str | None, *by: str) -> None:
+    """Adds rows to a log split by columns. With a ``run``, a repeat of that run replaces its rows; without, rows are appended.
+
+    A log is written either with runs or without, since the run is its first partition column.
+    """
+    if run is None:
+        df.write.mode("append").partitionBy(*by).parquet(path)
+    else:
+        df.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/run={run}")
+
+
+def append_log(df: DataFrame, path: str, time_column: str, run: str | None = None) -> None:
+    """Adds events to a log partitioned by their day, see ``write_log``.
 
     The rebalance hint groups rows by day to keep files few, and lets Spark split a day that is too
     large for one task.
     """
     day = df.withColumn("event_date", F.to_date(time_column))
-    day.hint("rebalance", "event_date").write.mode("append").partitionBy("event_date").parquet(path)
+    write_log(day.hint("rebalance", "event_date"), path, run, "event_date")

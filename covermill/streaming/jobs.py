@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covermill import constants as C
 from covermill.functions import scalars as S
 from covermill.functions.scalars import PAIR
 from covermill.operators import behaviour as B
@@ -17,10 +16,6 @@ from covermill.operators import notify as Y
 from covermill.operators import oem as O
 from covermill.operators import telemetry as T
 from covermill.streaming import sinks
-from covermill.streaming.stateful import KeptNotifications
-
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 
 LOG_SCHEMA = "id STRING, user_id BIGINT, warranty_id STRING, event_type STRING, payload STRING, ts TIMESTAMP_NTZ"
 _LOG_COLUMNS = [c.split()[0] for c in LOG_SCHEMA.split(", ")]
@@ -72,54 +67,46 @@ def current_signal(spark, out: str, as_of, window_days: int = 30) -> DataFrame:
     return T.recent_signal(recent, as_of, window_days)
 
 
-def keep_notifications(
-    notes: DataFrame, out: str, checkpoint: str, receipts: DataFrame | None = None, delay: str = "1 day"
-) -> None:
-    """Writes the notifications that are kept under the chained 7-day rule; reading one resets it.
+NOTE_SCHEMA = "user_id BIGINT, warranty_id STRING, type STRING, audience STRING, id STRING, at TIMESTAMP_NTZ, is_read BOOLEAN, receipt BOOLEAN"
+
 
-    ``receipts`` carries the key columns, the notification id and the time of reading. A key's rows
-    of one batch are ordered in memory, so the source's rate limit bounds them.
+def keep_notifications(notes: DataFrame, out: str, checkpoint: str, receipts: DataFrame | None = None) -> None:
+    """Logs notifications, and receipts if given; ``kept_notifications`` decides which are kept.
+
+    ``receipts`` carries the key columns, the notification id and the time of reading. A late
+    notification or receipt changes what came before, so nothing is decided when it arrives; a
+    batch writes its own rows only.
     """
-    spark = notes.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
-    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp")).alias("at")
-    keys = [text(k) for k in Y.KEY]
-    rows = notes.select(*keys, micros("created_at"), "id", F.col("is_read").cast("int").alias("kind"))
+    rows = notes.select(*Y.KEY, "id", F.col("created_at").alias("at"), "is_read", F.lit(False).alias("receipt"))
     if receipts is not None:
-        rows = rows.unionByName(receipts.select(*keys, micros("read_at"), F.col("notification_id").alias("id"), F.lit(2).alias("kind")))
-    rows = rows.withColumn("event_time", F.timestamp_micros("at")).withWatermark("event_time", delay)
-    kept = rows.groupBy(*Y.KEY).transformWithStateInPandas(
-        statefulProcessor=KeptNotifications(C.DEDUPE_DAYS, Y.KEY),
-        outputStructType=", ".join(f"{k} STRING" for k in Y.KEY) + ", id STRING, at BIGINT",
-        outputMode="Append",
-        timeMode="EventTime",
-    )
-    sinks.run_available(kept.writeStream.outputMode("append").format("parquet").option("path", out), checkpoint)
-
-
-EFFECT_SCHEMA = (
-    "user_id BIGINT, product_type STRING, warranty_id STRING, answers BIGINT, care_add BIGINT, resp_add BIGINT, "
-    "last_question_at TIMESTAMP_NTZ, f STRUCT<lo: INT, hi: INT, d: INT>"
-)
+        read = receipts.select(*Y.KEY, F.col("notification_id").alias("id"), F.col("read_at").alias("at"))
+        rows = rows.unionByName(read.withColumns({"is_read": F.lit(None).cast("boolean"), "receipt": F.lit(True)}))
+    sinks.per_batch(rows, checkpoint, lambda batch, n: sinks.write_batch(batch, out, n))
 
 
-def follow_profiles(answers: DataFrame, warranties: DataFrame, out: str, checkpoint: str) -> None:
-    """Logs each batch's effect per profile; answers must arrive in order from batch to batch.
+def kept_notifications(spark, out: str) -> DataFrame:
+    """The notifications that are kept under the chained 7-day rule; reading one resets it."""
+    log = sinks.read_batches(spark, out, NOTE_SCHEMA).drop("batch_id")
+    notes = log.where(~F.col("receipt")).withColumnRenamed("at", "created_at").drop("receipt")
+    receipts = log.where("receipt").withColumnsRenamed({"at": "read_at", "id": "notification_id"})
+    receipts = None if receipts.isEmpty() else receipts
+    return Y.dedupe_chain(notes, Y.KEY, receipts=receipts).where("kept").drop("kept")
 
-    The state of a profile is four numbers and a clamped shift per batch that touched it, and a
-    batch folds a hot profile's answers in pieces like the batch job does.
-    """
 
-    def job(batch: DataFrame, n: int) -> None:
-        sinks.write_batch(B.answer_effects(batch, warranties), out, n)
+ANSWER_SCHEMA = "user_id BIGINT, product_type STRING, warranty_id STRING, id BIGINT, answer_value STRING, created_at TIMESTAMP_NTZ"
+
+
+def follow_profiles(answers: DataFrame, out: str, checkpoint: str) -> None:
+    """Logs answers; ``current_profiles`` folds them in the order of their times, however late they came.
 
-    sinks.per_batch(answers, checkpoint, job)
+    A batch writes its own rows only, so its cost doesn't grow with the log.
+    """
+    names = [c.split()[0] for c in ANSWER_SCHEMA.split(", ")]
+    sinks.per_batch(answers, checkpoint, lambda batch, n: sinks.write_batch(batch.select(*names), out, n))
 
 
-def current_profiles(spark, out: str) -> DataFrame:
-    effects = sinks.read_batches(spark, out, EFFECT_SCHEMA)
-    return B.profiles_from_effects(B.combine_effects(effects, "batch_id"))
+def current_profiles(spark, out: str, warranties: DataFrame) -> DataFrame:
+    return B.behaviour_profiles(sinks.read_batches(spark, out, ANSWER_SCHEMA).drop("batch_id"), warranties)
 
 
 def count_by_day(stream: DataFrame, item: str, time: str, out: str, checkpoint: str) -> None:
@@ -153,12 +140,15 @@ def alert_clusters(scored: DataFrame, out: str, checkpoint: str, as_of) -> None:
     """Alerts on brand and region groups with many HIGH profiles, at most one per group in 7 days.
 
     A batch of scored profiles replaces their earlier scores; the groups it touches are counted
-    again. The recipient of an alert is the group.
+    again. The recipient of an alert is the group. ``as_of`` is the time of the alerts, or a function
+    from a batch's number to it, so that the seven days pass in a stream that goes on; it must
+    give a repeated batch the same time.
     """
     spark = scored.sparkSession
     group = ["brand", "region_code"]
 
     def job(batch: DataFrame, n: int) -> None:
+        now = as_of(n) if callable(as_of) else as_of
         names = [c.split()[0] for c in SCORED_SCHEMA.split(", ")]
         sinks.write_batch(batch.select(*names), f"{out}/scores", n)
         seen = sinks.read_batches(spark, f"{out}/scores", SCORED_SCHEMA, before=n + 1)
@@ -174,10 +164,10 @@ def alert_clusters(scored: DataFrame, out: str, checkpoint: str, as_of) -> None:
             .withColumn("type", F.lit("oem_high_risk_cluster"))
             .withColumn("audience", F.lit("oem"))
             .withColumn("is_read", F.lit(False))
-            .withColumn("created_at", S.ts_lit(as_of))
+            .withColumn("created_at", S.ts_lit(now))
         )
         earlier = sinks.read_batches(spark, f"{out}/alerts", ALERT_SCHEMA, before=n)
-        sinks.write_batch(Y.new_against_existing(found, earlier, as_of), f"{out}/alerts", n)
+        sinks.write_batch(Y.new_against_existing(found, earlier, now), f"{out}/alerts", n)
 
     sinks.per_batch(scored, checkpoint, job)
 

@@ -67,6 +67,30 @@ def test_dedupe_chain(spark, seed):
     assert {r["id"] for r in out.where("kept").select("id").collect()} == want
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_receipts_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    hour = lambda h: START + timedelta(hours=h)
+    notes = [(rng.choice([None, "a", "b"]), hour(rng.randrange(24 * 30)), f"n{i:04d}", rng.random() < 0.2) for i in range(400)]
+    receipts = [(k, nid, at + timedelta(hours=rng.randrange(-5, 60))) for k, at, nid, _ in notes if rng.random() < 0.7]
+    want, state = set(), {}
+    steps = [(at, nid, 0, k, read) for k, at, nid, read in notes] + [(at, nid, 2, k, None) for k, nid, at in receipts]
+    for at, nid, kind, k, read in sorted(steps, key=lambda x: x[:3]):
+        last = state.get(k)
+        if kind == 2:
+            if last and last[0] == nid:
+                del state[k]
+        elif last is None or at - last[1] > timedelta(days=7):
+            want.add(nid)
+            if not read:
+                state[k] = (nid, at)
+    df = spark.createDataFrame(notes, "k STRING, created_at TIMESTAMP, id STRING, is_read BOOLEAN").withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+    read = spark.createDataFrame(receipts, "k STRING, notification_id STRING, read_at TIMESTAMP").withColumn("read_at", F.col("read_at").cast("timestamp_ntz"))
+    out = Y.dedupe_chain(df, ["k"], receipts=read)
+    assert out.count() == len(notes)
+    assert {r["id"] for r in out.where("kept").collect()} == want
+
+
 def test_dedupe_without_unread_keeps_all(spark):
     rows = [("a", START, "1", True), ("a", START, "2", True)]
     df = spark.createDataFrame(rows, "k STRING, created_at TIMESTAMP, id STRING, is_read BOOLEAN").withColumn(

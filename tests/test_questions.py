@@ -51,7 +51,7 @@ def test_scoped_question(spark):
     answers = [(pick(*range(25)), None, pick("fridge", "ac"), rng.randrange(30)) for _ in range(300)]
     pair = "user_id BIGINT, warranty_id STRING"
     none = spark.createDataFrame([], "warranty_id STRING, product_name STRING, model_code STRING")
-    profiles = spark.createDataFrame([], f"id BIGINT, {pair}, last_question_at TIMESTAMP_NTZ")
+    profiles = spark.createDataFrame([], f"id BIGINT, {pair}, product_type STRING, last_question_at TIMESTAMP_NTZ")
     got = B.scoped_question(
         spark.createDataFrame(asks, f"{pair}, brand STRING, model_code STRING, product_type STRING"),
         spark.createDataFrame(questions, "id BIGINT, weight DOUBLE, is_active INT, brand STRING, model_code STRING, product_type STRING"),
@@ -71,15 +71,17 @@ def test_scoped_question(spark):
 
 def test_cooldown(spark):
     pair = "user_id BIGINT, warranty_id STRING"
-    asks = spark.createDataFrame([(u, "w", "x", "m", "ac") for u in (1, 2, 3)], f"{pair}, brand STRING, model_code STRING, product_type STRING")
+    asks = spark.createDataFrame([(u, "w", "x", "m", "ac") for u in (1, 2, 3, 4)], f"{pair}, brand STRING, model_code STRING, product_type STRING")
     q = spark.createDataFrame([(1, 0.5, 1, None, None, None)], "id BIGINT, weight DOUBLE, is_active INT, brand STRING, model_code STRING, product_type STRING")
-    last = spark.createDataFrame([(1, 1, "w", "2024-01-24 00:00:00"), (2, 2, "w", "2024-01-24 00:00:01")], f"id BIGINT, {pair}, t STRING")
-    profiles = last.select("id", "user_id", "warranty_id", F.col("t").cast("timestamp_ntz").alias("last_question_at"))
+    asked = [(1, 1, "w", "ac", "2024-01-24 00:00:00"), (2, 2, "w", "ac", "2024-01-24 00:00:01"), (3, 4, "w", "fridge", "2024-01-30 00:00:00"), (4, 4, "w", None, "2024-01-30 00:00:00")]
+    last = spark.createDataFrame(asked, f"id BIGINT, {pair}, product_type STRING, t STRING")
+    # a profile of another product type, or of none, doesn't count
+    profiles = last.select("id", "user_id", "warranty_id", "product_type", F.col("t").cast("timestamp_ntz").alias("last_question_at"))
     got = B.scoped_question(
         asks, q, spark.createDataFrame([], f"{pair}, product_type STRING, question_id BIGINT"), profiles,
         spark.createDataFrame([], "warranty_id STRING, product_name STRING, model_code STRING"), "2024-01-31 00:00:00",
     )
-    assert sorted(r["user_id"] for r in got.collect()) == [1, 3]
+    assert sorted(r["user_id"] for r in got.collect()) == [1, 3, 4]
 
 
 def test_strict_and_wildcard_filters(spark):

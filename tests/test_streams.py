@@ -80,6 +80,18 @@ def test_late_rows_are_kept(spark, late_events, tmp_path, files):
         assert rows(got.select(*cols)) == rows(want.select(*cols))
 
 
+@pytest.mark.parametrize("files", [1, 3])
+def test_late_notifications_and_answers_count(spark, late_events, tmp_path, files):
+    d, out = DomainTables(spark, SMALL), str(tmp_path)
+    s = StreamedTables(spark, SMALL, "events", late_events, files_per_trigger=files)
+    J.keep_notifications(s.notification(), f"{out}/n", f"{out}/nc")
+    batch = Y.dedupe_chain(d.notification(), Y.KEY).where("kept").select("id")
+    assert rows(J.kept_notifications(spark, f"{out}/n").select("id")) == rows(batch)
+    J.follow_profiles(s.answer(), f"{out}/p", f"{out}/pc")
+    cols = [*B.PROFILE_KEY, "answers", "behaviour_h", "care_h", "resp_h"]
+    assert rows(J.current_profiles(spark, f"{out}/p", d.warranty()).select(*cols)) == rows(B.behaviour_profiles(d.answer(), d.warranty()).select(*cols))
+
+
 def test_only_a_missing_folder_is_empty(spark, tmp_path):
     assert sinks.read_batches(spark, str(tmp_path / "none"), "a INT").count() == 0
     (tmp_path / "bad" / "batch_id=0").mkdir(parents=True)
@@ -90,16 +102,16 @@ def test_only_a_missing_folder_is_empty(spark, tmp_path):
 
 def test_profiles_equal_batch(spark, split_events, tmp_path):
     d = DomainTables(spark, SMALL)
-    J.follow_profiles(tables(spark, split_events).answer(), d.warranty(), str(tmp_path / "o"), str(tmp_path / "c"))
+    J.follow_profiles(tables(spark, split_events).answer(), str(tmp_path / "o"), str(tmp_path / "c"))
     cols = [*B.PROFILE_KEY, "answers", "behaviour_h", "care_h", "resp_h"]
     batch = B.behaviour_profiles(d.answer(), d.warranty())
-    assert rows(J.current_profiles(spark, str(tmp_path / "o")).select(*cols)) == rows(batch.select(*cols))
+    assert rows(J.current_profiles(spark, str(tmp_path / "o"), d.warranty()).select(*cols)) == rows(batch.select(*cols))
 
 
 def test_notifications_equal_batch(spark, split_events, tmp_path):
     J.keep_notifications(tables(spark, split_events).notification(), str(tmp_path / "o"), str(tmp_path / "c"))
     batch = Y.dedupe_chain(DomainTables(spark, SMALL).notification(), Y.KEY).where("kept").select("id")
-    assert rows(spark.read.parquet(str(tmp_path / "o")).select("id")) == rows(batch)
+    assert rows(J.kept_notifications(spark, str(tmp_path / "o")).select("id")) == rows(batch)
 
 
 def test_receipt_resets_the_seven_days(spark, tmp_path):
@@ -124,7 +136,7 @@ def test_receipt_resets_the_seven_days(spark, tmp_path):
     notes = stream.where("kind = 'note'").withColumnRenamed("at", "created_at")
     receipts = stream.where("kind = 'read'").withColumnsRenamed({"at": "read_at", "id": "notification_id"})
     J.keep_notifications(notes, str(tmp_path / "o"), str(tmp_path / "c"), receipts)
-    got = sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "o")).collect())
+    got = sorted(r["id"] for r in J.kept_notifications(spark, str(tmp_path / "o")).collect())
     assert got == ["a", "c", "f", "g", "h"]
 
 
@@ -144,3 +156,7 @@ def test_alerts_are_sent_once(spark, tmp_path):
     J.alert_clusters(stream, str(tmp_path / "o"), str(tmp_path / "c"), "2024-01-31 00:00:00")
     got = sorted((r["brand"], r["high"], r["total"], r["batch_id"]) for r in J.alerts(spark, str(tmp_path / "o")).collect())
     assert got == [("a", 13, 21, 1), ("b", 3, 3, 2)]
+    # with a time for each batch the seven days pass
+    J.alert_clusters(stream, str(tmp_path / "o2"), str(tmp_path / "c2"), lambda n: datetime(2024, 1, 1) + timedelta(days=8 * n))
+    got = sorted((r["brand"], r["batch_id"]) for r in J.alerts(spark, str(tmp_path / "o2")).collect())
+    assert got == [("a", 1), ("a", 2), ("b", 2)]

@@ -149,6 +149,22 @@ def test_log_is_appended_by_day(spark, tmp_path):
     assert back.count() == 3 and back.where("event_date = DATE'2024-01-02'").count() == 2
 
 
+def test_a_repeated_run_replaces_its_rows(spark, tmp_path):
+    df = spark.createDataFrame([(1, "oemq_1", datetime(2024, 1, 1, 23)), (2, "b", datetime(2024, 1, 2, 1))], "id INT, question_id STRING, ts TIMESTAMP")
+    for run in ("r1", "r2", "r2", "r1"):
+        readers.append_log(df, str(tmp_path / "log"), "ts", run)
+        K.write_answers(df, str(tmp_path / "answers"), run)
+        W.export_summaries(df.select(F.lit("x").alias("summary")), str(tmp_path / "x"), "txt", run)
+    assert spark.read.parquet(str(tmp_path / "log")).where("event_date = DATE'2024-01-02'").count() == 2
+    assert spark.read.parquet(str(tmp_path / "answers")).groupBy("sink").count().collect().__len__() == 2
+    assert spark.read.parquet(str(tmp_path / "answers")).count() == 4 and spark.read.text(str(tmp_path / "x")).count() == 4
+
+
+def test_nudge_outcomes(spark):
+    got = {r.outcome: (r.acted_at, r.ignored_at) for r in N.nudge_events(spark.createDataFrame([("acted", 5), ("ignored", 6), ("shown", 7), (None, 8)], "outcome STRING, shown_at INT")).collect()}
+    assert got == {"acted": (5, None), "ignored": (None, 6), "shown": (None, None), None: (None, None)}
+
+
 def test_exports(spark, tmp_path):
     arts = spark.createDataFrame([(1, "i", "Brand: Acme\n")], "ref BIGINT, type STRING, content STRING")
     over = spark.createDataFrame([], "ref BIGINT, type STRING, product_name STRING, coverage_months INT")

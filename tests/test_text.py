@@ -99,15 +99,17 @@ def test_blocks_nest(spark):
     assert html_blocks.block_text(page, [".warranty"]) == "A b c d"
     assert html_blocks.block_text(page, [".none", "#terms"]) == "T&C"
     assert html_blocks.block_text(page, [".warrant"]) is None
+    # an attribute may be written with character references; all selectors are read in one pass
+    assert html_blocks.block_texts('<p class="war&#114;anty">x</p><p id="t">y</p>', [[".warranty"], ["#t"], []]) == ["x", "y", None]
     df = spark.createDataFrame([("Bosch", page), ("acme", page), (None, page), ("bosch", None)], "brand_hint STRING, html STRING")
     got = [(r["coverage_block"], r["terms_block"]) for r in W.oem_page_blocks(df).collect()]
     assert got == [("A b c d", None), (None, None), (None, None), (None, None)]
 
 
 def test_portal_artifact_text(spark):
-    df = spark.createDataFrame([("bosch", "M1", '<p class="warranty">Two\n years</p>')], "brand_hint STRING, model STRING, html STRING")
+    df = spark.createDataFrame([("bosch", "M1", "EU", '<p class="warranty">Two\n years</p>')], "brand_hint STRING, model STRING, region STRING, html STRING")
     text = W.portal_artifacts(df).first()["content"]
-    assert text.startswith("Brand: bosch\nModel: M1\nParsed: ") and '"coverage_block":"Two\\n years"' in text
+    assert text.startswith("Brand: bosch\nModel: M1\nRegion: EU\nParsed: ") and '"coverage_block":"Two\\n years"' in text
     assert text.endswith('<p class="warranty">Two years</p>')
 
 
