@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from conftest import SMALL
-from covermill.llm import bpe, chat_format, decontaminate, html_content, language_id, line_dedup, quality_rules, queries, simhash, token_counts, token_files
+from covermill.llm import bpe, chat_format, decontaminate, html_content, language_id, line_dedup, near_copies, quality_rules, queries, simhash, token_counts, token_files
 from covermill.llm.components import components
 from covermill.llm.library_tokens import tokenizer_path
 from covermill.llm.pieces import safe_chunks, safe_pieces
@@ -355,3 +355,33 @@ def test_digest_queries(spark, small, library):
         ids = [*library_ids(library, texts[r.doc_id]), 0]
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
         start += len(ids)
+
+
+def test_near_copies_reach_the_similarity(spark):
+    random.seed(8)
+    texts = []
+    for _ in range(12):
+        base = [f"w{random.randrange(5000)}" for _ in range(200)]
+        texts.append(" ".join(base))
+        for edits in (1, 3, 4, 6, 9):  # similarity 0.95 to 0.6
+            copy = list(base)
+            for p in random.sample(range(200), edits):
+                copy[p] = f"x{random.randrange(5000)}"
+            texts.append(" ".join(copy))
+    texts += ["", " \n", "one two", "One  two", "one two three"]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (t.lower().split() for t in texts)]
+    label = list(range(len(texts)))
+    for _ in range(8):
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if len(a & b) >= 0.8 * len(a | b):
+                    label[i] = label[j] = min(label[i], label[j])
+    rows = [*enumerate(texts), (200, texts[3]), (None, texts[7]), (5, texts[5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(set(label) - {label[7]})
+    for crowd in (2, 32):
+        kept = [r.doc_id for r in near_copies.drop_near_copies(docs, crowd=crowd).collect()]
+        assert sorted(x for x in kept if x is not None) == want and kept.count(None) == 1
+    one = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs.where("doc_id < 200"), SMALL).collect()]
+    assert sorted(one) == sorted(set(label))
+    assert near_copies.drop_near_copies(empty(docs)).count() == 0
