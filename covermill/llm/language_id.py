@@ -2,9 +2,10 @@
 
 For each language a suffix automaton of labelled text recognises every substring of that text. A text is
 parsed into phrases: from where the last one ended, the longest match in the automaton, one character
-at least. The language whose automaton needs the fewest phrases, weighted by what a phrase costs it,
-explains the text best (Ziv-Merhav cross entropy). Phrases end with words, so a word's phrases are
-counted once per cache generation.
+at least. The language whose automaton needs the fewest phrases explains the text best (Ziv-Merhav
+cross entropy): a phrase costs the logarithm of the longest training text, the same in all languages, so
+a language with little text only needs more phrases. Phrases end with words, so a word's phrases
+are counted once per cache generation.
 """
 
 from __future__ import annotations
@@ -76,12 +77,11 @@ def phrases(step: list[dict[str, int]], word: str) -> int:
 
 
 class Model:
-    """The automata of all languages, and what a phrase costs each: the logarithm of its text's length."""
+    """The automata of all languages. A phrase costs all of them the same, so their numbers of phrases compare."""
 
     def __init__(self, samples: list[tuple[str, str]]):
         self.languages = [lang for lang, _ in samples]
         self.automata = [suffix_automaton(text) for _, text in samples]
-        self.costs = np.array([np.log2(max(2, len(text))) for _, text in samples])
         self.words = RecentCache(200_000)
 
     def _parse(self, words: list[str]) -> list[tuple[int, ...]]:
@@ -95,7 +95,7 @@ class Model:
                 out.append((UNKNOWN, 0.0))
                 continue
             self.words.fill(set(words), self._parse)
-            needed = np.array(list(map(self.words.__getitem__, words))).sum(axis=0) * self.costs
+            needed = np.array(list(map(self.words.__getitem__, words))).sum(axis=0)
             order = np.argsort(needed, kind="stable")
             best, second = needed[order[0]], needed[order[1]] if len(order) > 1 else np.inf
             out.append((self.languages[order[0]], float(1 - best / second)))

@@ -385,3 +385,15 @@ def test_near_copies_reach_the_similarity(spark):
     one = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs.where("doc_id < 200"), SMALL).collect()]
     assert sorted(one) == sorted(set(label))
     assert near_copies.drop_near_copies(empty(docs)).count() == 0
+
+
+def test_little_text_wins_nothing(small):
+    rows = small.where(F.length("text") > 200).select("lang", "text").collect()
+    held, learned = rows[::4], [r for i, r in enumerate(rows) if i % 4]
+    by_lang = {}
+    for r in learned:
+        by_lang.setdefault(r.lang, []).append(r.text)
+    samples = [(name, language_id.training_text(texts, language_id.SAMPLE_CHARS)) for name, texts in sorted(by_lang.items())]
+    for rare in (" a", " ok", " ja und nein", " this is a page"):
+        got = language_id.Model([("aa", rare), *samples]).predict([r.text for r in held])
+        assert sum(x == r.lang for (x, _), r in zip(got, held, strict=True)) >= 0.97 * len(held)
