@@ -23,8 +23,8 @@ from covermill.llm.pieces import RecentCache, one_per_worker, slices_by_bytes
 
 #: The bounded sample that the automata are built of: documents per language, and characters of words.
 SAMPLE_DOCUMENTS, SAMPLE_CHARS = 200, 60_000
-#: Languages that are learned, the most frequent ones first.
-MAX_LANGUAGES = 64
+#: Characters of all languages together; beyond so many languages each has an equal share of them.
+TOTAL_CHARS = 64 * SAMPLE_CHARS
 UNKNOWN = "und"
 
 _RUN = regex.compile(r"[\p{L}\p{M}]+")
@@ -135,16 +135,18 @@ def training_text(texts: list[str], chars: int) -> str:
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_documents: int = SAMPLE_DOCUMENTS, sample_chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
     """Training text per language from a bounded sample: the first documents of each language in order of a hash.
 
-    Rows with a null text or language teach nothing. The driver holds at most ``MAX_LANGUAGES`` times
-    ``sample_chars`` characters.
+    Every language is learned; rows with a null text or language teach nothing. Beyond ``TOTAL_CHARS``
+    divided by ``sample_chars`` languages, each gets an equal share of ``TOTAL_CHARS``, 200 characters at least.
     """
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    common = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
+    languages = rows.select("lang").distinct().count()
+    sample_chars = max(200, min(sample_chars, TOTAL_CHARS // max(1, languages)))
+    sample_documents = max(1, min(sample_documents, sample_chars // 200))
     # ranked by hash alone, so that no text is moved before it is chosen
     chosen = first_rows_per_key(rows.select("lang", F.xxhash64("text").alias("h")).distinct(), ["lang"], [F.col("h")], sample_documents)
     share = 4 * max(200, sample_chars // sample_documents)
-    # MAX_LANGUAGES times sample_documents pairs of a name and a number at most
-    chosen = F.broadcast(chosen.where(F.col("lang").isin(common)))
+    # pairs of a name and a number, TOTAL_CHARS / 200 at most, or one per language
+    chosen = F.broadcast(chosen)
     picked = rows.select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, share).alias("text")).join(chosen, ["lang", "h"], "left_semi").distinct()
     by_lang: dict[str, list] = {}
     for r in picked.orderBy("lang", "h").collect():

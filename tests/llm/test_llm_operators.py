@@ -397,3 +397,12 @@ def test_little_text_wins_nothing(small):
     for rare in (" a", " ok", " ja und nein", " this is a page"):
         got = language_id.Model([("aa", rare), *samples]).predict([r.text for r in held])
         assert sum(x == r.lang for (x, _), r in zip(got, held, strict=True)) >= 0.97 * len(held)
+
+
+def test_every_language_is_learned(spark):
+    letters = [chr(0x4E00 + 40 * i) for i in range(80)]
+    docs = spark.createDataFrame([(c * 3 + f" {c}x", f"l{i:02}") for i, c in enumerate(letters) for _ in range(1 + (i < 64))], "text string, lang string")
+    samples = language_id.learn(docs)
+    assert [name for name, _ in samples] == [f"l{i:02}" for i in range(80)]
+    got = language_id.with_language(docs.distinct(), samples).collect()
+    assert all(r.lang_pred == r.lang for r in got)
