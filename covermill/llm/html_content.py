@@ -3,13 +3,14 @@
 A page is read as a sequence of words and tags. Words score positive, tags negative, with weights by
 where a word stands and what a tag is, learned from pages whose authors marked the main content. One
 linear scan finds the contiguous run of the highest sum. Inside it, elements that are never content
-(menus, forms, adverts, comments ...) are left out.
+(menus, forms, adverts, comments ...) are left out, unless they hold the page's content.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,13 +32,16 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
-#: Elements that are never main content, and words in a class, id or role that say so.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that are never main content, and words that say so as a whole class, id or role of a block.
+#: As a part of such a name they only lower the score of what the block holds.
 NEVER = frozenset("head nav footer aside form script style noscript template svg math button select option textarea iframe dialog menu object canvas audio video map datalist".split())
 NEVER_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent notice notices alert popup modal overlay "
     "comment comments reply replies disqus nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager sidebar widget widgets footer header masthead toolbar "
     "share sharing social related recommended newsletter subscribe subscription signup login search copyright complementary contentinfo hidden".split()
 )
+_INSIDE_WORDS = NEVER_WORDS - {"header"}
 _CLOSED_BY_BLOCK = frozenset(("p",))
 _CLOSED_BY_SAME = frozenset("li dt dd tr td th option p".split())
 
@@ -49,84 +53,154 @@ _NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
 _SPLIT_NAME = re.compile(r"[^a-z]+")
 
-WORD, TAG, SKIPPED = 0, 1, 2
+WORD, TAG, SKIPPED, DOUBTFUL = 0, 1, 2, 3
+#: What a name says of its block.
+NOTHING, DOUBT, HIDE = 0, 1, 2
 
 
-def _names(rest: str) -> tuple[str, bool]:
-    """The first class of a tag and whether its class, id or role says that it's no content."""
-    first, never = "", bool(_HIDDEN.search(rest))
+def _names(name: str, rest: str, inside: bool) -> tuple[str, int]:
+    """The first class of a tag, and what its class, id or role says of it: HIDE, DOUBT or NOTHING.
+
+    A header inside the main content is its title.
+    """
+    words = _INSIDE_WORDS if inside else NEVER_WORDS
+    first, says = "", HIDE if _HIDDEN.search(rest) else NOTHING
     for kind, value in _NAMED.findall(rest):
         value = html.unescape(value.strip("\"'")).lower()
         if kind.lower() == "class" and not first:
             first = (value.split() or [""])[0]
-        never = never or not NEVER_WORDS.isdisjoint(_SPLIT_NAME.split(value))
-    return first, never
-
+        if name in INLINE or name in HEADINGS:
+            continue
+        if not words.isdisjoint(value.split()):
+            says = HIDE
+        elif says == NOTHING and not words.isdisjoint(_SPLIT_NAME.split(value)):
+            says = DOUBT
+    return first, says
 
-def tokens(page: str) -> Iterator[tuple[int, str, str, bool, bool]]:
-    """(kind, feature, text, whether a block ends before it, whether it is inside a label) in page order.
 
-    A word token is one text node with its context, ``element.class`` of the nearest block with ``>a`` inside
-    a link; a tag token is an opening tag. What is never content is one token for the whole element.
-    """
-    stack: list[tuple[str, str, bool]] = []  # name, context, never content
-    labels = links = never = 0
-    context = "body"
-    broken = True
+def _walk(page: str) -> Iterator[tuple[str, str, str, int]]:
+    """(event, name or text, attributes, place) in page order: ``text``, ``open``, ``void``, ``close`` per element, ``break`` of a line."""
+    stack: list[str] = []
     at = 0
-
-    def pop(k: int) -> None:
-        nonlocal labels, links, never, context
-        for name, _, hidden in stack[k:]:
-            labels -= name in LABELS
-            links -= name == "a"
-            never -= hidden
-        del stack[k:]
-        context = next((c for _, c, _ in reversed(stack) if c), "body")
-
     for m in [*_TOKEN.finditer(page), None]:
         text = page[at : m.start()] if m else page[at:]
-        if text and not never:
-            yield WORD, context + ">a" * (links > 0), text, broken, labels > 0
-            broken = False
+        if text:
+            yield "text", text, "", at
         if m is None:
-            return
+            break
         at = m.end()
         name = (m["name"] or "").lower()
         if not name:
             continue
         if name not in INLINE:
-            broken = True
+            yield "break", "", "", at
+        closed = len(stack)
+        if m["end"]:
+            closed = next((k for k in range(len(stack) - 1, -1, -1) if stack[k] == name), closed)
+        elif name not in INLINE and name not in VOID and not m["rest"].endswith("/"):
+            near = range(len(stack) - 1, max(-1, len(stack) - 4), -1)
+            closed = next((k for k in near if stack[k] in _CLOSED_BY_BLOCK or (stack[k] == name and name in _CLOSED_BY_SAME)), closed)
+        while len(stack) > closed:
+            yield "close", stack.pop(), "", at
         if m["end"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    pop(k)
-                    break
             continue
-        first, hidden = _names(m["rest"]) if m["rest"] else ("", False)
-        # a header inside the main content is its title
-        hidden = hidden or name in NEVER or (name == "header" and not labels)
         if name in VOID or m["rest"].endswith("/"):
+            yield "void", name, m["rest"], at
+        else:
+            yield "open", name, m["rest"], at
+            stack.append(name)
+    while stack:
+        yield "close", stack.pop(), "", at
+
+
+def _spared(events: list[tuple[str, str, str, int]]) -> set[int]:
+    """The places of elements that hold the page's content whatever their names say.
+
+    Those are elements around an article or main, unless another of more words stands outside; in a page
+    without, blocks and forms of more than half of its words.
+    """
+    found: list[tuple[int, str, int, int, int, int]] = []  # place, name, first and last event, words, words of the largest label inside
+    stack: list[list] = []
+    words = dark = 0
+    for k, (event, name, _, at) in enumerate(events):
+        if event == "text" and not dark:
+            words += len(name.split())
+        elif event == "open":
+            stack.append([at, name, k, words, -1])
+            dark += name in ("head", "noscript", "template")
+        elif event == "close":
+            start, name, first, before, largest = stack.pop()
+            dark -= name in ("head", "noscript", "template")
+            found.append((start, name, first, k, words - before, largest))
+            if stack:
+                stack[-1][4] = max(stack[-1][4], largest, words - before if name in LABELS else -1)
+    marked = [x for x in found if x[1] in LABELS]
+    if not marked:
+        return {start for start, name, _, _, n, _ in found if 2 * n > words and (name == "form" or name not in NEVER) and name != "header"}
+    # the most words of labels that end before, or begin after, an event
+    ends, starts = sorted((x[3], x[4]) for x in marked), sorted(((x[2], x[4]) for x in marked), reverse=True)
+    upto, after = np.maximum.accumulate([n for _, n in ends]), np.maximum.accumulate([n for _, n in starts])
+    end_at, start_at = [k for k, _ in ends], [-k for k, _ in starts]
+    out = set()
+    for start, _, first, last, _, largest in found:
+        before, behind = bisect_left(end_at, first), bisect_left(start_at, -last)
+        outside = max(upto[before - 1] if before else 0, after[behind - 1] if behind else 0)
+        if largest >= outside:  # it is -1 without a label inside
+            out.add(start)
+    return out
+
+
+def tokens(page: str) -> Iterator[tuple[int, str, str, bool, bool]]:
+    """(kind, feature, text, whether a block ends before it, whether it is inside a label) in page order.
+
+    A word token is one text node with its context, ``element.class`` of the nearest block with ``>a`` inside
+    a link; a tag token is an opening tag. What is never content is one token for the whole element.
+    """
+    events = list(_walk(page))
+    spared: set[int] | None = None
+    stack: list[tuple[str, str, bool, bool]] = []  # name, context, never content, doubtful
+    contexts = ["body"]
+    labels = links = never = doubts = 0
+    broken = True
+    for event, name, rest, at in events:
+        if event == "break":
+            broken = True
+        elif event == "text":
+            if not never:
+                yield DOUBTFUL if doubts and not labels else WORD, contexts[-1] + ">a" * (links > 0), name, broken, labels > 0
+                broken = False
+        elif event == "close":
+            _, block, hidden, doubt = stack.pop()
+            labels -= name in LABELS
+            links -= name == "a"
+            never -= hidden
+            doubts -= doubt
+            if block:
+                contexts.pop()
+        elif event == "void":
             if not never:
                 yield TAG, name, "", broken, labels > 0
-            continue
-        if name not in INLINE:
-            for k in range(len(stack) - 1, max(-1, len(stack) - 4), -1):
-                if stack[k][0] in _CLOSED_BY_BLOCK or (stack[k][0] == name and name in _CLOSED_BY_SAME):
-                    pop(k)
-                    break
-        if name not in LABELS:
-            if hidden and not never:
-                yield SKIPPED, name, "", broken, labels > 0
-            elif not never:
-                yield TAG, f"{name}.{first}" if first else name, "", broken, labels > 0
-        hidden = hidden and name not in ("html", "body", *LABELS)
-        block = "" if name in INLINE or name in LABELS else (f"{name}.{first}" if first else name)
-        stack.append((name, block, hidden))
-        labels += name in LABELS
-        links += name == "a"
-        never += hidden
-        context = block or context
+        else:
+            first, says = _names(name, rest, labels > 0) if rest else ("", NOTHING)
+            if name in NEVER or (name == "header" and not labels):
+                says = HIDE
+            if name in ("html", "body", *LABELS):
+                says = NOTHING
+            if says != NOTHING and not never and name != "head":
+                spared = _spared(events) if spared is None else spared
+                says = NOTHING if at in spared else says
+            hidden, doubt = says == HIDE, says == DOUBT
+            feature = f"{name}.{first}" if first else name
+            if name not in LABELS and not never:
+                yield (SKIPPED, name, "", broken, labels > 0) if hidden else (TAG, feature, "", broken, labels > 0)
+            block = "" if name in INLINE or name in LABELS else feature
+            stack.append((name, block, hidden, doubt))
+            labels += name in LABELS
+            links += name == "a"
+            never += hidden
+            doubts += doubt
+            if block:
+                contexts.append(block)
 
 
 def _plain(feature: str) -> str:
@@ -139,6 +213,8 @@ def count_features(page: str) -> Counter:
     """(kind, feature, inside) counts of a page with marked content; words count each."""
     counts: Counter = Counter()
     for kind, feature, text, _, inside in tokens(page):
+        if kind == DOUBTFUL:
+            continue
         n = len(text.split()) if kind == WORD else 1
         for f in {feature, _plain(feature)}:
             counts[kind, f, inside] += n
@@ -165,6 +241,10 @@ def main_text(page: str, weights: dict[tuple[int, str], float]) -> str:
             n = len(text.split())
             weight = weights.get((WORD, feature), weights.get((WORD, _plain(feature)), 0.5))
             score = weight * n
+        elif kind == DOUBTFUL:
+            text = html.unescape(text)
+            n, weight = len(text.split()), 1.0
+            score = -0.5 * n
         else:
             n, weight = 0, -1.0
             score = -0.5 if kind == SKIPPED else weights.get((TAG, feature), weights.get((TAG, _plain(feature)), -0.2))

@@ -406,3 +406,16 @@ def test_every_language_is_learned(spark):
     assert [name for name, _ in samples] == [f"l{i:02}" for i in range(80)]
     got = language_id.with_language(docs.distinct(), samples).collect()
     assert all(r.lang_pred == r.lang for r in got)
+
+
+def test_html_names_hide_no_content(spark):
+    weights = html_content.learn(spark.read.parquet(f"{SMALL}/pages.parquet"))
+    story = "<p>One two three four five six.</p><p>Seven eight nine ten.</p>"
+    want = "One two three four five six. Seven eight nine ten."
+    for name in ("has-sidebar", "no-sidebar", "header-fixed", "menu-open", "search-page", "sidebar", "search"):
+        for inner in (f"<article>{story}</article>", f"<main><div class='{name}'>{story}</div></main>" if "-" in name else story):
+            assert html_content.main_text(f'<nav>a b</nav><div class="x {name}">{inner}</div><footer>c</footer>', weights) == want
+    assert html_content.main_text(f"<form>{story}<select><option>q</select></form>", weights) == want
+    inside = f'<article><div class="article-header"><h1>Title</h1></div><h2 id="related-work">Old</h2><h2 id="search-algorithms">New</h2>{story}<div class="ad">buy</div></article>'
+    assert html_content.main_text(inside, weights) == f"Title Old New {want}"
+    assert html_content.main_text(f'<article>{story}</article><div id="comments"><article>I disagree</article></div>', weights) == want
