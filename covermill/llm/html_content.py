@@ -2,8 +2,9 @@
 
 A page is read as a sequence of words and tags. Words score positive, tags negative, with weights by
 where a word stands and what a tag is, learned from pages whose authors marked the main content. One
-linear scan finds the contiguous run of the highest sum. Inside it, elements that are never content
-(menus, forms, adverts, comments ...) are left out, unless they hold the page's content.
+linear scan finds the contiguous run of the highest sum; the weights decide no more than where it begins
+and ends. Inside it, elements that are never content (menus, forms, adverts, comments ...) are left out,
+unless they hold the page's content.
 """
 
 from __future__ import annotations
@@ -216,6 +217,8 @@ def count_features(page: str) -> Counter:
         if kind == DOUBTFUL:
             continue
         n = len(text.split()) if kind == WORD else 1
+        if not n:
+            continue  # white space says nothing of where it stands
         for f in {feature, _plain(feature)}:
             counts[kind, f, inside] += n
     return counts
@@ -233,34 +236,29 @@ def learn_weights(counts: dict[tuple[int, str, bool], int]) -> dict[tuple[int, s
 def main_text(page: str, weights: dict[tuple[int, str], float]) -> str:
     """The text of the best run: character references decoded, white space in blocks as one space, blocks joined by one."""
     best, run = 0.0, 0.0
-    parts: list[tuple[str, bool, bool]] = []  # text, block ends before, content
+    parts: list[tuple[str, bool]] = []  # text, block ends before
     start = first = last = 0
     for kind, feature, text, broken, _ in tokens(page):
         if kind == WORD:
             text = html.unescape(text)
-            n = len(text.split())
-            weight = weights.get((WORD, feature), weights.get((WORD, _plain(feature)), 0.5))
-            score = weight * n
+            score = len(text.split()) * weights.get((WORD, feature), weights.get((WORD, _plain(feature)), 0.5))
         elif kind == DOUBTFUL:
             text = html.unescape(text)
-            n, weight = len(text.split()), 1.0
-            score = -0.5 * n
+            score = -0.5 * len(text.split())
         else:
-            n, weight = 0, -1.0
             score = -0.5 if kind == SKIPPED else weights.get((TAG, feature), weights.get((TAG, _plain(feature)), -0.2))
         # blanks between elements separate, but neither begin nor end a run
         if run <= 0:
             run, start = 0.0, len(parts)
         run += score
-        parts.append((text, broken, n == 0 or weight > 0))
+        parts.append((text, broken))
         if run > best:
             best, first, last = run, start, len(parts)
     out = []
-    for text, broken, content in parts[first:last]:
+    for text, broken in parts[first:last]:
         if broken:
             out.append(" ")
-        if content:
-            out.append(text)
+        out.append(text)
     return " ".join("".join(out).split())
 
 

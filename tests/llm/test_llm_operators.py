@@ -419,3 +419,20 @@ def test_html_names_hide_no_content(spark):
     inside = f'<article><div class="article-header"><h1>Title</h1></div><h2 id="related-work">Old</h2><h2 id="search-algorithms">New</h2>{story}<div class="ad">buy</div></article>'
     assert html_content.main_text(inside, weights) == f"Title Old New {want}"
     assert html_content.main_text(f'<article>{story}</article><div id="comments"><article>I disagree</article></div>', weights) == want
+
+
+def test_html_run_is_whole():
+    menu = "<ul>\n<li><a>Home</a></li>\n<li><a>News</a></li>\n</ul>\n"
+    sample = f"<body>\n<div>\n{menu}</div>\n<article>\n<p>one two three four five six seven eight nine ten</p>\n<p>more <a>words</a> here</p>\n</article>\n<table>\n<tr>\n<td>x</td>\n</tr>\n</table>\n</body>"
+    counts = html_content.Counter()
+    for _ in range(30):
+        counts.update(html_content.count_features(sample))
+    weights = html_content.learn_weights(counts)
+    assert all(n for n in counts.values())
+    p = "<p>This is a long paragraph of plain words that stands there for its score alone.</p>"
+    text = "This is a long paragraph of plain words that stands there for its score alone."
+    parts = ("bare text", "<div>bare in a block</div>", "<ul>\n<li>an item</li>\n<li><a>linked item</a></li>\n</ul>", "<table>\n<tr>\n<td>cell</td>\n</tr>\n</table>", "<p>see <a>this link</a> now</p>")
+    for part in parts:
+        plain = " ".join(re.sub("<[^>]*>", "", part).split())
+        got = html_content.main_text(f"<body>\n{menu}<article>\n{p}\n{part}\n{p}\n</article>\n{menu}</body>", weights)
+        assert got == f"{text} {plain} {text}"
