@@ -200,6 +200,6 @@ def leaked_pairs(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The documents that hold no item, with the columns they came with."""
-    found = with_leaks(docs, benchmark, text, **options)
-    return found.where(F.size("leaks") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that hold no item, with the columns they came with, whatever their names."""
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("held"), F.col(text).alias("text"))
+    return with_leaks(held, benchmark, "text", **options).where(F.size("leaks") == 0).select("held.*")

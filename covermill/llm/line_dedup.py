@@ -31,7 +31,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
 
     Lines are split at line feeds; a null or empty text is one empty line. A key of fewer than
     ``min_chars`` code points is never dropped. Adds ``n_lines``, ``n_dropped`` and ``kept_text`` and
-    keeps all other columns and every row. Rows that share an id are one document; rows with a null id
+    keeps all other columns, whatever their names, and every row. Rows that share an id are one document; rows with a null id
     are one document too, the smallest. A document whose lines are all dropped gets an empty text.
     """
     spark = docs.sparkSession
@@ -51,14 +51,16 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
     last = F.coalesce(F.col("_id") == F.col("_last"), F.col("_id").isNull() & F.col("_last").isNull())
     dropped = long.join(shared, ["a", "b"]).where(~last).groupBy("_id", "_row").agg(F.collect_set("_pos").alias("_drop"))
 
-    keyed = docs.withColumns({"_row": F.xxhash64(body), "_cut": F.split(body, "\n", -1)})
+    # the input's columns travel as one, so that no name of theirs meets one of these; lines are cut again behind the join
+    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped", "kept_text")]
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_held"), *row)
     back = dropped.select(F.col("_id").alias("_drop_id"), F.col("_row").alias("_drop_row"), "_drop")
-    joined = keyed.join(back, F.col(doc_id).eqNullSafe(F.col("_drop_id")) & (F.col("_row") == F.col("_drop_row")), "left")
+    joined = keyed.join(back, F.col("_id").eqNullSafe(F.col("_drop_id")) & (F.col("_row") == F.col("_drop_row")), "left")
+    joined = joined.withColumn("_body", F.coalesce(F.col("_held")[text], F.lit(""))).withColumn("_cut", F.split("_body", "\n", -1))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_cut") - 1), "_drop"), lambda i: F.get("_cut", i))
-    return joined.withColumns(
-        {
-            "n_lines": F.size("_cut").cast("long"),
-            "n_dropped": F.coalesce(F.size("_drop"), F.lit(0)).cast("long"),
-            "kept_text": F.when(F.col("_drop").isNull(), body).otherwise(F.array_join(kept, "\n")),
-        }
-    ).drop("_row", "_cut", "_drop_id", "_drop_row", "_drop")
+    return joined.select(
+        "_held.*",
+        F.size("_cut").cast("long").alias("n_lines"),
+        F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(F.col("_drop").isNull(), F.col("_body")).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
+    )

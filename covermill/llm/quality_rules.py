@@ -193,5 +193,6 @@ def with_quality(df: DataFrame, text: str = "text", lang: str | None = None, ban
 
 
 def keep_good(df: DataFrame, text: str = "text", lang: str | None = None, bands: dict | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
-    """The rows that pass, with the columns they came with."""
-    return with_quality(df, text, lang, bands, vocabulary).where("kept").select(*[F.col(f"`{c}`") for c in df.columns])
+    """The rows that pass, with the columns they came with, whatever their names."""
+    held = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("held"), F.col(text).alias("text"), (F.col(lang) if lang else F.lit(None).cast("string")).alias("lang"))
+    return with_quality(held, "text", "lang" if lang else None, bands, vocabulary).where("kept").select("held.*")

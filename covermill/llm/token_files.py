@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -176,6 +177,26 @@ def read_token_files(spark: SparkSession, path: str, doc_ids: list[int] | None =
     return located.mapInArrow(_frames(dictionary), "doc_id long, start long, n_tokens long, ids binary")
 
 
+_LISTED: list[list[str]] = []
+
+
 def new_folder(spark: SparkSession, kind: str) -> str:
     """A folder of its own below the shared one, for one run."""
-    return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    for made in _LISTED:
+        made.append(folder)
+    return folder
+
+
+@contextmanager
+def folders_removed(spark: SparkSession) -> Iterator[None]:
+    """Removes the folders that ``new_folder`` gave inside; for work whose result is written before the end."""
+    made: list[str] = []
+    _LISTED.append(made)
+    try:
+        yield
+    finally:
+        _LISTED.remove(made)
+        for folder in made:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

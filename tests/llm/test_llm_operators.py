@@ -331,12 +331,13 @@ def test_pipeline(spark, small, library):
     rows = corpus_pipeline.run(spark, SMALL).collect()
     docs = [(r.doc_id, r.text) for r in quality_rules.with_quality(small).where("kept").collect()]
     docs = [(i, text) for i, _, _, text in slow_dedup(docs)]
-    prints = [(i, t, slow_fingerprint(t)) for i, t in sorted(docs)]
+    words = [(i, t, re.findall(r"[^\x20\x09-\x0d]+", "".join(c.lower() if c.isascii() else c for c in t))) for i, t in sorted(docs)]
+    prints = [(i, t, {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()) for i, t, w in words]
     group = {i: i for i, _, _ in prints}
     for _ in range(4):
         for i, _, a in prints:
             for j, _, b in prints:
-                if (a ^ b).bit_count() <= 3:
+                if len(a & b) >= 0.8 * len(a | b):
                     group[i] = group[j] = min(group[i], group[j])
     bench = decontaminate.SeedIndex([(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()], decontaminate.MIN_TILE)
     hashes = decontaminate.WordHashes()
@@ -344,6 +345,59 @@ def test_pipeline(spark, small, library):
     assert {r.doc_id: r.ids for r in rows} == want and all(r.round_trip and r.n_tokens == len(r.ids) for r in rows)
 
 
+def test_pipeline_stages_with_odd_rows(spark, odd, tmp_path):
+    """An empty table, and columns named as what the stages work with, go through the whole pipeline."""
+    good = " ".join(f"{w} word" for w in "the of and to in that is was for on are with as his they at be this from have".split())
+    names = "row held text2 leaks script kept lang2 n_lines n_dropped kept_text _row _cut _drop _id __row __measures f bands label g ids decoded".split()
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    rows = [(i, t, "en", "s", 1, *names) for i, t in enumerate([*ODD, f"{good}\nanother line of its own {good.upper()}", None])]
+    df = spark.createDataFrame(rows, schema)
+    for name, part in (("all", df), ("none", df.where("false"))):
+        part.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(1, "an item of words that nobody has seen before"), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        for stage_name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, f"{tmp_path}/{name}")
+            assert out.columns == df.columns, stage_name
+            assert all(tuple(r)[5:] == tuple(names) for r in out.collect())
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert len(got) == sum(1 for r in quality_rules.with_quality(part.select("doc_id", "text")).where("kept").collect())
+
+
+def test_crowds_lose_no_link(spark):
+    """A template that hundreds share: planted pairs at 0.80, all others just below."""
+    random.seed(5)
+    template = [f"t{i}" for i in range(404)]
+    rows = []
+    for k in range(150):
+        own = [f"p{k}x{i}" for i in range(4)]
+        for side in range(2):
+            rows.append((len(rows), " ".join([*template, *own, *[f"s{k}y{side}z{i}" for i in range(47)]])))
+    sets = [set(near_copies.shingles(t.encode()).tolist()) for _, t in rows]
+    j = lambda a, b: len(a & b) / len(a | b)
+    assert all(j(sets[2 * k], sets[2 * k + 1]) >= 0.8 for k in range(150)) and j(sets[0], sets[2]) < 0.8
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for crowd in (8, 256):
+        label = {r.doc_id: r.label for r in near_copies.near_copies(docs, crowd=crowd).collect()}
+        linked = sum(label[2 * k] == label[2 * k + 1] for k in range(150))
+        assert linked == 150 and len(set(label.values())) == 150
+
+
+def test_links_of_a_group():
+    random.seed(4)
+    for _ in range(200):
+        pool = np.arange(random.choice([5, 30, 200]), dtype=np.uint64)
+        sets = [np.unique(np.array(random.sample(pool.tolist(), random.randint(0, len(pool))), dtype=np.uint64)) for _ in range(random.randint(0, 30))]
+        least = random.choice([0.2, 0.5, 0.8])
+        want, got = list(range(len(sets))), list(range(len(sets)))
+        pairs = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and (len(np.union1d(a, b)) == 0 or len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= least)]
+        for label, links in ((want, pairs), (got, near_copies.links_of(sets, least))):
+            for i, j in links:
+                x, y = label[i], label[j]
+                label[:] = [min(x, y) if v in (x, y) else v for v in label]
+        assert got == want
+
+
 def test_digest_queries(spark, small, library):
     texts = {r.doc_id: r.text for r in small.collect()}
     for r in queries.op4_bpe(spark, SMALL).collect():
