@@ -78,7 +78,7 @@ class BacktrackingBpe:
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) or r"(?!)")
         self.pretokens = regex.compile(_PRETOKEN)
         self.compatible: dict[int, bool] = {}
-        self.cache_first, self.cache_later, self.cache_words = RecentCache(30_000), RecentCache(200_000), RecentCache(150_000)
+        self.cache_first, self.cache_later, self.cache_words = RecentCache(20_000), RecentCache(100_000), RecentCache(80_000)
         self._make_decoder(vocab, {x: b for b, x in enumerate(letters)})
 
     def _make_decoder(self, vocab: dict[str, int], byte_of: dict[str, int]) -> None:
