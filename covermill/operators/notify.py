@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import uuid
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from covermill import constants as C
 from covermill.functions import scalars as S
 from covermill.functions.scalars import PAIR
 from covermill.functions.topk import first_rows_per_key
-from covermill.session import ensure_checkpoint_dir, shared_dir
+from covermill.session import shared_dir
 
 KEY = ["user_id", "warranty_id", "type", "audience"]
 _EPOCH = "TIMESTAMP_NTZ'1970-01-05 00:00:00'"
@@ -32,6 +31,53 @@ def _week(ts: Column, days: int) -> Column:
     return F.floor(F.timestamp_diff("SECOND", F.expr(_EPOCH), ts) / (days * 86400)).cast("int")
 
 
+#: Events of a key that are looked through for a successor at once: those of one slot of time.
+_SLOT_SECONDS = 3600
+
+
+def _successors(nodes: DataFrame) -> DataFrame:
+    """``node`` and ``to``: the first event of its key that an event would not suppress, if there is one.
+
+    ``nodes`` has node, key, at, id, until, early. Events and the ends of suppressions are ordered together
+    within a key and slot of time; where a slot holds no event after an end, it is the first event of the
+    key's next slot with one. The second step handles a row per key and slot, which the time
+    span bounds.
+    """
+
+    def slot(ts: Column) -> Column:
+        return F.floor(F.timestamp_diff("SECOND", F.expr(_EPOCH), ts) / _SLOT_SECONDS)
+
+    # an early end lets equal times with larger ids through, the others none of that time
+    event = nodes.select("key", slot(F.col("at")).alias("slot"), F.col("at").alias("t"), F.lit(0).alias("after"), F.col("id").alias("i"), F.lit(False).alias("asks"), "node")
+    late = F.when(F.col("early"), 0).otherwise(1)
+    end = nodes.select("key", slot(F.col("until")).alias("slot"), F.col("until").alias("t"), late.alias("after"), F.when(F.col("early"), F.col("id")).alias("i"), F.lit(True).alias("asks"), "node")
+    rows = event.unionByName(end)
+    backwards = Window.partitionBy("key", "slot").orderBy(F.desc("t"), F.desc("after"), F.desc("i"), F.desc("asks")).rowsBetween(Window.unboundedPreceding, -1)
+    near = rows.withColumn("to", F.last(F.when(~F.col("asks"), F.col("node")), ignorenulls=True).over(backwards)).where("asks")
+    firsts = rows.groupBy("key", "slot").agg(F.min(F.when(~F.col("asks"), F.struct("t", "i", "node"))).alias("first"))
+    later = Window.partitionBy("key").orderBy(F.desc("slot")).rowsBetween(Window.unboundedPreceding, -1)
+    next_slot = firsts.select("key", "slot", F.last("first", ignorenulls=True).over(later)["node"].alias("far"))
+    return near.join(next_slot, ["key", "slot"]).select("node", F.coalesce("to", "far").alias("to")).where(F.col("to").isNotNull())
+
+
+def _reachable(nodes: DataFrame, folder: str) -> DataFrame:
+    """The nodes met by following successors from the first of each key, with steps of doubled length."""
+    spark = nodes.sparkSession
+    pointers = "node long, to long"
+    _successors(nodes).write.parquet(f"{folder}/to-0")
+    nodes.groupBy("key").agg(F.min(F.struct("at", "id", "node")).alias("first")).select("first.node").write.parquet(f"{folder}/met/round=0")
+    k = 0
+    while True:
+        met = spark.read.schema("node long, round int").parquet(f"{folder}/met")
+        to = spark.read.schema(pointers).parquet(f"{folder}/to-{k}")
+        met.select("node").join(to, "node").select(F.col("to").alias("node")).write.parquet(f"{folder}/met/round={k + 1}")
+        if spark.read.schema("node long").parquet(f"{folder}/met/round={k + 1}").isEmpty():
+            return met.select("node")
+        twice = to.alias("a").join(to.alias("b"), F.col("a.to") == F.col("b.node")).select("a.node", "b.to")
+        twice.write.parquet(f"{folder}/to-{k + 1}")
+        k += 1
+
+
 def dedupe_chain(events: DataFrame, keys: list[str], days: int = C.DEDUPE_DAYS, receipts: DataFrame | None = None) -> DataFrame:
     """Marks the events that are kept when a kept unread one suppresses its key for some days.
 
@@ -39,16 +85,13 @@ def dedupe_chain(events: DataFrame, keys: list[str], days: int = C.DEDUPE_DAYS,
     end an anchor's suppression early: the first one at or after the anchor does. The order of rows
     that arrive doesn't matter, only their times; ties in time go by id, and a row without a time is kept.
 
-    The job walks the periods of ``days`` days in time order, each from its own files. In each, a
-    key's anchor is its first unread event that the anchor before doesn't suppress. That is one join
-    on the key and one minimum per period, merged before the shuffle, so no key's events are ever
-    gathered. Without receipts a period holds at most one anchor of a key, and the number of steps is
-    the number of periods in the data; with them, a period takes one more step for each anchor of a
-    key that was read in it. Finally every event is compared with the anchors of its own and the
-    previous period.
+    Each unread event points to the first one of its key that it would not suppress. The anchors are
+    what those pointers reach from a key's first event. Pointers are doubled round by round, so the
+    number of rounds is the logarithm of the longest chain of anchors, whatever the time span. All
+    steps are joins by a number or windows of one key and hour, so a hot key is spread over time. Finally
+    every event is compared with the anchors of its own and the previous period of ``days``.
     """
     spark = events.sparkSession
-    ensure_checkpoint_dir(spark)
     gap = F.expr(f"INTERVAL {days} DAYS")
     dated = events.withColumn("week", _week(F.col("created_at"), days))
     unread = dated.where(~F.col("is_read") & F.col("created_at").isNotNull()).select(*keys, "week", "created_at", "id")
@@ -59,46 +102,13 @@ def dedupe_chain(events: DataFrame, keys: list[str], days: int = C.DEDUPE_DAYS,
         same = S.same_key("u", "r", keys) & (F.col("u.id") == F.col("r.id")) & (F.col("r.read_at") >= F.col("u.created_at"))
         group = [F.col(f"u.{c}").alias(c) for c in unread.columns]
         unread = unread.alias("u").join(read.alias("r"), same, "left").groupBy(*group).agg(F.min("r.read_at").alias("read_at"))
-    # one folder per period: a step reads its own period's rows and none of the input
+    early = F.coalesce(F.col("read_at") <= F.col("created_at") + gap, F.lit(False))
+    until = F.when(early, F.col("read_at")).otherwise(F.col("created_at") + gap)
+    nodes = unread.select(F.monotonically_increasing_id().alias("node"), F.struct(*keys).alias("key"), "week", F.col("created_at").alias("at"), "id", until.alias("until"), early.alias("early"))
     folder = f"{shared_dir(spark).rstrip('/')}/unread-{uuid.uuid4().hex}"
-    unread.write.partitionBy("week").parquet(folder)
-    stored = spark.read.schema(unread.schema).parquet(folder)
-
-    def not_suppressed() -> Column:
-        late = F.col("r.created_at") > F.col("p.until")
-        return late | ((F.col("r.created_at") == F.col("p.until")) & F.col("p.early") & (F.col("r.id") > F.col("p.anchor_id")))
-
-    def first_of(rows: DataFrame, week: int) -> DataFrame:
-        """The first event of each key, and until when it suppresses: to the end of its days, or to its receipt."""
-        first = rows.groupBy(*keys).agg(F.min(F.struct("created_at", "id", "read_at")).alias("a"))
-        early = F.coalesce(F.col("a.read_at") <= F.col("a.created_at") + gap, F.lit(False))
-        until = F.when(early, F.col("a.read_at")).otherwise(F.col("a.created_at") + gap)
-        at = [F.col("a.created_at").alias("at"), F.col("a.id").alias("anchor_id")]
-        return first.select(*keys, F.lit(week).alias("week"), *at, until.alias("until"), early.alias("early")).checkpoint()
-
-    # One row per period, so this list is bounded by the time span.
-    weeks = sorted(r["week"] for r in stored.select("week").distinct().collect())
-    found: list[DataFrame] = []
-    previous: DataFrame | None = None
-    last_week = None
-    for week in weeks:
-        rows = stored.where(F.col("week") == week)
-        if previous is not None and last_week == week - 1:
-            open_ = rows.alias("r").join(previous.alias("p"), S.same_key("r", "p", keys), "left")
-            rows = open_.where(F.col("p.until").isNull() | not_suppressed()).select("r.*")
-        previous = newest = first_of(rows, week)
-        found.append(newest)
-        while receipts is not None and not newest.where("early").isEmpty():
-            # keys whose anchor was read: what comes after the receipt in this period
-            rows = rows.alias("r").join(newest.where("early").alias("p"), S.same_key("r", "p", keys)).where(not_suppressed()).select("r.*")
-            newest = first_of(rows, week)
-            found.append(newest)
-            older = previous.alias("a").join(newest.alias("b"), S.same_key("a", "b", keys), "left_anti")
-            previous = older.unionByName(newest).checkpoint()
-        last_week = week
-    if not found:
-        return dated.withColumn("kept", F.lit(True)).drop("week")
-    anchors = reduce(DataFrame.unionByName, found)
+    nodes.write.parquet(f"{folder}/nodes")
+    stored = spark.read.schema(nodes.schema).parquet(f"{folder}/nodes")
+    anchors = stored.join(_reachable(stored, folder), "node").select("key.*", "week", "at", F.col("id").alias("anchor_id"), "until", "early")
     both = anchors.unionByName(anchors.withColumn("week", F.col("week") + 1))
     # the anchors of a key in two periods: two at most, and one more for each that was read
     bounds = both.groupBy(*keys, "week").agg(F.collect_list(F.struct("at", "anchor_id", "until", "early")).alias("marks"))

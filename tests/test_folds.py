@@ -91,6 +91,20 @@ def test_receipts_equal_brute_force(spark, seed):
     assert {r["id"] for r in out.where("kept").collect()} == want
 
 
+def test_chains_of_years_take_few_rounds(spark, monkeypatch):
+    """Ten years of one hot key and a few more, ties included; rounds follow the logarithm of the chain."""
+    rng = random.Random(9)
+    rows = [(rng.choice(["hot", "hot", "hot", None, "b"]), START + timedelta(hours=6 * rng.randrange(4 * 3650)), f"n{i:05d}", rng.random() < 0.2) for i in range(4000)]
+    df = spark.createDataFrame(rows, "k STRING, created_at TIMESTAMP, id STRING, is_read BOOLEAN").withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+    folders = []
+    reach = Y._reachable
+    monkeypatch.setattr(Y, "_reachable", lambda nodes, folder: folders.append(folder) or reach(nodes, folder))
+    kept = {r["id"] for r in Y.dedupe_chain(df, ["k"]).where("kept").collect()}
+    assert kept == brute_force_chain(rows)
+    rounds = spark.read.schema("node long, round int").parquet(f"{folders[0]}/met").agg(F.max("round")).first()[0]
+    assert 400 < len([1 for r in rows if r[2] in kept and r[0] == "hot" and not r[3]]) and rounds <= 10
+
+
 def test_dedupe_without_unread_keeps_all(spark):
     rows = [("a", START, "1", True), ("a", START, "2", True)]
     df = spark.createDataFrame(rows, "k STRING, created_at TIMESTAMP, id STRING, is_read BOOLEAN").withColumn(
