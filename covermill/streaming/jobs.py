@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from covermill import constants as C
 from covermill.functions import scalars as S
 from covermill.functions.scalars import PAIR
 from covermill.operators import behaviour as B
@@ -16,29 +17,24 @@ from covermill.operators import notify as Y
 from covermill.operators import oem as O
 from covermill.operators import telemetry as T
 from covermill.streaming import sinks
+from covermill.streaming.chain_state import ChainState
 
 LOG_SCHEMA = "id STRING, user_id BIGINT, warranty_id STRING, event_type STRING, payload STRING, ts TIMESTAMP_NTZ"
 _LOG_COLUMNS = [c.split()[0] for c in LOG_SCHEMA.split(", ")]
 
 
 def ingest_telemetry(stream: DataFrame, out: str, checkpoint: str) -> None:
-    """Appends telemetry to a log by day, each id once, however late it arrives.
+    """Appends telemetry to a log by day, each id once, whatever its time and however late it arrives.
 
-    A batch is compared by id with the earlier batches' rows of the days it touches, so nothing is
-    dropped for its age and no state is kept. An event that repeats carries the same time.
+    The ids seen so far are kept as state in RocksDB, spread by hash, so a batch looks up its own ids
+    and reads none of the log. Of rows with one id the first to arrive stays; a null id is one id.
     """
-    spark = stream.sparkSession
+    fresh = stream.select(*_LOG_COLUMNS).dropDuplicates(["id"])
 
     def job(batch: DataFrame, n: int) -> None:
-        new = batch.select(*_LOG_COLUMNS).dropDuplicates(["id"]).withColumn("event_date", F.to_date("ts"))
-        # one value per day that the batch touches
-        days = [r[0] for r in new.select("event_date").distinct().collect()]
-        seen = sinks.read_batches(spark, out, LOG_SCHEMA + ", event_date DATE", before=n)
-        seen = seen.where(F.col("event_date").isin(days) | F.col("event_date").isNull()).select("id", "event_date")
-        fresh = new.alias("n").join(seen.alias("s"), S.same_key("n", "s", ["id", "event_date"]), "left_anti")
-        sinks.write_batch(fresh, out, n, "event_date")
+        sinks.write_batch(batch.withColumn("event_date", F.to_date("ts")), out, n, "event_date")
 
-    sinks.per_batch(stream, checkpoint, job)
+    sinks.per_batch(fresh, checkpoint, job)
 
 
 def follow_signal(stream: DataFrame, out: str, checkpoint: str) -> None:
@@ -67,30 +63,34 @@ def current_signal(spark, out: str, as_of, window_days: int = 30) -> DataFrame:
     return T.recent_signal(recent, as_of, window_days)
 
 
-NOTE_SCHEMA = "user_id BIGINT, warranty_id STRING, type STRING, audience STRING, id STRING, at TIMESTAMP_NTZ, is_read BOOLEAN, receipt BOOLEAN"
+KEPT_SCHEMA = "user_id BIGINT, warranty_id STRING, type STRING, audience STRING, id STRING, at BIGINT, is_read BOOLEAN, kept BOOLEAN"
+_EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 
 def keep_notifications(notes: DataFrame, out: str, checkpoint: str, receipts: DataFrame | None = None) -> None:
-    """Logs notifications, and receipts if given; ``kept_notifications`` decides which are kept.
+    """Decides on notifications under the chained 7-day rule as they arrive; reading one resets it.
 
     ``receipts`` carries the key columns, the notification id and the time of reading. A late
-    notification or receipt changes what came before, so nothing is decided when it arrives; a
-    batch writes its own rows only.
+    notification or receipt changes what came after it, so the decisions of a batch are its own rows' and those
+    it changes; ``kept_notifications`` takes each notification's latest. State holds a key's events by day, in
+    RocksDB, and a batch loads the days that it can change only. A key's rows of one batch are
+    one task's work, so the source's rows per batch bound it.
     """
+    micros = F.timestamp_diff("MICROSECOND", F.expr(_EPOCH), F.col("at"))
     rows = notes.select(*Y.KEY, "id", F.col("created_at").alias("at"), "is_read", F.lit(False).alias("receipt"))
     if receipts is not None:
         read = receipts.select(*Y.KEY, F.col("notification_id").alias("id"), F.col("read_at").alias("at"))
         rows = rows.unionByName(read.withColumns({"is_read": F.lit(None).cast("boolean"), "receipt": F.lit(True)}))
-    sinks.per_batch(rows, checkpoint, lambda batch, n: sinks.write_batch(batch, out, n))
+    keyed = rows.withColumn("at", micros).groupBy(*Y.KEY)
+    decided = keyed.transformWithState(ChainState(C.DEDUPE_DAYS), KEPT_SCHEMA, "Append", "None")
+    sinks.per_batch(decided, checkpoint, lambda batch, n: sinks.write_batch(batch, out, n))
 
 
 def kept_notifications(spark, out: str) -> DataFrame:
-    """The notifications that are kept under the chained 7-day rule; reading one resets it."""
-    log = sinks.read_batches(spark, out, NOTE_SCHEMA).drop("batch_id")
-    notes = log.where(~F.col("receipt")).withColumnRenamed("at", "created_at").drop("receipt")
-    receipts = log.where("receipt").withColumnsRenamed({"at": "read_at", "id": "notification_id"})
-    receipts = None if receipts.isEmpty() else receipts
-    return Y.dedupe_chain(notes, Y.KEY, receipts=receipts).where("kept").drop("kept")
+    """The notifications whose latest decision keeps them."""
+    log = sinks.read_batches(spark, out, KEPT_SCHEMA)
+    latest = log.groupBy(*Y.KEY, "id", "at").agg(F.max_by(F.struct("is_read", "kept"), "batch_id").alias("d")).where("d.kept")
+    return latest.select(*Y.KEY, "id", F.expr(f"timestampadd(MICROSECOND, at, {_EPOCH})").alias("created_at"), "d.is_read")
 
 
 ANSWER_SCHEMA = "user_id BIGINT, product_type STRING, warranty_id STRING, id BIGINT, answer_value STRING, created_at TIMESTAMP_NTZ"

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter
 
 
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def run_available(writer: DataStreamWriter, checkpoint: str) -> None:
     """Processes what is there, in as many batches as the source's limits ask for, then stops."""
     query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -16,7 +19,8 @@ def run_available(writer: DataStreamWriter, checkpoint: str) -> None:
 
 
 def per_batch(stream: DataFrame, checkpoint: str, job: Callable[[DataFrame, int], None], mode: str = "append") -> None:
-    """Calls ``job`` with each batch and its number."""
+    """Calls ``job`` with each batch and its number; state, where the stream has any, is kept in RocksDB."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
     run_available(stream.writeStream.outputMode(mode).foreachBatch(job), checkpoint)
 
 

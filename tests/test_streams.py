@@ -1,5 +1,6 @@
 """Streams over several files: equal to batch, stable under repeats, resets on receipts."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -140,6 +141,48 @@ def test_receipt_resets_the_seven_days(spark, tmp_path):
     assert got == ["a", "c", "f", "g", "h"]
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_chain_state_over_shuffled_files(spark, tmp_path, seed):
+    """Notifications and receipts in any order of files equal the batch job, ties and late receipts included."""
+    rng = random.Random(seed)
+    hour = lambda h: datetime(2024, 1, 1) + timedelta(hours=h)
+    users = [None, 1, 1, 1, 2]
+    notes = [(rng.choice(users), hour(rng.choice([0, 168, 336]) + 3 * rng.randrange(500)), f"n{i:04d}", rng.random() < 0.2) for i in range(500)]
+    marks = [(u, nid, at + timedelta(hours=rng.randrange(-5, 80))) for u, at, nid, _ in notes if rng.random() < 0.5]
+    data = [("note", u, nid, read, at) for u, at, nid, read in notes] + [("read", u, nid, None, at) for u, nid, at in marks] + [("note", 1, "timeless", False, None)]
+    rng.shuffle(data)
+    schema = "kind STRING, user_id BIGINT, id STRING, is_read BOOLEAN, at TIMESTAMP"
+    src = str(tmp_path / "in")
+    for k in range(4):
+        spark.createDataFrame(data[k::4], schema).withColumn("at", F.col("at").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(src)
+
+    def parts(df):
+        df = df.withColumns({"warranty_id": F.lit(None).cast("string"), "type": F.lit("x"), "audience": F.lit("user")})
+        return df.where("kind = 'note'").withColumnRenamed("at", "created_at"), df.where("kind = 'read'").withColumnsRenamed({"at": "read_at", "id": "notification_id"})
+
+    stream = spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", 1).parquet(src)
+    given, read = parts(stream)
+    J.keep_notifications(given, str(tmp_path / "o"), str(tmp_path / "c"), read)
+    given, read = parts(spark.read.parquet(src))
+    want = Y.dedupe_chain(given, Y.KEY, receipts=read).where("kept").select("id", "user_id", "created_at")
+    got = J.kept_notifications(spark, str(tmp_path / "o")).select("id", "user_id", "created_at")
+    assert rows(got) == rows(want) and 40 < want.count() < 400
+    # a batch writes decisions, not the log: the first batch's rows and what later ones changed
+    log = spark.read.parquet(str(tmp_path / "o"))
+    assert log.count() < 2 * len(notes)
+
+
+def test_an_id_with_two_times_is_one_event(spark, tmp_path):
+    src = str(tmp_path / "in")
+    for k, ts in enumerate(("2024-01-05 00:00:00", "2024-01-01 00:00:00")):
+        row = [("same", 1, "w", "usage", None, ts), (f"own{k}", 1, "w", "usage", None, ts)]
+        spark.createDataFrame(row, "id STRING, user_id BIGINT, warranty_id STRING, event_type STRING, payload STRING, ts STRING").withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", 1).parquet(src)
+    J.ingest_telemetry(stream, str(tmp_path / "o"), str(tmp_path / "c"))
+    got = spark.read.parquet(str(tmp_path / "o")).collect()
+    assert sorted(r["id"] for r in got) == ["own0", "own1", "same"]
+
+
 def test_daily_counts_equal_batch(spark, split_events, tmp_path):
     J.count_by_day(tables(spark, split_events).interest(), "product_id", "ts", str(tmp_path / "o"), str(tmp_path / "c"))
     batch = DomainTables(spark, SMALL).interest().groupBy(F.to_date("ts").alias("day"), F.col("product_id").alias("item")).agg(F.count(F.lit(1)).alias("n"))
