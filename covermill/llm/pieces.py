@@ -7,6 +7,8 @@ be encoded piece by piece, and most pieces have been seen before.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from typing import TypeVar
 
@@ -74,13 +76,24 @@ class RecentCache(dict):
 _HELD: dict = {}
 
 
+def _give_back() -> None:
+    """Returns memory that is no longer used to the system, which the allocators would keep for later."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def one_per_worker(key: tuple, make: Callable[[], T]) -> T:
     """What ``make`` builds, kept for all tasks of a Python worker until another one is asked for.
 
     Stages that follow each other on the same workers so don't add up their models and caches.
     """
     if key not in _HELD:
-        _HELD.clear()
+        if _HELD:
+            _HELD.clear()
+            _give_back()
         _HELD[key] = make()
     return _HELD[key]
 

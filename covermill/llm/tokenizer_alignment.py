@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -89,17 +90,21 @@ class Aligner:
         """The pieces' results from the encodings of all of them, joined by single spaces, or None if these don't spell it back."""
         text = " " + " ".join(pieces)
         data = text.encode()
-        ids, b_ids = np.array(e.ids, dtype=np.int64), np.array([p.id for p in proto.pieces], dtype=np.int64)
-        if b"".join(map(self.a_bytes.__getitem__, e.ids)) != data or b"".join(map(self.b_bytes.__getitem__, b_ids.tolist())) != data:
+        a_list, b_list, spans = e.ids, [], []
+        for p in proto.pieces:
+            b_list.append(p.id)
+            spans += p.begin, p.end
+        if b"".join(map(self.a_bytes.__getitem__, a_list)) != data or b"".join(map(self.b_bytes.__getitem__, b_list)) != data:
             return None
-        offsets = np.array(e.offsets, dtype=np.int64)
+        ids, b_ids = np.array(a_list, dtype=np.int64), np.array(b_list, dtype=np.int64)
+        offsets = np.fromiter(chain.from_iterable(e.offsets), dtype=np.int64, count=2 * len(a_list)).reshape(-1, 2)
         if len(data) != len(text):
             # characters to bytes: every byte but the later ones of a character begins one
             begins = np.flatnonzero(np.frombuffer(data, dtype=np.uint8) & 0xC0 != 0x80)
             offsets = np.append(begins, len(data))[offsets]
         a_ends = refined_ends(self.a_sizes[ids], offsets[:, 0], offsets[:, 1])
         # B's spans are bytes of what it was given, without the space before it, which its first token holds
-        spans = np.array([(p.begin, p.end) for p in proto.pieces], dtype=np.int64) + 1
+        spans = np.array(spans, dtype=np.int64).reshape(-1, 2) + 1
         spans[0, 0] = 0
         b_ends = refined_ends(self.b_sizes[b_ids], spans[:, 0], spans[:, 1])
         if a_ends is None or b_ends is None:
@@ -107,12 +112,12 @@ class Aligner:
         together, a_cuts, b_cuts = np.intersect1d(a_ends, b_ends, assume_unique=True, return_indices=True)
         a_cuts, b_cuts = a_cuts + 1, b_cuts + 1
         links = (ids[a_cuts - 1] << 32 | b_ids[b_cuts - 1]).astype("<i8").tobytes()
-        a_names, b_names = list(map(self.names.__getitem__, e.ids)), list(map(self.names.__getitem__, b_ids.tolist()))
-        groups, x, y = [], 0, 0
-        for u, v in zip(a_cuts.tolist(), b_cuts.tolist(), strict=True):
-            one = u == x + 1 and v == y + 1
-            groups.append(f"{a_names[x]}|{b_names[y]}" if one else ",".join(a_names[x:u]) + "|" + ",".join(b_names[y:v]))
-            x, y = u, v
+        a_names, b_names = list(map(self.names.__getitem__, a_list)), list(map(self.names.__getitem__, b_list))
+        to_a, to_b = a_cuts.tolist(), b_cuts.tolist()
+        groups = [
+            a_names[x] + "|" + b_names[y] if u == x + 1 and v == y + 1 else ",".join(a_names[x:u]) + "|" + ",".join(b_names[y:v])
+            for x, u, y, v in zip([0, *to_a], to_a, [0, *to_b], to_b)
+        ]
         if len(pieces) == 1:
             return [(len(ids), len(b_ids), len(groups), ";".join(groups), links)]
         bounds = np.cumsum([len(p.encode()) + 1 for p in pieces])
