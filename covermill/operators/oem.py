@@ -199,14 +199,19 @@ def _cluster_message(brand: Column, region: Column) -> Column:
 
 def high_risk_clusters(scored: DataFrame) -> DataFrame:
     """Brand and region groups with 10 or more HIGH profiles, or with 30 % of them HIGH."""
-    total, high = F.col("total"), F.col("high")
     groups = scored.where("warranty_known").groupBy("brand", "region_code").agg(
         F.sum("n").alias("total"),
         F.coalesce(F.sum(F.when(F.col("risk_label") == "HIGH", F.col("n"))), F.lit(0)).alias("high"),
     )
-    message = _cluster_message(F.col("brand"), F.col("region_code"))
+    return alarming_groups(groups)
+
+
+def alarming_groups(groups: DataFrame) -> DataFrame:
+    """The groups (``brand``, ``region_code``, ``total``, ``high``) that call for an alert, with its message."""
+    total, high = F.col("total"), F.col("high")
     # 10 * high >= 3 * total is high / total >= 0.3 without rounding.
-    return groups.where((high >= C.CLUSTER_MIN_HIGH) | (high * 10 >= total * 3)).withColumn("message", message)
+    alarming = (total > 0) & ((high >= C.CLUSTER_MIN_HIGH) | (high * 10 >= total * 3))
+    return groups.where(alarming).withColumn("message", _cluster_message(F.col("brand"), F.col("region_code")))
 
 
 def cluster_alert(scored: DataFrame, brand: str | None = None, region: str | None = None) -> DataFrame:

@@ -18,6 +18,7 @@ from covermill.operators import oem as O
 from covermill.operators import telemetry as T
 from covermill.streaming import sinks
 from covermill.streaming.chain_state import ChainState
+from covermill.streaming.score_state import ScoreState
 
 LOG_SCHEMA = "id STRING, user_id BIGINT, warranty_id STRING, event_type STRING, payload STRING, ts TIMESTAMP_NTZ"
 _LOG_COLUMNS = [c.split()[0] for c in LOG_SCHEMA.split(", ")]
@@ -127,38 +128,49 @@ def current_counts(spark, out: str) -> DataFrame:
     return df.groupBy("day", "item").agg(F.sum("n").alias("n"))
 
 
-SCORED_SCHEMA = (
-    "user_id BIGINT, warranty_id STRING, id BIGINT, brand STRING, region_code STRING, risk_label STRING, warranty_known BOOLEAN"
-)
 ALERT_SCHEMA = (
     "brand STRING, region_code STRING, total BIGINT, high BIGINT, message STRING, user_id STRING, warranty_id STRING, "
     "type STRING, audience STRING, is_read BOOLEAN, created_at TIMESTAMP_NTZ"
 )
+_GROUP = ["brand", "region_code"]
+_CHANGE_SCHEMA = "brand STRING, region_code STRING, total BIGINT, high BIGINT"
+#: Batches after which the changes of groups are summed into a snapshot.
+COMPACT_BATCHES = 16
+
+
+def _totals(spark, out: str, n: int) -> DataFrame:
+    """The groups' counts after batch ``n``: the newest snapshot before it and the changes since."""
+    snapshots = sinks.read_batches(spark, f"{out}/snapshots", _CHANGE_SCHEMA, before=n)
+    base = snapshots.agg(F.max("batch_id")).first()[0]
+    changes = sinks.read_batches(spark, f"{out}/changes", _CHANGE_SCHEMA, before=n + 1)
+    if base is not None:
+        changes = snapshots.where(F.col("batch_id") == base).union(changes.where(F.col("batch_id") > base))
+    return changes.groupBy(*_GROUP).agg(F.sum("total").alias("total"), F.sum("high").alias("high"))
 
 
-def alert_clusters(scored: DataFrame, out: str, checkpoint: str, as_of) -> None:
+def alert_clusters(scored: DataFrame, out: str, checkpoint: str, as_of, compact: int = COMPACT_BATCHES) -> None:
     """Alerts on brand and region groups with many HIGH profiles, at most one per group in 7 days.
 
-    A batch of scored profiles replaces their earlier scores; the groups it touches are counted
-    again. The recipient of an alert is the group. ``as_of`` is the time of the alerts, or a function
+    A new score of a profile takes back what its earlier one counted: the last score of each profile
+    is state in RocksDB, and a batch writes the changes of the groups it touches. Their totals are the
+    newest snapshot and the changes since, so a batch reads no scores and no more than ``compact`` batches of
+    changes. The recipient of an alert is the group. ``as_of`` is the time of the alerts, or a function
     from a batch's number to it, so that the seven days pass in a stream that goes on; it must
     give a repeated batch the same time.
     """
     spark = scored.sparkSession
-    group = ["brand", "region_code"]
+    changed = scored.select(*PAIR, "id", *_GROUP, "risk_label", "warranty_known").groupBy(*PAIR, "id").transformWithState(ScoreState(), _CHANGE_SCHEMA, "Append", "None")
 
     def job(batch: DataFrame, n: int) -> None:
         now = as_of(n) if callable(as_of) else as_of
-        names = [c.split()[0] for c in SCORED_SCHEMA.split(", ")]
-        sinks.write_batch(batch.select(*names), f"{out}/scores", n)
-        seen = sinks.read_batches(spark, f"{out}/scores", SCORED_SCHEMA, before=n + 1)
-        touched = seen.where(F.col("batch_id") == n).select(*group).distinct()
-        key = [*PAIR, "id"]
-        latest = seen.groupBy(*key).agg(*[F.max_by(c, "batch_id").alias(c) for c in names if c not in key])
-        latest = latest.withColumn("n", F.lit(1))
-        mine = latest.alias("s").join(touched.alias("t"), S.same_key("s", "t", group), "left_semi")
+        sinks.write_batch(batch.groupBy(*_GROUP).agg(F.sum("total").alias("total"), F.sum("high").alias("high")), f"{out}/changes", n)
+        touched = sinks.read_batches(spark, f"{out}/changes", _CHANGE_SCHEMA, before=n + 1).where(F.col("batch_id") == n)
+        totals = _totals(spark, out, n)
+        if (n + 1) % compact == 0:
+            sinks.write_batch(totals.select("brand", "region_code", "total", "high"), f"{out}/snapshots", n)
+        mine = totals.alias("s").join(touched.select(*_GROUP).alias("t"), S.same_key("s", "t", _GROUP), "left_semi")
         found = (
-            O.high_risk_clusters(mine)
+            O.alarming_groups(mine)
             .withColumn("user_id", F.concat_ws("/", F.coalesce("brand", F.lit("")), F.coalesce("region_code", F.lit(""))))
             .withColumn("warranty_id", F.lit(None).cast("string"))
             .withColumn("type", F.lit("oem_high_risk_cluster"))
@@ -169,7 +181,7 @@ def alert_clusters(scored: DataFrame, out: str, checkpoint: str, as_of) -> None:
         earlier = sinks.read_batches(spark, f"{out}/alerts", ALERT_SCHEMA, before=n)
         sinks.write_batch(Y.new_against_existing(found, earlier, now), f"{out}/alerts", n)
 
-    sinks.per_batch(scored, checkpoint, job)
+    sinks.per_batch(changed, checkpoint, job)
 
 
 def alerts(spark, out: str) -> DataFrame:

@@ -203,3 +203,28 @@ def test_alerts_are_sent_once(spark, tmp_path):
     J.alert_clusters(stream, str(tmp_path / "o2"), str(tmp_path / "c2"), lambda n: datetime(2024, 1, 1) + timedelta(days=8 * n))
     got = sorted((r["brand"], r["batch_id"]) for r in J.alerts(spark, str(tmp_path / "o2")).collect())
     assert got == [("a", 1), ("a", 2), ("b", 2)]
+
+
+@pytest.mark.parametrize("compact", [2, 16])
+def test_new_scores_take_back_old_ones(spark, tmp_path, compact):
+    """Totals after each batch equal a count of the last scores, snapshots or not; profiles move between groups."""
+    rng = random.Random(compact)
+    schema = "user_id BIGINT, warranty_id STRING, id BIGINT, brand STRING, region_code STRING, risk_label STRING, warranty_known BOOLEAN"
+    src, last, batches = str(tmp_path / "in"), {}, []
+    for _ in range(5):
+        chosen = rng.sample(range(60), 25)
+        batch = [(1, "w", i, rng.choice(["a", "b"]), rng.choice([None, "r"]), rng.choice(["LOW", "HIGH"]), rng.random() < 0.8) for i in chosen]
+        last.update({r[2]: r for r in batch})
+        want = {}
+        for r in last.values():
+            if r[6]:
+                total, high = want.get((r[3], r[4]), (0, 0))
+                want[r[3], r[4]] = total + 1, high + (r[5] == "HIGH")
+        batches.append(want)
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    out = str(tmp_path / "o")
+    J.alert_clusters(stream, out, str(tmp_path / "c"), "2024-01-31 00:00:00", compact)
+    for n, want in enumerate(batches):
+        got = {(r["brand"], r["region_code"]): (r["total"], r["high"]) for r in J._totals(spark, out, n).where("total > 0").collect()}
+        assert got == want
