@@ -9,6 +9,7 @@ from covermill import constants as C
 from covermill.functions import scalars as S
 from covermill.functions.scalars import PAIR
 from covermill.functions.topk import first_rows_per_key
+from covermill.session import ensure_checkpoint_dir
 
 
 def _catalog_item(row: tuple) -> Column:
@@ -110,25 +111,96 @@ def rule_context(pairs: DataFrame, latest_profiles: DataFrame, scores: DataFrame
     )
 
 
-# Slots that a risk rank's fact combinations are spread over; each holds all rules of the rank.
-RULE_SLOTS = 32
-
 _CONDITIONS = ["min_rank", "min_aqi", "max_behaviour_h", "max_care_h", "types", "type_text"]
 _FACTS = ["risk_rank", "aqi_band", "behaviour_h", "care_h", "profile_type"]
+_POINT = ["risk_rank", "aqi_band", "behaviour_h", "care_h"]
+_CELL = ["risk_rank", "aqi_band", "behaviour_cell", "care_cell", "type_key"]
+_SHOWN = ["rule_id", "segment", "title", "message", "priority"]
 
+#: Scores lie in 0..100. Cells of 1, 4, 16, 64 and 256 scores cover a range by at most three cells a size.
+CELL_SIZES = [1, 4, 16, 64, 256]
+TOP_SCORE = 255
+#: Type keys of rules that fit any type, and of profiles without one.
+ANY_TYPE, NO_TYPE = "any", "none"
 
-def _holds(rule) -> Column:
-    """Whether a rule's conditions hold for the row's facts; ``rule`` looks a rule field up by name."""
-    c = F.col
-    types, words = rule("types"), rule("type_text")
-    any_type = (c("profile_type") == "") | (types.isNull() & words.isNull()) | (F.size(types) == 0)
-    type_ok = any_type | F.array_contains(types, c("profile_type")) | words.contains(c("profile_type"))
-    return (
-        (rule("min_aqi").isNull() | (c("aqi_band") >= rule("min_aqi")))
-        & (rule("max_behaviour_h").isNull() | (c("behaviour_h") <= rule("max_behaviour_h")))
-        & (rule("max_care_h").isNull() | (c("care_h") <= rule("max_care_h")))
-        & F.coalesce(type_ok, F.lit(False))
+
+def _cell(size: int, number: Column) -> Column:
+    return (F.lit(CELL_SIZES.index(size) * 256) + number).cast("int")
+
+
+def _cells(size: int, first: Column, count: Column) -> Column:
+    """Up to three neighbouring cells."""
+    return F.transform(F.filter(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda i: i < count), lambda i: _cell(size, first + i))
+
+
+def cells_of(score_h: Column) -> Column:
+    """The cells that hold a score, one of each size."""
+    inside = S.clamp(score_h, 0, TOP_SCORE)
+    return F.array(*[_cell(n, F.floor(inside / n)) for n in CELL_SIZES])
+
+
+def cells_up_to(limit_h: Column) -> Column:
+    """The fewest cells that cover the scores from 0 to a limit; all scores without a limit, none below 0."""
+    end = F.when(limit_h.isNull() | (limit_h >= TOP_SCORE), TOP_SCORE + 1).otherwise(F.greatest(limit_h + 1, F.lit(0)))
+    parts = []
+    for n, wider in zip(CELL_SIZES, [*CELL_SIZES[1:], None], strict=True):
+        first = F.floor(end / wider) * (wider // n) if wider else F.lit(0)
+        count = F.floor(end / n) - first
+        parts.append(_cells(n, first, count))
+    return F.flatten(F.array(*parts))
+
+
+def _type_key(value: Column) -> Column:
+    return F.concat(F.lit("="), value)
+
+
+def _grams(value: Column) -> Column:
+    """The distinct stretches of one to three characters of a text."""
+    at = F.sequence(F.lit(1), F.greatest(F.char_length(value), F.lit(1)))
+    return F.array_distinct(F.flatten(F.transform(at, lambda i: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.substr(value, i, n)))))
+
+
+def typed_rules(rules: DataFrame, kinds: DataFrame) -> DataFrame:
+    """A row per rule and type key it fits, of those that ``kinds`` (distinct ``profile_type``) can ask for.
+
+    A type lies in a rule's text if it is one of its parts: both are joined by the type's first three
+    characters, then compared.
+    """
+    texts = rules.where(F.col("type_text").isNotNull()).select("type_text").distinct()
+    inside = (
+        texts.withColumn("gram", F.explode(_grams(F.col("type_text"))))
+        .join(kinds.where("profile_type <> ''").withColumn("gram", F.substring("profile_type", 1, 3)), "gram")
+        .where(F.col("type_text").contains(F.col("profile_type")))
+        .select("type_text", _type_key(F.col("profile_type")).alias("type_key"))
+    )
+    free = (F.col("types").isNull() & F.col("type_text").isNull()) | (F.size("types") == 0)
+    listed = F.transform(F.filter("types", lambda t: t.isNotNull()), _type_key)
+    own = F.when(F.coalesce(free, F.lit(False)), F.array(F.lit(ANY_TYPE))).otherwise(F.coalesce(listed, F.array().cast("array<string>")))
+    alone = rules.withColumn("type_key", F.explode(F.array_distinct(F.concat(F.array(F.lit(NO_TYPE)), own))))
+    return alone.unionByName(rules.join(inside, "type_text").select(*alone.columns))
+
+
+def rule_index(rules: DataFrame, facts: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` rules of each cell of the facts, as one array ``best`` per cell.
+
+    A rule is listed in the cells that its limits cover, so it fits every fact in them and nothing is
+    compared any more. Per cell ``k`` rules are kept before they are exchanged: the index follows the number of cells.
+    """
+    first = [F.col("priority"), F.col("rule_id")]
+    useful = first_rows_per_key(rules, _CONDITIONS, first, k)
+    bands = facts.select("risk_rank", "aqi_band").distinct().groupBy("risk_rank").agg(F.collect_set("aqi_band").alias("bands"))
+    ranks = F.filter(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda r: r >= F.col("min_rank"))
+    spread = (
+        typed_rules(useful, facts.select("profile_type").distinct())
+        .withColumn("risk_rank", F.explode(ranks))
+        .join(F.broadcast(bands), "risk_rank")  # three rows at most
+        .withColumn("aqi_band", F.explode(F.filter("bands", lambda b: F.col("min_aqi").isNull() | (b >= F.col("min_aqi")))))
+        .withColumn("behaviour_cell", F.explode(cells_up_to(F.col("max_behaviour_h"))))
+        .withColumn("care_cell", F.explode(cells_up_to(F.col("max_care_h"))))
+        .select(*_CELL, "priority", "rule_id")
     )
+    kept = first_rows_per_key(spread, _CELL, first, k, salts=1)
+    return kept.groupBy(*_CELL).agg(F.collect_list(F.struct("priority", "rule_id")).alias("best"))
 
 
 def recommendation_events(shown: DataFrame, rules: DataFrame, as_of) -> DataFrame:
@@ -140,27 +212,33 @@ def recommendation_events(shown: DataFrame, rules: DataFrame, as_of) -> DataFram
 def rule_recommendations(context: DataFrame, rules: DataFrame, k: int = 3) -> DataFrame:
     """The first ``k`` matching rules by priority of each pair; the default rules if none is active.
 
-    Of rules with the same conditions only the first ``k`` can ever show, so the others go first. Rules
-    are matched once per distinct combination of the facts they look at, by an equality join on risk
-    rank and slot, and pairs pick up their combination's rules.
+    Distinct facts look their rules up in ``rule_index`` by equality of cells, and pairs pick up their
+    facts' rules. What rules look at without the type has few distinct values whatever the number of
+    pairs, and each type key has no more, so no cell is asked for by an unbounded number of rows.
+    Scores are taken as 0..100 and rule ids as unique; a pair with a null fact is shown nothing. One small job finds whether any rule is active.
     """
     own = parse_rules(rules)
-    some = own.limit(1).select(F.lit(1).alias("one"))
-    defaults = parse_rules(default_rules(rules.sparkSession)).withColumn("one", F.lit(1)).join(some, "one", "left_anti").drop("one")
-    useful = first_rows_per_key(own.unionByName(defaults), _CONDITIONS, [F.col("priority"), F.col("rule_id")], k)
-    ranks = F.filter(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda r: r >= F.col("min_rank"))
-    slots = F.sequence(F.lit(0), F.lit(RULE_SLOTS - 1))
-    listed = useful.withColumn("risk_rank", F.explode(ranks)).withColumn("slot", F.explode(slots))
-    shown = ["rule_id", "segment", "title", "message", "priority"]
-    w = Window.partitionBy(*_FACTS).orderBy("priority", "rule_id")
+    if own.isEmpty():
+        own = parse_rules(default_rules(rules.sparkSession))
+    ensure_checkpoint_dir(context.sparkSession)
+    facts = context.select(*_FACTS).distinct().dropna().checkpoint()  # read five times, and far fewer than pairs
+    keys = F.when(F.col("profile_type") == "", F.array(F.lit(NO_TYPE))).otherwise(F.array(F.lit(ANY_TYPE), _type_key(F.col("profile_type"))))
+    keyed = facts.withColumn("type_key", F.explode(keys))
+    merged = lambda c: F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list(c)))), 1, k)
+    found = (
+        keyed.select(*_POINT, "type_key").distinct()
+        .withColumn("behaviour_cell", F.explode(cells_of(F.col("behaviour_h"))))
+        .withColumn("care_cell", F.explode(cells_of(F.col("care_h"))))
+        .join(rule_index(own, facts, k), _CELL)
+        .groupBy(*_POINT, "type_key")
+        .agg(merged("best").alias("best"))
+    )
     matched = (
-        context.select(*_FACTS)
-        .distinct()
-        .withColumn("slot", F.pmod(F.hash(*_FACTS), F.lit(RULE_SLOTS)))
-        .join(listed, ["risk_rank", "slot"])
-        .where(_holds(F.col))
-        .withColumn("place", F.row_number().over(w))
-        .where(F.col("place") <= k)
-        .select(*_FACTS, "place", *shown)
+        keyed.join(found, [*_POINT, "type_key"])
+        .groupBy(*_FACTS)
+        .agg(merged("best").alias("best"))
+        .select(*_FACTS, F.posexplode("best").alias("at", "rule"))
+        .select(*_FACTS, (F.col("at") + 1).alias("place"), "rule.rule_id")
+        .join(own.select(*_SHOWN), "rule_id")
     )
-    return context.join(matched, _FACTS).select(*PAIR, "place", *shown)
+    return context.join(matched, _FACTS).select(*PAIR, "place", *_SHOWN)

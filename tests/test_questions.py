@@ -1,5 +1,6 @@
 """Question selection against brute force."""
 
+import json
 import random
 
 from pyspark.sql import functions as F
@@ -120,3 +121,59 @@ def test_rules_equal_brute_force(spark):
     none = spark.createDataFrame([r for r in stored if r[6] == 0], schema)
     fallback = sorted(map(tuple, P.rule_recommendations(context, none).collect()))
     assert fallback == sorted(map(tuple, P.rule_recommendations(context, P.default_rules(spark)).collect())) and fallback
+
+
+def test_rules_of_all_kinds_of_limits_equal_brute_force(spark):
+    rng = random.Random(11)
+    pick = lambda *v: rng.choice(v)
+    words = ["ac", "fridge", "ev car", "f", "ev", "küche", "washing machine"]
+    stored, parsed = [], []
+    for i in range(900):
+        cond = {}
+        if rng.random() < 0.7:
+            cond["max_behaviour_score"] = rng.randrange(-2, 104) / 100
+        if rng.random() < 0.7:
+            cond["max_care_score"] = rng.randrange(-2, 104) / 100
+        if rng.random() < 0.5:
+            cond["min_aqi_band"] = rng.randrange(-1, 6)
+        if rng.random() < 0.5:
+            cond["min_risk_label"] = pick("LOW", "MEDIUM", "HIGH", "other", "")
+        if rng.random() < 0.7:
+            cond["product_type_filter"] = pick([], [pick(*words)], [pick(*words), pick(*words), "x"], pick(*words), "my " + pick(*words) + " place", "")
+        stored.append((i, "S", json.dumps(cond), "t", "m", rng.randrange(40), 1))
+        parsed.append((stored[-1][5], i, cond))
+    parsed.sort(key=lambda r: r[:2])
+    rows = [(u, "w", rng.randrange(101), rng.randrange(101), rng.randrange(5), pick("", "car", *words), rng.randrange(3)) for u in range(1500)]
+    rows += [(u, "w", 0, 100, 4, "", 2) for u in range(1500, 2000)] + [(2000, "w", 50, 50, 0, None, 0), (2001, "w", None, 50, 0, "ac", 0)]
+    context = spark.createDataFrame(rows, "user_id BIGINT, warranty_id STRING, behaviour_h INT, care_h INT, aqi_band INT, profile_type STRING, risk_rank INT")
+    rules = spark.createDataFrame(stored, "id BIGINT, segment STRING, condition_json STRING, title STRING, message STRING, priority INT, active INT")
+
+    def holds(cond, b, care, aqi, kind, rank):
+        wanted = cond.get("product_type_filter")
+        return (
+            b <= round(cond.get("max_behaviour_score", 9) * 100)
+            and care <= round(cond.get("max_care_score", 9) * 100)
+            and aqi >= cond.get("min_aqi_band", -9)
+            and rank >= {"MEDIUM": 1, "HIGH": 2}.get(cond.get("min_risk_label"), 0)
+            and (kind == "" or not wanted or kind in wanted)
+        )
+
+    found = P.rule_recommendations(context, rules)
+    got = sorted((r.user_id, r.place, r.rule_id) for r in found.collect())
+    want = []
+    for u, _, *facts in rows:
+        if None not in facts:
+            first = [i for _, i, cond in parsed if holds(cond, *facts)][:3]
+            want += [(u, n + 1, i) for n, i in enumerate(first)]
+    assert got == sorted(want)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_cells_cover_exactly_the_scores_up_to_a_limit(spark):
+    limits = spark.createDataFrame([(m,) for m in [None, *range(-3, 260)]], "m INT")
+    scores = spark.range(256).select(F.col("id").cast("int").alias("x"), P.cells_of(F.col("id").cast("int")).alias("held")).collect()
+    for r in limits.select("m", P.cells_up_to(F.col("m")).alias("cells")).collect():
+        assert len(r.cells) <= 12 and len(set(r.cells)) == len(r.cells)
+        for s in scores:
+            assert len(set(r.cells) & set(s.held)) == (r.m is None or s.x <= r.m or r.m >= 255)
