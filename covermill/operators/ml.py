@@ -6,14 +6,16 @@ its input again, and must not recompute the joins behind it.
 
 from __future__ import annotations
 
+import uuid
 from itertools import combinations
 
-from pyspark.ml import Pipeline
+from pyspark.errors import AnalysisException
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from covermill import constants as C
@@ -103,6 +105,48 @@ def model_or_rule(model, features: DataFrame, rule_h: Column) -> DataFrame:
     return score(model, features).withColumn("base_h", F.round(F.col("model_score") * 100).cast("int"))
 
 
+_ABOUT = "version string, features array<string>, cutoff string, trained_at timestamp, path string"
+
+
+def save_model(model: PipelineModel, spark: SparkSession, folder: str, names: list[str], cutoff: str | None = None, version: str | None = None) -> str:
+    """Stores a trained model under ``folder`` for scoring by other sessions; returns its version.
+
+    A model is written to a place of its own and listed in ``about`` last, so a reader never meets half
+    a model and a failed run leaves the one before in use.
+    """
+    version = version or uuid.uuid4().hex
+    path = f"{folder}/models/{version}-{uuid.uuid4().hex}"
+    model.save(path)
+    about = spark.range(1).select(
+        F.lit(version).alias("version"), S.text_array(names).alias("features"), F.lit(cutoff).cast("string").alias("cutoff"),
+        F.current_timestamp().alias("trained_at"), F.lit(path).alias("path"),
+    )
+    about.write.mode("append").json(f"{folder}/about")
+    return version
+
+
+def stored_models(spark: SparkSession, folder: str) -> DataFrame:
+    """The models stored under ``folder``, one row each; none if the folder isn't there."""
+    try:
+        return spark.read.schema(_ABOUT).json(f"{folder}/about")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], _ABOUT)
+
+
+def load_model(spark: SparkSession, folder: str, names: list[str], version: str | None = None) -> PipelineModel | None:
+    """The newest stored model that was trained on exactly these features in this order, or the newest of a version.
+
+    None if there is none, and scoring falls back on the rules: a model of other features can't score these.
+    """
+    fit = stored_models(spark, folder).where(F.col("features") == S.text_array(names))
+    if version is not None:
+        fit = fit.where(F.col("version") == version)
+    last = fit.orderBy(F.desc("trained_at"), "path").limit(1).collect()
+    return PipelineModel.load(last[0].path) if last else None
+
+
 def ovo_auc(scored: DataFrame) -> float | None:
     """Mean area under the ROC curve over all ordered pairs of classes present."""
     present = {int(r["label"]) for r in scored.select("label").distinct().collect()}  # at most 3

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from covermill import constants as C
@@ -18,6 +20,7 @@ from covermill.plans.jobs_domain import PEER_SQL, peer_input
 from covermill.plans.oracle_views import AS_OF_DAY as TODAY
 from covermill.plans.oracle_views import quoted
 from covermill.plans.registry import joined, register
+from covermill.session import shared_dir
 from covermill.sources.domain import AS_OF
 
 
@@ -112,6 +115,13 @@ def ml_v2_train(d):
     return M.report(table, metrics)
 
 
+def _kept(spark, model, names):
+    """A model as scoring finds it: stored, then loaded."""
+    folder = f"{shared_dir(spark)}/models-{uuid.uuid4().hex}"
+    version = M.save_model(model, spark, folder, names, AS_OF)
+    return M.load_model(spark, folder, names, version)
+
+
 def _sums_to_one():
     return F.abs(F.aggregate("p", F.lit(0.0), lambda a, x: a + x) - 1) < 1e-9
 
@@ -123,8 +133,9 @@ def _sums_to_one():
       FROM ({MODEL_REASONS_SQL}) m JOIN v_signal s ON s.user_id = m.user_id AND s.warranty_id = m.warranty_id""",
 )
 def risk_score_model(d):
-    """Every pair scored by a model, with the model's reasons and the behaviour delta; flags check the numbers, which SQL can't train."""
-    model, _ = M.train_three_class(risk_training(d), C.RISK_FEATURES, M.RISK_ROUNDS, M.RISK_DEPTH)
+    """Every pair scored by a stored model, with the model's reasons and the behaviour delta; flags check the numbers, which SQL can't train."""
+    trained, _ = M.train_three_class(risk_training(d), C.RISK_FEATURES, M.RISK_ROUNDS, M.RISK_DEPTH)
+    model = _kept(d.spark, trained, C.RISK_FEATURES)
     based = R.model_reasons(M.model_or_rule(model, features(d), F.lit(20)))
     done = R.finish_score(T.with_signal(based, T.recent_signal(d.telemetry(), AS_OF)))
     label = F.when(F.col("risk_score") > 0.66, "HIGH").when(F.col("risk_score") >= 0.33, "MEDIUM").otherwise("LOW")
@@ -144,7 +155,8 @@ def risk_score_model(d):
 def ev_battery_score_model(d):
     """Every EV pair scored by a model, with the texts that go with a model."""
     rated = ev_inputs(ev_scores(d))
-    model, _ = M.train_three_class(M.labelled(rated, F.col("ev_label")), C.EV_FEATURES, M.OTHER_ROUNDS, M.OTHER_DEPTH)
+    trained, _ = M.train_three_class(M.labelled(rated, F.col("ev_label")), C.EV_FEATURES, M.OTHER_ROUNDS, M.OTHER_DEPTH)
+    model = _kept(d.spark, trained, C.EV_FEATURES)
     done = EV.model_texts(M.score(model, rated))
     best = F.element_at("proba", F.col("model_label")) == F.array_max("p")
     return done.select(*PAIR, joined("ev_reasons").alias("reasons"), joined("ev_suggestions").alias("suggestions"), _sums_to_one().alias("proba_ok"), best.alias("label_ok"))

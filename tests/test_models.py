@@ -63,3 +63,35 @@ def test_texts_of_a_model_score(spark):
     df = spark.createDataFrame(rows, "daily_km double, fast_charge_sessions double, deep_discharge_events double, max_temp_seen double, region_climate_band double, behaviour_h int")
     calm, hard = [r.ev_reasons for r in EV.model_texts(df).collect()]
     assert calm == [C.EV_MODEL_HEALTHY] and hard == C.EV_MODEL_REASONS[:4]
+
+
+def test_a_stored_model_scores_as_the_trained_one(spark, table, tmp_path):
+    folder = str(tmp_path / "risk")
+    names = C.RISK_FEATURES
+    assert M.stored_models(spark, folder).count() == 0
+    missing = M.load_model(spark, folder, names)
+    assert missing is None and {r.base_h for r in M.model_or_rule(missing, table, F.lit(35)).select("base_h").collect()} == {35}
+    first, _ = M.train_three_class(table, names, rounds=2, depth=2)
+    second, _ = M.train_three_class(table, names, rounds=1, depth=1)
+    M.save_model(first, spark, folder, names, "2024-01-16", "a")
+    M.save_model(second, spark, folder, names, "2024-01-17", "b")
+    scores = lambda model: sorted((r.user_id, r.warranty_id, r.model_score) for r in M.score(model, table).collect())
+    assert scores(M.load_model(spark, folder, names)) == scores(second) != scores(first)
+    assert scores(M.load_model(spark, folder, names, "a")) == scores(first)
+    # a model of other features, or of the same in another order, doesn't fit
+    assert M.load_model(spark, folder, names[:-1]) is None and M.load_model(spark, folder, names[::-1]) is None
+    assert M.load_model(spark, folder, names, "c") is None
+    about = {r.version: r for r in M.stored_models(spark, folder).collect()}
+    assert about["a"].features == names and about["b"].cutoff == "2024-01-17"
+
+
+def test_a_planted_signal_is_learned(spark):
+    u = lambda k: F.pmod(F.xxhash64("user_id", F.lit(k)), F.lit(1000)) / 1000
+    made = spark.range(1500).select(F.col("id").alias("user_id"), F.lit("w").alias("warranty_id")).select("*", u(1).alias("a"), u(2).alias("b"), u(3).alias("noise"))
+    three = made.withColumn("label", F.when(F.col("a") > 0.7, 2.0).when(F.col("b") > 0.5, 1.0).otherwise(0.0))
+    _, metrics = M.train_three_class(three, ["a", "b", "noise"], rounds=5, depth=2)
+    assert metrics["accuracy"] > 0.95 and metrics["auc"] > 0.97
+    _, metrics = M.train_binary(three.withColumn("label", F.least("label", F.lit(1.0))), ["a", "b", "noise"], rounds=5, depth=2)
+    assert metrics["auc"] > 0.95
+    _, metrics = M.train_three_class(three, ["noise"], rounds=5, depth=2)
+    assert abs(metrics["auc"] - 0.5) < 0.1
