@@ -135,14 +135,9 @@ def top_failure_reasons(telemetry: DataFrame, k: int = 5) -> DataFrame:
     )
 
 
-def recent_signal(telemetry: DataFrame, as_of, window_days: int = 30, max_events: int = 50) -> DataFrame:
-    """Usage intensity and error burden per pair with events in the window.
-
-    The newest ``max_events`` events of the pair count; of those, the last 10 usage and the last 5
-    error events.
-    """
-    cutoff = ts_lit(as_of) - F.expr(f"INTERVAL {window_days} DAYS")
-    slim = usage_payload(telemetry.where(F.col("ts") >= cutoff)).select(
+def signal_events(telemetry: DataFrame) -> DataFrame:
+    """What the recent signal looks at, per event."""
+    return usage_payload(telemetry).select(
         *PAIR,
         "event_type",
         "ts",
@@ -150,8 +145,22 @@ def recent_signal(telemetry: DataFrame, as_of, window_days: int = 30, max_events
         F.coalesce("p.hours", F.lit(0.0)).alias("hours"),
         F.coalesce("p.errors", F.lit(0)).alias("errors"),
     )
+
+
+def recent_signal(telemetry: DataFrame, as_of, window_days: int = 30, max_events: int = 50) -> DataFrame:
+    """Usage intensity and error burden per pair with events in the window."""
+    cutoff = ts_lit(as_of) - F.expr(f"INTERVAL {window_days} DAYS")
+    return signal_of(signal_events(telemetry.where(F.col("ts") >= cutoff)), max_events)
+
+
+def signal_of(events: DataFrame, max_events: int = 50) -> DataFrame:
+    """The signal of each pair in a window's ``signal_events``.
+
+    The newest ``max_events`` events of the pair count; of those, the last 10 usage and the last 5
+    error events.
+    """
     newest = [F.desc("ts"), F.desc("id")]
-    recent = first_rows_per_key(slim, PAIR, newest, max_events)
+    recent = first_rows_per_key(events, PAIR, newest, max_events)
     ranked = recent.withColumn(
         "kind_rank", F.row_number().over(Window.partitionBy(*PAIR, "event_type").orderBy(*newest))
     )

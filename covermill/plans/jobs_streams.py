@@ -42,9 +42,9 @@ def stream_telemetry_ingest(d):
 
 @register("stream_behaviour_signal", oracle_of("behaviour_signal"))
 def stream_behaviour_signal(d):
-    out, ckpt = fresh(d, "signal")
-    J.follow_signal(streamed(d, "events").telemetry(), out, ckpt)
-    df = T.with_signal(J.current_pairs(d.spark, out), J.current_signal(d.spark, out, AS_OF))
+    _, ckpt = fresh(d, "signal")
+    J.follow_signal(streamed(d, "events").telemetry(), ckpt)
+    df = T.with_signal(J.current_pairs(d.spark, ckpt), J.current_signal(d.spark, ckpt, AS_OF))
     return df.select(
         *PAIR, "usage_intensity", big("error_burden").alias("error_burden"), (F.col("delta_h") / 100).alias("behaviour_delta"),
         "hours_window", joined("signal_reasons").alias("reasons"),
@@ -54,9 +54,9 @@ def stream_behaviour_signal(d):
 @register("stream_behaviour_signal_late", oracle_of("behaviour_signal_late"))
 def stream_behaviour_signal_late(d):
     """The streamed signal read at a later day: silent pairs lose theirs."""
-    out, ckpt = fresh(d, "signal")
-    J.follow_signal(streamed(d, "events").telemetry(), out, ckpt)
-    df = T.with_signal(J.current_pairs(d.spark, out), J.current_signal(d.spark, out, LATE))
+    _, ckpt = fresh(d, "signal")
+    J.follow_signal(streamed(d, "events").telemetry(), ckpt)
+    df = T.with_signal(J.current_pairs(d.spark, ckpt), J.current_signal(d.spark, ckpt, LATE))
     return df.select(
         *PAIR, "usage_intensity", big("error_burden").alias("error_burden"), (F.col("delta_h") / 100).alias("behaviour_delta"),
         "hours_window", joined("signal_reasons").alias("reasons"),

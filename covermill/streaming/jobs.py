@@ -19,8 +19,10 @@ from covermill.operators import telemetry as T
 from covermill.streaming import sinks
 from covermill.streaming.chain_state import ChainState
 from covermill.streaming.score_state import ScoreState
+from covermill.streaming.signal_state import EVENT_SCHEMA, NewestEvents
 
 LOG_SCHEMA = "id STRING, user_id BIGINT, warranty_id STRING, event_type STRING, payload STRING, ts TIMESTAMP_NTZ"
+_EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 _LOG_COLUMNS = [c.split()[0] for c in LOG_SCHEMA.split(", ")]
 
 
@@ -38,34 +40,45 @@ def ingest_telemetry(stream: DataFrame, out: str, checkpoint: str) -> None:
     sinks.per_batch(fresh, checkpoint, job)
 
 
-def follow_signal(stream: DataFrame, out: str, checkpoint: str) -> None:
-    """Logs events by day, and the pairs of each batch; ``current_signal`` reads the window it needs.
+#: Newest events that the signal of a pair looks at, and slots that a pair's state is spread over.
+SIGNAL_EVENTS, SIGNAL_SLOTS = 50, 8
+_SIGNAL_KEY = "user_id BIGINT, warranty_id STRING, slot INT"
 
-    A batch writes its own rows only, so its cost doesn't grow with the log.
+
+def follow_signal(stream: DataFrame, checkpoint: str) -> None:
+    """Keeps each pair's newest events as state in RocksDB; ``current_signal`` reads the state.
+
+    State is bounded by the number of pairs: a pair has ``SIGNAL_SLOTS`` slots by the event's id, so a
+    pair that sends a third of all events is the work of several tasks, and each slot holds the newest
+    ``SIGNAL_EVENTS``. No log is written or read.
     """
+    events = T.signal_events(stream.select(*_LOG_COLUMNS))
+    micros = F.timestamp_diff("MICROSECOND", F.expr(_EPOCH), F.col("ts"))
+    slot = F.pmod(F.hash("id"), F.lit(SIGNAL_SLOTS))
+    keyed = events.withColumns({"at": micros, "slot": slot}).drop("ts").groupBy(*PAIR, "slot")
+    kept = keyed.transformWithState(NewestEvents(SIGNAL_EVENTS), _SIGNAL_KEY, "Append", "None")
+    sinks.per_batch(kept, checkpoint, lambda batch, n: batch.write.format("noop").mode("overwrite").save())
 
-    def job(batch: DataFrame, n: int) -> None:
-        sinks.write_batch(batch.select(*_LOG_COLUMNS).withColumn("event_date", F.to_date("ts")), f"{out}/log", n, "event_date")
-        sinks.write_batch(batch.select(*PAIR).distinct(), f"{out}/pairs", n)
 
-    sinks.per_batch(stream, checkpoint, job)
+def newest_events(spark, checkpoint: str) -> DataFrame:
+    """The events in state: those of each pair's slots that can count for a signal, on any day."""
+    state = sinks.read_state(spark, checkpoint, "newest", _SIGNAL_KEY, EVENT_SCHEMA)
+    at = F.expr(f"timestampadd(MICROSECOND, at, {_EPOCH})").alias("ts")
+    return state.select(*PAIR, "event_type", at, "id", "hours", "errors")
 
 
-def current_pairs(spark, out: str) -> DataFrame:
+def current_pairs(spark, checkpoint: str) -> DataFrame:
     """Every pair that ever sent an event."""
-    return sinks.read_batches(spark, f"{out}/pairs", "user_id BIGINT, warranty_id STRING").select(*PAIR).distinct()
+    return newest_events(spark, checkpoint).select(*PAIR).distinct()
 
 
-def current_signal(spark, out: str, as_of, window_days: int = 30) -> DataFrame:
-    """The signal of every pair with an event in the window before ``as_of``; only the window's days are read."""
-    log = sinks.read_batches(spark, f"{out}/log", LOG_SCHEMA + ", event_date DATE")
+def current_signal(spark, checkpoint: str, as_of, window_days: int = 30) -> DataFrame:
+    """The signal of every pair with an event in the window before ``as_of``, from state alone."""
     begin = S.ts_lit(as_of) - F.expr(f"INTERVAL {window_days} DAYS")
-    recent = log.where(F.col("event_date") >= F.to_date(begin)).drop("batch_id", "event_date")
-    return T.recent_signal(recent, as_of, window_days)
+    return T.signal_of(newest_events(spark, checkpoint).where(F.col("ts") >= begin), SIGNAL_EVENTS)
 
 
 KEPT_SCHEMA = "user_id BIGINT, warranty_id STRING, type STRING, audience STRING, id STRING, at BIGINT, is_read BOOLEAN, kept BOOLEAN"
-_EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 
 def keep_notifications(notes: DataFrame, out: str, checkpoint: str, receipts: DataFrame | None = None) -> None:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 
@@ -38,3 +39,18 @@ def read_batches(spark: SparkSession, path: str, schema: str, before: int | None
             raise
         df = spark.createDataFrame([], f"{schema}, batch_id BIGINT")
     return df if before is None else df.where(f"batch_id < {before}")
+
+
+def read_state(spark: SparkSession, checkpoint: str, variable: str, key_schema: str, value_schema: str) -> DataFrame:
+    """A list variable's elements after the last batch, as columns of key and value; none before the first batch."""
+    keys, values = ([c.split()[0] for c in schema.split(", ")] for schema in (key_schema, value_schema))
+    empty = spark.createDataFrame([], f"{key_schema}, {value_schema}")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
+    try:
+        state = spark.read.format("statestore").option("stateVarName", variable).load(checkpoint)
+    except PySparkException as e:
+        if e.getCondition() != "STDS_COMMITTED_BATCH_UNAVAILABLE":
+            raise
+        return empty
+    cells = [*[F.col(f"key.{c}") for c in keys], *[F.col(f"list_element.{c}") for c in values]]
+    return empty.union(state.select(*cells))

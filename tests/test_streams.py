@@ -46,10 +46,10 @@ def test_ingest_counts_a_repeated_event_once(spark, split_events, tmp_path):
 
 
 def test_signal_equals_batch(spark, split_events, tmp_path):
-    J.follow_signal(tables(spark, split_events).telemetry(), str(tmp_path / "o"), str(tmp_path / "c"))
+    J.follow_signal(tables(spark, split_events).telemetry(), str(tmp_path / "c"))
     cols = [*PAIR, "last_hours", "hours_window", "error_burden", "avg_hours"]
     batch = T.recent_signal(DomainTables(spark, SMALL).telemetry(), AS_OF)
-    assert rows(J.current_signal(spark, str(tmp_path / "o"), AS_OF).select(*cols)) == rows(batch.select(*cols))
+    assert rows(J.current_signal(spark, str(tmp_path / "c"), AS_OF).select(*cols)) == rows(batch.select(*cols))
 
 
 @pytest.fixture(scope="module")
@@ -72,10 +72,10 @@ def test_late_rows_are_kept(spark, late_events, tmp_path, files):
     J.count_by_day(s.interest(), "product_id", "ts", f"{out}/i", f"{out}/ic")
     batch = d.interest().groupBy(F.to_date("ts").alias("day"), F.col("product_id").alias("item")).agg(F.count(F.lit(1)).alias("n"))
     assert rows(J.current_counts(spark, f"{out}/i")) == rows(batch)
-    J.follow_signal(s.telemetry(), f"{out}/s", f"{out}/sc")
+    J.follow_signal(s.telemetry(), f"{out}/sc")
     for as_of in (AS_OF, "2024-02-12 00:00:00"):
         # pairs without an event in the window stay, and lose their signal
-        got = T.with_signal(J.current_pairs(spark, f"{out}/s"), J.current_signal(spark, f"{out}/s", as_of))
+        got = T.with_signal(J.current_pairs(spark, f"{out}/sc"), J.current_signal(spark, f"{out}/sc", as_of))
         want = T.with_signal(d.telemetry().select(*PAIR).distinct(), T.recent_signal(d.telemetry(), as_of))
         cols = [*PAIR, "usage_intensity", "error_burden", "delta_h", "hours_window"]
         assert rows(got.select(*cols)) == rows(want.select(*cols))
@@ -228,3 +228,36 @@ def test_new_scores_take_back_old_ones(spark, tmp_path, compact):
     for n, want in enumerate(batches):
         got = {(r["brand"], r["region_code"]): (r["total"], r["high"]) for r in J._totals(spark, out, n).where("total > 0").collect()}
         assert got == want
+
+
+def test_signal_of_a_hot_pair_from_bounded_state(spark, tmp_path):
+    rng = random.Random(5)
+    begin = datetime(2024, 1, 10)
+    log = []
+    for i in range(1500):
+        pair = (1, "hot") if i % 3 else (rng.randrange(2, 9), None)
+        ts = None if i % 97 == 0 else begin + timedelta(minutes=rng.randrange(25_000))
+        log.append((None if i % 211 == 0 else f"e{i}", *pair, rng.choice(["usage", "error", "failure"]), '{"hours": %d, "errors": %d}' % (i, i % 4), ts))
+    log.append(("only", 99, "w", "usage", None, None))
+    rng.shuffle(log)
+    schema = J.LOG_SCHEMA
+    for k in range(4):
+        spark.createDataFrame(log[k::4], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    ckpt = str(tmp_path / "c")
+    J.follow_signal(stream, ckpt)
+    batch = spark.createDataFrame(log, schema)
+    assert rows(J.current_pairs(spark, ckpt)) == rows(batch.select(*PAIR).distinct())
+    for as_of in (AS_OF, "2024-02-20 00:00:00"):
+        assert rows(J.current_signal(spark, ckpt, as_of)) == rows(T.recent_signal(batch, as_of))
+    held = J.newest_events(spark, ckpt)
+    assert held.where("warranty_id = 'hot'").count() == J.SIGNAL_EVENTS * J.SIGNAL_SLOTS < 1000
+    # a restart without new files changes nothing
+    J.follow_signal(stream, ckpt)
+    assert rows(J.newest_events(spark, ckpt)) == rows(held)
+
+
+def test_signal_state_before_any_event(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    J.follow_signal(spark.readStream.schema(J.LOG_SCHEMA).parquet(str(tmp_path / "in")), str(tmp_path / "c"))
+    assert J.current_pairs(spark, str(tmp_path / "c")).count() == J.current_signal(spark, str(tmp_path / "c"), AS_OF).count() == 0
