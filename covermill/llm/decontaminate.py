@@ -30,7 +30,9 @@ MIN_COVERAGE = 0.5
 #: Bytes of benchmark text that a task holds at a time.
 BLOCK_BYTES = 8 << 20
 
-_WORD = re.compile(r"[^\W_]+")
+#: Scripts written without spaces between words: Thai to Myanmar, kana, Han.
+_UNSPACED = "\u0e00-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORD = re.compile(rf"(?=[{_UNSPACED}])[^\W_]|[^\W_{_UNSPACED}]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _FOUND = "array<struct<item_id: bigint, n_item_words: bigint, n_covered: bigint, tiles: array<struct<doc_word: int, item_word: int, words: int>>>>"
 _TILE = pa.struct([("doc_word", pa.int32()), ("item_word", pa.int32()), ("words", pa.int32())])
@@ -39,7 +41,7 @@ _EMPTY = np.zeros(0, dtype=np.uint64)
 
 
 class WordHashes:
-    """64-bit hashes of a text's words: runs of letters and digits, in lower case."""
+    """64-bit hashes of a text's words: runs of letters and digits, in lower case; single characters in scripts without spaces."""
 
     def __init__(self):
         self.known = RecentCache()
@@ -99,6 +101,7 @@ class SeedIndex:
         self.min_tile = min_tile
         self.ids = [i for i, _ in items]
         self.words = [hashes(text or "") for _, text in items]
+        self.sizes = np.array([len(w) for w in self.words], dtype=np.int64)
         seeds = [rolling(w, min_tile) for w in self.words]
         item = np.concatenate([np.full(len(s), k, dtype=np.int64) for k, s in enumerate(seeds)] or [np.zeros(0, dtype=np.int64)])
         place = np.concatenate([np.arange(len(s)) for s in seeds] or [np.zeros(0, dtype=np.int64)])
@@ -117,21 +120,36 @@ class SeedIndex:
         at = np.flatnonzero(self.filter[windows >> self.shift])
         if not len(at):
             return []
-        first = np.searchsorted(self.seed, windows[at], "left")
-        count = np.searchsorted(self.seed, windows[at], "right") - first
-        t = np.repeat(at, count)
+        order = np.argsort(windows[at], kind="stable")
+        at, windows = at[order], windows[at][order]
+        seeds = np.unique(windows)
+        first = np.searchsorted(self.seed, seeds, "left")
+        count = np.searchsorted(self.seed, seeds, "right") - first
         hit = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+        hit = hit[np.lexsort((self.place[hit], self.item[hit]))]
         item, p = self.item[hit], self.place[hit]
-        order = np.lexsort((p, t - p, item))
-        item, p, t = item[order], p[order], t[order]
+        if not len(item):
+            return []
+        # tiles consist of seeds: an item whose seeds in the text cover too few of its words is left out before any pair is made
+        begin = np.flatnonzero(np.diff(item, prepend=-1))
+        reach = np.where(np.diff(item, append=-1) != 0, self.min_tile, np.minimum(np.diff(p, append=0), self.min_tile))
+        enough = np.add.reduceat(reach, begin) >= min_coverage * self.sizes[item[begin]]
         out = []
-        bounds = np.flatnonzero(np.diff(item, prepend=-1, append=-1))
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            found = self._tiles(int(item[a]), p[a:b], t[a:b], words, min_coverage)
+        for a, b in zip(begin[enough].tolist(), np.append(begin[1:], len(item))[enough].tolist()):
+            found = self._pairs(int(item[a]), p[a:b], self.seed[hit[a:b]], at, windows, words, min_coverage)
             if found:
                 out.append(found)
         return out
 
+    def _pairs(self, k: int, p: np.ndarray, seeds: np.ndarray, at: np.ndarray, windows: np.ndarray, words: np.ndarray, min_coverage: float) -> tuple | None:
+        """One item's seeds with each of their places in the text, which ``windows`` lists in order of the hash."""
+        first = np.searchsorted(windows, seeds, "left")
+        count = np.searchsorted(windows, seeds, "right") - first
+        t = at[np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())]
+        p = np.repeat(p, count)
+        order = np.lexsort((p, t - p))
+        return self._tiles(k, p[order], t[order], words, min_coverage)
+
     def _tiles(self, k: int, p: np.ndarray, t: np.ndarray, words: np.ndarray, min_coverage: float) -> tuple | None:
         theirs, m = self.words[k], self.min_tile
         # seeds of equal hash but different words are none

@@ -27,7 +27,7 @@ SAMPLE_DOCUMENTS, SAMPLE_CHARS = 200, 60_000
 TOTAL_CHARS = 64 * SAMPLE_CHARS
 UNKNOWN = "und"
 
-_RUN = regex.compile(r"[\p{L}\p{M}]+")
+_RUN = regex.compile(r"\p{M}*\p{L}[\p{L}\p{M}]*")
 
 
 def words_of(text: str) -> list[str]:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -159,6 +160,49 @@ def test_tiling_equals_brute_force():
         assert sorted(found[0][3] if found else []) == slow_tiles(item, doc, 3)
 
 
+def test_decontamination_query_equals_brute_force(spark):
+    found = {(r.doc_id, r.item_id): (r.n_item_words, r.n_covered, r.n_tiles) for r in queries.op3_decontaminate(spark, SMALL).collect()}
+    docs = [(r.doc_id, decontaminate._WORD.findall(r.text.lower())) for r in spark.read.parquet(f"{SMALL}/documents.parquet").where("text IS NOT NULL").collect()]
+    items = {(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()}
+    m, want = decontaminate.MIN_TILE, {}
+    for doc_id, doc in docs:
+        windows = {tuple(doc[i : i + m]) for i in range(len(doc) - m + 1)}
+        for item_id, text in items:
+            item = decontaminate._WORD.findall(text.lower())
+            if any(tuple(item[i : i + m]) in windows for i in range(len(item) - m + 1)):
+                tiles = slow_tiles(item, doc, m)
+                covered = sum(n for _, _, n in tiles)
+                if covered >= decontaminate.MIN_COVERAGE * len(item):
+                    want[doc_id, item_id] = (len(item), covered, len(tiles))
+    assert want and found == want
+
+
+def test_decontamination_of_a_repeated_template():
+    template = "the answer to the question is one of these :"
+    items = [(i, f"{template} a{i} b{i} c{i} d{i} e{i} f{i} g{i} h{i} i{i} j{i} k{i}") for i in range(4000)]
+    index, hashes = decontaminate.SeedIndex(items, 5), decontaminate.WordHashes()
+    text = " x ".join([template] * 2000 + [items[7][1], items[3999][1]])
+    tracemalloc.start()
+    found = index.find(hashes(text), 0.5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(f[0], f[2]) for f in found] == [(7, 20), (3999, 20)]
+    assert peak < 20 << 20
+
+
+def test_words_of_scripts_without_spaces():
+    item = "北京是中华人民共和国的首都"
+    index, hashes = decontaminate.SeedIndex([(1, item)], 5), decontaminate.WordHashes()
+    assert [f[:3] for f in index.find(hashes(f"前文。{item}，后文 and 12 words"), 0.5)] == [(1, 13, 13)]
+    assert index.find(hashes("上海是中国的城市"), 0.5) == []
+    assert decontaminate._WORD.findall("one_two 北京2008 café") == ["one", "two", "北", "京", "2008", "café"]
+
+
+def test_marks_without_a_letter_have_no_language():
+    assert language_id._RUN.findall("\u0301\u0302 \u0301 12") == []
+    assert language_id._RUN.findall("\u0301a\u0301b c1") == ["\u0301a\u0301b", "c"]
+
+
 def test_decontamination(spark, odd):
     item = "one two three four five six seven eight nine ten eleven twelve"
     swapped = "so: Seven, eight nine TEN eleven twelve! and then one two three four five six."
