@@ -32,7 +32,7 @@ BLOCK_BYTES = 8 << 20
 
 #: Scripts written without spaces between words: Thai to Myanmar, kana, Han.
 _UNSPACED = "\u0e00-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
-_WORD = re.compile(rf"(?=[{_UNSPACED}])[^\W_]|[^\W_{_UNSPACED}]+")
+_WORD = re.compile(rf"[^\W_{_UNSPACED}]+|[^\W_]")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _FOUND = "array<struct<item_id: bigint, n_item_words: bigint, n_covered: bigint, tiles: array<struct<doc_word: int, item_word: int, words: int>>>>"
 _TILE = pa.struct([("doc_word", pa.int32()), ("item_word", pa.int32()), ("words", pa.int32())])
