@@ -80,27 +80,38 @@ def with_product_type(rows: DataFrame, warranties: DataFrame) -> DataFrame:
     return rows.join(w, "warranty_id", "left").withColumn("product_type", inferred).drop("w_name", "w_model")
 
 
+def answer_steps(answers: DataFrame, warranties: DataFrame) -> DataFrame:
+    """What each answer does: whether it is good and prompt, and up to two steps of behaviour in order."""
+    a = F.lower(F.coalesce("answer_value", F.lit("")))
+    one = F.when(a.isin(GOOD), 1).when(a.isin(BAD), -2)
+    two = F.when(a.isin(WORST), -5)
+    return with_product_type(answers, warranties).select(
+        *PROFILE_KEY, "created_at", "id",
+        F.coalesce(one, two).alias("step_a"), F.when(one.isNotNull(), two).alias("step_b"),
+        a.isin(GOOD).cast("int").alias("good"), a.isin(PROMPT).cast("int").alias("prompt"),
+    )
+
+
+def rises(answers: str, good: str, prompt: str) -> list[Column]:
+    """What counts of answers add to care and responsiveness."""
+    return [(3 * F.col(good)).alias("care_add"), (2 * F.col(answers) + 2 * F.col(prompt)).alias("resp_add")]
+
+
 def answer_effects(answers: DataFrame, warranties: DataFrame) -> DataFrame:
     """What a batch of answers adds per profile: three sums, and the composed behaviour shift.
 
     Care and responsiveness only ever rise, so clamping at the end equals clamping at each step and
     plain sums suffice. Behaviour moves both ways and needs the ordered fold.
     """
-    answer = F.lower(F.coalesce("answer_value", F.lit("")))
-    rows = with_product_type(answers, warranties).withColumn("a", answer)
-    a = F.col("a")
-    sums = rows.groupBy(*PROFILE_KEY).agg(
+    steps = answer_steps(answers, warranties)
+    sums = steps.groupBy(*PROFILE_KEY).agg(
         F.count(F.lit(1)).alias("answers"),
-        (3 * S.flag_count(a.isin(GOOD))).alias("care_add"),
-        (2 * F.count(F.lit(1)) + 2 * S.flag_count(a.isin(PROMPT))).alias("resp_add"),
+        F.sum("good").alias("good"),
+        F.sum("prompt").alias("prompt"),
         F.max("created_at").alias("last_question_at"),
-    )
-    one = F.when(a.isin(GOOD), 1).when(a.isin(BAD), -2)
-    two = F.when(a.isin(WORST), -5)
-    steps = rows.select(
-        *PROFILE_KEY, "created_at", "id", F.coalesce(one, two).alias("step_a"), F.when(one.isNotNull(), two).alias("step_b")
-    ).where(F.col("step_a").isNotNull())
-    shifts = composed_shifts(steps, PROFILE_KEY, ["created_at", "id"])
+    ).select(*PROFILE_KEY, "answers", *rises("answers", "good", "prompt"), "last_question_at")
+    moving = steps.drop("good", "prompt").where(F.col("step_a").isNotNull())
+    shifts = composed_shifts(moving, PROFILE_KEY, ["created_at", "id"])
     return (
         sums.alias("s")
         .join(shifts.alias("w"), S.same_key("s", "w", PROFILE_KEY), "left")

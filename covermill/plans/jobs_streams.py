@@ -72,9 +72,9 @@ def stream_notification_dedupe(d):
 
 @register("stream_behaviour_profile", oracle_of("behaviour_profile"))
 def stream_behaviour_profile(d):
-    out, ckpt = fresh(d, "profiles")
-    J.follow_profiles(streamed(d, "events").answer(), out, ckpt)
-    return J.current_profiles(d.spark, out, d.warranty()).select(
+    _, ckpt = fresh(d, "profiles")
+    J.follow_profiles(streamed(d, "events").answer(), d.warranty(), ckpt)
+    return J.current_profiles(d.spark, ckpt).select(
         *B.PROFILE_KEY, "answers", *[big(c).alias(c) for c in ("behaviour_h", "care_h", "resp_h")], instant("last_question_at").alias("last_question_at")
     )
 

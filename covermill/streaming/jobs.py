@@ -18,6 +18,7 @@ from covermill.operators import oem as O
 from covermill.operators import telemetry as T
 from covermill.streaming import sinks
 from covermill.streaming.chain_state import ChainState
+from covermill.streaming.profile_state import SUM_SCHEMA, PartsState, SliceState
 from covermill.streaming.score_state import ScoreState
 from covermill.streaming.signal_state import EVENT_SCHEMA, NewestEvents
 
@@ -107,20 +108,40 @@ def kept_notifications(spark, out: str) -> DataFrame:
     return latest.select(*Y.KEY, "id", F.expr(f"timestampadd(MICROSECOND, at, {_EPOCH})").alias("created_at"), "d.is_read")
 
 
-ANSWER_SCHEMA = "user_id BIGINT, product_type STRING, warranty_id STRING, id BIGINT, answer_value STRING, created_at TIMESTAMP_NTZ"
+#: Hours of a slice of a profile's answers, and slices of a block (32 days).
+SLICE_HOURS, BLOCK_SLICES = 1, 768
+_PROFILE_KEY = "user_id BIGINT, product_type STRING, warranty_id STRING"
+_PART_SCHEMA = f"{_PROFILE_KEY}, part BIGINT, {SUM_SCHEMA}"
+#: The part of answers without a time, which come before all others.
+_NO_TIME = -(1 << 40)
 
 
-def follow_profiles(answers: DataFrame, out: str, checkpoint: str) -> None:
-    """Logs answers; ``current_profiles`` folds them in the order of their times, however late they came.
+def follow_profiles(answers: DataFrame, warranties: DataFrame, checkpoint: str) -> None:
+    """Keeps each profile's scores as answers arrive, in any order; ``current_profiles`` reads them from state.
 
-    A batch writes its own rows only, so its cost doesn't grow with the log.
+    State is a tree in RocksDB: the steps of a profile in one hour, the hours of a block, the blocks of a
+    profile, each with the one clamped shift that its answers compose to. A batch redoes the slices of its
+    answers and the block and profile above each, nothing else; no log is written or read. A
+    profile that sends a third of all answers is spread over its hours; its block joins 768 sums at most, its
+    root one a month. An answer's product type follows from its warranty as it is when the answer arrives. Answers without
+    a time are one slice.
     """
-    names = [c.split()[0] for c in ANSWER_SCHEMA.split(", ")]
-    sinks.per_batch(answers, checkpoint, lambda batch, n: sinks.write_batch(batch.select(*names), out, n))
-
-
-def current_profiles(spark, out: str, warranties: DataFrame) -> DataFrame:
-    return B.behaviour_profiles(sinks.read_batches(spark, out, ANSWER_SCHEMA).drop("batch_id"), warranties)
+    micros = F.timestamp_diff("MICROSECOND", F.expr(_EPOCH), F.col("created_at"))
+    steps = B.answer_steps(answers, warranties).withColumn("at", micros)
+    part = F.coalesce(F.expr(f"floor(at / {SLICE_HOURS * 3_600_000_000})").cast("long"), F.lit(_NO_TIME))
+    slices = steps.withColumn("part", part).groupBy(*B.PROFILE_KEY, "part").transformWithState(SliceState(), _PART_SCHEMA, "Append", "None")
+    block = F.expr(f"floor(part / {BLOCK_SLICES})").cast("long")
+    blocks = slices.withColumn("block", block).groupBy(*B.PROFILE_KEY, "block").transformWithState(PartsState(), _PART_SCHEMA, "Append", "None")
+    whole = blocks.groupBy(*B.PROFILE_KEY).transformWithState(PartsState(), _PART_SCHEMA, "Append", "None")
+    sinks.per_batch(whole, checkpoint, lambda batch, n: batch.write.format("noop").mode("overwrite").save())
+
+
+def current_profiles(spark, checkpoint: str) -> DataFrame:
+    """The scores of every profile that ever answered, one row of state each."""
+    whole = sinks.read_state(spark, checkpoint, "whole", _PROFILE_KEY, SUM_SCHEMA, operator=sinks.LAST_OPERATOR)
+    shift = F.struct("lo", "hi", "d").alias("f")
+    last = F.expr(f"timestampadd(MICROSECOND, last_at, {_EPOCH})").alias("last_question_at")
+    return B.profiles_from_effects(whole.select(*B.PROFILE_KEY, "answers", *B.rises("answers", "good", "prompt"), last, shift))
 
 
 def count_by_day(stream: DataFrame, item: str, time: str, out: str, checkpoint: str) -> None:

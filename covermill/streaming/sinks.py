@@ -41,13 +41,25 @@ def read_batches(spark: SparkSession, path: str, schema: str, before: int | None
     return df if before is None else df.where(f"batch_id < {before}")
 
 
-def read_state(spark: SparkSession, checkpoint: str, variable: str, key_schema: str, value_schema: str) -> DataFrame:
+#: The stateful operator nearest to the sink, where a query chains several.
+LAST_OPERATOR = -1
+
+
+def _operator(spark: SparkSession, checkpoint: str, variable: str, which: int) -> int:
+    """The id of a stateful operator that holds the variable; ids count from the sink."""
+    if which != LAST_OPERATOR:
+        return which
+    found = spark.read.format("state-metadata").load(checkpoint).where(F.col("operatorProperties").contains(f'"{variable}"'))
+    return found.agg(F.min("operatorId")).first()[0] or 0
+
+
+def read_state(spark: SparkSession, checkpoint: str, variable: str, key_schema: str, value_schema: str, operator: int = 0) -> DataFrame:
     """A list variable's elements after the last batch, as columns of key and value; none before the first batch."""
     keys, values = ([c.split()[0] for c in schema.split(", ")] for schema in (key_schema, value_schema))
     empty = spark.createDataFrame([], f"{key_schema}, {value_schema}")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
     try:
-        state = spark.read.format("statestore").option("stateVarName", variable).load(checkpoint)
+        state = spark.read.format("statestore").option("stateVarName", variable).option("operatorId", _operator(spark, checkpoint, variable, operator)).load(checkpoint)
     except PySparkException as e:
         if e.getCondition() != "STDS_COMMITTED_BATCH_UNAVAILABLE":
             raise

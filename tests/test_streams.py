@@ -88,9 +88,9 @@ def test_late_notifications_and_answers_count(spark, late_events, tmp_path, file
     J.keep_notifications(s.notification(), f"{out}/n", f"{out}/nc")
     batch = Y.dedupe_chain(d.notification(), Y.KEY).where("kept").select("id")
     assert rows(J.kept_notifications(spark, f"{out}/n").select("id")) == rows(batch)
-    J.follow_profiles(s.answer(), f"{out}/p", f"{out}/pc")
+    J.follow_profiles(s.answer(), d.warranty(), f"{out}/pc")
     cols = [*B.PROFILE_KEY, "answers", "behaviour_h", "care_h", "resp_h"]
-    assert rows(J.current_profiles(spark, f"{out}/p", d.warranty()).select(*cols)) == rows(B.behaviour_profiles(d.answer(), d.warranty()).select(*cols))
+    assert rows(J.current_profiles(spark, f"{out}/pc").select(*cols)) == rows(B.behaviour_profiles(d.answer(), d.warranty()).select(*cols))
 
 
 def test_only_a_missing_folder_is_empty(spark, tmp_path):
@@ -103,10 +103,44 @@ def test_only_a_missing_folder_is_empty(spark, tmp_path):
 
 def test_profiles_equal_batch(spark, split_events, tmp_path):
     d = DomainTables(spark, SMALL)
-    J.follow_profiles(tables(spark, split_events).answer(), str(tmp_path / "o"), str(tmp_path / "c"))
-    cols = [*B.PROFILE_KEY, "answers", "behaviour_h", "care_h", "resp_h"]
+    J.follow_profiles(tables(spark, split_events).answer(), d.warranty(), str(tmp_path / "c"))
+    cols = [*B.PROFILE_KEY, "answers", "behaviour_h", "care_h", "resp_h", "last_question_at"]
     batch = B.behaviour_profiles(d.answer(), d.warranty())
-    assert rows(J.current_profiles(spark, str(tmp_path / "o"), d.warranty()).select(*cols)) == rows(batch.select(*cols))
+    assert rows(J.current_profiles(spark, str(tmp_path / "c")).select(*cols)) == rows(batch.select(*cols))
+
+
+def test_profiles_from_slices_equal_the_walk(spark, tmp_path):
+    """A hot profile over months, late answers, answers without a time, null keys, repeated times; the state after each batch."""
+    rng = random.Random(5)
+    schema = "user_id BIGINT, product_type STRING, warranty_id STRING, id BIGINT, answer_value STRING, created_at TIMESTAMP_NTZ"
+    keys = [(1, "ac", "w1"), (2, "tv", "w2"), (None, "tv", None)]
+    sent = []
+    for i in range(600):
+        key = keys[0] if i % 3 else rng.choice(keys)
+        # steps of minutes and of weeks: many answers to a slice, many slices to a block, many blocks
+        at = datetime(2023, 1, 1) + timedelta(minutes=rng.choice([rng.randrange(90), 60 * 24 * rng.randrange(200)]))
+        sent.append((*key, i, rng.choice(["yes", "no", "NO", "1", "2", "2", "5", "4", "maybe", None]), None if i % 97 == 5 else at))
+    rng.shuffle(sent)
+    warranties = spark.createDataFrame([("w1", None, None)], "warranty_id STRING, product_name STRING, model_code STRING")
+    path, checkpoint = str(tmp_path / "answers"), str(tmp_path / "c")
+    for k in range(3):
+        spark.createDataFrame(sent[k::3], schema).coalesce(2).write.mode("append").parquet(path)
+        J.follow_profiles(spark.readStream.schema(schema).parquet(path), warranties, checkpoint)
+        want = {}
+        arrived = [r for j in range(k + 1) for r in sent[j::3]]
+        for *key, _, value, at in sorted(arrived, key=lambda r: (r[5] is not None, r[5] or datetime.min, r[3])):
+            p = want.setdefault(tuple(key), [0, 50, 50, 50, None])
+            a = (value or "").lower()
+            p[0] += 1
+            if a in B.GOOD or a in B.BAD:
+                p[1] = max(0, min(100, p[1] + (1 if a in B.GOOD else -2)))
+            if a in B.WORST:
+                p[1] = max(0, min(100, p[1] - 5))
+            p[2] = min(100, p[2] + 3 * (a in B.GOOD))
+            p[3] = min(100, p[3] + 2 + 2 * (a in B.PROMPT))
+            p[4] = at if p[4] is None or (at and at > p[4]) else p[4]
+        got = {tuple(r[:3]): list(r[3:]) for r in J.current_profiles(spark, checkpoint).select(*B.PROFILE_KEY, "answers", "behaviour_h", "care_h", "resp_h", "last_question_at").collect()}
+        assert got == want
 
 
 def test_notifications_equal_batch(spark, split_events, tmp_path):
