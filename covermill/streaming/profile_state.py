@@ -12,8 +12,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 SUM_SCHEMA = "answers BIGINT, good BIGINT, prompt BIGINT, last_at BIGINT, lo INT, hi INT, d INT"
 _FIELDS = [c.split()[0] for c in SUM_SCHEMA.split(", ")]
 _NOTHING = (0, 0, 0, None, 0, 100, 0)
-STEP_SCHEMA = "at BIGINT, id BIGINT, step_a INT, step_b INT"
-_STEP_FIELDS = [c.split()[0] for c in STEP_SCHEMA.split(", ")]
+_STEP_FIELDS = ["at", "id", "step_a", "step_b"]
+_STEPS = "steps ARRAY<STRUCT<at: BIGINT, id: BIGINT, step_a: INT, step_b: INT>>"
+_PARTS = f"parts ARRAY<STRUCT<part: BIGINT, {SUM_SCHEMA.replace(' ', ': ').replace(',: ', ', ')}>>"
 
 
 def _clamped(x: int) -> int:
@@ -42,30 +43,31 @@ def _order(step: tuple) -> tuple:
     return tuple((v is not None, v or 0) for v in step)
 
 
+def _row(key: tuple, part: int, sums: tuple) -> Row:
+    return Row(user_id=key[0], product_type=key[1], warranty_id=key[2], part=part, **dict(zip(_FIELDS, sums, strict=True)))
+
+
 class SliceState(StatefulProcessor):
     """The answers of a profile in one slice of time: a row redoes its slice only, however late it comes.
 
-    Steps are kept, because a late answer goes between them; answers without an effect are counted only. Emits the slice's sums.
+    Steps are kept, because a late answer goes between them; answers without an effect are counted only. Emits the
+    slice's sums. State is one value, because each call of the state costs more than the work on a slice.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.steps = handle.getListState("steps", STEP_SCHEMA)
-        self.counts = handle.getValueState("counts", "answers BIGINT, good BIGINT, prompt BIGINT, last_at BIGINT")
+        self.slice = handle.getValueState("slice", f"answers BIGINT, good BIGINT, prompt BIGINT, last_at BIGINT, {_STEPS}")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        steps = [tuple(s) for s in self.steps.get()] if self.steps.exists() else []
-        answers, good, prompt, last = self.counts.get() if self.counts.exists() else (0, 0, 0, None)
+        answers, good, prompt, last, held = self.slice.get() or (0, 0, 0, None, [])
+        steps = [tuple(s) for s in held]
         for r in rows:
             answers, good, prompt, last = answers + 1, good + r["good"], prompt + r["prompt"], _newer(last, r["at"])
             if r["step_a"] is not None:
                 steps.append(tuple(r[c] for c in _STEP_FIELDS))
         steps.sort(key=_order)
-        if steps:
-            self.steps.put(steps)
-        self.counts.update((answers, good, prompt, last))
+        self.slice.update((answers, good, prompt, last, steps))
         shift = joined(_step(delta) for s in steps for delta in s[2:] if delta is not None)
-        sums = (answers, good, prompt, last, *shift[4:])
-        yield Row(user_id=key[0], product_type=key[1], warranty_id=key[2], part=key[3], **dict(zip(_FIELDS, sums, strict=True)))
+        yield _row(key, key[3], (answers, good, prompt, last, *shift[4:]))
 
     def close(self) -> None:
         pass
@@ -74,20 +76,21 @@ class SliceState(StatefulProcessor):
 class PartsState(StatefulProcessor):
     """The sums of a block's slices, or of a profile's blocks: changed ones are replaced, the whole is joined again.
 
-    ``part`` names a part and orders it in time. Emits the sums of the whole, with the key's fourth field as its part.
+    ``part`` names a part and orders it in time. The sums of the whole are emitted, with the key's fourth field as
+    their part, and kept with the parts as one value.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.parts = handle.getMapState("parts", "part BIGINT", SUM_SCHEMA)
-        self.whole = handle.getListState("whole", SUM_SCHEMA)
+        self.whole = handle.getValueState("whole", f"{SUM_SCHEMA}, {_PARTS}")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        for r in rows:
-            self.parts.updateValue((r["part"],), tuple(r[c] for c in _FIELDS))
-        ordered = sorted((part[0], tuple(sums)) for part, sums in self.parts.iterator())
+        held = self.whole.get()
+        parts = {p[0]: tuple(p[1:]) for p in held[-1]} if held else {}
+        parts.update((r["part"], tuple(r[c] for c in _FIELDS)) for r in rows)
+        ordered = sorted(parts.items())
         sums = joined(s for _, s in ordered)
-        self.whole.put([sums])
-        yield Row(user_id=key[0], product_type=key[1], warranty_id=key[2], part=key[3] if len(key) > 3 else 0, **dict(zip(_FIELDS, sums, strict=True)))
+        self.whole.update((*sums, [(part, *s) for part, s in ordered]))
+        yield _row(key, key[3] if len(key) > 3 else 0, sums)
 
     def close(self) -> None:
         pass

@@ -54,7 +54,7 @@ def _operator(spark: SparkSession, checkpoint: str, variable: str, which: int) -
 
 
 def read_state(spark: SparkSession, checkpoint: str, variable: str, key_schema: str, value_schema: str, operator: int = 0) -> DataFrame:
-    """A list variable's elements after the last batch, as columns of key and value; none before the first batch."""
+    """A variable's values, or a list's elements, after the last batch, as columns of key and value; none before the first batch."""
     keys, values = ([c.split()[0] for c in schema.split(", ")] for schema in (key_schema, value_schema))
     empty = spark.createDataFrame([], f"{key_schema}, {value_schema}")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
@@ -64,5 +64,6 @@ def read_state(spark: SparkSession, checkpoint: str, variable: str, key_schema:
         if e.getCondition() != "STDS_COMMITTED_BATCH_UNAVAILABLE":
             raise
         return empty
-    cells = [*[F.col(f"key.{c}") for c in keys], *[F.col(f"list_element.{c}") for c in values]]
+    held = "list_element" if "list_element" in state.columns else "value"
+    cells = [*[F.col(f"key.{c}") for c in keys], *[F.col(f"{held}.{c}") for c in values]]
     return empty.union(state.select(*cells))
