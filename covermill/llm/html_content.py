@@ -14,6 +14,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -31,18 +32,24 @@ LABELS = ("article", "main")
 #: Fixed values of HTML: elements without content, elements whose text is no markup, elements inside a line.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    "audio button canvas datalist iframe map math noscript object select svg template textarea video".split()
 )
+#: Those whose own blocks do not end the paragraph around them.
+ISLANDS = frozenset("audio button canvas datalist iframe map math noscript object select svg template textarea video".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that are never main content, and words that say so as a whole class, id or role of a block.
-#: As a part of such a name they only lower the score of what the block holds.
-NEVER = frozenset("head nav footer aside form script style noscript template svg math button select option textarea iframe dialog menu object canvas audio video map datalist".split())
+#: As a part of such a name, and as names that may stand for content too, they only lower the score of what the block holds.
+NEVER = frozenset("head nav footer aside form script style noscript template svg button select option textarea iframe menu datalist".split())
 NEVER_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent notice notices alert popup modal overlay "
     "comment comments reply replies disqus nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager sidebar widget widgets footer header masthead toolbar "
-    "share sharing social related recommended newsletter subscribe subscription signup login search copyright complementary contentinfo hidden".split()
+    "copyright complementary contentinfo".split()
 )
+DOUBT_WORDS = frozenset("share sharing social related recommended newsletter subscribe subscription signup login search hidden".split())
 _INSIDE_WORDS = NEVER_WORDS - {"header"}
+#: What an element inside a line that is left out costs the run: its paragraph goes on behind it.
+_GAP = -0.1
 _CLOSED_BY_BLOCK = frozenset(("p",))
 _CLOSED_BY_SAME = frozenset("li dt dd tr td th option p".split())
 
@@ -62,10 +69,10 @@ NOTHING, DOUBT, HIDE = 0, 1, 2
 def _names(name: str, rest: str, inside: bool) -> tuple[str, int]:
     """The first class of a tag, and what its class, id or role says of it: HIDE, DOUBT or NOTHING.
 
-    A header inside the main content is its title.
+    A header inside the main content is its title. What is hidden at first may be shown later, so it is doubtful only.
     """
     words = _INSIDE_WORDS if inside else NEVER_WORDS
-    first, says = "", HIDE if _HIDDEN.search(rest) else NOTHING
+    first, says = "", DOUBT if _HIDDEN.search(rest) else NOTHING
     for kind, value in _NAMED.findall(rest):
         value = html.unescape(value.strip("\"'")).lower()
         if kind.lower() == "class" and not first:
@@ -74,8 +81,9 @@ def _names(name: str, rest: str, inside: bool) -> tuple[str, int]:
             continue
         if not words.isdisjoint(value.split()):
             says = HIDE
-        elif says == NOTHING and not words.isdisjoint(_SPLIT_NAME.split(value)):
-            says = DOUBT
+        elif says == NOTHING:
+            parts = _SPLIT_NAME.split(value)
+            says = NOTHING if words.isdisjoint(parts) and DOUBT_WORDS.isdisjoint(parts) else DOUBT
     return first, says
 
 
@@ -99,7 +107,7 @@ def _walk(page: str) -> Iterator[tuple[str, str, str, int]]:
         if m["end"]:
             closed = next((k for k in range(len(stack) - 1, -1, -1) if stack[k] == name), closed)
         elif name not in INLINE and name not in VOID and not m["rest"].endswith("/"):
-            near = range(len(stack) - 1, max(-1, len(stack) - 4), -1)
+            near = list(takewhile(lambda k: stack[k] not in ISLANDS, range(len(stack) - 1, max(-1, len(stack) - 4), -1)))
             closed = next((k for k in near if stack[k] in _CLOSED_BY_BLOCK or (stack[k] == name and name in _CLOSED_BY_SAME)), closed)
         while len(stack) > closed:
             yield "close", stack.pop(), "", at
@@ -185,6 +193,8 @@ def tokens(page: str) -> Iterator[tuple[int, str, str, bool, bool]]:
             first, says = _names(name, rest, labels > 0) if rest else ("", NOTHING)
             if name in NEVER or (name == "header" and not labels):
                 says = HIDE
+            elif name == "dialog" and says == NOTHING:
+                says = DOUBT
             if name in ("html", "body", *LABELS):
                 says = NOTHING
             if says != NOTHING and not never and name != "head":
@@ -246,7 +256,7 @@ def main_text(page: str, weights: dict[tuple[int, str], float]) -> str:
             text = html.unescape(text)
             score = -0.5 * len(text.split())
         else:
-            score = -0.5 if kind == SKIPPED else weights.get((TAG, feature), weights.get((TAG, _plain(feature)), -0.2))
+            score = (_GAP if feature in INLINE else -0.5) if kind == SKIPPED else weights.get((TAG, feature), weights.get((TAG, _plain(feature)), -0.2))
         # blanks between elements separate, but neither begin nor end a run
         if run <= 0:
             run, start = 0.0, len(parts)
