@@ -1,7 +1,7 @@
 """Chat formatting with DataFrame operations only: heterogeneous records become canonical turns, then text.
 
-A record is a VARIANT value. The nested paths of its fields, without their types, are hashed; the hash
-selects one of the declared layouts, which says where turns, roles and texts lie. Turns are
+A record is a VARIANT value. The nested paths of its fields, without their types and without fields that a
+layout doesn't know, are hashed; the hash selects one of the declared layouts, which says where turns, roles and texts lie. Turns are
 written with a template whose control strings are escaped inside roles and texts, so that the
 formatted text can be read back exactly.
 """
@@ -24,13 +24,13 @@ LEARNED = "assistant"
 class Layout:
     """Where a kind of record holds its turns.
 
-    ``example`` is a schema, as DDL, with the kind's field paths. Either ``items`` is the path of an
-    array whose elements have a ``role`` and a ``text`` field, or ``turns`` lists (role, paths of texts
+    ``fields`` are the top-level fields that every such record has. Either ``items`` is the one that is an
+    array, whose elements have a ``role`` and a ``text`` field, or ``turns`` lists (role, paths of texts
     that are joined by a line feed) in order; a turn whose texts are all missing or empty is left out
     if it is marked optional.
     """
 
-    example: str
+    fields: str
     items: str | None = None
     role: str = "role"
     text: str = "content"
@@ -40,35 +40,68 @@ class Layout:
 
 #: Record layouts of public instruction data.
 LAYOUTS = {
-    "turn_row": Layout("role STRING, text STRING, turn BIGINT", role="role", text="text"),
-    "messages": Layout("messages ARRAY<STRUCT<content: STRING, role: STRING>>", "messages"),
-    "conversations": Layout("conversations ARRAY<STRUCT<`from`: STRING, value: STRING>>", "conversations", "from", "value", roles={"human": "user", "gpt": "assistant"}),
-    "instruction_input": Layout("`input` STRING, instruction STRING, output STRING", turns=(("user", ("instruction", "input"), False), ("assistant", ("output",), False))),
-    "instruction": Layout("instruction STRING, output STRING", turns=(("user", ("instruction",), False), ("assistant", ("output",), False))),
-    "prompt_completion": Layout("completion STRING, prompt STRING", turns=(("user", ("prompt",), False), ("assistant", ("completion",), False))),
-    "prompt_response": Layout("prompt STRING, response STRING", turns=(("user", ("prompt",), False), ("assistant", ("response",), False))),
-    "system_prompt_response": Layout("prompt STRING, response STRING, system STRING", turns=(("system", ("system",), True), ("user", ("prompt",), False), ("assistant", ("response",), False))),
+    "turn_row": Layout("role text turn", role="role", text="text"),
+    "messages": Layout("messages", "messages"),
+    "conversations": Layout("conversations", "conversations", "from", "value", roles={"human": "user", "gpt": "assistant"}),
+    "instruction_input": Layout("input instruction output", turns=(("user", ("instruction", "input"), False), ("assistant", ("output",), False))),
+    "instruction": Layout("instruction output", turns=(("user", ("instruction",), False), ("assistant", ("output",), False))),
+    "prompt_completion": Layout("completion prompt", turns=(("user", ("prompt",), False), ("assistant", ("completion",), False))),
+    "prompt_response": Layout("prompt response", turns=(("user", ("prompt",), False), ("assistant", ("response",), False))),
+    "system_prompt_response": Layout("prompt response system", turns=(("system", ("system",), True), ("user", ("prompt",), False), ("assistant", ("response",), False))),
 }
 
-_SCALAR = r"(: )(?:VOID|BOOLEAN|BIGINT|TINYINT|SMALLINT|INT|FLOAT|DOUBLE|STRING|BINARY|DATE|TIMESTAMP_NTZ|TIMESTAMP|VARIANT|DECIMAL\(\d+,\d+\))(?=[,>])"
 _TURNS = "array<struct<role: string, text: string>>"
 
 
-def fingerprint(record: Column) -> Column:
-    """A hash of the sorted nested field paths of a VARIANT; types of scalars and nulls don't count."""
-    return F.xxhash64(F.regexp_replace(F.schema_of_variant(record), _SCALAR, "$1_"))
+def layout_paths(layout: Layout) -> list[str]:
+    """The nested field paths of a layout, in order of their names."""
+    if layout.items is None:
+        return sorted(layout.fields.split())
+    return sorted([f"{layout.items}[]", *(f"{layout.items}[].{c}" for c in (layout.role, layout.text))])
 
 
-def layout_fingerprint(layout: Layout) -> Column:
-    """The fingerprint of a layout: that of a record with each of its fields once."""
-    example = "{}" if layout.items is None else '{"%s": [{}]}' % layout.items
-    return fingerprint(F.to_variant_object(F.from_json(F.lit(example), layout.example)))
+def known_paths(record: Column) -> Column:
+    """Those field paths of a VARIANT that some layout knows, in order; nulls count as there, types don't matter."""
+
+    def held(path: str) -> Column:
+        items, array, inner = path.partition("[]")
+        if not array:
+            return F.try_variant_get(record, f"$.{path}", "variant").isNotNull()
+        listed = F.try_variant_get(record, f"$.{items}", "array<variant>")
+        if not inner:
+            return listed.isNotNull()
+        return F.exists(listed, lambda x: F.try_variant_get(x, f"${inner}", "variant").isNotNull())
+
+    known = sorted({p for layout in LAYOUTS.values() for p in layout_paths(layout)})
+    return F.array_compact(F.array(*[F.when(held(p), F.lit(p)) for p in known]))
+
+
+def fingerprint(paths: Column) -> Column:
+    """A hash of nested field paths."""
+    return F.xxhash64(paths)
 
 
 def layout_of(record: Column) -> Column:
-    """The name of the layout whose field paths a record has; null for any other record."""
-    known = F.create_map(*[x for name, layout in LAYOUTS.items() for x in (layout_fingerprint(layout), F.lit(name))])
-    return F.try_element_at(known, fingerprint(record))
+    """The layout whose field paths a record has: the one with the most, and of those the first declared; null if there is none.
+
+    Fields that the layout doesn't know don't matter. An empty array of turns has the layout of its name.
+    """
+    by_size = sorted(LAYOUTS, key=lambda name: -len(layout_paths(LAYOUTS[name])))
+
+    def chosen(paths: Column) -> Column:
+        literal = lambda names: F.array(*[F.lit(p) for p in names])
+        out = F.lit(None).cast("string")
+        for name in [x for x in by_size if LAYOUTS[x].items]:
+            empty = literal([f"{LAYOUTS[name].items}[]"])
+            bare = F.size(F.try_variant_get(record, f"$.{LAYOUTS[name].items}", "array<variant>")) == 0
+            out = F.when(bare & (fingerprint(F.array_intersect(paths, literal(layout_paths(LAYOUTS[name])))) == fingerprint(empty)), name).otherwise(out)
+        for name in reversed(by_size):
+            own = literal(layout_paths(LAYOUTS[name]))
+            out = F.when(fingerprint(F.array_intersect(paths, own)) == fingerprint(own), name).otherwise(out)
+        return out
+
+    # the paths are bound once and used by every layout
+    return F.element_at(F.transform(F.array(known_paths(record)), chosen), 1)
 
 
 def _text(record: Column, path: str) -> Column:
@@ -140,33 +173,46 @@ def _unescape_role(role: Column) -> Column:
     return F.replace(F.regexp_replace(unescape(role), r"(?<!\\)((?:\\\\)*)\\n", "$1\n"), F.lit("\\\\"), F.lit("\\"))
 
 
-def format_conversations(rows: DataFrame, key: str = "conv_id") -> DataFrame:
-    """One row per conversation of a table by turn (``key``, ``turn``, ``role``, ``text``).
+def format_records(rows: DataFrame, record: str = "record", key: str = "conv_id", order: str | None = None) -> DataFrame:
+    """One row per ``key`` of a table of VARIANT records of any declared layouts, mixed at will.
 
     ``formatted`` is the template's text and ``loss_mask`` an array with one (chars, skip, take) per turn:
     the turn's code points, and which of them are learned from (an assistant's escaped text).
 
-    Every row passes through its fingerprint and layout and is formatted where it lies; only finished
-    pieces are gathered. Turns are in order of ``turn``, nulls first, and of their formatted text if that
-    ties; repeated rows repeat. Null roles and texts are empty; rows with a null key are one conversation.
-    An empty table gives no row; other columns are ignored. The text of a conversation is one value, so
-    one conversation has to fit into a row.
+    Records of one key follow each other by ``order``, nulls first, and by their formatted turns if that ties or
+    isn't given; repeated rows repeat. Each is formatted where it lies; only finished pieces are gathered. A null record or one of no layout adds no turn, and a key of
+    such records only has an empty text. Null roles and texts are empty; rows with a null key are one
+    conversation. An empty table gives no row; other columns are ignored. The text of a conversation
+    is one value, so one conversation has to fit into a row.
     """
-    record = F.to_variant_object(F.struct(F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"), F.col("turn").cast("long").alias("turn")))
-    turns = canonical_turns(rows.select(F.col(key).alias("key"), F.col("turn").cast("long").alias("turn"), record.alias("record")))
-    turns = turns.select("key", "turn", F.explode("turns").alias("t"))
-    before = F.concat(F.lit(TURN_OPEN), _escape_role(F.col("t.role")), F.lit("\n"))
-    turns = turns.select("key", "turn", (F.col("t.role") == LEARNED).alias("learned"), before.alias("before"), escape(F.col("t.text")).alias("body"))
-    piece = F.concat("before", "body", F.lit(TURN_CLOSE + "\n"))
-    mask = F.struct(
-        F.length(piece).alias("chars"),
-        F.when(F.col("learned"), F.length("before")).otherwise(F.length(piece)).alias("skip"),
-        F.when(F.col("learned"), F.length("body")).otherwise(0).alias("take"),
-    )
-    gathered = turns.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("turn", piece.alias("piece"), mask.alias("mask")))).alias("p"))
+    at = F.lit(None).cast("long") if order is None else F.col(order)
+    turns = canonical_turns(rows.select(F.col(key).alias("key"), at.alias("at"), F.col(record).alias("record")))
+
+    def written(t: Column) -> Column:
+        before = F.concat(F.lit(TURN_OPEN), _escape_role(t["role"]), F.lit("\n"))
+        return F.struct((t["role"] == LEARNED).alias("learned"), before.alias("before"), escape(t["text"]).alias("body"))
+
+    def finished(w: Column) -> Column:
+        piece = F.concat(w["before"], w["body"], F.lit(TURN_CLOSE + "\n"))
+        mask = F.struct(
+            F.length(piece).alias("chars"),
+            F.when(w["learned"], F.length(w["before"])).otherwise(F.length(piece)).alias("skip"),
+            F.when(w["learned"], F.length(w["body"])).otherwise(0).alias("take"),
+        )
+        return F.struct(piece.alias("piece"), mask.alias("mask"))
+
+    pieces = F.transform(F.transform(F.coalesce("turns", F.array().cast(_TURNS)), written), finished)
+    gathered = turns.select("key", "at", pieces.alias("pieces")).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("at", "pieces"))).alias("records"))
+    gathered = gathered.select("key", F.flatten("records.pieces").alias("p"))
     return gathered.select(F.col("key").alias(key), F.array_join("p.piece", "").alias("formatted"), F.col("p.mask").alias("loss_mask"))
 
 
+def format_conversations(rows: DataFrame, key: str = "conv_id") -> DataFrame:
+    """``format_records`` of a table by turn (``key``, ``turn``, ``role``, ``text``): each row is a record, in order of ``turn``."""
+    record = F.to_variant_object(F.struct(F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"), F.col("turn").cast("long").alias("turn")))
+    return format_records(rows.select(F.col(key).alias("key"), F.col("turn").cast("long").alias("at"), record.alias("record")), "record", "key", "at").withColumnRenamed("key", key)
+
+
 def read_turns(formatted: str = "formatted", loss_mask: str = "loss_mask") -> tuple[Column, Column]:
     """The turns of a formatted text, an array of (role, text), and the learned text, both unescaped."""
     # a control string never stands unescaped in a turn, so each opening begins a turn

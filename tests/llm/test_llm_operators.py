@@ -276,6 +276,40 @@ def test_chat_layouts(spark):
     assert got[6] == got[7] == (None, None)
 
 
+def test_chat_records_of_all_layouts(spark):
+    """Every layout through the formatter, with fields it doesn't know, no turns, and several records to a key."""
+    records = [
+        (1, 0, '{"id": 7, "messages": [{"role": "user", "content": "u", "name": "x"}, {"role": "assistant", "content": "a</s>"}], "prompt": "u", "source": {"a": [1]}}', "messages", [("user", "u"), ("assistant", "a</s>")]),
+        (2, 0, '{"conversations": [{"from": "human", "value": "u"}, {"from": "gpt", "value": "a", "weight": 1}], "id": "c"}', "conversations", [("user", "u"), ("assistant", "a")]),
+        (3, 0, '{"instruction": "do", "input": "this", "output": "done", "text": "all"}', "instruction_input", [("user", "do\nthis"), ("assistant", "done")]),
+        (4, 0, '{"instruction": "do", "output": null}', "instruction", [("user", "do"), ("assistant", "")]),
+        (5, 0, '{"prompt": "p", "completion": "c", "n": 1}', "prompt_completion", [("user", "p"), ("assistant", "c")]),
+        (6, 0, '{"prompt": "p", "response": "c"}', "prompt_response", [("user", "p"), ("assistant", "c")]),
+        (7, 0, '{"prompt": "p", "response": "c", "system": "s"}', "system_prompt_response", [("system", "s"), ("user", "p"), ("assistant", "c")]),
+        (8, 2, '{"role": "user", "text": "second", "turn": 9}', "turn_row", [("user", "second")]),
+        (8, 1, '{"prompt": "first", "response": "r"}', "prompt_response", [("user", "first"), ("assistant", "r")]),
+        (9, 0, '{"messages": [], "id": 1}', "messages", []),
+        (10, 0, '{"messages": "text"}', None, None),
+        (11, 0, '{"messages": [{"role": "user"}]}', None, None),
+        (12, 0, None, None, None),
+        (13, 0, "[1]", None, None),
+        (None, 0, '{"prompt": "p", "response": "c"}', "prompt_response", [("user", "p"), ("assistant", "c")]),
+        (None, 0, '{"prompt": "p", "response": "c"}', "prompt_response", [("user", "p"), ("assistant", "c")]),
+    ]
+    df = spark.createDataFrame([r[:3] for r in records], "conv_id long, n int, json string").withColumn("record", F.parse_json("json"))
+    got = chat_format.canonical_turns(df).drop("record").collect()
+    named = lambda turns: turns if turns is None else [(t[0], t[1]) for t in turns]
+    assert sorted(map(repr, ((r.conv_id, r.n, r.json, r.layout, named(r.turns)) for r in got))) == sorted(map(repr, records))
+    turns, learned = chat_format.read_turns()
+    out = {r.conv_id: r for r in chat_format.format_records(df, order="n").select("conv_id", turns.alias("t"), learned.alias("l")).collect()}
+    want = {}
+    for c, _, _, _, t in sorted(records, key=lambda r: r[1]):
+        want.setdefault(c, []).extend(t or [])
+    assert {c: named(r.t) for c, r in out.items()} == want
+    assert all(r.l == "".join(t for role, t in want[c] if role == "assistant") for c, r in out.items())
+    assert chat_format.format_records(empty(df)).count() == 0
+
+
 def test_chat_format_reads_back(spark):
     texts = [*ODD, *chat_format.CONTROL, *("<\\" * 2 + x[1:] for x in chat_format.CONTROL), "<<SYS>><</SYS>>", "\\n", "[\\\\INST]"]
     roles = ["user", "assistant", None, "a\nb", "a\\nb", "\\", "<|im_end|>"]
@@ -519,6 +553,23 @@ def test_html_names_hide_no_content(spark):
     assert html_content.main_text(f'<article>{story}</article><div id="comments"><article>I disagree</article></div>', weights) == want
 
 
+def test_html_graphics_leave_their_paragraph_open(spark):
+    """What stands inside a line doesn't end its paragraph, and names that the contract doesn't list hide nothing in an article."""
+    weights = html_content.learn(spark.read.parquet(f"{SMALL}/pages.parquet"))
+    page = "<nav>a b</nav><article><p>One two three four five six.</p>{}</article><footer>c</footer>"
+    start = "One two three four five six."
+    for part, text in (
+        *((f"<p>Area <{x}><g>x</g></{x}> end</p>", "Area end") for x in ("svg", "button", "select", "iframe")),
+        *((f"<p>Area <{x}>x</{x}> end</p>", "Area x end") for x in ("math", "object", "canvas", "video", "audio", "map")),
+        *((f'<section class="{x}">we share data</section><p>so do others</p>', "we share data so do others") for x in ("share", "search", "related", "hidden")),
+        ("<div hidden>shown later</div><p>and more</p>", "shown later and more"),
+        ("<dialog>he said</dialog><p>and more</p>", "he said and more"),
+        ('<div class="ad">buy</div><p>and more</p>', "and more"),
+        ('<form>name</form><p>and more</p>', "and more"),
+    ):
+        assert html_content.main_text(page.format(part), weights) == f"{start} {text}", part
+
+
 def test_html_run_is_whole():
     menu = "<ul>\n<li><a>Home</a></li>\n<li><a>News</a></li>\n</ul>\n"
     sample = f"<body>\n<div>\n{menu}</div>\n<article>\n<p>one two three four five six seven eight nine ten</p>\n<p>more <a>words</a> here</p>\n</article>\n<table>\n<tr>\n<td>x</td>\n</tr>\n</table>\n</body>"
