@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from covermill.llm.library_tokens import tokenizer_path
+from covermill.llm.names import unused
 from covermill.llm.pieces import RecentCache, by_slices, one_per_worker, safe_chunks, safe_pieces
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -266,7 +267,7 @@ def with_decoded(df: DataFrame, ids: str = "ids", text: str = "decoded", vocabul
 def round_trip(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, batch_bytes: int = 1 << 20) -> DataFrame:
     """Adds ``ids`` and ``decoded``, the ids' text, by one function, so that a task needs one Python worker.
 
-    Null and empty texts have no ids and an empty text; columns of these names are replaced.
+    Null and empty texts have no ids and an empty text; columns of these names are replaced, all others kept.
     """
 
     @F.arrow_udf("ids array<int>, decoded string")
@@ -286,4 +287,5 @@ def round_trip(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY,
         yield from by_slices(convert, batches, batch_bytes)
 
     found = both(F.coalesce(F.col(text), F.lit("")))
-    return df.withColumn("__both", found).withColumns({"ids": F.col("__both.ids"), "decoded": F.col("__both.decoded")}).drop("__both")
+    held = unused(df, "__both")
+    return df.withColumn(held, found).withColumns({c: F.col(held)[c] for c in ("ids", "decoded")}).drop(held)

@@ -189,7 +189,8 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", min_ti
 
     An item is held if tiles of ``min_tile`` words or more cover ``min_coverage`` of its words. Items with
     fewer words than a tile, empty and null ones are never held; repeated items count once. Null and
-    empty texts hold none. All other columns and all rows are kept; an empty benchmark gives empty lists.
+    empty texts hold none. All other columns and all rows are kept, repeated ones too, and texts are taken
+    whole, however long; an empty benchmark gives empty lists.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()

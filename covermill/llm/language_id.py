@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from covermill.functions.topk import first_rows_per_key
+from covermill.llm.names import unused
 from covermill.llm.pieces import RecentCache, one_per_worker, slices_by_bytes
 
 #: The bounded sample that the automata are built of: documents per language, and characters of words.
@@ -159,10 +160,11 @@ def with_language(df: DataFrame, samples: list[tuple[str, str]], text: str = "te
     """Adds ``lang_pred`` and ``score`` (0 to 1: how many fewer phrases than the next language) to every row.
 
     Null texts and texts without a letter are ``und`` with score 0, as is every text if nothing was
-    learned. Ties go to the first language in the alphabet. Other columns are kept; a prediction uses
-    the whole text and nothing else.
+    learned. Ties go to the first language in the alphabet. All other columns and all rows are kept, repeated
+    ones too; a prediction uses the whole text, however long, and nothing else.
     """
     sc = df.sparkSession.sparkContext
     block = sc.broadcast(samples)
     found = predictor(block, f"{sc.applicationId}-{block._jbroadcast.id()}")(F.coalesce(F.col(text), F.lit("")))
-    return df.withColumn("__lang", found).withColumns({"lang_pred": F.col("__lang.lang_pred"), "score": F.col("__lang.score")}).drop("__lang")
+    held = unused(df, "__lang")
+    return df.withColumn(held, found).withColumns({c: F.col(held)[c] for c in ("lang_pred", "score")}).drop(held)

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from covermill.llm.library_tokens import tokenizer_path
+from covermill.llm.names import unused
 from covermill.llm.pieces import RecentCache, one_per_worker, slices_by_bytes
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -178,18 +179,20 @@ def with_quality(df: DataFrame, text: str = "text", lang: str | None = None, ban
     ``base_failed``: fewer than 50 words, or more than half of them in 3-word windows found before or
     again. ``kept`` needs the base rules and every band of the text's script; with ``lang``, a column, a
     language named in ``bands`` goes by its own. Null and empty texts have no words and fail. Columns
-    of the new names are replaced, all others kept; repeated rows are measured each for itself.
+    of the new names are replaced, all others kept; repeated rows are measured each for itself,
+    and texts whole, however long.
     """
     bands = {**BANDS, **(bands or {})}
     body = F.coalesce(F.col(text), F.lit(""))
-    m = F.col("__measures")
+    held = unused(df, "__measures")
+    m = F.col(held)
     kind = F.coalesce(F.when(F.col(lang).isin(*bands), F.col(lang)), m["script"]) if lang else m["script"]
     good = _in_band(m, ANY_SCRIPT)
     for name, band in bands.items():
         good = F.when(kind == name, _in_band(m, band)).otherwise(good)
     failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
     new = {f.name: m[f.name] for f in _SCHEMA}
-    return df.withColumn("__measures", measures(vocabulary)(body)).withColumns({**new, "base_failed": failed, "kept": ~failed & F.coalesce(good, F.lit(False))}).drop("__measures")
+    return df.withColumn(held, measures(vocabulary)(body)).withColumns({**new, "base_failed": failed, "kept": ~failed & F.coalesce(good, F.lit(False))}).drop(held)
 
 
 def keep_good(df: DataFrame, text: str = "text", lang: str | None = None, bands: dict | None = None, vocabulary: str = VOCABULARY) -> DataFrame:

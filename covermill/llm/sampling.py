@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from covermill.llm.names import unused
+
 _RANGE = 1 << 30
 
 
@@ -16,7 +18,8 @@ def bounded_sample(df: DataFrame, keys: list[str], size: int) -> DataFrame:
     the sample may be smaller.
     """
     n = df.count()
-    df = df.withColumn("__hash", F.xxhash64(*keys))
+    held = unused(df, "__hash")
+    df = df.withColumn(held, F.xxhash64(*keys))
     if n > 4 * size:
-        df = df.where(F.pmod("__hash", F.lit(_RANGE)) < int(_RANGE * 2 * size / n) + 1)
-    return df.orderBy(F.pmod("__hash", F.lit(_RANGE)), "__hash", *keys).limit(size).drop("__hash")
+        df = df.where(F.pmod(held, F.lit(_RANGE)) < int(_RANGE * 2 * size / n) + 1)
+    return df.orderBy(F.pmod(held, F.lit(_RANGE)), held, *keys).limit(size).drop(held)

@@ -256,6 +256,23 @@ def test_line_dedup(spark, odd):
     assert line_dedup.dedup_lines(odd).count() == odd.count() and line_dedup.dedup_lines(empty(odd)).count() == 0
 
 
+def test_no_column_is_lost(spark, small):
+    """Columns named as what the operators work with come out as they went in."""
+    names = "__lang __measures __both __hash __row __kept_id __kept_row __MEASURES_".split()
+    docs = small.limit(5).select("doc_id", "text", "lang", *[F.lit(n).alias(n) for n in names])
+    samples = language_id.learn(docs)
+    done = [
+        language_id.with_language(docs, samples),
+        quality_rules.with_quality(docs),
+        bpe.round_trip(docs),
+        simhash.drop_near_duplicates(docs),
+        decontaminate.with_leaks(docs, spark.createDataFrame([(1, "an item of five words more")], "item_id long, text string")),
+    ]
+    for df in done:
+        assert set(docs.columns) <= set(df.columns)
+        assert {tuple(r[n] for n in names) for r in df.select(*names).collect()} == {tuple(names)}
+
+
 def test_chat_layouts(spark):
     records = [
         '{"messages": [{"role": "system", "content": "s"}, {"role": "user", "content": "u"}, {"content": "a", "role": "assistant"}]}',
