@@ -18,6 +18,7 @@ from covermill.operators import oem as O
 from covermill.operators import telemetry as T
 from covermill.streaming import sinks
 from covermill.streaming.chain_state import ChainState
+from covermill.streaming.paged_state import by_page
 from covermill.streaming.profile_state import SUM_SCHEMA, PartsState, SliceState
 from covermill.streaming.score_state import ScoreState
 from covermill.streaming.signal_state import EVENT_SCHEMA, NewestEvents
@@ -96,7 +97,7 @@ def keep_notifications(notes: DataFrame, out: str, checkpoint: str, receipts: Da
     if receipts is not None:
         read = receipts.select(*Y.KEY, F.col("notification_id").alias("id"), F.col("read_at").alias("at"))
         rows = rows.unionByName(read.withColumns({"is_read": F.lit(None).cast("boolean"), "receipt": F.lit(True)}))
-    keyed = rows.withColumn("at", micros).groupBy(*Y.KEY)
+    keyed = by_page(rows.withColumn("at", micros), *Y.KEY)
     decided = keyed.transformWithState(ChainState(C.DEDUPE_DAYS), KEPT_SCHEMA, "Append", "None")
     sinks.per_batch(decided, checkpoint, lambda batch, n: sinks.write_batch(batch, out, n))
 
