@@ -194,7 +194,7 @@ def alert_clusters(scored: DataFrame, out: str, checkpoint: str, as_of, compact:
     give a repeated batch the same time.
     """
     spark = scored.sparkSession
-    changed = scored.select(*PAIR, "id", *_GROUP, "risk_label", "warranty_known").groupBy(*PAIR, "id").transformWithState(ScoreState(), _CHANGE_SCHEMA, "Append", "None")
+    changed = by_page(scored.select(*PAIR, "id", *_GROUP, "risk_label", "warranty_known"), *PAIR, "id").transformWithState(ScoreState(), _CHANGE_SCHEMA, "Append", "None")
 
     def job(batch: DataFrame, n: int) -> None:
         now = as_of(n) if callable(as_of) else as_of

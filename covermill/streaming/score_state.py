@@ -3,33 +3,39 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import Any
 
 from pyspark.sql import Row
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from covermill.streaming.paged_state import PagedState
 
-class ScoreState(StatefulProcessor):
+
+class ScoreState(PagedState):
     """Turns scores into changes of their groups' numbers of profiles and of HIGH ones.
 
     A profile whose warranty isn't known counts nowhere. Of scores of one profile in one batch the last in order of their
-    values counts.
+    values counts. A page emits one change per group.
     """
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "brand STRING, region_code STRING, high BIGINT")
-
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        row = max(rows, key=lambda r: [str(r[c]) for c in ("warranty_known", "risk_label", "brand", "region_code")])
-        old = self.last.get() if self.last.exists() else None
-        if old is not None:
-            yield Row(brand=old[0], region_code=old[1], total=-1, high=-old[2])
-        if row["warranty_known"]:
-            new = (row["brand"], row["region_code"], int(row["risk_label"] == "HIGH"))
-            self.last.update(new)
-            yield Row(brand=new[0], region_code=new[1], total=1, high=new[2])
-        elif old is not None:
-            self.last.clear()
-
-    def close(self) -> None:
-        pass
+    keys = ["user_id", "warranty_id", "id"]
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        self.changes: dict[tuple, list[int]] = {}
+        yield from super().handleInputRows(key, rows, timerValues)
+        for (brand, region), (total, high) in self.changes.items():
+            yield Row(brand=brand, region_code=region, total=total, high=high)
+
+    def _count(self, held: dict, sign: int) -> None:
+        change = self.changes.setdefault((held["brand"], held["region_code"]), [0, 0])
+        change[0] += sign
+        change[1] += sign * held["high"]
+
+    def change(self, key: tuple, held: dict | None, mine: list[Row]) -> Iterator[Row]:
+        row = mine[0] if len(mine) == 1 else max(mine, key=lambda r: [str(r[c]) for c in ("warranty_known", "risk_label", "brand", "region_code")])
+        if held is not None:
+            self._count(held, -1)
+        if not row["warranty_known"]:
+            return None
+        new = {"brand": row["brand"], "region_code": row["region_code"], "high": int(row["risk_label"] == "HIGH")}
+        self._count(new, 1)
+        return new
+        yield  # groups are emitted with the page
