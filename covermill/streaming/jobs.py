@@ -64,7 +64,8 @@ def follow_signal(stream: DataFrame, checkpoint: str) -> None:
 
 def newest_events(spark, checkpoint: str) -> DataFrame:
     """The events in state: those of each pair's slots that can count for a signal, on any day."""
-    state = sinks.read_state(spark, checkpoint, "newest", _SIGNAL_KEY, EVENT_SCHEMA)
+    events = f"events ARRAY<STRUCT<{EVENT_SCHEMA}>>"
+    state = sinks.read_pages(spark, checkpoint, NewestEvents.variable, f"{_SIGNAL_KEY}, {events}").select(*PAIR, F.inline("events"))
     at = F.expr(f"timestampadd(MICROSECOND, at, {_EPOCH})").alias("ts")
     return state.select(*PAIR, "event_type", at, "id", "hours", "errors")
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from covermill.streaming.paged_state import PAGE_SCHEMA
 
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -67,3 +68,9 @@ def read_state(spark: SparkSession, checkpoint: str, variable: str, key_schema:
     held = "list_element" if "list_element" in state.columns else "value"
     cells = [*[F.col(f"key.{c}") for c in keys], *[F.col(f"{held}.{c}") for c in values]]
     return empty.union(state.select(*cells))
+
+
+def read_pages(spark: SparkSession, checkpoint: str, variable: str, schema: str, operator: int = 0) -> DataFrame:
+    """What paged state keeps, one row per key."""
+    pages = read_state(spark, checkpoint, variable, PAGE_SCHEMA, "value STRING", operator)
+    return pages.select(F.inline(F.from_json("value", f"ARRAY<STRUCT<{schema}>>")))
