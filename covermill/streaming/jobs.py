@@ -57,7 +57,7 @@ def follow_signal(stream: DataFrame, checkpoint: str) -> None:
     events = T.signal_events(stream.select(*_LOG_COLUMNS))
     micros = F.timestamp_diff("MICROSECOND", F.expr(_EPOCH), F.col("ts"))
     slot = F.pmod(F.hash("id"), F.lit(SIGNAL_SLOTS))
-    keyed = events.withColumns({"at": micros, "slot": slot}).drop("ts").groupBy(*PAIR, "slot")
+    keyed = by_page(events.withColumns({"at": micros, "slot": slot}).drop("ts"), *PAIR, "slot")
     kept = keyed.transformWithState(NewestEvents(SIGNAL_EVENTS), _SIGNAL_KEY, "Append", "None")
     sinks.per_batch(kept, checkpoint, lambda batch, n: batch.write.format("noop").mode("overwrite").save())
 
@@ -131,16 +131,16 @@ def follow_profiles(answers: DataFrame, warranties: DataFrame, checkpoint: str)
     micros = F.timestamp_diff("MICROSECOND", F.expr(_EPOCH), F.col("created_at"))
     steps = B.answer_steps(answers, warranties).withColumn("at", micros)
     part = F.coalesce(F.expr(f"floor(at / {SLICE_HOURS * 3_600_000_000})").cast("long"), F.lit(_NO_TIME))
-    slices = steps.withColumn("part", part).groupBy(*B.PROFILE_KEY, "part").transformWithState(SliceState(), _PART_SCHEMA, "Append", "None")
+    slices = by_page(steps.withColumn("part", part), *B.PROFILE_KEY, "part").transformWithState(SliceState(), _PART_SCHEMA, "Append", "None")
     block = F.expr(f"floor(part / {BLOCK_SLICES})").cast("long")
-    blocks = slices.withColumn("block", block).groupBy(*B.PROFILE_KEY, "block").transformWithState(PartsState(), _PART_SCHEMA, "Append", "None")
-    whole = blocks.groupBy(*B.PROFILE_KEY).transformWithState(PartsState(), _PART_SCHEMA, "Append", "None")
+    blocks = by_page(slices.withColumn("block", block), *B.PROFILE_KEY, "block").transformWithState(PartsState("block"), _PART_SCHEMA, "Append", "None")
+    whole = by_page(blocks, *B.PROFILE_KEY).transformWithState(PartsState(), _PART_SCHEMA, "Append", "None")
     sinks.per_batch(whole, checkpoint, lambda batch, n: batch.write.format("noop").mode("overwrite").save())
 
 
 def current_profiles(spark, checkpoint: str) -> DataFrame:
     """The scores of every profile that ever answered, one row of state each."""
-    whole = sinks.read_state(spark, checkpoint, "whole", _PROFILE_KEY, SUM_SCHEMA, operator=sinks.LAST_OPERATOR)
+    whole = sinks.read_pages(spark, checkpoint, PartsState.variable, f"{_PROFILE_KEY}, {SUM_SCHEMA}", operator=sinks.LAST_OPERATOR)
     shift = F.struct("lo", "hi", "d").alias("f")
     last = F.expr(f"timestampadd(MICROSECOND, last_at, {_EPOCH})").alias("last_question_at")
     return B.profiles_from_effects(whole.select(*B.PROFILE_KEY, "answers", *B.rises("answers", "good", "prompt"), last, shift))

@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from typing import Any
 
 from pyspark.sql import Row
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from covermill.streaming.paged_state import PagedState
+
+PROFILE = ["user_id", "product_type", "warranty_id"]
 
 #: What a slice, a block or a profile adds: counts of answers, the newest time, and the clamped shift x -> min(hi, max(lo, x + d)).
 SUM_SCHEMA = "answers BIGINT, good BIGINT, prompt BIGINT, last_at BIGINT, lo INT, hi INT, d INT"
 _FIELDS = [c.split()[0] for c in SUM_SCHEMA.split(", ")]
 _NOTHING = (0, 0, 0, None, 0, 100, 0)
 _STEP_FIELDS = ["at", "id", "step_a", "step_b"]
-_STEPS = "steps ARRAY<STRUCT<at: BIGINT, id: BIGINT, step_a: INT, step_b: INT>>"
-_PARTS = f"parts ARRAY<STRUCT<part: BIGINT, {SUM_SCHEMA.replace(' ', ': ').replace(',: ', ', ')}>>"
 
 
 def _clamped(x: int) -> int:
@@ -47,50 +47,44 @@ def _row(key: tuple, part: int, sums: tuple) -> Row:
     return Row(user_id=key[0], product_type=key[1], warranty_id=key[2], part=part, **dict(zip(_FIELDS, sums, strict=True)))
 
 
-class SliceState(StatefulProcessor):
+class SliceState(PagedState):
     """The answers of a profile in one slice of time: a row redoes its slice only, however late it comes.
 
     Steps are kept, because a late answer goes between them; answers without an effect are counted only. Emits the
-    slice's sums. State is one value, because each call of the state costs more than the work on a slice.
+    slice's sums.
     """
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.slice = handle.getValueState("slice", f"answers BIGINT, good BIGINT, prompt BIGINT, last_at BIGINT, {_STEPS}")
+    keys = [*PROFILE, "part"]
 
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        answers, good, prompt, last, held = self.slice.get() or (0, 0, 0, None, [])
-        steps = [tuple(s) for s in held]
-        for r in rows:
+    def change(self, key: tuple, held: dict | None, mine: list[Row]) -> Iterator[Row]:
+        answers, good, prompt, last = held["sums"] if held else (0, 0, 0, None)
+        steps = [tuple(s) for s in held["steps"]] if held else []
+        for r in mine:
             answers, good, prompt, last = answers + 1, good + r["good"], prompt + r["prompt"], _newer(last, r["at"])
             if r["step_a"] is not None:
                 steps.append(tuple(r[c] for c in _STEP_FIELDS))
         steps.sort(key=_order)
-        self.slice.update((answers, good, prompt, last, steps))
         shift = joined(_step(delta) for s in steps for delta in s[2:] if delta is not None)
         yield _row(key, key[3], (answers, good, prompt, last, *shift[4:]))
-
-    def close(self) -> None:
-        pass
+        return {"sums": (answers, good, prompt, last), "steps": steps}
 
 
-class PartsState(StatefulProcessor):
+class PartsState(PagedState):
     """The sums of a block's slices, or of a profile's blocks: changed ones are replaced, the whole is joined again.
 
     ``part`` names a part and orders it in time. The sums of the whole are emitted, with the key's fourth field as
-    their part, and kept with the parts as one value.
+    their part, and kept with the parts.
     """
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.whole = handle.getValueState("whole", f"{SUM_SCHEMA}, {_PARTS}")
+    variable = "whole"
 
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        held = self.whole.get()
-        parts = {p[0]: tuple(p[1:]) for p in held[-1]} if held else {}
-        parts.update((r["part"], tuple(r[c] for c in _FIELDS)) for r in rows)
+    def __init__(self, *more: str):
+        self.keys = [*PROFILE, *more]
+
+    def change(self, key: tuple, held: dict | None, mine: list[Row]) -> Iterator[Row]:
+        parts = {p[0]: tuple(p[1:]) for p in held["parts"]} if held else {}
+        parts.update((r["part"], tuple(r[c] for c in _FIELDS)) for r in mine)
         ordered = sorted(parts.items())
         sums = joined(s for _, s in ordered)
-        self.whole.update((*sums, [(part, *s) for part, s in ordered]))
         yield _row(key, key[3] if len(key) > 3 else 0, sums)
-
-    def close(self) -> None:
-        pass
+        return dict(zip(_FIELDS, sums, strict=True)) | {"parts": [(part, *s) for part, s in ordered]}
