@@ -37,6 +37,8 @@ VOCABULARY = "byte_bpe_50k.json"
 SAMPLE_DOCUMENTS, SAMPLE_IDS = 1_000, 4_096
 DICTIONARY_BYTES = 64 << 10
 BLOCK_BYTES, BLOCK_DOCUMENTS = 1 << 20, 4_096
+#: Bytes of ids that a reading task gives back at once, more for a document that is larger.
+READ_BYTES = 4 << 20
 
 _BLOCKS = (
     "part int, block int, start_in_part long, n_tokens long, first_id long, last_id long, dictionary_hash string, width int, "
@@ -133,23 +135,35 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = VOCABULARY,
     return path
 
 
-def _frames(dictionary: bytes):
+def _frames(dictionary: bytes, limit: int = READ_BYTES):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         decompress = zstandard.ZstdDecompressor(dict_data=shared).decompress
+        types, names = (pa.int64(), pa.int64(), pa.int64(), pa.binary()), ["doc_id", "start", "n_tokens", "ids"]
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*rows) if rows else [()] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names)
+
+        # a block of texts that repeat themselves is many times larger when it is decompressed
         for batch in batches:
-            for block in batch.to_pylist():
+            for at in range(batch.num_rows):
+                block = batch.slice(at, 1).to_pylist()[0]
                 payload, wanted, start = memoryview(block["payload"]), block["wanted"], block["start"]
                 bounds = [*block["offsets"], len(payload)]
-                out: tuple[list, list, list, list] = [], [], [], []
+                rows: list[tuple] = []
+                size = 0
                 for i, (doc_id, n) in enumerate(zip(block["doc_ids"], block["lengths"], strict=True)):
                     if wanted is None or doc_id in wanted:
                         data = decompress(payload[bounds[i] : bounds[i + 1]])
                         ids = np.frombuffer(data, dtype=f"<u{block['width']}").astype("<u4").tobytes()
-                        for column, x in zip(out, (doc_id, start, n, ids), strict=True):
-                            column.append(x)
+                        if rows and size + len(ids) > limit:
+                            yield batch_of(rows)
+                            rows, size = [], 0
+                        rows.append((doc_id, start, n, ids))
+                        size += len(ids)
                     start += n
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "start", "n_tokens", "ids"])
+                yield batch_of(rows)
 
     return read
 

@@ -7,6 +7,7 @@ import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -602,3 +603,24 @@ def test_html_run_is_whole():
         plain = " ".join(re.sub("<[^>]*>", "", part).split())
         got = html_content.main_text(f"<body>\n{menu}<article>\n{p}\n{part}\n{p}\n</article>\n{menu}</body>", weights)
         assert got == f"{text} {plain} {text}"
+
+
+def test_blocks_are_read_in_bounded_parts():
+    """Texts that repeat themselves compress a thousandfold; their ids don't come back all at once."""
+    data = np.zeros(50_000, dtype="<u2").tobytes()
+    frame = token_files.zstandard.ZstdCompressor().compress(data)
+    n = 40
+    block = {"start": 7, "width": 2, "doc_ids": list(range(n)), "lengths": [50_000] * n, "offsets": [i * len(frame) for i in range(n)], "payload": frame * n, "wanted": None}
+    types = {"start": pa.int64(), "width": pa.int32(), "doc_ids": pa.list_(pa.int64()), "lengths": pa.list_(pa.int32()), "offsets": pa.list_(pa.int32()), "payload": pa.binary(), "wanted": pa.list_(pa.int64())}
+    batch = pa.RecordBatch.from_pylist([block, {**block, "wanted": [n]}], pa.schema(list(types.items())))
+    parts = list(token_files._frames(b"")(iter([batch])))
+    assert max(p.nbytes for p in parts) < 5 << 20 and len(parts) > 2
+    rows = pa.Table.from_batches(parts).to_pylist()
+    assert [(r["doc_id"], r["start"], r["n_tokens"], len(r["ids"])) for r in rows] == [(i, 7 + 50_000 * i, 50_000, 200_000) for i in range(n)]
+
+
+def test_a_piece_of_one_word_is_kept_once(library):
+    encoder = bpe.BacktrackingBpe(tokenizer_path("byte_bpe_50k.json"))
+    text = "strangewords alone, Ünbekannte Wörter (strangewords) it's strangewords, Wörter."
+    assert np.frombuffer(encoder.encode([text])[0], dtype=np.int32).tolist() == library_ids(library, text)
+    assert "Ünbekannte" in encoder.cache_later and " Ünbekannte" not in encoder.cache_words
