@@ -79,7 +79,7 @@ class BacktrackingBpe:
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) or r"(?!)")
         self.pretokens = regex.compile(_PRETOKEN)
         self.compatible: dict[int, bool] = {}
-        self.cache_first, self.cache_later, self.cache_words = RecentCache(20_000), RecentCache(100_000), RecentCache(80_000)
+        self.cache_first, self.cache_later, self.cache_words = RecentCache(20_000), RecentCache(140_000), RecentCache(60_000)
         self._make_decoder(vocab, {x: b for b, x in enumerate(letters)})
 
     def _make_decoder(self, vocab: dict[str, int], byte_of: dict[str, int]) -> None:
@@ -157,17 +157,20 @@ class BacktrackingBpe:
     def _pieces(self, pieces: list[str], lead: str = "") -> list[bytes]:
         together = "\n".join(pieces)
         special = [x for x in self.added if x in together]
-        cut: list[list] = []
+        # a piece that is one word is kept as a piece, so words are only kept for pieces of several
+        cut: list[list | None] = []
+        single: list[str] = []
         for piece in pieces:
             if piece.isalpha():
-                cut.append([lead + piece])
+                single.append(lead + piece)
+                cut.append(None)
             elif piece[-1:] in (".", ",") and piece[:-1].isalpha():
                 cut.append([lead + piece[:-1], piece[-1]])
             else:
                 cut.append(self._split(lead + piece, bool(special)))
-        self.cache_words.fill({x for parts in cut for x in parts if isinstance(x, str)}, self._words)
-        words = self.cache_words
-        return [b"".join([words[x] if isinstance(x, str) else array("i", [x]).tobytes() for x in parts]) for parts in cut]
+        words, alone = self.cache_words, iter(self._words(single))
+        words.fill({x for parts in cut if parts for x in parts if isinstance(x, str)}, self._words)
+        return [next(alone) if parts is None else b"".join([words[x] if isinstance(x, str) else array("i", [x]).tobytes() for x in parts]) for parts in cut]
 
     def _split(self, piece: str, special: bool) -> list:
         """Pre-tokens, and the ids of special tokens between them."""
