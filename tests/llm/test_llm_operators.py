@@ -624,3 +624,17 @@ def test_a_piece_of_one_word_is_kept_once(library):
     text = "strangewords alone, Ünbekannte Wörter (strangewords) it's strangewords, Wörter."
     assert np.frombuffer(encoder.encode([text])[0], dtype=np.int32).tolist() == library_ids(library, text)
     assert "Ünbekannte" in encoder.cache_later and " Ünbekannte" not in encoder.cache_words
+
+
+def test_simhash_proposes_near_copies(spark, monkeypatch):
+    """Without any band, copies of close fingerprints are still found, and only where their shingles agree."""
+    random.seed(3)
+    texts = []
+    for _ in range(5):
+        base = [f"w{random.randrange(5000)}" for _ in range(300)]
+        texts += [" ".join(base), "\n ".join(base).upper()]
+    prints = [simhash.fingerprint(t.encode(), near_copies.WORDS) for t in texts]
+    assert all(((a ^ b) & (1 << 64) - 1).bit_count() <= 3 for a, b in zip(prints[::2], prints[1::2]))
+    monkeypatch.setattr(near_copies, "_band_lists", lambda words: lambda column: F.array().cast("array<long>"))
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SMALL).collect()) == [0, 2, 4, 6, 8]
