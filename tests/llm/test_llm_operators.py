@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from conftest import SMALL
-from covermill.llm import bpe, chat_format, decontaminate, html_content, language_id, line_dedup, near_copies, quality_rules, queries, simhash, token_counts, token_files
+from covermill.llm import bpe, chat_format, decontaminate, html_content, language_id, line_dedup, near_copies, pieces, quality_rules, queries, simhash, token_counts, token_files
 from covermill.llm.components import components
 from covermill.llm.library_tokens import tokenizer_path
 from covermill.llm.pieces import safe_chunks, safe_pieces
@@ -638,3 +638,26 @@ def test_simhash_proposes_near_copies(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "_band_lists", lambda words: lambda column: F.array().cast("array<long>"))
     docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SMALL).collect()) == [0, 2, 4, 6, 8]
+
+
+def test_near_copies_keep_to_their_memory(monkeypatch):
+    """A stage without a model gives back the one before, each shingle is hashed once, and a group is counted in bounded parts."""
+    pieces.one_per_worker(("test",), lambda: bytearray(1 << 20))
+    texts = ["", "a", "B c  d e f g h", " ".join(f"w{i * i % 977}" for i in range(9000))]
+    find = near_copies._signatures(near_copies.WORDS).func
+    got = pa.concat_arrays(list(find(iter([pa.array(texts)])))).to_pylist()
+    assert not pieces._HELD
+    assert [r["print"] for r in got] == [simhash.fingerprint(t.encode(), near_copies.WORDS) for t in texts]
+    hashes = [np.unique(near_copies.shingles(t.encode())) for t in texts]
+    want = [(near_copies._FACTORS * h + near_copies._TERMS).min(axis=1, initial=np.iinfo(np.uint64).max).view(np.int64).tolist() for h in hashes]
+    assert [r["least"] for r in got] == want
+    rng = np.random.default_rng(1)
+    common = rng.integers(0, 1 << 64, 40_000, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([common, rng.integers(0, 1 << 64, 500 * k, dtype=np.uint64)])) for k in range(40)]
+    tracemalloc.start()
+    links = near_copies.links_of(sets, 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20
+    monkeypatch.setattr(near_copies, "_VALUES", 1 << 40)
+    assert links == near_copies.links_of(sets, 0.8) and links
