@@ -1,7 +1,8 @@
 """Risk models on feature tables: training, evaluation, batch scoring.
 
 Feature tables are written to the checkpoint folder once before training: every boosting round reads
-its input again, and must not recompute the joins behind it.
+its input again, and must not recompute the joins behind it. Rows of equal features and class are one
+row there, with their number as its weight, so a round's work grows with the rows that differ.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ SEED = 42
 # Boosting rounds and tree depth of the risk model, and of the other two.
 RISK_ROUNDS, RISK_DEPTH = 80, 2
 OTHER_ROUNDS, OTHER_DEPTH = 100, 3
+#: Rows that a task of a boosting round takes at least; a round is too short to be split further.
+TASK_ROWS = 1 << 16
 
 
 def labelled(features: DataFrame, label: Column) -> DataFrame:
@@ -63,16 +66,34 @@ def class_balance(df: DataFrame, keys: list[str] = PAIR) -> DataFrame:
     )
 
 
+def written(table: DataFrame) -> DataFrame:
+    """A table computed once for all that reads it."""
+    ensure_checkpoint_dir(table.sparkSession)
+    return table.checkpoint()
+
+
+def distinct_rows(table: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Training and validation rows of different features or class, with the number of rows they stand for as ``weight``."""
+    held = held_out(PAIR).alias("held")
+    rows = written(table.select(*names, "label", held).groupBy(*names, "label", "held").agg(F.count(F.lit(1)).cast("double").alias("weight")))
+    tasks = -(-rows.count() // TASK_ROWS)
+    few = rows.coalesce(max(1, tasks))
+    return few.where(~F.col("held")), few.where("held")
+
+
+def _boosted(rounds: int, depth: int) -> GBTClassifier:
+    return GBTClassifier(maxIter=rounds, maxDepth=depth, seed=SEED, weightCol="weight")
+
+
 def fit_three_class(train: DataFrame, names: list[str], rounds: int, depth: int):
-    """One boosted binary model per class over an assembled feature vector."""
-    gbt = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=SEED)
+    """One boosted binary model per class over an assembled feature vector; rows count by their ``weight``."""
     assembler = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep")
-    return Pipeline(stages=[assembler, OneVsRest(classifier=gbt, parallelism=3)]).fit(train)
+    return Pipeline(stages=[assembler, OneVsRest(classifier=_boosted(rounds, depth), weightCol="weight", parallelism=3)]).fit(train)
 
 
 def fit_binary(train: DataFrame, names: list[str], rounds: int, depth: int):
-    gbt = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=SEED)
-    return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep"), gbt]).fit(train)
+    assembler = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep")
+    return Pipeline(stages=[assembler, _boosted(rounds, depth)]).fit(train)
 
 
 def score(model, features: DataFrame) -> DataFrame:
@@ -148,38 +169,34 @@ def load_model(spark: SparkSession, folder: str, names: list[str], version: str
 
 
 def ovo_auc(scored: DataFrame) -> float | None:
-    """Mean area under the ROC curve over all ordered pairs of classes present."""
+    """Mean area under the ROC curve over all ordered pairs of classes present; rows count by their ``weight``."""
     present = {int(r["label"]) for r in scored.select("label").distinct().collect()}  # at most 3
     areas = []
     for a, b in combinations(sorted(present), 2):
         both = scored.where(F.col("label").isin(float(a), float(b)))
         for pos in (a, b):
-            rows = both.select((F.col("label") == pos).cast("double").alias("y"), F.element_at("p", pos + 1).alias("s"))
-            areas.append(BinaryClassificationEvaluator(rawPredictionCol="s", labelCol="y", numBins=0).evaluate(rows))
+            rows = both.select((F.col("label") == pos).cast("double").alias("y"), F.element_at("p", pos + 1).alias("s"), "weight")
+            areas.append(BinaryClassificationEvaluator(rawPredictionCol="s", labelCol="y", weightCol="weight", numBins=0).evaluate(rows))
     return sum(areas) / len(areas) if areas else None
 
 
 def train_three_class(table: DataFrame, names: list[str], rounds: int, depth: int):
     """Fits on four fifths and evaluates on the rest: (model, metrics)."""
-    ensure_checkpoint_dir(table.sparkSession)
-    data = table.select(*PAIR, *names, "label").checkpoint()
-    train, held = split(data, PAIR)
+    train, held = distinct_rows(table, names)
     model = fit_three_class(train, names, rounds, depth)
     scored = score(model, held).withColumn("prediction", F.array_position("p", F.array_max("p")).cast("double") - 1).cache()
-    accuracy = MulticlassClassificationEvaluator(metricName="accuracy").evaluate(scored)
+    accuracy = MulticlassClassificationEvaluator(metricName="accuracy", weightCol="weight").evaluate(scored)
     auc = ovo_auc(scored)
     scored.unpersist()
     return model, {"accuracy": accuracy, "auc": auc}
 
 
 def train_binary(table: DataFrame, names: list[str], rounds: int, depth: int):
-    ensure_checkpoint_dir(table.sparkSession)
-    data = table.select(*PAIR, *names, "label").checkpoint()
-    train, held = split(data, PAIR)
+    train, held = distinct_rows(table, names)
     model = fit_binary(train, names, rounds, depth)
     scored = model.transform(held).cache()
     both = scored.select("label").distinct().count() == 2
-    auc = BinaryClassificationEvaluator(numBins=0).evaluate(scored) if both else None
+    auc = BinaryClassificationEvaluator(weightCol="weight", numBins=0).evaluate(scored) if both else None
     scored.unpersist()
     return model, {"auc": auc}
 

@@ -95,7 +95,7 @@ def _balance_sql(label: str) -> str:
 @register("ml_risk_train", _balance_sql("least(later, 2)"))
 def ml_risk_train(d):
     known = R.feature_vector(T.telemetry_counts(before(d.telemetry(), "ts", CUTOFF)), d.warranty(), d.profile(), CUTOFF)
-    table = M.with_outcome(known, d.telemetry(), CUTOFF)
+    table = M.written(M.with_outcome(known, d.telemetry(), CUTOFF))
     _, metrics = M.train_three_class(table, C.RISK_FEATURES, M.RISK_ROUNDS, M.RISK_DEPTH)
     return M.report(table, metrics)
 
@@ -103,14 +103,14 @@ def ml_risk_train(d):
 @register("ml_ev_train", _balance_sql("least(2, later)"))
 def ml_ev_train(d):
     known = ev_inputs(ev_rated(d, before(d.ev_payload_telemetry(), "ts", CUTOFF)))
-    table = M.with_outcome(known, d.telemetry(), CUTOFF)
+    table = M.written(M.with_outcome(known, d.telemetry(), CUTOFF))
     _, metrics = M.train_three_class(table, C.EV_FEATURES, M.OTHER_ROUNDS, M.OTHER_DEPTH)
     return M.report(table, metrics)
 
 
 @register("ml_v2_train", _balance_sql("least(later, 1)"))
 def ml_v2_train(d):
-    table = M.with_outcome(v2_table(d, CUTOFF), d.telemetry(), CUTOFF).withColumn("label", F.least("label", F.lit(1.0)))
+    table = M.written(M.with_outcome(v2_table(d, CUTOFF), d.telemetry(), CUTOFF).withColumn("label", F.least("label", F.lit(1.0))))
     _, metrics = M.train_binary(table, M.v2_names(), M.OTHER_ROUNDS, M.OTHER_DEPTH)
     return M.report(table, metrics)
 
@@ -154,7 +154,7 @@ def risk_score_model(d):
 )
 def ev_battery_score_model(d):
     """Every EV pair scored by a model, with the texts that go with a model."""
-    rated = ev_inputs(ev_scores(d))
+    rated = M.written(ev_inputs(ev_scores(d)))
     trained, _ = M.train_three_class(M.labelled(rated, F.col("ev_label")), C.EV_FEATURES, M.OTHER_ROUNDS, M.OTHER_DEPTH)
     model = _kept(d.spark, trained, C.EV_FEATURES)
     done = EV.model_texts(M.score(model, rated))

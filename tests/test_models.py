@@ -95,3 +95,18 @@ def test_a_planted_signal_is_learned(spark):
     assert metrics["auc"] > 0.95
     _, metrics = M.train_three_class(three, ["noise"], rounds=5, depth=2)
     assert abs(metrics["auc"] - 0.5) < 0.1
+
+
+def test_equal_rows_are_trained_as_one(spark):
+    """Work grows with the rows that differ: copies only weigh more, and the model and its measures are those of all rows."""
+    u = lambda k: F.pmod(F.xxhash64("k", F.lit(k)), F.lit(8))
+    made = spark.range(4000).select(F.col("id").alias("user_id"), F.lit("w").alias("warranty_id"), (F.col("id") % 200).alias("k")).select("*", u(1).alias("a"), u(2).alias("b"))
+    table = made.withColumn("label", F.when(F.col("a") > 5, 2.0).when(F.col("b") > 3, 1.0).otherwise(0.0))
+    train, held = M.distinct_rows(table, ["a", "b"])
+    assert train.count() <= 64 and train.rdd.getNumPartitions() == 1
+    assert {r.weight for r in train.agg(F.sum("weight").alias("weight")).collect()} == {table.where(~M.held_out(["user_id", "warranty_id"])).count()}
+    assert held.agg(F.sum("weight")).first()[0] + train.agg(F.sum("weight")).first()[0] == 4000
+    few = M.fit_three_class(train, ["a", "b"], 3, 2)
+    whole = M.fit_three_class(table.where(~M.held_out(["user_id", "warranty_id"])).withColumn("weight", F.lit(1.0)), ["a", "b"], 3, 2)
+    scores = [sorted((r.user_id, round(r.model_score, 9)) for r in M.score(m, table).collect()) for m in (few, whole)]
+    assert scores[0] == scores[1]
