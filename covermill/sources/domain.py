@@ -422,8 +422,12 @@ class DomainTables:
         )
 
     def oem_page(self) -> DataFrame:
-        """Manufacturer pages composed from parts, and all raw web pages with a brand hint."""
-        made = self.table("part").selectExpr(
+        """Manufacturer pages composed from parts, and all raw web pages with a brand hint.
+
+        A part's page is many times larger than its row, so parts are dealt out before: by its bytes a file of a million
+        parts is one task.
+        """
+        made = self.table("part").repartition("p_partkey").selectExpr(
             "concat('part/', p_partkey) AS url",
             "element_at(array('samsung', 'lg', 'bosch', 'whirlpool', 'Other'), cast(p_partkey % 5 AS int) + 1) AS brand_hint",
             "concat(p_type, '-', p_size) AS model",

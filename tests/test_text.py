@@ -5,10 +5,12 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SMALL
 from covermill import constants as C
 from covermill.functions import html_blocks, scalars as S, text as X
 from covermill.operators import warranty as W
 from covermill.operators import workflow as K
+from covermill.sources.domain import DomainTables
 
 
 def extract(spark, content):
@@ -106,6 +108,22 @@ def test_blocks_nest(spark):
     assert got == [("A b c d", None), (None, None), (None, None), (None, None)]
 
 
+def test_pages_without_a_wanted_name_are_not_parsed(spark, monkeypatch):
+    fed = []
+    feed = html_blocks._Blocks.feed
+    monkeypatch.setattr(html_blocks._Blocks, "feed", lambda self, page: (fed.append(page), feed(self, page)))
+    assert html_blocks.block_texts('<p class="a" title="x&amp;y">a&amp;b</p><p id=b>c</p>', [[".warranty"], ["#t2"], []]) == [None, None, None] and not fed
+    for page in ('<p class="war&#114;anty">x</p>', "<p CLASS = 'war&#114;anty'>x</p>", "<p title='>' class=war&#114;anty>x</p>", '<p title="&lt;" class="a\nwarranty">x</p>'):
+        assert html_blocks.block_texts(page, [[".none", ".warranty"], ["#warranty"]]) == ["x", None], page
+    assert html_blocks.block_texts("<p>warranty <b id=terms>x</b></p>", [[".warranty", "#terms"]]) == ["x"] and len(fed) == 5
+
+
+def test_parts_are_dealt_out_before_their_pages_are_made(spark):
+    pages = DomainTables(spark, SMALL).oem_page()
+    plan = pages._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and pages.count() == spark.read.parquet(f"{SMALL}/part.parquet").count() + spark.read.parquet(f"{SMALL}/pages.parquet").count()
+
+
 def test_portal_artifact_text(spark):
     df = spark.createDataFrame([("bosch", "M1", "EU", '<p class="warranty">Two\n years</p>')], "brand_hint STRING, model STRING, region STRING, html STRING")
     text = W.portal_artifacts(df).first()["content"]
