@@ -59,19 +59,32 @@ class LibraryEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian integers of ``dtype``."""
         cut = [[(safe_pieces(part), follows) for part, follows in safe_chunks(text or "")] for text in texts]
-        firsts, laters = set(), set()
-        for parts in cut:
-            for pieces, follows in parts:
-                (laters if follows else firsts).add(pieces[0])
-                laters.update(pieces[1:])
-        self.first.fill(firsts, self._encode)
-        self.later.fill(laters, self._encode_later)
         first, later = self.first, self.later
-        out = []
+        firsts, laters, waiting = set(), set(), []
+        out: list[list] = []
         for parts in cut:
-            data = [(later if follows else first)[pieces[0]] + b"".join(map(later.__getitem__, pieces[1:])) for pieces, follows in parts]
-            out.append(data[0] if len(data) == 1 else b"".join(data))
-        return out
+            data: list = []
+            for pieces, follows in parts:
+                # most pieces are known and looked up once; what isn't there yet is None, which can't be joined
+                found = list(map(later.get, pieces))
+                if not follows:
+                    found[0] = first.get(pieces[0])
+                try:
+                    data.append(b"".join(found))
+                except TypeError:
+                    unknown = [k for k, x in enumerate(found) if x is None]
+                    for k in unknown:
+                        (laters if k or follows else firsts).add(pieces[k])
+                    waiting.append((data, len(data), pieces, follows, found, unknown))
+                    data.append(b"")
+            out.append(data)
+        first.fill(firsts, self._encode)
+        later.fill(laters, self._encode_later)
+        for data, at, pieces, follows, found, unknown in waiting:
+            for k in unknown:
+                found[k] = (later if k or follows else first)[pieces[k]]
+            data[at] = b"".join(found)
+        return [data[0] if len(data) == 1 else b"".join(data) for data in out]
 
     def count(self, texts: list[str | None]) -> list[int]:
         """Each text's number of ids."""

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from conftest import SMALL
-from covermill.llm import bpe, chat_format, decontaminate, html_content, language_id, line_dedup, near_copies, pieces, quality_rules, queries, simhash, token_counts, token_files
+from covermill.llm import bpe, chat_format, decontaminate, html_content, language_id, library_tokens, line_dedup, near_copies, pieces, quality_rules, queries, simhash, token_counts, token_files
 from covermill.llm.components import components
 from covermill.llm.library_tokens import tokenizer_path
 from covermill.llm.pieces import safe_chunks, safe_pieces
@@ -661,3 +661,15 @@ def test_near_copies_keep_to_their_memory(monkeypatch):
     assert peak < 60 << 20
     monkeypatch.setattr(near_copies, "_VALUES", 1 << 40)
     assert links == near_copies.links_of(sets, 0.8) and links
+
+
+def test_known_pieces_are_not_gathered_again(library, monkeypatch):
+    """Only pieces that the cache doesn't hold are looked at twice, and a change of its generation loses none."""
+    encoder = library_tokens.LibraryEncoder(tokenizer_path("byte_bpe_50k.json"))
+    encoder.later.size = 4
+    wanted, fill = [], encoder.later.fill
+    monkeypatch.setattr(encoder.later, "fill", lambda keys, make: (wanted.append(set(keys)), fill(keys, make)))
+    texts = ["one two three four five six", "x two six seven", "x two eight", "one two three x"]
+    for text in texts:
+        assert np.frombuffer(encoder.encode([text])[0], dtype=encoder.dtype).tolist() == library_ids(library, text)
+    assert wanted[0] == {"two", "three", "four", "five", "six"} and wanted[1] == {"seven"}
