@@ -22,6 +22,8 @@ T = TypeVar("T")
 _RARE_ASCII = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
 _RARE_UNICODE = regex.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _SAFE_SPACE = regex.compile(r"(?<=\S) (?=\S)")
+#: Where in a text the plain split may not be safe, for Arrow's regular expressions.
+_ODD = r"^ | $|  | \n|\n |[\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def safe_pieces(text: str) -> list[str]:
@@ -36,6 +38,17 @@ def safe_pieces(text: str) -> list[str]:
     return text.split(" ")
 
 
+def safe_lists(texts: pa.Array) -> pa.ListArray:
+    """The ``safe_pieces`` of each text of an array without nulls, in its order."""
+    odd = pc.match_substring_regex(texts, _ODD)
+    if not pc.any(odd).as_py():
+        return pc.split_pattern(texts, " ")
+    plain = pc.split_pattern(texts.filter(pc.invert(odd)), " ")
+    cut = pa.array([_SAFE_SPACE.split(x) for x in texts.filter(odd).to_pylist()], plain.type)
+    at = pc.sort_indices(pc.sort_indices(odd.cast(pa.int8())))
+    return pa.concat_arrays([plain, cut]).take(at)
+
+
 def safe_chunks(text: str, chars: int = 1 << 20) -> Iterator[tuple[str, bool]]:
     """A long text in parts of about ``chars`` code points, each cut at a safe space, which is left out.
 

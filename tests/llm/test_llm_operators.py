@@ -673,3 +673,31 @@ def test_known_pieces_are_not_gathered_again(library, monkeypatch):
     for text in texts:
         assert np.frombuffer(encoder.encode([text])[0], dtype=encoder.dtype).tolist() == library_ids(library, text)
     assert wanted[0] == {"two", "three", "four", "five", "six"} and wanted[1] == {"seven"}
+
+
+def test_known_words_come_back_with_other_marks(library, monkeypatch):
+    """A word that the library has encoded isn't given to it again for the marks around it, and the ids stay the library's."""
+    encoder = library_tokens.LibraryEncoder(tokenizer_path("byte_bpe_50k.json"))
+    given, encode = [], encoder._encode
+    monkeypatch.setattr(encoder, "_encode", lambda texts: (given.extend(texts), encode(texts))[1])
+    encoder.encode(["so strangewords été stand"])
+    given.clear()
+    for texts in (["so strangewords, été! no strangewords", None, "x strangewords.\nIt strangewords***"], ["a strangewords\n\n", "a strangewords<|endoftext|> strangewords's"]):
+        for text, data in zip(texts, encoder.encode(texts), strict=True):
+            assert np.frombuffer(data, encoder.dtype).tolist() == library_ids(library, text)
+    assert not any("strangewords" in x and "<|" not in x for x in given)
+
+
+def test_pieces_of_many_texts(library, monkeypatch):
+    """Texts are cut together as each is alone, whatever white space, marks, scripts and lengths they mix."""
+    random.seed(6)
+    parts = [" ", "  ", "\n", " \n", "\n ", "\t", "\x85", "\xa0", "\u3000", "a", "Été.", "漢", "'s", "'", "12", "²", "½", "ª", "\xad", "\x00", "\x1c", "<|endoftext|>", "<|", "ɏ", "ɐ", "%%%", " word"]
+    texts = ["".join(random.choices(parts, k=random.randint(0, 14))) for _ in range(3000)]
+    texts += [f"q x{chr(k)}1{chr(k)}{chr(k)} {chr(k)}y.{chr(k)}" for k in range(1, 0x300)]
+    assert pieces.safe_lists(pa.array(texts, pa.string())).to_pylist() == [safe_pieces(t) for t in texts]
+    texts += ["Lorem ipsum, dolor.\nSit " * 60_000, ""]
+    monkeypatch.setattr(library_tokens, "_AT_ONCE", 1 << 20)
+    encoder = library_tokens.LibraryEncoder(tokenizer_path("byte_bpe_50k.json"))
+    for text, data in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(data, encoder.dtype).tolist() == library_ids(library, text)
+    assert encoder.encode([]) == []
